@@ -5,8 +5,9 @@ into NULL so that Spark aggregates skip both."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,9 +86,25 @@ def safe_div(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 
 
-def rows_frame(spark, rows: list, schema: str) -> DataFrame:
-    """A small result (per-column summary) as a DataFrame."""
-    return spark.createDataFrame(rows, schema)
+def rows_frame(spark, rows: Sequence, schema: str) -> DataFrame:
+    """A small result (per-column summary) as a local relation: no tasks to read it."""
+    fields = T.StructType.fromDDL(schema)
+    arrow = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in fields])
+    rows = list(rows)
+    cols = [[r[i] for r in rows] for i in range(len(arrow))]
+    data = pa.table([pa.array([_plain(v) for v in c], type=t.type) for c, t in zip(cols, arrow)], schema=arrow)
+    return spark.createDataFrame(data, fields)
+
+
+def _plain(v):
+    return v.item() if hasattr(v, "item") else v
+
+
+def _arrow_type(t: T.DataType) -> pa.DataType:
+    if isinstance(t, T.ArrayType):
+        return pa.list_(_arrow_type(t.elementType))
+    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(),
+            "boolean": pa.bool_(), "timestamp": pa.timestamp("us", "UTC")}[t.simpleString()]
 
 
 def fin(x):

@@ -168,12 +168,13 @@ def with_ranks(df: DataFrame, cols: Sequence[str], names: Mapping[str, str] | No
 
 
 def fill_edges(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column], forward: bool,
-               partition: Sequence[str] = ()) -> DataFrame:
+               partition: Sequence[str] = (), dense: bool = False) -> DataFrame:
     """Carry the nearest earlier (or later) non-null value of each expression.
 
-    Adds ``name`` for each entry; the row's own value counts."""
+    Adds ``name`` for each entry; the row's own value counts.  ``dense`` says
+    the key is a row position, which needs no sketch to cut into ranges."""
     part = list(partition)
-    df = order_bucket(df, keys)
+    df = df.withColumn(_B, F.floor(q(keys[0]) / ROWS_PER_BUCKET)) if dense else order_bucket(df, keys)
     df = df.withColumns({f"__in_{n}": e for n, e in cols.items()})
     order = F.struct(*[q(k) for k in keys])
     pick = F.max_by if forward else F.min_by

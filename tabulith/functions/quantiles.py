@@ -70,6 +70,19 @@ def _selected(df: DataFrame, exprs: dict[str, Column], probs: list[float]) -> di
     return out
 
 
+def order_stats(df: DataFrame, cols, ranks_of, *, exact_rows: int = EXACT_ROWS) -> tuple[dict, dict]:
+    """({column: count}, {column: {rank: value}}) for ranks chosen from the count."""
+    exprs = _as_exprs(df, cols)
+    sizes = agg_dict(df, {k: F.count(e) for k, e in exprs.items()})
+    want = {k: {r for r in ranks_of(n) if 0 <= r < n} for k, n in sizes.items()}
+    if max(sizes.values(), default=0) > exact_rows:
+        return sizes, order_statistics(df, exprs, sizes, want)
+    probs = {k: sorted(w) for k, w in want.items() if w}
+    got = agg_dict(df, {k: F.percentile(exprs[k], F.array(*[F.lit(r / max(sizes[k] - 1, 1)) for r in rs]))
+                        for k, rs in probs.items()})
+    return sizes, {k: dict(zip(probs.get(k, []), got.get(k) or [])) for k in exprs}
+
+
 def order_statistics(df: DataFrame, exprs: dict[str, Column], sizes: dict[str, int],
                      want: dict[str, set[int]]) -> dict[str, dict[int, float]]:
     """Exact order statistics (0-based rank -> value) for each expression."""
