@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("tables", "cleaning")
+MODULES = ("tables", "cleaning", "transforms", "conditioning", "association")
 
 
 def load() -> dict:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import order_bucket
 
 ROWS_PER_BLOCK = 150_000
@@ -62,6 +63,16 @@ def dominance_sums(df: DataFrame, x: Column, y: Column, weights: Sequence[Column
            .na.drop(subset=["x", "y"])
            .groupBy("x", "y").agg(F.count("*").alias("cnt"), *[F.sum(n).alias(n) for n in ws]))
     rows = rows if rows is not None else df.count()
+    schema = "x double, y double, " + ", ".join(f"{d} double" for d in ds)
+    if rows <= rows_per_block:  # one bounded block
+        own = ", ".join(["x double", "y double", "cnt bigint", *(f"{w} double" for w in ws), *(f"{d} double" for d in ds)])
+
+        def block(pdf: pd.DataFrame) -> pd.DataFrame:
+            res = dominated(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf[ws].to_numpy(float))
+            return pdf[["x", "y", "cnt", *ws]].assign(**{d: res[:, i] for i, d in enumerate(ds)})
+
+        return pts.withColumn("one", F.col("cnt") < 0).groupBy("one").applyInPandas(block, own)
+    pts = cut_lineage(pts)  # read by several branches below
     blocks = max(4, -(-rows // rows_per_block))
     pts = order_bucket(pts, ["x"], "bx", blocks)
     pts = order_bucket(pts, ["y"], "by", blocks)
@@ -70,8 +81,6 @@ def dominance_sums(df: DataFrame, x: Column, y: Column, weights: Sequence[Column
     cells = pts.groupBy("bx", "by").agg(*[F.sum(n).alias(n) for n in ws])
     grid = _grid_prefix(cells, ws)
 
-    schema = "x double, y double, " + ", ".join(f"{d} double" for d in ds)
-
     def inner(own: str, other: str, below_only: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             a, b = pdf[own].to_numpy(), pdf[other].to_numpy()

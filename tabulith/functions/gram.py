@@ -69,19 +69,19 @@ def total(parts: Mapping[object, Gram]) -> Gram:
 
 
 def gram(df: DataFrame, exprs: Mapping[str, Column], by: Column | None = None,
-         weight: Column | None = None) -> dict[object, Gram]:
+         weight: Column | None = None, centre: Mapping[str, float] | None = None) -> dict[object, Gram]:
     """``{group: Gram}`` over rows where every expression is non-null.
 
     The group key is None when ``by`` is not given; groups must be few (folds,
-    classes)."""
+    classes).  A known rough ``centre`` per column saves the first scan."""
     names = list(exprs)
     p = len(names)
     cols = [e.cast("double").alias(f"x{i}") for i, e in enumerate(exprs.values())]
     block = df.select(*cols, (by if by is not None else F.lit(0)).alias("g"),
                       (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"))
     block = block.na.drop(subset=[f"x{i}" for i in range(p)])
-    centre = agg_dict(block, {i: F.avg(f"x{i}") for i in range(p)})
-    shift = np.array([centre[i] if centre[i] is not None else 0.0 for i in range(p)])
+    mid = dict(enumerate(centre[n] for n in names)) if centre else agg_dict(block, {i: F.avg(f"x{i}") for i in range(p)})
+    shift = np.array([mid[i] if mid[i] is not None else 0.0 for i in range(p)])
     shifted = block.select("g", "w", *[(F.col(f"x{i}") - float(shift[i])).alias(f"x{i}") for i in range(p)])
     if p <= _NARROW:
         aggs = [F.sum("w").alias("n")]

@@ -65,14 +65,15 @@ def _with_cell(df: DataFrame, p: int, tree) -> DataFrame:
     return df.withColumn("cell", cell(*xs))
 
 
-def _search(qx, px, pid, pm, k, own=None):
+def _search(qx, px, pid, pm, k, own=None, metric="euclid"):
     """Per query the nearest points until the multiplicities reach k.
 
     ``own`` holds each query's own point id: that point counts one copy less."""
     ids, dist, mult = [], [], []
     for at in range(0, len(qx), 256):
         block = qx[at:at + 256]
-        d = np.sqrt(np.maximum(((block[:, None, :] - px[None, :, :]) ** 2).sum(-1), 0))
+        gap = block[:, None, :] - px[None, :, :]
+        d = np.abs(gap).max(-1) if metric == "max" else np.sqrt((gap ** 2).sum(-1))
         take = np.argsort(d, axis=1, kind="stable")[:, :k + 1]
         for r in range(len(block)):
             i = take[r]
@@ -103,7 +104,8 @@ def distinct_points(df: DataFrame, cols) -> DataFrame:
     return clean.groupBy(*xs).agg(F.count("*").alias("m")).withColumn("pid", F.xxhash64(*xs))
 
 
-def knn(points: DataFrame, p: int, k: int, queries: DataFrame | None = None) -> DataFrame:
+def knn(points: DataFrame, p: int, k: int, queries: DataFrame | None = None,
+        metric: str = "euclid") -> DataFrame:
     """``pid, nn`` with ``nn`` an array of (d, pid, m) rising by distance.
 
     ``points`` comes from :func:`distinct_points`; ``queries`` has the same
@@ -138,7 +140,7 @@ def knn(points: DataFrame, p: int, k: int, queries: DataFrame | None = None) ->
             if not len(a) or not len(b):
                 return pd.DataFrame({"pid": pd.Series([], dtype="int64"), "nn": pd.Series([], dtype=object)})
             got = _search(a[xs].to_numpy(float), b[xs].to_numpy(float), b["pid"].to_numpy(),
-                          b["m"].to_numpy(), k, a["pid"].to_numpy() if self_join else None)
+                          b["m"].to_numpy(), k, a["pid"].to_numpy() if self_join else None, metric)
             return pd.DataFrame({"pid": a["pid"].to_numpy(), "nn": _pack(*got)})
 
         return left.groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")) \
@@ -155,7 +157,7 @@ def knn(points: DataFrame, p: int, k: int, queries: DataFrame | None = None) ->
         for at in range(0, len(x), 512):
             b = x[at:at + 512, None, :]
             gap = np.maximum(np.maximum(lo[None] - b, b - hi[None]), 0)
-            d = np.sqrt((gap ** 2).sum(-1))
+            d = gap.max(-1) if metric == "max" else np.sqrt((gap ** 2).sum(-1))
             ok = d <= limit.to_numpy()[at:at + 512, None]
             ok &= cells[None, :] != home.to_numpy()[at:at + 512, None]
             out.extend(cells[r].tolist() for r in ok)

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import agg_dict, q, value
 
@@ -40,11 +41,22 @@ def _bucketize(df: DataFrame, col: str, out: str, cuts: Sequence[float]) -> Data
     return Bucketizer(splits=edges, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
 
 
+def order_number(df: DataFrame, name: str) -> Column:
+    """A double that never falls as the key rises (text by its first six bytes)."""
+    t, c = df.schema[name].dataType, q(name)
+    if isinstance(t, T.StringType):
+        head = F.hex(F.substring(F.encode(c, "utf-8"), 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+    if isinstance(t, (T.DateType, T.TimestampNTZType)):
+        c = c.cast("timestamp")
+    return c.cast("double")
+
+
 def order_bucket(df: DataFrame, keys: Sequence[str], out: str = _B,
                  buckets: int | None = None) -> DataFrame:
     """Add ``out``: a range number that rises with the first key, and with the
     second inside a hot first-key value, so equal keys never overfill a range."""
-    k1 = q(keys[0]).cast("double")
+    k1 = order_number(df, keys[0])
     if buckets is None:
         buckets = bucket_count(df.count())
     probs = [i / buckets for i in range(1, buckets)]
@@ -54,14 +66,14 @@ def order_bucket(df: DataFrame, keys: Sequence[str], out: str = _B,
     df = _bucketize(df.withColumn("__k1", k1), "__k1", "__b1", cuts)
     second = F.lit(0.0)
     if hot and len(keys) > 1:
-        k2 = q(keys[1]).cast("double")
+        k2 = order_number(df, keys[1])
         df = df.withColumn("__k2", k2)
         inner = agg_dict(df, {h: F.percentile_approx(F.when(F.col("__k1") == h, F.col("__k2")), probs, acc)
                               for h in hot})
         for i, h in enumerate(hot):
             df = _bucketize(df, "__k2", f"__h{i}", _splits(inner[h])[0])
             second = F.when(F.col("__k1") == h, F.col(f"__h{i}")).otherwise(second)
-    df = df.withColumn(out, (F.col("__b1") * 1048576 + second).cast("long"))
+    df = df.withColumn(out, F.coalesce((F.col("__b1") * 1048576 + second).cast("long"), F.lit(0)))
     return df.drop("__k1", "__k2", "__b1", *[f"__h{i}" for i in range(len(hot))])
 
 
@@ -130,10 +142,12 @@ def rank_table(df: DataFrame, col: str, partition: Sequence[str] = (),
                points: list | None = None) -> DataFrame:
     """One row per distinct value: ``v, cnt, below, rank`` (average rank)."""
     part = list(partition)
+    # declared non-null, so no inferred filter sets the two readers of the counts apart
+    # and their shuffle is shared
     counts = (df.select(*part, value(df, col).cast("double").alias("v")).filter("v is not null")
-              .groupBy(*part, "v").agg(F.count("*").alias("cnt")))
+              .withColumn("v", F.coalesce("v", F.lit(0.0))).groupBy(*part, "v").agg(F.count("*").alias("cnt")))
     if points is not None:
-        counts = _bucketize(counts, "v", _B, _splits(points)[0]).withColumn(_B, F.col(_B).cast("long"))
+        counts = _bucketize(counts, "v", _B, _splits(points)[0]).withColumn(_B, F.coalesce(F.col(_B).cast("long"), F.lit(0)))
     got = running(counts, ["v"], {"below": F.col("cnt")}, part, bucketed=points is not None)
     return got.withColumn("rank", F.col("below") + (F.col("cnt") + 1) / 2.0)
 

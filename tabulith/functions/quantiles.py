@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .columns import agg_dict, value
 
-EXACT_ROWS = 4_000_000
+EXACT_ROWS = 1_000_000
 BRACKET_VALUES = 4096
 _GRID = 500
 _ACCURACY = 10_000

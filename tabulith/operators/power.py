@@ -1,7 +1,7 @@
 """Box-Cox and Yeo-Johnson exponents by maximum likelihood.
 
-Each round evaluates a grid of exponents for all columns in one aggregate and
-narrows around the best; three narrowings give about six digits."""
+The first round evaluates a coarse grid of exponents for all columns in one
+aggregate; later rounds take three points around the top of a fitted parabola."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, up).when(x < 0, low)
 
 
-def fit_lambdas(df: DataFrame, exprs: Mapping[str, Column], kind: str, rounds: int = 6, grid: int = 21) -> dict[str, float]:
+def fit_lambdas(df: DataFrame, exprs: Mapping[str, Column], kind: str, rounds: int = 6, grid: int = 11) -> dict[str, float]:
     """Best exponent per expression (positive values needed for Box-Cox)."""
     if kind == "boxcox":
         base = agg_dict(df, {(c, s): f for c, x in exprs.items() for s, f in (
@@ -42,18 +42,27 @@ def fit_lambdas(df: DataFrame, exprs: Mapping[str, Column], kind: str, rounds: i
         base = agg_dict(df, {(c, s): f for c, x in exprs.items() for s, f in (
             ("n", F.count(x)), ("j", F.sum(F.signum(x) * F.log1p(F.abs(x)))))})
         scaled, jac, fn = dict(exprs), {c: base[(c, "j")] for c in exprs}, yeo_johnson
-    span = {c: LAMBDA_RANGE for c in exprs}
+    def likelihood(points: dict[str, list[float]]) -> dict[str, list[float]]:
+        var = agg_dict(df, {(c, i): F.var_pop(fn(scaled[c], l)) for c, ls in points.items() for i, l in enumerate(ls)})
+        out: dict[str, list[float]] = {}
+        for (c, i), v in var.items():
+            n, l = base[(c, "n")], points[c][i]
+            ok = v is not None and 0 < v < math.inf
+            out.setdefault(c, []).append((l - 1) * jac[c] - n / 2 * math.log(v) if ok else -math.inf)
+        return out
+
+    lo, hi = LAMBDA_RANGE
+    step = {c: (hi - lo) / (grid - 1) for c in exprs}
+    pts = {c: [lo + i * step[c] for i in range(grid)] for c in exprs}
+    best: dict[str, float] = {}
     for _ in range(rounds):
-        pts = {c: [a + (b - a) * i / (grid - 1) for i in range(grid)] for c, (a, b) in span.items()}
-        var = agg_dict(df, {(c, i): F.var_pop(fn(scaled[c], l)) for c in exprs for i, l in enumerate(pts[c])})
-        for c in exprs:
-            n = base[(c, "n")]
-
-            def score(i, c=c, n=n):
-                v = var[(c, i)]
-                if v is None or not 0 < v < float("inf"):
-                    return float("-inf")
-                return (pts[c][i] - 1) * jac[c] - n / 2 * math.log(v)
-            best = max(range(grid), key=score)
-            span[c] = (pts[c][max(0, best - 1)], pts[c][min(grid - 1, best + 1)])
-    return {c: (a + b) / 2 for c, (a, b) in span.items()}
+        for c, ll in likelihood(pts).items():
+            i = max(range(len(ll)), key=lambda j: (ll[j], -j))
+            best[c] = pts[c][i]
+            if 0 < i < len(ll) - 1 and min(ll[i - 1], ll[i + 1]) > -math.inf:
+                bend = ll[i - 1] - 2 * ll[i] + ll[i + 1]
+                if bend < 0:  # top of the parabola through the three points
+                    best[c] += step[c] * 0.5 * (ll[i - 1] - ll[i + 1]) / bend
+                step[c] /= 8
+            pts[c] = [best[c] - step[c], best[c], best[c] + step[c]]
+    return best

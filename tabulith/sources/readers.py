@@ -81,7 +81,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
                options: ReadOptions | None = None) -> DataFrame:
     """Read and tidy: names, blanks, NA tokens, numeric and date text, NaN to NULL.
 
-    Typed sources (parquet) pay no coercion pass."""
+    Typed sources (parquet) pay no coercion pass and keep plain columns, so that
+    filters still reach the scan; operators read NaN as missing themselves."""
     o = options or ReadOptions()
     fmt = fmt or format_of(path)
     df = read_raw(spark, path, fmt, o)
@@ -92,7 +93,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
         if o.coerce and o.schema is None:
             df = hygiene.coerce_numeric(df, o.numeric_share)
             df = hygiene.coerce_dates(df, o.date_share)
-    return nan_to_null(df)
+        df = nan_to_null(df)
+    return df
 
 
 @dataclass
