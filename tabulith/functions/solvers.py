@@ -99,10 +99,10 @@ def cv_alpha(folds: dict, target: str, features: list[str], l1_ratio=1.0, count=
     err = np.zeros(len(path))
     for g in folds.values():
         rest = whole - g
-        a, c, _, m, mx, my = xy(rest, target, features)
-        b = None
+        a, c, yy, m, mx, my = xy(rest, target, features)
+        b, loose = None, 1e-4 * float(np.sqrt(max(yy / m, 1e-300)))
         for i, al in enumerate(path):
-            b = elastic_net(a, c, m, al, l1_ratio, max_iter, 1e-7, b)
+            b = elastic_net(a, c, m, al, l1_ratio, min(max_iter, 1000), loose, b)
             rss, _, cnt = sse(g, target, features, b, my - float(b @ mx))
             err[i] += rss / cnt
     return float(path[int(np.argmin(err))])
