@@ -82,7 +82,7 @@ def codes_sql(names, src, bins, keep=""):
     """Equal-frequency codes, repeated edges dropped, right-closed."""
     probs = ", ".join(str(i / bins) for i in range(1, bins))
     ends = ", ".join(f"quantile_cont({n}, [{probs}]) AS e_{n}, min({n}) AS mn_{n}" for n in names)
-    cols = ", ".join(f"CASE WHEN {n} IS NULL THEN NULL ELSE len(list_distinct(list_filter(e_{n}, lambda e: e > mn_{n} AND e < {n}))) END AS {n}" for n in names)
+    cols = ", ".join(f"CASE WHEN {n} IS NULL THEN NULL ELSE len(list_distinct(list_filter(e_{n}, lambda edge_: edge_ > mn_{n} AND edge_ < {n}))) END AS {n}" for n in names)
     return f"(SELECT {keep + ', ' if keep else ''}{cols} FROM {src}, (SELECT {ends} FROM {src}))"
 
 
