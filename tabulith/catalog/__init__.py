@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("tables", "cleaning", "transforms", "conditioning", "association", "summaries", "learning")
+MODULES = ("tables", "cleaning", "transforms", "conditioning", "association", "summaries", "learning", "stability")
 
 
 def load() -> dict:

@@ -16,7 +16,7 @@ from .tables import line
 
 FEATURES = ["a", "b", "c", "e"]
 _COLS = {"a": "{f}(p_size)", "b": "p_retailprice / 100", "c": "{f}(p_partkey % 17)", "e": "{f}(p_partkey % 5)"}
-_Y = "2 * p_size + p_retailprice * p_retailprice / 500000 - p_partkey % 17 + ((p_partkey * 37) % 11) / 3.0"
+_Y = "2 * p_size + p_retailprice * p_retailprice / 500000 - p_partkey % 17 + ((p_partkey * 37) % 11) / 3e0"
 _CLS2 = "CASE WHEN p_size + (p_partkey * 37) % 11 > 30 THEN 'hi' ELSE 'lo' END"
 _CLS3 = "CASE WHEN p_size + (p_partkey * 37) % 11 > 38 THEN 'hi' WHEN p_size + (p_partkey * 37) % 11 > 18 THEN 'mid' ELSE 'lo' END"
 _SQL = (f"(SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice / 100 AS b, (p_partkey % 17)::DOUBLE AS c, (p_partkey % 5)::DOUBLE AS e, "

@@ -194,14 +194,16 @@ def fill_edges(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column], f
     pick = F.max_by if forward else F.min_by
     ends = df.groupBy(*part, _B).agg(*[
         pick(F.col(f"__in_{n}"), F.when(F.col(f"__in_{n}").isNotNull(), order)).alias(f"__e_{n}") for n in cols])
-    fn = F.last if forward else F.first
-    outer = Window.partitionBy(*part).orderBy(_B)
-    outer = outer.rowsBetween(Window.unboundedPreceding, -1) if forward else outer.rowsBetween(1, Window.unboundedFollowing)
-    carry = ends.select(*part, _B, *[fn(F.col(f"__e_{n}"), ignorenulls=True).over(outer).alias(f"__c_{n}") for n in cols])
+    # backward fills run over the reversed order: a frame that grows from its start is
+    # one pass, one that shrinks towards the end is recomputed for every row
+    def way(name):
+        return q(name).asc() if forward else q(name).desc()
+
+    outer = Window.partitionBy(*part).orderBy(way(_B)).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*part, _B, *[F.last(F.col(f"__e_{n}"), ignorenulls=True).over(outer).alias(f"__c_{n}") for n in cols])
     if not part:
         carry = F.broadcast(carry)
-    w = Window.partitionBy(*part, _B).orderBy(*[q(k) for k in keys])
-    w = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*part, _B).orderBy(*[way(k) for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
     out = df.join(carry, [*part, _B]).withColumns({
-        n: F.coalesce(fn(F.col(f"__in_{n}"), ignorenulls=True).over(w), F.col(f"__c_{n}")) for n in cols})
+        n: F.coalesce(F.last(F.col(f"__in_{n}"), ignorenulls=True).over(w), F.col(f"__c_{n}")) for n in cols})
     return out.drop(_B, *[f"__{p}_{n}" for n in cols for p in ("in", "c")])

@@ -128,7 +128,9 @@ def _interpolate(df: DataFrame, params: dict) -> DataFrame:
         if method != "linear":
             knots = out.select(*part, "__pos", q(f"__n_{c}").alias("k"), v.alias("v")).filter("v is not null")
             slopes = _slopes(knots, method, part)
-            out = out.join(slopes, [*part, "__pos"], "left")
+            if method != "akima":
+                out = _with_ends(out, slopes, part, f"__e_{c}")
+            out = out.join(slopes.select(*part, "__pos", "slope"), [*part, "__pos"], "left")
         else:
             out = out.withColumn("slope", F.lit(0.0))
         out = out.withColumn(f"__k_{c}", F.when(v.isNotNull(), F.struct(
@@ -138,33 +140,55 @@ def _interpolate(df: DataFrame, params: dict) -> DataFrame:
     new = {}
     for c in cols:
         a, b = q(f"__a_{c}"), q(f"__b_{c}")
-        filled = _between(method, q("__pos"), a, b)
+        filled = _between(method, q("__pos"), a, b, q(f"__e_{c}") if f"__e_{c}" in out.columns else None)
         if limit is not None:
             close = (F.coalesce(q("__pos") - a["p"] <= limit, F.lit(False))
                      | F.coalesce(b["p"] - q("__pos") <= limit, F.lit(False)))
             filled = F.when(close, filled)
         new[c] = F.coalesce(value(df, c).cast("double"), filled)
-    return out.withColumns(new).drop("__pos", *[f"__{k}_{c}" for c in cols for k in "kabn"])
+    return out.withColumns(new).drop("__pos", *[f"__{k}_{c}" for c in cols for k in "kabne"])
 
 
-def _between(method: str, pos: Column, a: Column, b: Column) -> Column:
-    """Value at ``pos`` from the known points before and after it."""
+def _with_ends(df: DataFrame, knots: DataFrame, part: Sequence[str], name: str) -> DataFrame:
+    """Attach the two first and two last known points (four at most per series)."""
+    part = list(part)
+    span = knots.groupBy(*part).agg(F.max("k").alias("last")) if part else knots.agg(F.max("k").alias("last"))
+    tagged = knots.join(span, part) if part else knots.crossJoin(F.broadcast(span))  # one row
+    edge = tagged.filter((F.col("k") < 2) | (F.col("k") >= F.col("last") - 1))
+    point = F.struct(F.col("k"), F.col("__pos").alias("p"), F.col("v"), F.col("slope").alias("d"))
+    ends = edge.groupBy(*part).agg(F.sort_array(F.collect_list(point)).alias(name))
+    return df.join(ends, part, "left") if part else df.crossJoin(F.broadcast(ends))  # one row
+
+
+def _cubic(pos: Column, a: Column, b: Column) -> Column:
+    """Cubic through two points with given slopes."""
     h = b["p"] - a["p"]
     t = (pos - a["p"]) / h
+    return ((1 + 2 * t) * (1 - t) * (1 - t) * a["v"] + t * (1 - t) * (1 - t) * h * a["d"]
+            + t * t * (3 - 2 * t) * b["v"] + t * t * (t - 1) * h * b["d"])
+
+
+def _between(method: str, pos: Column, a: Column, b: Column, ends: Column | None) -> Column:
+    """Value at ``pos`` from the known points before and after it.
+
+    Outside the known range a line holds the nearest value, Akima leaves the
+    gap, and the other cubics continue their end piece."""
+    both = a.isNotNull() & b.isNotNull()
     if method == "linear":
-        inner = a["v"] + (b["v"] - a["v"]) * t
-        edge = F.coalesce(a["v"], b["v"])
-    else:
-        inner = ((1 + 2 * t) * (1 - t) * (1 - t) * a["v"] + t * (1 - t) * (1 - t) * h * a["d"]
-                 + t * t * (3 - 2 * t) * b["v"] + t * t * (t - 1) * h * b["d"])
-        # beyond the known range: straight continuation, except where the method leaves a gap
-        edge = F.lit(None).cast("double") if method == "akima" else F.coalesce(
-            a["v"] + a["d"] * (pos - a["p"]), b["v"] + b["d"] * (pos - b["p"]))
-    return F.when(a.isNotNull() & b.isNotNull(), inner).otherwise(edge)
+        inner = a["v"] + (b["v"] - a["v"]) * (pos - a["p"]) / (b["p"] - a["p"])
+        return F.when(both, inner).otherwise(F.coalesce(a["v"], b["v"]))
+    inside = F.when(both, _cubic(pos, a, b))
+    if ends is None:
+        return inside
+    n = F.size(ends)
+    before = _cubic(pos, F.try_element_at(ends, F.lit(1)), F.try_element_at(ends, F.lit(2)))
+    after = _cubic(pos, F.try_element_at(ends, F.lit(-2)), F.try_element_at(ends, F.lit(-1)))
+    one = F.try_element_at(ends, F.lit(1))["v"]
+    return F.coalesce(inside, F.when(n == 1, one).when(a.isNull(), before).otherwise(after))
 
 
 def _slopes(k: DataFrame, method: str, part: Sequence[str]) -> DataFrame:
-    """``__pos, slope`` per known value; neighbours come from overlapping blocks."""
+    """``__pos, k, v, slope`` per known value; neighbours come from overlapping blocks."""
     part = list(part)
     if method == "spline":
         return _spline_slopes(k, part)
@@ -201,7 +225,7 @@ def _slopes(k: DataFrame, method: str, part: Sequence[str]) -> DataFrame:
         left = end(hc, q("x2") - q("x1"), m_c, m_d)
         right = end(hb, q("x-1") - q("x-2"), m_b, m_a)
         slope = F.when(m_b.isNull(), left).when(m_c.isNull(), right).otherwise(mid)
-    return t.select(*part, "__pos", F.coalesce(slope, F.lit(0.0)).alias("slope"))
+    return t.select(*part, "__pos", "k", "v", F.coalesce(slope, F.lit(0.0)).alias("slope"))
 
 
 #: Knots shared between neighbouring blocks; a spline forgets a boundary by a factor 3.7 per knot.
@@ -215,13 +239,13 @@ def _spline_slopes(k: DataFrame, part: list[str]) -> DataFrame:
     blocks, _ = halo(k, "k", _SPLINE_REACH, _SPLINE_REACH, part, rows=100_000)
     keys = [f.name for f in k.schema.fields if f.name in part]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in k.schema.fields if f.name in keys),
-                        "`__pos` bigint", "slope double"])
+                        "`__pos` bigint", "k bigint", "v double", "slope double"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
         x, y = pdf["__pos"].to_numpy(float), pdf["v"].to_numpy(float)
         d = spline_slopes(x, y, pdf["k"].iloc[0] == 0, pdf["k"].iloc[-1] == pdf["last"].iloc[0])
-        return pdf.assign(slope=d)[pdf["__home"]][[*keys, "__pos", "slope"]]
+        return pdf.assign(slope=d)[pdf["__home"]][[*keys, "__pos", "k", "v", "slope"]]
 
     return blocks.groupBy(*part, "__bucket").applyInPandas(solve, schema)
 
