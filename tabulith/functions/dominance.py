@@ -20,6 +20,8 @@ from ..session import cut_lineage
 from .ordering import order_bucket
 
 ROWS_PER_BLOCK = 150_000
+#: Ranges per axis; the grid of range totals stays below 4 * MAX_BLOCKS^2 cells.
+MAX_BLOCKS = 4000
 
 
 def dominated(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -73,7 +75,7 @@ def dominance_sums(df: DataFrame, x: Column, y: Column, weights: Sequence[Column
 
         return pts.withColumn("one", F.col("cnt") < 0).groupBy("one").applyInPandas(block, own)
     pts = cut_lineage(pts)  # read by several branches below
-    blocks = max(4, -(-rows // rows_per_block))
+    blocks = min(MAX_BLOCKS, max(4, -(-rows // rows_per_block)))
     pts = order_bucket(pts, ["x"], "bx", blocks)
     pts = order_bucket(pts, ["y"], "by", blocks)
 
@@ -114,9 +116,8 @@ def _grid_prefix(cells: DataFrame, ws: list[str]) -> DataFrame:
 
     Step 1 spreads each cell over the by-ranges of its row through a running
     sum along by; step 2 adds the earlier bx-ranges."""
-    bys = cells.select("by").distinct()
-    bxs = cells.select("bx").distinct()
-    full = bxs.join(bys, F.lit(True)).join(cells, ["bx", "by"], "left")
+    bys = sorted(r["by"] for r in cells.select("by").distinct().collect())  # one number per range
+    full = cells.select("bx").distinct().select("bx", F.explode(F.lit(bys)).alias("by")).join(cells, ["bx", "by"], "left")
     along = Window.partitionBy("bx").orderBy("by").rowsBetween(Window.unboundedPreceding, -1)
     row = full.select("bx", "by", *[F.coalesce(F.sum(n).over(along), F.lit(0.0)).alias(n) for n in ws])
     down = Window.partitionBy("by").orderBy("bx").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ runs inside each range and per-range summaries carry the state across ranges."""
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -64,17 +65,39 @@ def order_bucket(df: DataFrame, keys: Sequence[str], out: str = _B,
     points = df.agg(F.percentile_approx(k1, probs, acc)).first()[0]
     cuts, hot = _splits(points)
     df = _bucketize(df.withColumn("__k1", k1), "__k1", "__b1", cuts)
-    second = F.lit(0.0)
+    second, extra = F.lit(0.0), []
     if hot and len(keys) > 1:
-        k2 = order_number(df, keys[1])
-        df = df.withColumn("__k2", k2)
-        inner = agg_dict(df, {h: F.percentile_approx(F.when(F.col("__k1") == h, F.col("__k2")), probs, acc)
-                              for h in hot})
-        for i, h in enumerate(hot):
-            df = _bucketize(df, "__k2", f"__h{i}", _splits(inner[h])[0])
-            second = F.when(F.col("__k1") == h, F.col(f"__h{i}")).otherwise(second)
+        df, second, extra = _second_key(df, order_number(df, keys[1]), Counter(points), hot, acc)
     df = df.withColumn(out, F.coalesce((F.col("__b1") * 1048576 + second).cast("long"), F.lit(0)))
-    return df.drop("__k1", "__k2", "__b1", *[f"__h{i}" for i in range(len(hot))])
+    return df.drop("__k1", "__k2", "__b1", *extra)
+
+
+#: Hot first-key values cut by binary search; the rest carry short arrays of cuts.
+_SEARCHED = 32
+
+
+def _second_key(df: DataFrame, k2: Column, weight: Counter, hot: list[float], acc: int):
+    """Cut each hot first-key value by the second key, finer the hotter it is."""
+    df = df.withColumn("__k2", k2)
+    by_weight = sorted(hot, key=lambda h: -weight[h])
+    top, rest = by_weight[:_SEARCHED], by_weight[_SEARCHED:]
+    inner = agg_dict(df, {h: F.percentile_approx(F.when(F.col("__k1") == h, F.col("__k2")),
+                                                 [i / (weight[h] + 1) for i in range(1, weight[h] + 1)], acc) for h in top})
+    second = F.lit(0.0)
+    for i, h in enumerate(top):
+        df = _bucketize(df, "__k2", f"__h{i}", _splits(inner[h])[0])
+        second = F.when(F.col("__k1") == h, F.col(f"__h{i}")).otherwise(second)
+    extra = [f"__h{i}" for i in range(len(top))]
+    if rest:
+        m = max(weight[h] for h in rest)
+        # at most one row per split point, each with at most B / 33 cuts
+        small = df.filter(F.col("__k1").isin(rest)).groupBy("__k1").agg(
+            F.percentile_approx("__k2", [i / (m + 1) for i in range(1, m + 1)], acc).alias("__cuts"))
+        df = df.join(F.broadcast(small), "__k1", "left")
+        above = F.size(F.filter("__cuts", lambda c: c <= F.col("__k2"))).cast("double")
+        second = F.when(F.col("__cuts").isNotNull(), above).otherwise(second)
+        extra.append("__cuts")
+    return df, second, extra
 
 
 def running(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column],

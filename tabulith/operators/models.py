@@ -30,7 +30,7 @@ from ..functions.gram import gram
 from ..functions.neighbors import distinct_points, knn
 from ..functions.ordering import running
 
-MIN_ROWS, CLASS_LEVELS, MAX_DEPTH = 10, 20, 30
+MIN_ROWS, CLASS_LEVELS, MAX_DEPTH, MAX_CLASSES = 10, 20, 30, 1000
 
 
 @dataclass
@@ -75,6 +75,8 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, key: Sequence[s
         # whole numbers print without a decimal part
         y = F.col("y").cast("string") if not isinstance(rows.schema["y"].dataType, (T.DoubleType, T.FloatType)) else \
             F.when(F.col("y") == F.floor("y"), F.col("y").cast("bigint").cast("string")).otherwise(F.col("y").cast("string"))
+        if agg_dict(rows, {"u": F.approx_count_distinct(y)})["u"] > MAX_CLASSES:
+            raise ValueError("the target has too many classes")
         indexer = StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc").fit(rows.withColumn("y", y))
         classes = list(indexer.labels)
         rows = indexer.transform(rows.withColumn("y", y))

@@ -53,12 +53,14 @@ def task(df: DataFrame, target: str, key: Sequence[str], features: Sequence[str]
     rows = drop_missing(df.select(*[q(k).alias(f"k{i}") for i, k in enumerate(key)],
                                   *[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(feats)], q(target).alias("y")))
     text = not isinstance(rows.schema["y"].dataType, T.NumericType)
-    few = rows.select("y").distinct().limit(MAX_CLASSES + 1).collect()
-    if len(few) < 2:
+    # a cheap sketch first: listing the values of a continuous target would shuffle all of them
+    many = agg_dict(rows, {"u": F.approx_count_distinct("y")})["u"] > 2 * MAX_CLASSES
+    few = [] if many else rows.select("y").distinct().collect()
+    if not many and len(few) < 2:
         raise ValueError("the target has fewer than two values")
-    if text and len(few) > MAX_CLASSES:
+    if text and (many or len(few) > MAX_CLASSES):
         raise ValueError("the target has too many classes")
-    classes = sorted(r["y"] for r in few) if text or len(few) <= CLASS_LEVELS else None
+    classes = sorted(r["y"] for r in few) if text or 0 < len(few) <= CLASS_LEVELS else None
     if classes:
         label = F.lit(None)
         for i, c in enumerate(classes):
@@ -77,7 +79,7 @@ def _prepared(t: Task, rows: DataFrame | None = None, xs: Sequence[str] | None =
     """A whole-table training set for the model learners."""
     xs = list(xs or t.xs)
     rows = (rows if rows is not None else t.rows)
-    rows = rows.withColumn("features", array_to_vector(F.array(*xs))).persist()
+    rows = rows.withColumn("features", array_to_vector(F.array(*xs)))
     feats = [t.features[int(x[1:])] if x in t.xs else x for x in xs]
     return M.Prepared(rows, rows, feats, [str(c) for c in t.classes] if t.classes else None, [], [], t.n)
 
@@ -389,6 +391,7 @@ def bayesian_importance(t: Task, n_boot: int = 50, seed: int = 42) -> DataFrame:
         b, cov, _, _ = solvers.bayesian_ridge(xtx, xty, yty, n)
         return t.out(zip(t.features, np.abs(b) / (np.sqrt(np.diag(cov)) + 1e-12)))
     p, coefs = _prepared(t), []
+    train = p.train.persist()
     for s in range(n_boot):
         u = unit_hash(t.key, seed + s)
         edges, acc, term = [], 0.0, math.exp(-1)
@@ -400,7 +403,8 @@ def bayesian_importance(t: Task, n_boot: int = 50, seed: int = 42) -> DataFrame:
         for k, e in reversed(edges):
             w = F.when(u < e, float(k)).otherwise(w)
         est = mc.LogisticRegression(regParam=1 / t.n, maxIter=100, standardization=False, weightCol="w")
-        coefs.append(np.abs(est.fit(p.train.withColumn("w", w).filter("w > 0")).coefficientMatrix.toArray()).mean(0))
+        coefs.append(np.abs(est.fit(train.withColumn("w", w).filter("w > 0")).coefficientMatrix.toArray()).mean(0))
+    train.unpersist()
     return t.out(zip(t.features, np.mean(coefs, axis=0) / (np.std(coefs, axis=0) + 1e-12)))
 
 
@@ -429,7 +433,6 @@ def boruta(t: Task, n_trials: int = 20, n_trees: int = 50, max_depth: int = 8, s
         names = [*t.xs, *[f"s{c}_{i}" for i in range(len(t.xs))]]
         p = _prepared(replace(t, features=[*t.features, *names[len(t.xs):]]), rows, names)
         imp = np.array(_forest(p, n_trees, max_depth, seed + c).importance)
-        p.train.unpersist()
         wins += imp[:len(t.xs)] > imp[len(t.xs):].max()
     rows.unpersist()
     return t.out(zip(t.features, wins / n_trials))
@@ -467,14 +470,12 @@ def rfe_curve(t: Task, n_trees: int = 50, max_depth: int = 8, folds: int = 5, se
             test = m.predict(rows.filter(F.col("fold") == f).withColumn("features", array_to_vector(F.array(*left))))
             curve[(len(left), f)] = (test.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] if t.classes
                                      else M.regression_metrics(test).first()["r2"])
-            p.train.unpersist()
             left.pop(int(np.argmin(m.importance)))
     best = max(range(1, len(t.xs) + 1), key=lambda k: (np.mean([curve[(k, f)] for f in range(folds)]), -k))
     left, rank = list(t.xs), {}
     while len(left) > best:
         p = _prepared(t, rows, left)
         worst = left[int(np.argmin(_forest(p, n_trees, max_depth, seed).importance))]
-        p.train.unpersist()
         rank[worst] = len(left) - best + 1
         left.remove(worst)
     rows.unpersist()

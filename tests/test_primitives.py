@@ -150,3 +150,16 @@ def test_codes_equal_pandas(spark, data):
     got = df.select("id", *[e.alias(c) for c, e in ct.quantile_codes(df, {c: F.col(c) for c in "abc"}, 9).items()]).toPandas().sort_values("id")
     for c in "abc":
         assert (got[c].values == pd.qcut(pdf[c], 9, labels=False, duplicates="drop").values).all()
+
+
+@pytest.mark.parametrize("values", [3, 45])
+def test_few_hot_first_keys_are_cut_by_the_second(spark, monkeypatch, values):
+    """Rows sharing a first key spread over ranges by the second one."""
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 30)
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame({"d": rng.integers(0, values, 5000), "id": rng.permutation(5000)})
+    df = spark.createDataFrame(pdf)
+    sizes = ordering.order_bucket(df, ["d", "id"]).groupBy("__bucket").count().toPandas()["count"]
+    assert sizes.max() < 5000 / values / 2
+    got = ordering.dense_index(df, ["d", "id"], "i").toPandas().sort_values("i")
+    assert (got[["d", "id"]].to_numpy() == pdf.sort_values(["d", "id"]).to_numpy()).all()
