@@ -1,10 +1,10 @@
 """Exact quantiles (linear interpolation) and moments.
 
-``quantiles`` uses Spark's exact ``percentile`` while the table is small.  That
-aggregate keeps every distinct value in one task, so above ``EXACT_ROWS`` rows
-the order statistics are selected instead: a bounded sketch gives a value
-bracket around each wanted rank, one scan counts what lies below, on and inside
-the bracket, and the bracket shrinks several hundredfold per scan until the few
+A quantile needs one or two order statistics.  Columns of at most ``EXACT_ROWS``
+values are sorted in one bounded array.  Above that no task may hold a column,
+so the order statistics are selected: a bounded sketch gives a value bracket
+around each wanted rank, one scan counts what lies below, on and inside the
+bracket, and the bracket shrinks several hundredfold per scan until the few
 values left fit in an array.  The answer is exact in both cases."""
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .columns import agg_dict, value
 
 EXACT_ROWS = 1_000_000
+#: Values sorted by one task at a time, over all columns of a job.
+ARRAY_VALUES = 3_000_000
 BRACKET_VALUES = 4096
 _GRID = 500
 _ACCURACY = 10_000
@@ -30,57 +32,51 @@ def _as_exprs(df: DataFrame, cols: Iterable[str] | Mapping[str, Column]) -> dict
 
 
 def quantiles(df: DataFrame, cols, probs: Iterable[float], *,
-              exact_rows: int = EXACT_ROWS, rows: int | None = None) -> dict[str, list]:
+              exact_rows: int | None = None) -> dict[str, list]:
     """``{column: [quantile, ...]}``; None for a column without values.
 
     ``cols`` is a list of names or a mapping of label to Column."""
     exprs, probs = _as_exprs(df, cols), [float(p) for p in probs]
     if not exprs:
         return {}
-    n_rows = df.count() if rows is None else rows
-    if n_rows <= exact_rows:
-        arr = F.array(*[F.lit(p) for p in probs])
-        got = agg_dict(df, {k: F.percentile(e, arr) for k, e in exprs.items()})
-        return {k: list(v) if v is not None else [None] * len(probs) for k, v in got.items()}
-    return _selected(df, exprs, probs)
 
+    def ranks(n):
+        return {r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
+
+    sizes, found = order_stats(df, exprs, ranks, exact_rows=exact_rows)
+    return {k: [_interpolate(found[k], n, p) for p in probs] for k, n in sizes.items()}
 
-def _selected(df: DataFrame, exprs: dict[str, Column], probs: list[float]) -> dict[str, list]:
-    sizes = agg_dict(df, {k: F.count(e) for k, e in exprs.items()})
-    want: dict[str, set[int]] = {}
-    for k, n in sizes.items():
-        ranks = set()
-        for p in probs if n else ():
-            h = (n - 1) * p
-            ranks |= {math.floor(h), math.ceil(h)}
-        want[k] = ranks
-    found = order_statistics(df, exprs, sizes, want)
-    out = {}
-    for k, n in sizes.items():
-        vals = []
-        for p in probs:
-            if not n:
-                vals.append(None)
-                continue
-            h = (n - 1) * p
-            lo, hi = math.floor(h), math.ceil(h)
-            a, b = found[k][lo], found[k][hi]
-            vals.append(a if lo == hi else a * (hi - h) + b * (h - lo))
-        out[k] = vals
-    return out
 
+def _interpolate(values: dict[int, float], n: int, p: float) -> float | None:
+    if not n:
+        return None
+    h = (n - 1) * p
+    a, b = values[math.floor(h)], values[math.ceil(h)]
+    return a + (b - a) * (h - math.floor(h))
 
-def order_stats(df: DataFrame, cols, ranks_of, *, exact_rows: int = EXACT_ROWS) -> tuple[dict, dict]:
+
+def order_stats(df: DataFrame, cols, ranks_of, *, exact_rows: int | None = None) -> tuple[dict, dict]:
     """({column: count}, {column: {rank: value}}) for ranks chosen from the count."""
     exprs = _as_exprs(df, cols)
     sizes = agg_dict(df, {k: F.count(e) for k, e in exprs.items()})
     want = {k: {r for r in ranks_of(n) if 0 <= r < n} for k, n in sizes.items()}
-    if max(sizes.values(), default=0) > exact_rows:
+    if max(sizes.values(), default=0) > (EXACT_ROWS if exact_rows is None else exact_rows):
         return sizes, order_statistics(df, exprs, sizes, want)
-    probs = {k: sorted(w) for k, w in want.items() if w}
-    got = agg_dict(df, {k: F.percentile(exprs[k], F.array(*[F.lit(r / max(sizes[k] - 1, 1)) for r in rs]))
-                        for k, rs in probs.items()})
-    return sizes, {k: dict(zip(probs.get(k, []), got.get(k) or [])) for k in exprs}
+    return sizes, _sorted_picks(df, exprs, sizes, want)
+
+
+def _sorted_picks(df: DataFrame, exprs: dict[str, Column], sizes: dict[str, int], want: dict[str, set[int]]) -> dict:
+    """Order statistics of bounded columns: sort each in one array, return only the picks."""
+    out: dict[str, dict[int, float]] = {k: {} for k in exprs}
+    keys = [k for k, w in want.items() if w]
+    step = max(1, ARRAY_VALUES // max(max(sizes.values(), default=1), 1))
+    for at in range(0, len(keys), step):
+        part = keys[at:at + step]
+        arrays = df.agg(*[F.sort_array(F.collect_list(exprs[k])).alias(f"a{i}") for i, k in enumerate(part)])
+        picks = arrays.select(*[F.array(*[F.element_at(f"a{i}", r + 1) for r in sorted(want[k])]) for i, k in enumerate(part)]).first()
+        for i, k in enumerate(part):
+            out[k] = dict(zip(sorted(want[k]), picks[i]))
+    return out
 
 
 def order_statistics(df: DataFrame, exprs: dict[str, Column], sizes: dict[str, int],

@@ -260,7 +260,7 @@ def mic(df: DataFrame, columns=None, cap: int = 64, alpha: float = 0.6) -> DataF
     budget = max(4, min(int(n ** alpha), cap))
     ks = range(2, budget // 2 + 1)
     probs = sorted({i / k for k in ks for i in range(1, k)} | {0.0, 1.0})
-    qs = quantiles(rows, cols, probs, rows=n)
+    qs = quantiles(rows, cols, probs)
     at = {p: i for i, p in enumerate(probs)}
     edges = {c: {k: ct.quantile_edges([qs[c][at[i / k]] for i in range(k + 1)]) for k in ks} for c in cols}
     fine = {c: sorted({e for es in edges[c].values() for e in es}) for c in cols}

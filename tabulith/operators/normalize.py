@@ -75,7 +75,7 @@ def fit_knots(df: DataFrame, x: dict[str, Column], n_quantiles: int) -> dict[str
     k = max(2, min(n_quantiles, n))
     probs = [i / (k - 1) for i in range(k)]
     if n <= EXACT_ROWS:
-        return quantiles(df, x, probs, rows=n)
+        return quantiles(df, x, probs)
     got = agg_dict(df, {c: F.percentile_approx(e, probs, 100_000) for c, e in x.items()})
     return {c: [float(v) for v in k] for c, k in got.items()}
 

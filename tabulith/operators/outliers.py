@@ -209,7 +209,7 @@ def isolation_flags(df: DataFrame, columns: Sequence[str], key: Sequence[str], t
         return pd.Series(np.exp2(-depth / len(forest) / norm))
 
     out = rows.withColumn("score", score(*[f"x{i}" for i in range(len(cols))]))
-    cut = quantiles(out, ["score"], [1 - contamination], rows=n)["score"][0]
+    cut = quantiles(out, ["score"], [1 - contamination])["score"][0]
     return out.withColumn("is_outlier", F.col("score") > cut).drop(*[f"x{i}" for i in range(len(cols))])
 
 
@@ -256,7 +256,7 @@ def envelope_flags(df: DataFrame, columns: Sequence[str], key: Sequence[str], su
         g, det = gram(rows.filter(unit_hash(list(key), seed + s) < share), xs)[None], math.inf
         for _ in range(steps):
             d = dist(g)
-            cut = quantiles(rows, {"d": d}, [support], rows=n)["d"][0]
+            cut = quantiles(rows, {"d": d}, [support])["d"][0]
             g = gram(rows.filter(d <= cut), xs)[None]
             new = float(np.linalg.det(g.cov(0)))
             if abs(det - new) <= 1e-9 * abs(new):
@@ -266,12 +266,12 @@ def envelope_flags(df: DataFrame, columns: Sequence[str], key: Sequence[str], su
             best = (det, g)
     g = best[1]
     # consistency factor, then one reweighting at the 97.5 % point
-    half = quantiles(rows, {"d": dist(g)}, [0.5], rows=n)["d"][0]
+    half = quantiles(rows, {"d": dist(g)}, [0.5])["d"][0]
     p = len(cols)
     factor = half / _chi2_point(0.5, p)
     g = gram(rows.filter(dist(g) / factor < _chi2_point(0.975, p)), xs)[None]
     out = rows.withColumn("score", dist(g))
-    cut = quantiles(out, ["score"], [1 - contamination], rows=n)["score"][0]
+    cut = quantiles(out, ["score"], [1 - contamination])["score"][0]
     return out.withColumn("is_outlier", F.col("score") > cut).drop(*xs)
 
 

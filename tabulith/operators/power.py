@@ -31,19 +31,27 @@ def yeo_johnson(x: Column, lam: float) -> Column:
 
 def fit_lambdas(df: DataFrame, exprs: Mapping[str, Column], kind: str, rounds: int = 6, grid: int = 11) -> dict[str, float]:
     """Best exponent per expression (positive values needed for Box-Cox)."""
+    # one logarithm per row; every exponent is then a single exponential of it
+    log = {c: F.ln(x) if kind == "boxcox" else F.signum(x) * F.log1p(F.abs(x)) for c, x in exprs.items()}
+    df = df.select(*[e.alias(f"l{i}") for i, e in enumerate(log.values())])
+    cols = {c: F.col(f"l{i}") for i, c in enumerate(exprs)}
+    base = agg_dict(df, {(c, s): f(l) for c, l in cols.items() for s, f in (("n", F.count), ("j", F.sum))})
     if kind == "boxcox":
-        base = agg_dict(df, {(c, s): f for c, x in exprs.items() for s, f in (
-            ("n", F.count(x)), ("j", F.sum(F.ln(x))))})
-        # dividing by the geometric mean leaves the best exponent as it is and keeps powers moderate
-        gm = {c: base[(c, "j")] / max(base[(c, "n")], 1) for c in exprs}
-        scaled = {c: x / F.exp(F.lit(gm[c])) for c, x in exprs.items()}
-        jac, fn = {c: 0.0 for c in exprs}, box_cox
+        # taking off the mean logarithm leaves the best exponent as it is and keeps powers moderate
+        cols = {c: l - base[(c, "j")] / max(base[(c, "n")], 1) for c, l in cols.items()}
+        jac = dict.fromkeys(exprs, 0.0)
     else:
-        base = agg_dict(df, {(c, s): f for c, x in exprs.items() for s, f in (
-            ("n", F.count(x)), ("j", F.sum(F.signum(x) * F.log1p(F.abs(x)))))})
-        scaled, jac, fn = dict(exprs), {c: base[(c, "j")] for c in exprs}, yeo_johnson
+        jac = {c: base[(c, "j")] for c in exprs}
+
+    def mapped(l, lam):
+        def power(t, k):
+            return t if abs(k) < 1e-12 else F.expm1(t * k) / k
+        if kind == "boxcox":
+            return power(l, lam)
+        return F.when(l >= 0, power(l, lam)).when(l < 0, -power(-l, 2 - lam))
+
     def likelihood(points: dict[str, list[float]]) -> dict[str, list[float]]:
-        var = agg_dict(df, {(c, i): F.var_pop(fn(scaled[c], l)) for c, ls in points.items() for i, l in enumerate(ls)})
+        var = agg_dict(df, {(c, i): F.var_pop(mapped(cols[c], l)) for c, ls in points.items() for i, l in enumerate(ls)})
         out: dict[str, list[float]] = {}
         for (c, i), v in var.items():
             n, l = base[(c, "n")], points[c][i]

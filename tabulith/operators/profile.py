@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import (rows_frame, agg_dict, fin, integer_columns, is_float, missing, numeric_columns,
                                  primitive_columns, q, string_columns, value)
@@ -29,12 +30,29 @@ def value_counts(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.select(F.inline(items)).groupBy("column", "v").agg(F.count("*").alias("cnt"))
 
 
+def _typed(df: DataFrame, name: str) -> Column:
+    """The value in a slot of its own kind, so counting needs no text form."""
+    t, v = df.schema[name].dataType, value(df, name)
+    as_long = as_double = as_text = None
+    if isinstance(t, (T.IntegralType, T.BooleanType)):
+        as_long = v.cast("long")
+    elif isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        as_long = F.unix_micros(v.cast("timestamp"))
+    elif isinstance(t, (T.DoubleType, T.FloatType)):
+        as_double = v.cast("double")
+    else:
+        as_text = v.cast("string")
+    slots = (("l", "long", as_long), ("d", "double", as_double), ("s", "string", as_text))
+    return F.struct(F.lit(name).alias("column"), *[(F.lit(None) if e is None else e).cast(k).alias(n) for n, k, e in slots])
+
+
 def distinct_counts(df: DataFrame, cols: Iterable[str] | None = None, approximate: bool = False) -> dict[str, int]:
     """Distinct non-missing values per column, exact unless asked otherwise."""
     cols = list(cols) if cols is not None else primitive_columns(df)
     if approximate:
         return agg_dict(df, {c: F.approx_count_distinct(value(df, c)) for c in cols})
-    got = {r["column"]: r["n"] for r in value_counts(df, cols).filter("v is not null")
+    rows = df.select(F.inline(F.array(*[_typed(df, c) for c in cols]))).filter("l is not null or d is not null or s is not null")
+    got = {r["column"]: r["n"] for r in rows.groupBy("column", "l", "d", "s").agg(F.lit(1).alias("one"))
            .groupBy("column").agg(F.count("*").alias("n")).collect()}
     return {c: got.get(c, 0) for c in cols}
 
@@ -68,11 +86,10 @@ def schema_profile(df: DataFrame, approximate_distinct: bool = False) -> DataFra
               "distinct bigint, min double, max double, mean double, std double")
 
 
-def basic_statistics(df: DataFrame, max_columns: int = 80) -> DataFrame:
+def basic_statistics(df: DataFrame, max_columns: int = 80, qs: dict | None = None) -> DataFrame:
     """Describe table of the numeric columns with seven quantiles."""
     cols = numeric_columns(df)[:max_columns]
-    rows = df.count()
-    m, qs = moments(df, cols), quantiles(df, cols, DESCRIBE_PROBS, rows=rows)
+    m, qs = moments(df, cols), qs or quantiles(df, cols, DESCRIBE_PROBS)
     out = [(c, m[c]["n"], *[fin(m[c][s]) for s in ("mean", "sd", "min")], *[fin(v) for v in qs[c]], fin(m[c]["max"]))
            for c in cols]
     names = ", ".join(f"q{round(p * 100):02d} double" for p in DESCRIBE_PROBS)
@@ -97,10 +114,10 @@ def shape_moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 
 
 def tukey_fences(df: DataFrame, factor: float = IQR_FACTOR, cols: Sequence[str] | None = None,
-                 max_columns: int = 80) -> DataFrame:
+                 max_columns: int = 80, quartiles: dict | None = None) -> DataFrame:
     """Counts outside the quartile fences for columns that have any."""
     cols = list(cols or numeric_columns(df))[:max_columns]
-    qs = quantiles(df, cols, (0.25, 0.75))
+    qs = quartiles or quantiles(df, cols, (0.25, 0.75))
     fences = {}
     for c in cols:
         q1, q3 = qs[c]
@@ -266,9 +283,12 @@ def integrity_report(df: DataFrame) -> DataFrame:
 
 
 def profile_and_fences(df: DataFrame) -> DataFrame:
-    """Profile, describe and fence counts joined on the column name."""
-    return (schema_profile(df).join(basic_statistics(df).drop("n", "mean", "std", "min", "max"), "column", "left")
-            .join(tukey_fences(df).select("column", "low", "high", "fence_lo", "fence_hi"), "column", "left"))
+    """Profile, describe and fence counts joined on the column name; quantiles are found once."""
+    qs = quantiles(df, numeric_columns(df)[:80], DESCRIBE_PROBS)
+    lo, hi = DESCRIBE_PROBS.index(0.25), DESCRIBE_PROBS.index(0.75)
+    quartiles = {c: (v[lo], v[hi]) for c, v in qs.items()}
+    return (schema_profile(df).join(basic_statistics(df, qs=qs).drop("n", "mean", "std", "min", "max"), "column", "left")
+            .join(tukey_fences(df, quartiles=quartiles).select("column", "low", "high", "fence_lo", "fence_hi"), "column", "left"))
 
 
 def outlier_summary(df: DataFrame) -> DataFrame:
