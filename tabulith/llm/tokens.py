@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -12,11 +14,19 @@ _OTHER_SPACE = ("\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\
                 "\u2028\u2029\u202f\u205f\u3000")
 #: places where every byte-level pre-tokenizer also splits: before one blank or line end between visible characters
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_CLOSING = ".,;:!?%&*$#|)\"]}"
+CLOSING = ".,;:!?%&*$#|)\"]}"
 #: stands between pieces that are encoded in one call; no merge holds this byte
 _SEPARATOR = "\x00"
 
 
+def cut(text: str) -> list[str]:
+    """Pieces whose tokens follow one another; a piece without a leading line end stands after a blank, but for the first."""
+    pieces = text.replace("\n", " \n").split(" ")
+    if "\n" not in pieces and "" not in pieces and not any(s in text for s in _OTHER_SPACE):
+        return pieces
+    return [p[1:] if i and p[0] == " " else p for i, p in enumerate(_CUT.split(text))]
+
+
 class PieceTokenizer:
     """``packed([text])`` holds ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
@@ -33,6 +43,9 @@ class PieceTokenizer:
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.merges = self.library.model.tokenize
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary
+        self.letters = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
         (self.separator,) = self._ids(_SEPARATOR)
         assert self._ids("a.\x00 b").count(self.separator) == 1 and self._ids("\x00" * 9) == [self.separator] * 9
 
@@ -40,17 +53,14 @@ class PieceTokenizer:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype=f"<u{self.width}").tobytes()
+        packed = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def pieces(self, text: str) -> list[str] | None:
-        """Pieces whose ids follow one another; a piece without a leading line end stands after a blank, but for the first."""
-        for s in self.whole:
-            if s in text:
-                return None
-        cut = text.replace("\n", " \n").split(" ")
-        if "\n" not in cut and "" not in cut and not any(s in text for s in _OTHER_SPACE):
-            return cut
-        return [p[1:] if i and p[0] == " " else p for i, p in enumerate(_CUT.split(text))]
+        """``cut(text)``; None for a text to encode whole."""
+        return None if any(s in text for s in self.whole) else cut(text)
 
     def _encode(self, raw: list[str]) -> dict[str, bytes]:
         """Ids of pieces that neither hold nor end in white space but for the first character, in one call."""
@@ -61,30 +71,40 @@ class PieceTokenizer:
             at = end + 1
         return out
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a blank and letters, which are one pre-token: straight from the library's merges."""
+        letters = "\u0120" + (word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters))
+        return self.pack([t.id for t in self.merges(letters)])
+
     def _learn(self, fresh: list[str]) -> None:
         """Closing punctuation after a letter or digit is a token run of its own: the word before it is looked up alone."""
-        known, new, parts = self.known, set(), {}
+        known, tails, new, later = self.known, self.tails, set(), []
         for p in fresh:
-            raw = p if p[:1] == "\n" else " " + p
-            base = raw.rstrip(_CLOSING)
-            if len(raw) > len(base) > 1 and base[-1].isalnum() and base[0] == " ":
-                parts[p] = base[1:], raw[len(base):]
-                new.update(x for x in (raw[len(base):],) if x not in self.tails)
-                new.update((base,) if base[1:] not in known else ())
-            elif raw[-1:].isspace():
-                known[p] = self.pack(self._ids(raw))
+            base = p.rstrip(CLOSING)
+            if base.isalpha():
+                ids = known.get(base)
+                if ids is None:
+                    ids = known[base] = self._word(base)
+                if len(base) < len(p):
+                    tail = p[len(base):]
+                    if tail in tails:
+                        known[p] = ids + tails[tail]
+                    else:
+                        new.add(tail)
+                        later.append((p, base, tail))
+            elif p[-1:].isspace() or not p:
+                known[p] = self.pack(self._ids(p if p[:1] == "\n" else " " + p))
             else:
-                new.add(raw)
-        got = self._encode(list(new)) if new else {}
-        for raw, ids in got.items():
-            if raw[:1] == " ":
+                new.add(p if p[0] == "\n" else " " + p)
+        for raw, ids in (self._encode(list(new)) if new else {}).items():
+            if raw[0] == " ":
                 known[raw[1:]] = ids
-            elif raw[:1] == "\n":
+            elif raw[0] == "\n":
                 known[raw] = ids
             else:
-                self.tails[raw] = ids
-        for p, (base, tail) in parts.items():
-            known[p] = known[base] + self.tails[tail]
+                tails[raw] = ids
+        for p, base, tail in later:
+            known[p] = known[base] + tails[tail]
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``width`` bytes."""
@@ -93,8 +113,8 @@ class PieceTokenizer:
             self.tails.clear()
         get, fresh, cuts, found = self.known.get, {}, [], []
         for t in texts:
-            cut = self.pieces(t)
-            first, rest = (t, []) if cut is None else (cut[0], cut[1:])
+            parts = self.pieces(t)
+            first, rest = (t, []) if parts is None else (parts[0], parts[1:])
             values = list(map(get, rest))
             if None in values:
                 fresh.update(dict.fromkeys(p for p, v in zip(rest, values) if v is None))
