@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import token_files
-from .common import documents
+from . import html_text, language, packing, prefix_counts, token_files
+from .common import documents, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +36,32 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write(docs, path, vocabulary())
     return token_files.Reader(spark, path).fetch(docs, with_ids=False)
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length buckets and token-budget batches over all documents."""
+    lengths = stored(packing.token_lengths(documents(spark, sf_dir), vocabulary()), "lengths")
+    return packing.pack(lengths)
+
+
+@query
+def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store the prefix table of every document, then answer the budget of 512 tokens from the tables."""
+    tables = stored(prefix_counts.prefix_tables(documents(spark, sf_dir), vocabulary()), "prefixes")
+    return prefix_counts.budgets(tables, 512)
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, with weights from pages that mark their content up."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_text.main_text(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.where("doc_id IS NOT NULL").where(~language.held_out()))
+    return language.predict(docs, model).withColumn("held_out", language.held_out()).select("doc_id", "held_out", "lang_pred", F.col("score"))
