@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import html_text, language, packing, prefix_counts, token_files
+from . import html_text, language, line_rules, packing, prefix_counts, secret_scan, token_files
 from .common import documents, stored
 
 QUERIES: dict = {}
@@ -65,3 +65,21 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit(docs.where("doc_id IS NOT NULL").where(~language.held_out()))
     return language.predict(docs, model).withColumn("held_out", language.held_out()).select("doc_id", "held_out", "lang_pred", F.col("score"))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, through the trigram index."""
+    return secret_scan.summary(secret_scan.scan(documents(spark, sf_dir)))
+
+
+ORACLES["op6_secret_scan"] = secret_scan.ORACLE
+
+
+@query
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and line-first cleaning of every document."""
+    return line_rules.clean(documents(spark, sf_dir)).drop("clean_text")
+
+
+ORACLES["op9_line_rules"] = line_rules.ORACLE
