@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import html_text, language, line_rules, near_duplicates, packing, prefix_counts, secret_scan, token_files
+from . import decontaminate, html_text, language, line_rules, near_duplicates, packing, prefix_counts, secret_scan, token_files
 from .common import documents, stored
 
 QUERIES: dict = {}
@@ -89,3 +89,9 @@ ORACLES["op9_line_rules"] = line_rules.ORACLE
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document by weighted Jaccard similarity of TF-IDF shingles."""
     return near_duplicates.classes(documents(spark, sf_dir)).drop("node")
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, a row for each document and item."""
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
