@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, html_text, language, line_rules, near_duplicates, packing, prefix_counts, secret_scan, token_files
+from . import decontaminate, html_text, language, line_rules, near_duplicates, packing, prefix_counts, quality, secret_scan, token_files
 from .common import documents, stored
 
 QUERIES: dict = {}
@@ -95,3 +95,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents, a row for each document and item."""
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a scorer that weak labels trained."""
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs))
