@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import partial
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,6 @@ from .tokens import CLOSING, cut
 _PARTS = regex.compile(r"(?P<joined>'s|'t|'re|'ve|'m|'ll|'d)|(?P<run> ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+)|(?P<space>\s+(?!\S)|\s+)")
 
 
-def _narrow(counts: list[int]) -> bool:
-    """Whether all steps fit in a signed byte; counts below 128 always do."""
-    if max(counts) > 127 and max(abs(b - a) for a, b in zip([0, *counts], counts)) > 127:
-        raise OverflowError
-    return True
-
-
 def _byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -40,7 +35,7 @@ def _byte_letters() -> dict[str, int]:
 class PrefixCounter:
     """Tables of texts under one vocabulary file; what is remembered is emptied at ``limit`` pieces."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 900_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_letters()
@@ -58,8 +53,10 @@ class PrefixCounter:
             made.setdefault(a + b, (a, b))
         self.edges = {i: (self._edge(b, made, 1), self._edge(b, made, 0)) for b, i in ids.items()}
         self.limit = limit
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
         self.words: dict[str, list[int]] = {}
+        self.runs: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         import ahocorasick
         self.ends = ahocorasick.Automaton()  # every token that is its own encoding, found where it ends, longest first
@@ -99,42 +96,58 @@ class PrefixCounter:
         """Whether BPE leaves these two tokens side by side: no merge over their border comes due while both its halves stand.
 
         Of two equal merges the left one comes first, so a half of ``token`` still stands at its own merge's rank."""
-        if len(self.fits) > 2 * self.limit:
+        if self.pairs > 2 * self.limit:
             self.fits.clear()
+            self.pairs = 0
         rank = self.ranks.get
         none = len(self.ranks) + 1
         known = not any((r := rank((x, y), none)) < x_until and r <= y_until and r < none
                         for x, x_until in self.edges[before][0] for y, y_until in self.edges[token][1])
-        self.fits[before, token] = known
+        self.fits.setdefault(before, {})[token] = known
+        self.pairs += 1
         return known
 
-    def word(self, word: str) -> list[int]:
-        """Counts of word[:1], word[:2], ... where every such start is one pre-token."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        data, fits = word.encode("utf-8"), self.fits.get
+    def _count(self, word: str) -> list[int]:
+        """Counts of word[:0], word[:1], ... where every such start is one pre-token."""
+        data, fits = word.encode("utf-8"), self.fits
         last, count, at = [-1], [0], -1
         for end, (token, size) in self.ends.iter(data.decode("latin-1")):
             if end == at:
                 continue
             i = end + 1 - size
             if i:
-                ok = fits((last[i], token))
-                if not (self._fit(last[i], token) if ok is None else ok):
+                before = last[i]
+                try:
+                    ok = fits[before][token]
+                except KeyError:
+                    ok = self._fit(before, token)
+                if not ok:
                     continue
             at = end
             last.append(token)
             count.append(count[i] + 1)
         if len(word) < len(data):
-            out, j = [], 0
+            out, j = [0], 0
             for c in word:
                 j += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
                 out.append(count[j])
-        else:
-            out = count[1:]
-        self.words[word] = out
-        return out
+            return out
+        return count
+
+    def word(self, word: str) -> list[int]:
+        """Counts of word[:1], word[:2], ..., remembered."""
+        known = self.words.get(word)
+        if known is None:
+            known = self.words[word] = self._count(word)[1:]
+        return known
+
+    def _run(self, word: str) -> bytes:
+        """Changes of the count along one pre-token as signed bytes, remembered; an OverflowError if one does not fit."""
+        known = self.runs.get(word)
+        if known is None:
+            c = self._count(word)
+            known = self.runs[word] = array("b", map(sub, c[1:], c)).tobytes()
+        return known
 
     def counts(self, raw: str) -> np.ndarray:
         """Counts of all starts of a text that holds no added token."""
@@ -157,11 +170,12 @@ class PrefixCounter:
 
     def _steps(self, raw: str) -> bytes:
         """Changes of the count as signed bytes; empty if one does not fit."""
+        if raw[:1] == "\n" and len(raw) > 1 and not raw[1].isspace():  # a line end before a visible character stands alone
+            return self._run("\n") + self._steps(raw[1:])
         base = raw.rstrip(CLOSING)
-        if base[1:].isalpha() and (base[0] == " " or base[0].isalpha()):  # letters, then perhaps closing marks: two pre-tokens
-            parts = (base, raw[len(base):]) if len(base) < len(raw) else (base,)
+        if base.isalpha() or base[:1] == " " and base[1:].isalpha():  # letters, then perhaps closing marks: two pre-tokens
             try:
-                return b"".join(bytes([(b - a) & 255 for a, b in zip([0, *c], c)]) for c in map(self.word, parts) if _narrow(c))
+                return self._run(base) + self._run(raw[len(base):]) if len(base) < len(raw) else self._run(base)
             except OverflowError:
                 return b""
         d = np.diff(self.counts(raw), prepend=0)
@@ -172,15 +186,16 @@ class PrefixCounter:
         if len(self.pieces) > self.limit:
             self.pieces.clear()
             self.words.clear()
+            self.runs.clear()
         if self.added and self.added.search(text):
             return self._split(text)
         parts = cut(text)
         get = self.pieces.get
         steps = list(map(get, parts[1:]))
         if None in steps:
-            for i, (p, s) in enumerate(zip(parts[1:], steps)):
-                if s is None:
-                    steps[i] = self.pieces[p] = self._steps(p if p[:1] == "\n" else " " + p)
+            for i in [i for i, s in enumerate(steps) if s is None]:
+                p = parts[i + 1]
+                steps[i] = self.pieces[p] = self._steps(p if p[:1] == "\n" else " " + p)
         steps.insert(0, self._steps(parts[0]))
         if b"" in steps and (b"" in steps[1:] or parts[0]):
             return b"\x04" + np.concatenate([np.diff(self.counts(p if i == 0 or p[:1] == "\n" else " " + p), prepend=0)
