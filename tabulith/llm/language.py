@@ -8,6 +8,7 @@ from functools import partial
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -225,6 +226,26 @@ def predict(df: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
                            f"key {rows.schema['key'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
+def known(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """The rows of ``df``, with their columns, whose text has a language; rows without a letter go."""
+    small_batches(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def has_language(texts: pd.Series) -> pd.Series:
+        values = [t or "" for t in texts.where(texts.notna(), "")]
+        out: list[bool] = []
+        for _, some in _cut(values):
+            out += [lang != UNKNOWN for lang in sent.value.predict(some)[0]]
+        return pd.Series(out, dtype=bool)
+
+    return df.where(has_language(F.col(f"`{text}`").cast("string")))
+
+
+def _cut(texts: list[str]):
+    return blocks(pa.RecordBatch.from_pydict({"key": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())}), 500_000)
+
+
 def held_out(key: str = "doc_id"):
     """Rows kept from learning: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string")) % 3 == 1, F.lit(False))
