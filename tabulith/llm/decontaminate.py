@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed_text, small_batches
+from .common import blocks, fresh, keyed_text, small_batches
 
 #: words of half a passage; passages are pairs of neighbouring halves, so each is met in whole or nearly so
 HALF = 32
@@ -270,7 +270,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with their columns. Texts are matched by digest, so repeated or
     null keys are no matter; a null text stays."""
-    node = F.unhex(F.md5(F.col(f"`{text}`").cast("string")))
-    marked = docs.withColumn("node_", node)
-    found = leaks(marked.select("node_", F.col(f"`{text}`").alias("text")), benchmark, key="node_", item_key=item_key, item_text=item_text)
-    return marked.join(found.select(F.col("node_").alias("n2_")).distinct(), F.col("node_") == F.col("n2_"), "left_anti").drop("node_")
+    node, other = fresh(docs, "node", "node2")
+    marked = docs.withColumn(node, F.unhex(F.md5(F.col(f"`{text}`").cast("string"))))
+    slim = marked.select(F.col(node).alias("node"), F.col(f"`{text}`").alias("text"))
+    found = leaks(slim, benchmark, key="node", item_key=item_key, item_text=item_text).select(F.col("node").alias(other)).distinct()
+    return marked.join(found, F.col(node) == F.col(other), "left_anti").drop(node)

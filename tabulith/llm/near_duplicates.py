@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blocks, mix64, small_batches, stored, strings
+from .common import WordHashes, blocks, fresh, mix64, small_batches, stored, strings
 from .components import components
 
 SHINGLE = 5
@@ -243,10 +243,9 @@ def classes(df: DataFrame, *, key: str = "doc_id", text: str = "text", threshold
 
 def drop(df: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The columns of ``df``, with one row of each class: the one with the least key; rows without words all stay."""
-    found = classes(df, key=key, text=text, threshold=threshold).where("kept AND node IS NOT NULL").select(F.col("node").alias("node_"), F.col(key).alias("key_")).distinct()
+    node, mark, node2, mark2 = fresh(df, "node", "mark", "node2", "mark2")
+    found = classes(df, key=key, text=text, threshold=threshold).where("kept AND node IS NOT NULL").select(F.col("node").alias(node2), F.col(f"`{key}`").alias(mark2)).distinct()
     t = F.col(f"`{text}`").cast("string")
-    marked = df.withColumn("node_", F.when(t.rlike(r"[^\s\x1c-\x1f]"), F.unhex(F.md5(t)))).withColumn("key_", F.col(f"`{key}`"))
-    blank = marked.where("node_ IS NULL")
-    kept = marked.where("node_ IS NOT NULL").join(found.withColumnsRenamed({"node_": "n2_", "key_": "k2_"}),
-                                                 (F.col("node_") == F.col("n2_")) & F.col("key_").eqNullSafe(F.col("k2_")), "left_semi")
-    return kept.dropDuplicates(["node_", "key_"]).unionByName(blank).drop("node_", "key_")
+    marked = df.withColumn(node, F.when(t.rlike(r"[^\s\x1c-\x1f]"), F.unhex(F.md5(t)))).withColumn(mark, F.col(f"`{key}`"))
+    kept = marked.where(F.col(node).isNotNull()).join(found, (F.col(node) == F.col(node2)) & F.col(mark).eqNullSafe(F.col(mark2)), "left_semi")
+    return kept.dropDuplicates([node, mark]).unionByName(marked.where(F.col(node).isNull())).drop(node, mark)

@@ -89,7 +89,7 @@ def pack(lengths: DataFrame, *, key: str = "doc_id", length: str = "n_tokens", b
     rows = lengths.select(F.col(f"`{key}`").alias("key"), n.alias("n"))
     whole = F.greatest(F.ceil(F.col("n") / F.lit(sequence)), F.lit(1))
     pieces = (rows.select("key", "n", F.explode(F.sequence(F.lit(0), F.coalesce(whole, F.lit(1)).cast("int") - 1)).alias("piece"))
-              .select("key", "piece", F.when(F.col("n") < 1, F.col("n")).otherwise(
+              .select("key", "piece", F.when(F.col("n").isNull() | (F.col("n") < 1), F.col("n")).otherwise(
                   F.least(F.col("n") - F.col("piece") * F.lit(sequence), F.lit(sequence))).cast("bigint").alias("n_tokens")))
     found = pieces.where(F.col("n_tokens") >= 1).groupBy("n_tokens").count().collect()
     found = sorted((r[0], r[1]) for r in found)

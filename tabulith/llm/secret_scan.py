@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 from .trigrams import required
 
 
@@ -141,7 +141,7 @@ def redact(df: DataFrame, *, key: str = "doc_id", text: str = "text", rules=RULE
     repeated keys are no matter."""
     found = scan(df, key=key, text=text, rules=rules).where(F.size("found") > 0).groupBy("content").agg(F.first("found").alias("found"))
     t = F.col(f"`{text}`").cast("string")
-    names = ("content_", "found_")  # unlikely to clash, and dropped again
+    names = fresh(df, "content", "found")
     marked = df.withColumn(names[0], F.unhex(F.md5(F.coalesce(t, F.lit(""))))).join(
         stored(found.toDF(*names), "found"), names[0], "left")
 
