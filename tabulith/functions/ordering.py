@@ -7,6 +7,7 @@ runs inside each range and per-range summaries carry the state across ranges."""
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter
 from collections.abc import Mapping, Sequence
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .columns import agg_dict, q, value
 
 ROWS_PER_BUCKET = 250_000
@@ -43,7 +45,7 @@ def _bucketize(df: DataFrame, col: str, out: str, cuts: Sequence[float]) -> Data
 
 
 def order_number(df: DataFrame, name: str) -> Column:
-    """A double that never falls as the key rises (text by its first six bytes)."""
+    """A double that never falls as the key rises (text by its first six bytes); keys may share one."""
     t, c = df.schema[name].dataType, q(name)
     if isinstance(t, T.StringType):
         head = F.hex(F.substring(F.encode(c, "utf-8"), 1, 6))
@@ -55,49 +57,53 @@ def order_number(df: DataFrame, name: str) -> Column:
 
 def order_bucket(df: DataFrame, keys: Sequence[str], out: str = _B,
                  buckets: int | None = None) -> DataFrame:
-    """Add ``out``: a range number that rises with the first key, and with the
-    second inside a hot first-key value, so equal keys never overfill a range."""
-    k1 = order_number(df, keys[0])
+    """Add ``out``: a range number that never falls as the keys rise, compared one after another.
+
+    A number made from the first key cuts the ranges. Where many rows share that number, because the
+    key is frequent or because the number holds only its start, the whole keys themselves cut further,
+    so only rows with all keys equal have to stay together. Rows without a first key come first."""
+    n = None
     if buckets is None:
-        buckets = bucket_count(df.count())
+        n = df.count()
+        buckets = bucket_count(n)
+    k1 = F.coalesce(order_number(df, keys[0]), F.lit(-sys.float_info.max))
     probs = [i / buckets for i in range(1, buckets)]
     acc = max(10_000, 10 * buckets)
     points = df.agg(F.percentile_approx(k1, probs, acc)).first()[0]
     cuts, hot = _splits(points)
     df = _bucketize(df.withColumn("__k1", k1), "__k1", "__b1", cuts)
-    second, extra = F.lit(0.0), []
-    if hot and len(keys) > 1:
-        df, second, extra = _second_key(df, order_number(df, keys[1]), Counter(points), hot, acc)
-    df = df.withColumn(out, F.coalesce((F.col("__b1") * 1048576 + second).cast("long"), F.lit(0)))
-    return df.drop("__k1", "__k2", "__b1", *extra)
-
-
-#: Hot first-key values cut by binary search; the rest carry short arrays of cuts.
-_SEARCHED = 32
-
-
-def _second_key(df: DataFrame, k2: Column, weight: Counter, hot: list[float], acc: int):
-    """Cut each hot first-key value by the second key, finer the hotter it is."""
-    df = df.withColumn("__k2", k2)
-    by_weight = sorted(hot, key=lambda h: -weight[h])
-    top, rest = by_weight[:_SEARCHED], by_weight[_SEARCHED:]
-    inner = agg_dict(df, {h: F.percentile_approx(F.when(F.col("__k1") == h, F.col("__k2")),
-                                                 [i / (weight[h] + 1) for i in range(1, weight[h] + 1)], acc) for h in top})
-    second = F.lit(0.0)
-    for i, h in enumerate(top):
-        df = _bucketize(df, "__k2", f"__h{i}", _splits(inner[h])[0])
-        second = F.when(F.col("__k1") == h, F.col(f"__h{i}")).otherwise(second)
-    extra = [f"__h{i}" for i in range(len(top))]
-    if rest:
-        m = max(weight[h] for h in rest)
-        # at most one row per split point, each with at most B / 33 cuts
-        small = df.filter(F.col("__k1").isin(rest)).groupBy("__k1").agg(
-            F.percentile_approx("__k2", [i / (m + 1) for i in range(1, m + 1)], acc).alias("__cuts"))
-        df = df.join(F.broadcast(small), "__k1", "left")
-        above = F.size(F.filter("__cuts", lambda c: c <= F.col("__k2"))).cast("double")
-        second = F.when(F.col("__cuts").isNotNull(), above).otherwise(second)
-        extra.append("__cuts")
-    return df, second, extra
+    inner = F.lit(0)
+    if hot:
+        df, inner = _cut_hot(df, keys, Counter(points), hot, df.count() if n is None else n, buckets)
+    return df.withColumn(out, (F.col("__b1") * 1048576 + inner).cast("long")).drop("__k1", "__b1", "__coarse", "__fine", "__g")
+
+
+#: Sampled rows for each wanted cut, and cuts that one row is compared with at a time.
+_SAMPLED, _GROUP = 40, 64
+
+
+def _cut_hot(df: DataFrame, keys: Sequence[str], weight: Counter, hot: list[float], rows: int, buckets: int):
+    """Number of whole-key cuts at or below each row of a hot number, finer the hotter it is.
+
+    The cuts are every fortieth row, in key order, of a sample of at most some forty rows for each
+    range. They are searched in two steps; both tables have at most one row for each range."""
+    key = F.struct(*[q(k) for k in keys])
+    share = min(1.0, _SAMPLED * buckets / max(rows, 1))
+    wanted = F.lit(0)
+    for h in hot:
+        wanted = F.when(F.col("__k1") == h, F.lit(weight[h] + 1)).otherwise(wanted)
+    sampled = (df.filter(F.col("__k1").isin(hot)).sample(share, seed=11).select("__k1", wanted.alias("m"), key.alias("key"))
+               .groupBy("__k1", "m").agg(F.sort_array(F.collect_list("key")).alias("all")))
+    step = F.greatest(F.lit(1), F.floor(F.size("all") / F.col("m"))).cast("int")
+    found = sampled.withColumn("cuts", F.array_distinct(F.filter("all", lambda k, i: (i > 0) & (i % step == 0)))).select("__k1", "cuts").filter(F.size("cuts") > 0)
+    found = cut_lineage(found)
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("cuts") - 1) / _GROUP).cast("int")), lambda i: F.slice("cuts", i * _GROUP + 1, _GROUP))
+    coarse = found.select("__k1", F.transform(groups, lambda g: g[0]).alias("__coarse"))
+    fine = found.select("__k1", F.posexplode(groups)).select("__k1", (F.col("pos") + 1).alias("__g"), F.col("col").alias("__fine"))
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c <= key))
+    df = df.join(F.broadcast(coarse), "__k1", "left").withColumn("__g", F.when(F.col("__coarse").isNotNull(), below("__coarse")).otherwise(F.lit(0)))
+    df = df.join(F.broadcast(fine), ["__k1", "__g"], "left")
+    return df, F.when(F.col("__fine").isNotNull(), (F.col("__g") - 1) * _GROUP + below("__fine")).otherwise(F.lit(0))
 
 
 def running(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column],

@@ -163,3 +163,26 @@ def test_few_hot_first_keys_are_cut_by_the_second(spark, monkeypatch, values):
     assert sizes.max() < 5000 / values / 2
     got = ordering.dense_index(df, ["d", "id"], "i").toPandas().sort_values("i")
     assert (got[["d", "id"]].to_numpy() == pdf.sort_values(["d", "id"]).to_numpy()).all()
+
+
+@pytest.mark.parametrize("kind", ["text", "wide", "decimal", "hot_text", "nulls"])
+def test_order_holds_for_keys_that_share_their_start(spark, monkeypatch, kind):
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 250)
+    n, r = 4_000, np.random.default_rng(8)
+    place = r.permutation(n)
+    keys = {"text": [f"Customer#{i:09d}" for i in place], "wide": [2 ** 60 + int(i) for i in place], "decimal": [f"{10 ** 17 + int(i)}.{i % 10}" for i in place],
+            "hot_text": ["same" if i < n // 2 else f"same{i:05d}" for i in place], "nulls": [None if i < 900 else f"Customer#{i:09d}" for i in place]}[kind]
+    rows = [(k, int(p), float(v) if v > -0.5 else None) for k, p, v in zip(keys, place if kind in ("hot_text", "nulls") else r.permutation(n), r.normal(size=n))]
+    df = spark.createDataFrame(rows, f"k {'bigint' if kind == 'wide' else 'string'}, id bigint, v double")
+    if kind == "decimal":
+        df = df.withColumn("k", F.col("k").cast("decimal(38,4)"))
+    got = ordering.dense_index(df, ["k", "id"]).collect()
+    want = sorted(got, key=lambda x: (x.k is not None, x.k if x.k is not None else 0, x.id))
+    assert [x.idx for x in want] == list(range(n))
+    sizes = [x["count"] for x in ordering.order_bucket(df, ["k", "id"]).groupBy("__bucket").count().collect()]
+    assert max(sizes) <= 3 * 250 and len(sizes) >= 8
+    filled = {x.id: x.f for x in ordering.fill_edges(df, ["k", "id"], {"f": F.col("v")}, True).collect()}
+    last = None
+    for x in want:
+        last = x.v if x.v is not None else last
+        assert filled[x.id] == last
