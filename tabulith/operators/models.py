@@ -233,7 +233,9 @@ def naive_bayes(p: Prepared, var_smoothing: float = 1e-9, **_) -> Fitted:
 # ---- Spark ML learners ------------------------------------------------------------
 
 def _depth(d: int | None, default: int) -> int:
-    return min(MAX_DEPTH, d) if d else default
+    if d and d > MAX_DEPTH:
+        raise ValueError(f"trees can be at most {MAX_DEPTH} deep")
+    return d or default
 
 
 def logistic(p: Prepared, C: float = 1.0, max_iter: int = 1000, l1_ratio: float = 0.0, **_) -> Fitted:  # noqa: N803
@@ -275,14 +277,39 @@ def lightgbm(p: Prepared, n_trees: int = 100, learning_rate: float = 0.1, max_de
     return gradient_boosting(p, n_trees, learning_rate, max_depth or 5, name="lightgbm", **kw)
 
 
-def linear_svc(p: Prepared, C: float = 1.0, max_iter: int = 200, **_) -> Fitted:  # noqa: N803
+def _margin_regression(rows: DataFrame, xs: Sequence[str], C: float, epsilon: float, max_iter: int, floor: float = 1e-5):  # noqa: N803
+    """Least |w|^2 / 2 + C sum max(0, |y - f| - epsilon), by reweighted least squares.
+
+    Each step bounds both halves of the loss by parabolas that touch at the last residuals, which is a
+    ridge on weighted Gram sums: one scan a step, and the driver holds p x p numbers."""
+    b, b0 = solvers.fit(gram(rows, {x: F.col(x) for x in xs} | {"label": F.col("label")})[None], "label", xs, lambda a, c, n: solvers.ridge(a, c, 1 / C))
+    for _ in range(max_iter):
+        f = F.lit(float(b0))
+        for x, c in zip(xs, b):
+            f = f + float(c) * F.col(x)
+        r = F.col("label") - f
+        up, down = 1 / F.greatest(F.abs(r - epsilon), F.lit(floor)), 1 / F.greatest(F.abs(r + epsilon), F.lit(floor))
+        target = F.col("label") - epsilon * (up - down) / (up + down)
+        g = gram(rows, {x: F.col(x) for x in xs} | {"label": target}, weight=(up + down) / 2)[None]
+        new, new0 = solvers.fit(g, "label", xs, lambda a, c, n: solvers.ridge(a, c, 1 / C))
+        moved = max(float(np.abs(new - b).max(initial=0.0)), abs(new0 - b0))
+        b, b0 = new, new0
+        if moved < 5e-4 * (1 + float(np.abs(b).max(initial=0.0))):
+            break
+    return b, b0
+
+
+def linear_svc(p: Prepared, C: float = 1.0, max_iter: int = 200, epsilon: float = 0.0, **_) -> Fitted:  # noqa: N803
+    """Linear margin learner; a number target takes the epsilon-insensitive loss."""
+    if p.classes is None:
+        return _linear_fitted("linear_svr", p, *_margin_regression(p.train, p.xs, C, epsilon, max_iter))
     est = mc.LinearSVC(regParam=1 / (C * p.rows), maxIter=max_iter, standardization=False)
     est = est if len(p.classes) == 2 else mc.OneVsRest(classifier=est)
     return _spark_fitted("linear_svc", p, est.fit(p.train))
 
 
-def kernel_svm(p: Prepared, C: float = 1.0, gamma: float | None = None, n_features: int = 100, seed: int = 42, **_) -> Fitted:  # noqa: N803
-    """RBF margin learner on random cosine features (ridge on them for a number target)."""
+def kernel_svm(p: Prepared, C: float = 1.0, gamma: float | None = None, n_features: int = 100, seed: int = 42, epsilon: float = 0.1, **_) -> Fitted:  # noqa: N803
+    """RBF margin learner on random cosine features; a number target takes the epsilon-insensitive loss."""
     k = len(p.xs)
     rng = np.random.default_rng(seed)
     w = rng.normal(0, math.sqrt(2 * (gamma or 1.0 / k)), (k, n_features))
@@ -298,10 +325,22 @@ def kernel_svm(p: Prepared, C: float = 1.0, gamma: float | None = None, n_featur
 
     train = lifted(p.train)
     if p.classes is None:
-        model = mr.LinearRegression(regParam=1 / (C * p.rows), standardization=False, solver="normal").fit(train)
-    else:
-        est = mc.LinearSVC(regParam=1 / (C * p.rows), maxIter=100, standardization=False)
-        model = (est if len(p.classes) == 2 else mc.OneVsRest(classifier=est)).fit(train)
+        zs = [f"z{i}" for i in range(n_features)]
+
+        def spread(df):
+            return df.withColumn("__z", lift(*p.xs)).withColumns({z: F.col("__z")[i] for i, z in enumerate(zs)}).drop("__z")
+
+        rows = spread(p.train).select("label", *zs).persist()
+        b, b0 = _margin_regression(rows, zs, C, epsilon, 40)
+        rows.unpersist()
+
+        def predict(df):
+            out = df.withColumn("__z", lift(*p.xs))
+            y = F.aggregate(F.zip_with("__z", F.array(*[F.lit(float(v)) for v in b]), lambda x, w: x * w), F.lit(float(b0)), lambda a, v: a + v)
+            return out.withColumn("prediction", y).drop("__z")
+        return Fitted("kernel_svm", p.features, None, predict, None, repr([float(b0), *map(float, b)]))
+    est = mc.LinearSVC(regParam=1 / (C * p.rows), maxIter=100, standardization=False)
+    model = (est if len(p.classes) == 2 else mc.OneVsRest(classifier=est)).fit(train)
     inner = _spark_fitted("kernel_svm", p, model)
     return Fitted("kernel_svm", p.features, p.classes, lambda df: inner.predict(lifted(df)), None, inner.state)
 

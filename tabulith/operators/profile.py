@@ -86,7 +86,7 @@ def schema_profile(df: DataFrame, approximate_distinct: bool = False) -> DataFra
               "distinct bigint, min double, max double, mean double, std double")
 
 
-def basic_statistics(df: DataFrame, max_columns: int = 80, qs: dict | None = None) -> DataFrame:
+def basic_statistics(df: DataFrame, max_columns: int | None = None, qs: dict | None = None) -> DataFrame:
     """Describe table of the numeric columns with seven quantiles."""
     cols = numeric_columns(df)[:max_columns]
     m, qs = moments(df, cols), qs or quantiles(df, cols, DESCRIBE_PROBS)
@@ -114,7 +114,7 @@ def shape_moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 
 
 def tukey_fences(df: DataFrame, factor: float = IQR_FACTOR, cols: Sequence[str] | None = None,
-                 max_columns: int = 80, quartiles: dict | None = None) -> DataFrame:
+                 max_columns: int | None = None, quartiles: dict | None = None) -> DataFrame:
     """Counts outside the quartile fences for columns that have any."""
     cols = list(cols or numeric_columns(df))[:max_columns]
     qs = quartiles or quantiles(df, cols, (0.25, 0.75))
@@ -174,7 +174,7 @@ def duplicate_names(names: Sequence[str]) -> list[str]:
     return sorted({n for n in names if list(names).count(n) > 1})
 
 
-def structure(df: DataFrame, key_share: float = KEY_SHARE, max_keys: int = 10) -> DataFrame:
+def structure(df: DataFrame, key_share: float = KEY_SHARE, max_keys: int | None = None) -> DataFrame:
     """All-null, constant, high-cardinality and candidate-key columns in one table."""
     got = agg_dict(df, {"rows": F.count("*"), **{c: F.count_if(missing(df, c)) for c in primitive_columns(df)}})
     uniq = distinct_counts(df)
@@ -187,7 +187,7 @@ def structure(df: DataFrame, key_share: float = KEY_SHARE, max_keys: int = 10) -
         keys += key
         out.append((c, non_null, uniq[c], non_null == 0, with_null <= 1,
                     c in texts and uniq[c] > key_share * rows_n, bool(key),
-                    non_null - uniq[c] if key and keys <= max_keys else None,
+                    non_null - uniq[c] if key and (max_keys is None or keys <= max_keys) else None,
                     (non_null - uniq[c]) / non_null if key and keys <= max_keys else None))
     return rows_frame(df.sparkSession, out, "column string, non_null bigint, distinct bigint, all_null boolean, constant boolean, "
              "high_cardinality boolean, candidate_key boolean, collisions bigint, collision_rate double")
@@ -284,7 +284,7 @@ def integrity_report(df: DataFrame) -> DataFrame:
 
 def profile_and_fences(df: DataFrame) -> DataFrame:
     """Profile, describe and fence counts joined on the column name; quantiles are found once."""
-    qs = quantiles(df, numeric_columns(df)[:80], DESCRIBE_PROBS)
+    qs = quantiles(df, numeric_columns(df), DESCRIBE_PROBS)
     lo, hi = DESCRIBE_PROBS.index(0.25), DESCRIBE_PROBS.index(0.75)
     quartiles = {c: (v[lo], v[hi]) for c, v in qs.items()}
     return (schema_profile(df).join(basic_statistics(df, qs=qs).drop("n", "mean", "std", "min", "max"), "column", "left")

@@ -625,7 +625,7 @@ def relieff(t: Task, k: int = 10, n_iter: int = 500, seed: int = 42) -> DataFram
                     o = o[np.isfinite(d[o])]
                     new = [(float(d[j]), int(ids[j]), float(y[j]), np.abs(x[j] - ax[i]).tolist()) for j in o]
                     best[(i, c)] = sorted(best.get((i, c), []) + new)[:k]
-        out = [(i, int(c), *row, hash((i, c, row[1])) % 64) for (i, c), rs in best.items() for row in rs]
+        out = [(i, int(c), *row, int(row[1]) % 64) for (i, c), rs in best.items() for row in rs]
         yield pd.DataFrame(out, columns=["i", "c", "d", "id", "y", "diff", "salt"])
 
     near = rows.mapInPandas(nearest, "i int, c int, d double, id bigint, y double, diff array<double>, salt int")

@@ -29,10 +29,10 @@ STABLE, CONTINGENT, TRIVIAL = "family_stable", "contingent", "trivially_stable"
 SCORES = "variant_id int, feature string, score double"
 
 
-def across_variants(cond: Conditioned, fn: Callable[[DataFrame], DataFrame], on_error: str = "skip") -> DataFrame:
+def across_variants(cond: Conditioned, fn: Callable[[DataFrame], DataFrame], on_error: str = "raise") -> DataFrame:
     """Run ``fn`` on every lazy variant and stack its rows with ``variant_id``.
 
-    A failing variant is passed over; all failing is an error."""
+    A failing variant is an error; with ``on_error="skip"`` it is passed over, unless all fail."""
     parts, errors = [], []
     for i in range(len(cond.variants)):
         try:

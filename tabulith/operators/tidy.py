@@ -28,7 +28,7 @@ def any_missing(df: DataFrame, cols: Sequence[str] | None = None) -> Column:
     return reduce(lambda a, b: a | b, [missing(df, c) for c in (cols or df.columns)])
 
 
-def rows_with_missing(df: DataFrame, limit: int | None = 200) -> DataFrame:
+def rows_with_missing(df: DataFrame, limit: int | None = None) -> DataFrame:
     out = df.filter(any_missing(df))
     return out.limit(limit) if limit is not None else out
 

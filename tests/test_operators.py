@@ -517,3 +517,43 @@ def test_streams_take_fitted_steps_only(spark, tmp_path):
     assert tuple(got) == (0.0, 1.0)
     with pytest.raises(ValueError):
         stream.apply_steps(s, [("transform_columns", {"transform_type": "rank", "columns": ["s_acctbal"]})])
+
+
+def test_quantile_map_is_the_same_at_every_size(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"v": np.concatenate([np.round(rng.normal(size=1500), 2), np.full(700, 0.5)]), "w": rng.exponential(size=2200)})
+    pdf.loc[:20, "w"] = np.nan
+    df = frame(spark, pdf)
+    small = normalize.fit(df, "quantile", ["v", "w"], n_quantiles=301)["fitted"]
+    monkeypatch.setattr(normalize, "EXACT_ROWS", 100)
+    large = normalize.fit(df, "quantile", ["v", "w"], n_quantiles=301)["fitted"]
+    for c in ("v", "w"):
+        assert np.allclose(small[c]["knots"], large[c]["knots"], atol=1e-12), c
+
+
+def test_margin_regression_is_near_its_optimum(spark):
+    from tabulith.operators import models
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = x @ [2.0, -1.0, 0.0] + 0.5 + rng.standard_t(2, size=400)
+    pdf = pd.DataFrame({"id": np.arange(400), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})
+    p = models.prepare(frame(spark, pdf), ["a", "b", "c"], "y", ["id"])
+    rows = p.train.select("label", *p.xs).toPandas()
+
+    def cost(b, b0, eps):
+        return (b ** 2).sum() / 2 + np.maximum(0, np.abs(rows["label"] - rows[p.xs].to_numpy() @ b - b0) - eps).sum()
+
+    for eps in (0.0, 0.3):
+        b, b0 = models._margin_regression(p.train, p.xs, 1.0, eps, 40)
+        least = cost(b, b0, eps)
+        for _ in range(300):
+            assert least <= cost(b + rng.normal(scale=0.02, size=3), b0 + rng.normal(scale=0.02), eps) + 0.1
+    fitted = models.linear_svc(p, max_iter=15)
+    assert abs(fitted.importance[0] / fitted.importance[1] - 2) < 0.4
+    assert models.kernel_svm(p, n_features=10).predict(p.test).filter("prediction is null").count() == 0
+
+
+def test_too_deep_trees_are_refused(spark):
+    from tabulith.operators import models
+    with pytest.raises(ValueError):
+        models._depth(31, 12)
