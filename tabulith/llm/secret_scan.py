@@ -103,6 +103,14 @@ def candidates(postings: DataFrame, rules=RULES) -> DataFrame:
     return got.select("content", *[c.alias(f"is_{k}") for k, c in flags.items()]).where(reduce(Column.__or__, [F.col(f"is_{k}") for k in flags]))
 
 
+#: a counted table of at most so many rows is sent to the executors instead of dealing texts out by content
+FEW_ROWS = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def scan(df: DataFrame, *, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
     """One row for each row of ``df``: key, content and ``found``, the matches of all rules by start and then by rule.
 
@@ -113,12 +121,12 @@ def scan(df: DataFrame, *, key: str = "doc_id", text: str = "text", rules=RULES)
     indexed = [(i, r) for i, r in enumerate(rules) if required(r.pattern)]
     open_rules = [(i, r) for i, r in enumerate(rules) if not required(r.pattern)]
     none = F.array().cast("array<struct<start:bigint,ord:int,kind:string,stop:bigint>>")
-    verified = (texts.select("content", "text").join(wanted, "content")
+    verified = (texts.select("content", "text").join(_small(wanted), "content")
                 .select("content", F.concat(*[F.when(F.col(f"is_{r.kind}"), spans(F.col("text"), r, i)).otherwise(none) for i, r in indexed]).alias("verified"))
                 .groupBy("content").agg(F.first("verified").alias("verified")).where(F.size("verified") > 0))
     every = [F.when(F.col("text").rlike(r.pattern), spans(F.col("text"), r, i)).otherwise(none) for i, r in open_rules]
     rows = texts.select("key", "content", (F.concat(*every) if every else none).alias("opened"))
-    return rows.join(stored(verified, "verified"), "content", "left").select(
+    return rows.join(_small(stored(verified, "verified")), "content", "left").select(
         F.col("key").alias(key), "content", F.array_sort(F.concat("opened", F.coalesce("verified", none))).alias("found"))
 
 
@@ -143,7 +151,7 @@ def redact(df: DataFrame, *, key: str = "doc_id", text: str = "text", rules=RULE
     t = F.col(f"`{text}`").cast("string")
     names = fresh(df, "content", "found")
     marked = df.withColumn(names[0], F.unhex(F.md5(F.coalesce(t, F.lit(""))))).join(
-        stored(found.toDF(*names), "found"), names[0], "left")
+        _small(stored(found.toDF(*names), "found")), names[0], "left")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["upto"]
