@@ -163,7 +163,7 @@ def idf_table(texts: DataFrame) -> np.ndarray:
 
 @dataclass
 class Found:
-    """links: a, b, similarity between contents; roots: node and root of all linked contents."""
+    """links: a, b, similarity between contents; roots: node and root of all contents that met another in a bucket."""
 
     links: DataFrame
     roots: DataFrame
@@ -181,7 +181,13 @@ def _check(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     return joined.mapInArrow(partial(_verified, idf=idf, threshold=threshold), "a binary, b binary, similarity double")
 
 
-def find(texts: DataFrame, *, threshold: float = THRESHOLD, most_rounds: int = 6) -> Found:
+def _moved(roots: DataFrame, to: DataFrame) -> DataFrame:
+    """Roots (node, root) with each root replaced by the root it has in ``to``."""
+    new = to.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return stored(roots.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
+
+
+def find(texts: DataFrame, *, threshold: float = THRESHOLD, most_rounds: int = 20) -> Found:
     """Links between the distinct texts of ``texts`` (columns node, a digest of the text, and text; repeats are harmless).
 
     In each bucket of a band every text is compared with one text that a hash picks, another one in each band. Then, as long
@@ -193,26 +199,27 @@ def find(texts: DataFrame, *, threshold: float = THRESHOLD, most_rounds: int = 6
     sketched = texts.select("node", "text").mapInArrow(partial(_sketches, idf=idf), "node binary, bands array<bigint>")
     sketched = stored(sketched, "sketches").dropDuplicates(["node"])
     rows = stored(sketched.select("node", F.explode("bands").alias("bucket")), "bands")
-    busy = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    shared = stored(rows.join(busy, "bucket"), "shared")
-    pick = shared.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("x"))
-    pairs = stored(_ordered_pairs(shared.join(pick, "bucket").select("x", F.col("node").alias("y"))), "pairs")
-    wanted = shared.select("node").distinct()
+    picks = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "bucket")).alias("x")).where("n > 1").select("bucket", "x")
+    shared = stored(rows.join(picks, "bucket"), "shared")
+    pairs = stored(_ordered_pairs(shared.select("x", F.col("node").alias("y"))), "pairs")
+    shared = shared.select("bucket", "node")
+    wanted = stored(shared.select("node").distinct(), "wanted")
     held = stored(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     links = stored(_check(pairs, held, idf, threshold), "verified")
-    roots = stored(components(links), "roots")
+    roots = _moved(wanted.select("node", F.col("node").alias("root")), components(links))
     for turn in range(most_rounds):
-        placed = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
         order = F.xxhash64("node", "bucket", F.lit(turn))
-        ones = placed.join(mixed, "bucket").groupBy("bucket", "root").agg(F.min_by("node", order).alias("node"))
-        picks = ones.groupBy("bucket").agg(F.min_by("node", order).alias("x"))
+        ones = shared.join(roots, "node").groupBy("bucket", "root").agg(F.min_by("node", order).alias("node"))
+        picks = ones.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", order).alias("x")).where("n > 1").select("bucket", "x")
         fresh = stored(_ordered_pairs(ones.join(picks, "bucket").select("x", F.col("node").alias("y"))).join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = stored(_check(fresh, held, idf, threshold), "verified")
         if not more.head(1):
             break
         pairs, links = pairs.unionByName(fresh), links.unionByName(more)
-        roots = stored(components(links), "roots")
+        # only the components that are now joined are looked at again
+        of = roots.withColumnsRenamed({"node": "n", "root": "r"})
+        joined = more.join(of.withColumnsRenamed({"n": "a", "r": "ra"}), "a").join(of.withColumnsRenamed({"n": "b", "r": "rb"}), "b")
+        roots = _moved(roots, components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
     return Found(links, roots)
 
 

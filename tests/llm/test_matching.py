@@ -34,9 +34,10 @@ def test_components_equal_union_find(spark):
     r = random.Random(1)
     n = 400
     links = [(r.randrange(n), r.randrange(n)) for _ in range(230)] + [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     want = groups(n, links)
-    assert all(got.get(i, i) == want[i] for i in range(n))
+    for one_task in (10 ** 6, 0):
+        got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint"), one_task=one_task).collect()}
+        assert all(got.get(i, i) == want[i] for i in range(n))
 
 
 def test_samples_estimate_the_weighted_similarity():
