@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import rows_frame
@@ -15,7 +17,6 @@ from .base import R, query, rd, rounded, table, union_sql
 from .tables import line
 
 FEATURES = ["a", "b", "c", "e"]
-_COLS = {"a": "{f}(p_size)", "b": "p_retailprice / 100", "c": "{f}(p_partkey % 17)", "e": "{f}(p_partkey % 5)"}
 _Y = "2 * p_size + p_retailprice * p_retailprice / 500000 - p_partkey % 17 + ((p_partkey * 37) % 11) / 3e0"
 _CLS2 = "CASE WHEN p_size + (p_partkey * 37) % 11 > 30 THEN 'hi' ELSE 'lo' END"
 _CLS3 = "CASE WHEN p_size + (p_partkey * 37) % 11 > 38 THEN 'hi' WHEN p_size + (p_partkey * 37) % 11 > 18 THEN 'mid' ELSE 'lo' END"
@@ -38,11 +39,29 @@ def _s(df, digits=5):
     return rounded(df.select("feature", "score"), ["score"], digits)
 
 
+def _determinant(m):
+    """Sum over permutations, as SQL text."""
+    terms = []
+    for order in permutations(range(len(m))):
+        swaps = sum(order[i] > order[j] for i in range(len(m)) for j in range(i + 1, len(m)))
+        terms.append(("-" if swaps % 2 else "+") + " * ".join(m[i][j] for i, j in enumerate(order)))
+    return "(" + " ".join(terms) + ")"
+
+
+def _least_squares_sql(alpha, digits):
+    """Absolute coefficients on scaled features by Cramer's rule."""
+    k = range(len(FEATURES))
+    sums = [f"n * corr({FEATURES[i]}, {FEATURES[j]}) AS s{i}{j}" for i in k for j in k if i < j] + [f"n * corr({f}, y) * stddev_pop(y) AS c{i}" for i, f in enumerate(FEATURES)]
+    m = [["(n + {})".format(alpha) if i == j else f"s{min(i, j)}{max(i, j)}" for j in k] for i in k]
+    one = [f"SELECT '{f}' AS feature, abs({_determinant([[f'c{i}' if j == at else m[i][j] for j in k] for i in k])} / {_determinant(m)}) AS s FROM g" for at, f in enumerate(FEATURES)]
+    return f"WITH g AS (SELECT any_value(n) AS n, {', '.join(sums).replace('n * ', 'any_value(n) * ')} FROM {_SQL}, (SELECT count(*)::DOUBLE AS n FROM {_SQL})) SELECT feature, {R('s', digits)} AS score FROM ({union_sql(one)})"
+
+
 # ---- ranking ----------------------------------------------------------------------
 
 for _key, _fn in {
     "f01_tree": lambda t: K.tree(t, 8), "f02_forest": lambda t: K.forest(t, 10, 6), "f03_boosting": lambda t: K.boosting(t, 5),
-    "f04_xgboost": lambda t: K.xgboost(t, 5, max_depth=4), "f05_linear": K.linear, "f08_lasso": K.lasso, "f10_elastic_net": K.elastic_net,
+    "f04_xgboost": lambda t: K.xgboost(t, 5, max_depth=4), "f08_lasso": K.lasso, "f10_elastic_net": K.elastic_net,
     "f11_sparse_pca": K.sparse_pca, "f13_boruta": lambda t: K.boruta(t, 3, 5, 5), "f20_information_bottleneck": K.information_bottleneck,
     "f21_mrmr": K.mrmr, "f22_permutation": lambda t: K.permutation_importance(t, 2, 5, 5), "f24_lime": lambda t: K.lime(t, 5, 5, 200, n_queries=10),
     "f25_interactions": lambda t: K.interactions(t, 5, 5), "f26_rrelieff": lambda t: K.relieff(t, n_iter=200), "f27_feature_clustering": K.feature_clustering,
@@ -80,7 +99,12 @@ def _(spark, d):
     return _s(K.ridge(K.task(parts(spark, d, "y").select("p_partkey", "a", "y"), "y", ["p_partkey"]), 50.0), 5)
 
 
-@query("f09_ridge")
+@query("f05_linear", _least_squares_sql(0.0, 4))
+def _(spark, d):
+    return _s(K.linear(ranked(spark, d)), 4)
+
+
+@query("f09_ridge", _least_squares_sql(1.0, 5))
 def _(spark, d):
     return _s(K.ridge(ranked(spark, d)))
 
