@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,9 @@ class Item:
     words: list[str]
     answer: list[str]
 
+    def __post_init__(self):
+        self.distinct = frozenset(self.words)
+
 
 def judged(item: Item, region: list[str]) -> float:
     """The share of the item found in the region if that makes it a leak, else 0.
@@ -69,6 +72,8 @@ def judged(item: Item, region: list[str]) -> float:
     if n < SHORT:
         found = any(region[i:i + n] == item.words for i in range(len(region) - n + 1))
         return 1.0 if found and n else 0.0
+    if len(item.distinct.difference(region)) > (1 - PARAPHRASED) * n:  # each of these is missing from any common subsequence
+        return 0.0
     share = common_subsequence(item.words, region) / n
     if share >= COPIED:
         return share
@@ -189,7 +194,7 @@ def _leaks(texts: list[str], s: Space) -> Iterator[tuple[int, int, float]]:
     words = [tokens(t) for t in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     get = s.place.get
-    ids = np.fromiter((i for w in words for i in map(get, w, repeat(-1))), np.int64, int(counts.sum()))
+    ids = np.fromiter(chain.from_iterable(map(get, w, repeat(-1)) for w in words), np.int64, int(counts.sum()))
     if not len(ids):
         return
     # halves: consecutive runs of words of one text
