@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -42,6 +42,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def spread(df: DataFrame) -> list[Column]:
+    """The columns of simple types, by whose hash rows are chosen."""
+    return [F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant", "void"))]
+
+
 def keyed_text(df: DataFrame, key: str, text: str) -> DataFrame:
     """Two columns, ``key`` and ``text``, whatever else the table holds."""
     return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))

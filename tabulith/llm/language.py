@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed_text, mix64, small_batches
+from .common import blocks, keyed_text, mix64, small_batches, spread
 
 #: fixed values: families of languages by their codes; a language that is not here is a family of its own
 FAMILIES = {
@@ -172,7 +172,8 @@ def fit(df: DataFrame, *, text: str = "text", lang: str = "lang", most: int = 3_
     The chosen rows become n-gram counts on the executors; the driver gets those and runs the few machines. Rows without a
     language or a letter are left out; without any row the model knows nothing and predicts ``und``."""
     small_batches(df.sparkSession)
-    rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"),
+                     F.pmod(F.xxhash64(*spread(df)), F.lit(1_000_000)).alias("part")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model()
@@ -180,8 +181,8 @@ def fit(df: DataFrame, *, text: str = "text", lang: str = "lang", most: int = 3_
     share = F.lit(0)
     for name, c in counts.items():
         share = F.when(F.col("lang") == name, F.lit(int(min(1.0, each / c) * 1_000_000))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).limit(2 * max(most, 20 * len(counts)))
-    got = chosen.mapInArrow(_vectors, "lang string, index binary, value binary").collect()
+    chosen = rows.where(F.col("part") < share).select("lang", "text").mapInArrow(_vectors, "lang string, index binary, value binary")
+    got = chosen.limit(2 * max(most, 20 * len(counts))).collect()  # the limit only holds if very many rows are equal
     got = sorted(got, key=lambda r: (r["lang"], bytes(r["index"])))
     vectors = [(np.frombuffer(r["index"], "<i4"), np.frombuffer(r["value"], "<f4").astype(float)) for r in got]
     langs = [r["lang"] for r in got]

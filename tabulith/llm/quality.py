@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blocks, keyed_text, mix64, small_batches
+from .common import WordHashes, blocks, keyed_text, mix64, small_batches, spread
 
 BITS = 16
 #: shares of fewer words say nothing
@@ -57,7 +57,7 @@ def votes(text: str) -> int:
         _vote(text.count("!") / n, 0.05, 0.3),
         _vote(abs(len(text) / n - 6.5), 3.0, 6.0) if n >= FEW else NONE,
         _vote(sum(map(STOPWORDS.__contains__, low)) / n, 0.08, 0.01) if n >= FEW else NONE,
-        _vote(Counter(low).most_common(1)[0][1] / n, 0.12, 0.2) if n >= FEW else NONE,
+        _vote(max(Counter(low).values()) / n, 0.12, 0.2) if n >= FEW else NONE,
         _vote(len(zlib.compress(text.encode("utf-8", "surrogatepass"), 1)) / len(text), 0.38, 0.25) if n >= FEW else NONE,
     )
     code = 0
@@ -169,8 +169,10 @@ def fit(df: DataFrame, *, text: str = "text", most: int = 6_000, epochs: int = 1
     posterior[codes] = post
     accuracy = {n: (float(like[j, 0, BAD] / (like[j, 0, BAD] + like[j, 0, GOOD])), float(like[j, 1, GOOD] / (like[j, 1, BAD] + like[j, 1, GOOD]))) for j, n in enumerate(NAMES)}
     share = int(min(1.0, most / counts.sum()) * 1_000_000)
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).limit(2 * most)
-    got = sorted(tuple(map(lambda x: x if isinstance(x, int) else bytes(x), r)) for r in chosen.mapInArrow(_sampled, "code int, at binary, value binary").where("code >= 0").collect())
+    # rows are chosen each on its own, also those with equal texts; the limit only holds if very many rows are equal
+    chosen = df.where(F.pmod(F.xxhash64(*spread(df)), F.lit(1_000_000)) < share)
+    sampled = keyed_text(chosen, text, text).mapInArrow(_sampled, "code int, at binary, value binary").where("code >= 0").limit(2 * most)
+    got = sorted(tuple(map(lambda x: x if isinstance(x, int) else bytes(x), r)) for r in sampled.collect())
     data = [(np.frombuffer(a, "<i4"), np.frombuffer(v, "<f4").astype(float), float(posterior[c])) for c, a, v in got]
     bad = max(1e-9, sum(1 - y for *_, y in data))
     balance = min(20.0, max(0.05, sum(y for *_, y in data) / bad))
