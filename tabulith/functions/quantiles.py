@@ -65,6 +65,11 @@ def order_stats(df: DataFrame, cols, ranks_of, *, exact_rows: int | None = None)
     return sizes, _sorted_picks(df, exprs, sizes, want)
 
 
+def _picked(array: str, ranks: list[int]) -> Column:
+    """Elements of a sorted array at 0-based ranks, in an expression of bounded depth."""
+    return F.transform(F.array(*[F.lit(r + 1) for r in ranks]), lambda r: F.element_at(array, r))
+
+
 def _sorted_picks(df: DataFrame, exprs: dict[str, Column], sizes: dict[str, int], want: dict[str, set[int]]) -> dict:
     """Order statistics of bounded columns: sort each in one array, return only the picks."""
     out: dict[str, dict[int, float]] = {k: {} for k in exprs}
@@ -73,7 +78,7 @@ def _sorted_picks(df: DataFrame, exprs: dict[str, Column], sizes: dict[str, int]
     for at in range(0, len(keys), step):
         part = keys[at:at + step]
         arrays = df.agg(*[F.sort_array(F.collect_list(exprs[k])).alias(f"a{i}") for i, k in enumerate(part)])
-        picks = arrays.select(*[F.array(*[F.element_at(f"a{i}", r + 1) for r in sorted(want[k])]) for i, k in enumerate(part)]).first()
+        picks = arrays.select(*[_picked(f"a{i}", sorted(want[k])) for i, k in enumerate(part)]).first()
         for i, k in enumerate(part):
             out[k] = dict(zip(sorted(want[k]), picks[i]))
     return out

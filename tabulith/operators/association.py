@@ -249,15 +249,16 @@ def hoeffding(df: DataFrame, columns=None) -> DataFrame:
 
 # ---- binned ------------------------------------------------------------------
 
-def mic(df: DataFrame, columns=None, cap: int = 64, alpha: float = 0.6) -> DataFrame:
+def mic(df: DataFrame, columns=None, cap: int | None = None, alpha: float = 0.6) -> DataFrame:
     """Best normalised mutual information over equal-frequency grids nx*ny <= B.
 
-    B = n^alpha up to ``cap`` (reported).  Rows are counted once on the common
-    refinement of all grids, so every grid is scored from a bounded table."""
+    B = n^alpha, or at most ``cap`` if given (reported).  Rows are counted once on the common
+    refinement of all grids; a pair's table has at most n cells and B ln B grids are scored from it,
+    so beyond some hundred thousand rows a ``cap`` should be named."""
     cols = _cols(df, columns)
     rows = _complete(df, cols)
     n = rows.count()
-    budget = max(4, min(int(n ** alpha), cap))
+    budget = max(4, int(n ** alpha) if cap is None else min(int(n ** alpha), cap))
     ks = range(2, budget // 2 + 1)
     probs = sorted({i / k for k in ks for i in range(1, k)} | {0.0, 1.0})
     qs = quantiles(rows, cols, probs)
