@@ -75,7 +75,7 @@ def _(spark, d):
 
 @query("r04_mic")
 def _(spark, d):
-    return _out(A.mic(frame(spark, d), _NAMES))
+    return _out(A.mic(frame(spark, d), _NAMES, cap=64))
 
 
 def codes_sql(names, src, bins, keep=""):

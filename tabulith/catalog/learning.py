@@ -60,19 +60,19 @@ def _least_squares_sql(alpha, digits):
 # ---- ranking ----------------------------------------------------------------------
 
 for _key, _fn in {
-    "f01_tree": lambda t: K.tree(t, 8), "f02_forest": lambda t: K.forest(t, 10, 6), "f03_boosting": lambda t: K.boosting(t, 5),
+    "f01_tree": K.tree, "f02_forest": K.forest, "f03_boosting": K.boosting,
     "f04_xgboost": lambda t: K.xgboost(t, 5, max_depth=4), "f08_lasso": K.lasso, "f10_elastic_net": K.elastic_net,
     "f11_sparse_pca": K.sparse_pca, "f13_boruta": lambda t: K.boruta(t, 3, 5, 5), "f20_information_bottleneck": K.information_bottleneck,
-    "f21_mrmr": K.mrmr, "f22_permutation": lambda t: K.permutation_importance(t, 2, 5, 5), "f24_lime": lambda t: K.lime(t, 5, 5, 200, n_queries=10),
-    "f25_interactions": lambda t: K.interactions(t, 5, 5), "f26_rrelieff": lambda t: K.relieff(t, n_iter=200), "f27_feature_clustering": K.feature_clustering,
+    "f21_mrmr": K.mrmr, "f22_permutation": lambda t: K.permutation_importance(t, 2, 5, 5), "f24_lime": K.lime,
+    "f25_interactions": lambda t: K.interactions(t, 5, 5), "f26_rrelieff": K.relieff, "f27_feature_clustering": K.feature_clustering,
     "f28_bayesian": K.bayesian_importance,
 }.items():
     @query(_key)
     def _(spark, d, fn=_fn):
         return _s(fn(ranked(spark, d)), 4)
 
-for _key, _fn, _target in (("f03_boosting_classes", lambda t: K.boosting(t, 3), "cls2"), ("f05_logistic", K.linear, "cls2"), ("f06_svm", lambda t: K.svm(t, max_iter=30), "cls3"),
-                           ("f08_lasso_classes", K.lasso, "cls2"), ("f26_relieff", lambda t: K.relieff(t, n_iter=200), "cls2"),
+for _key, _fn, _target in (("f03_boosting_classes", K.boosting, "cls2"), ("f05_logistic", K.linear, "cls2"), ("f06_svm", K.svm, "cls3"),
+                           ("f08_lasso_classes", K.lasso, "cls2"), ("f26_relieff", K.relieff, "cls2"),
                            ("f28_bootstrap_classes", lambda t: K.bayesian_importance(t, 3), "cls2")):
     @query(_key)
     def _(spark, d, fn=_fn, target=_target):
@@ -249,12 +249,12 @@ def _run(spark, d, method, target, **kw):
 
 
 for _key, _method, _target, _kw in (
-        ("l08_linear", "linear", "y", {}), ("l09_logistic", "logistic", "cls2", {"max_iter": 50}), ("l10_ridge", "ridge", "y", {}),
-        ("l10_ridge_classes", "ridge", "cls3", {}), ("l11_lasso", "lasso", "y", {}), ("l12_decision_tree", "decision_tree", "y", {"max_depth": 8}),
-        ("l13_random_forest", "random_forest", "cls3", {"n_trees": 10, "max_depth": 6}), ("l14_gradient_boosting", "gradient_boosting", "y", {"n_trees": 5}),
+        ("l08_linear", "linear", "y", {}), ("l09_logistic", "logistic", "cls2", {}), ("l10_ridge", "ridge", "y", {}),
+        ("l10_ridge_classes", "ridge", "cls3", {}), ("l11_lasso", "lasso", "y", {}), ("l12_decision_tree", "decision_tree", "y", {}),
+        ("l13_random_forest", "random_forest", "cls3", {}), ("l14_gradient_boosting", "gradient_boosting", "y", {"n_trees": 5}),
         ("l15_adaboost", "adaboost", "cls2", {"n_rounds": 4}), ("l15_adaboost_regression", "adaboost", "y", {"n_rounds": 3}),
-        ("l16_svm", "svm", "cls2", {"n_features": 30}), ("l17_knn", "knn", "cls3", {}), ("l17_knn_regression", "knn", "y", {"weights": "distance"}),
-        ("l18_mlp", "mlp", "cls2", {"hidden": (8,), "max_iter": 30}), ("l19_naive_bayes", "naive_bayes", "cls3", {}),
+        ("l16_svm", "svm", "cls2", {}), ("l17_knn", "knn", "cls3", {}), ("l17_knn_regression", "knn", "y", {"weights": "distance"}),
+        ("l18_mlp", "mlp", "cls2", {}), ("l19_naive_bayes", "naive_bayes", "cls3", {}),
         ("l20_bayesian_ridge", "bayesian_ridge", "y", {}), ("l21_xgboost", "xgboost", "y", {"n_trees": 5}), ("l21_lightgbm", "lightgbm", "y", {"n_trees": 3})):
     @query(_key)
     def _(spark, d, method=_method, target=_target, kw=_kw):
