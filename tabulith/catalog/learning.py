@@ -61,9 +61,9 @@ def _least_squares_sql(alpha, digits):
 
 for _key, _fn in {
     "f01_tree": K.tree, "f02_forest": K.forest, "f03_boosting": K.boosting,
-    "f04_xgboost": lambda t: K.xgboost(t, 5, max_depth=4), "f08_lasso": K.lasso, "f10_elastic_net": K.elastic_net,
+    "f04_xgboost": K.xgboost, "f08_lasso": K.lasso, "f10_elastic_net": K.elastic_net,
     "f11_sparse_pca": K.sparse_pca, "f13_boruta": lambda t: K.boruta(t, 3, 5, 5), "f20_information_bottleneck": K.information_bottleneck,
-    "f21_mrmr": K.mrmr, "f22_permutation": lambda t: K.permutation_importance(t, 2, 5, 5), "f24_lime": K.lime,
+    "f21_mrmr": K.mrmr, "f22_permutation": K.permutation_importance, "f24_lime": K.lime,
     "f25_interactions": lambda t: K.interactions(t, 5, 5), "f26_rrelieff": K.relieff, "f27_feature_clustering": K.feature_clustering,
     "f28_bayesian": K.bayesian_importance,
 }.items():
@@ -251,11 +251,11 @@ def _run(spark, d, method, target, **kw):
 for _key, _method, _target, _kw in (
         ("l08_linear", "linear", "y", {}), ("l09_logistic", "logistic", "cls2", {}), ("l10_ridge", "ridge", "y", {}),
         ("l10_ridge_classes", "ridge", "cls3", {}), ("l11_lasso", "lasso", "y", {}), ("l12_decision_tree", "decision_tree", "y", {}),
-        ("l13_random_forest", "random_forest", "cls3", {}), ("l14_gradient_boosting", "gradient_boosting", "y", {"n_trees": 5}),
+        ("l13_random_forest", "random_forest", "cls3", {}), ("l14_gradient_boosting", "gradient_boosting", "y", {}),
         ("l15_adaboost", "adaboost", "cls2", {"n_rounds": 4}), ("l15_adaboost_regression", "adaboost", "y", {"n_rounds": 3}),
         ("l16_svm", "svm", "cls2", {}), ("l17_knn", "knn", "cls3", {}), ("l17_knn_regression", "knn", "y", {"weights": "distance"}),
         ("l18_mlp", "mlp", "cls2", {}), ("l19_naive_bayes", "naive_bayes", "cls3", {}),
-        ("l20_bayesian_ridge", "bayesian_ridge", "y", {}), ("l21_xgboost", "xgboost", "y", {"n_trees": 5}), ("l21_lightgbm", "lightgbm", "y", {"n_trees": 3})):
+        ("l20_bayesian_ridge", "bayesian_ridge", "y", {}), ("l21_xgboost", "xgboost", "y", {}), ("l21_lightgbm", "lightgbm", "y", {})):
     @query(_key)
     def _(spark, d, method=_method, target=_target, kw=_kw):
         m = _run(spark, d, method, target, **kw).metrics
