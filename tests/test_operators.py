@@ -469,7 +469,7 @@ def test_shortcut_is_called(learn):
     assert audit.recoverability(d, "p", ["a"], ["id"]).first()["verdict"] == "proxy_recoverable"
 
 
-def test_failing_variants_are_skipped(xy):
+def test_failing_variants_are_errors_unless_skipped(xy):
     _, df = xy
     cond = conditioning.condition(df, ["x"], n_variants=3)
     calls = []
@@ -479,9 +479,12 @@ def test_failing_variants_are_skipped(xy):
         if len(calls) == 1:
             raise ValueError("first fails")
         return d.agg(F.lit("x").alias("feature"), F.avg("x").alias("score"))
-    assert stability.across_variants(cond, fn).count() == 2
+    assert stability.across_variants(cond, fn, on_error="skip").count() == 2
+    calls.clear()
+    with pytest.raises(ValueError):
+        stability.across_variants(cond, fn)
     with pytest.raises(RuntimeError):
-        stability.across_variants(cond, lambda d: (_ for _ in ()).throw(ValueError("no")))
+        stability.across_variants(cond, lambda d: (_ for _ in ()).throw(ValueError("no")), on_error="skip")
 
 
 # ---- plans and streams -----------------------------------------------------------------------------
