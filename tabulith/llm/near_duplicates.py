@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,6 @@ DF_BITS = 18
 RARE = 0.1
 LEAST_IDF = 0.05
 THRESHOLD = 0.8
-#: texts of a bucket that the components still meeting there are compared with in a round
-PICKS = 4
 
 _rng = np.random.default_rng(20)
 _R = _rng.gamma(2.0, 1.0, 1 << 16)
@@ -189,12 +188,12 @@ def _moved(roots: DataFrame, to: DataFrame) -> DataFrame:
     return stored(roots.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
 
 
-def find(texts: DataFrame, *, threshold: float = THRESHOLD, most_rounds: int = 20) -> Found:
+def find(texts: DataFrame, *, threshold: float = THRESHOLD, most_rounds: int | None = None) -> Found:
     """Links between the distinct texts of ``texts`` (columns node, a digest of the text, and text; repeats are harmless).
 
     In each bucket of a band every text is compared with one text that a hash picks, another one in each band. Then, as long
-    as a round finds links, the components that still meet in a bucket compare one text each with four other picks. Pairs
-    within a bucket are never all formed."""
+    as a round finds links, the components that still meet in a bucket compare one text each with another pick. Pairs within
+    a bucket are never all formed."""
     spark = texts.sparkSession
     small_batches(spark)
     idf = spark.sparkContext.broadcast(idf_table(texts))
@@ -209,12 +208,17 @@ def find(texts: DataFrame, *, threshold: float = THRESHOLD, most_rounds: int = 2
     held = stored(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     links = stored(_check(pairs, held, idf, threshold), "verified")
     roots = _moved(wanted.select("node", F.col("node").alias("root")), components(links))
-    for turn in range(most_rounds):
-        order = [F.xxhash64("node", "bucket", F.lit(turn * PICKS + i)) for i in range(PICKS)]
-        ones = shared.join(roots, "node").groupBy("bucket", "root").agg(F.min_by("node", order[0]).alias("node"))
-        picks = ones.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[F.min_by("node", o) for o in order])).alias("x"))
-        picks = picks.where("n > 1").select("bucket", F.explode("x").alias("x"))
-        fresh = stored(_ordered_pairs(ones.join(picks, "bucket").select("x", F.col("node").alias("y"))).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    for turn in count() if most_rounds is None else range(most_rounds):
+        order = F.xxhash64("node", "bucket", F.lit(turn))
+
+        def ones(rows):
+            return rows.join(roots, "node").groupBy("bucket", "root").agg(F.min_by("node", order).alias("node"))
+
+        picks = ones(shared).groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", order).alias("x")).where("n > 1").select("bucket", "x")
+        picks = stored(picks, "picks")
+        # a bucket whose texts are all in one component is done for good
+        shared = stored(shared.join(picks, "bucket", "left_semi"), "shared")
+        fresh = stored(_ordered_pairs(ones(shared).join(picks, "bucket").select("x", F.col("node").alias("y"))).join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = stored(_check(fresh, held, idf, threshold), "verified")
         if not more.head(1):
             break
