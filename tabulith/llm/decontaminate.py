@@ -1,8 +1,10 @@
 """Benchmark passages in documents: latent semantic retrieval, then longest common subsequence and answer checks.
 
-The benchmark's passages become TF-IDF vectors, with frequencies from all documents, and a distributed randomised SVD gives
-their latent space. Passages of documents are folded into it; those close in cosine to a benchmark passage are compared
-word by word.
+The benchmark's passages become TF-IDF vectors, with frequencies from all documents, and distributed randomised SVDs give
+latent spaces, one for each block of passages and as wide as the block, so that no part of a passage is lost whatever the size
+of the benchmark. Passages of documents are folded into them; those close in cosine to a benchmark passage are compared word
+by word. So are, as the exact way, the places where a text shares runs of three words with an item, as many as an item must
+leave that is there word for word or with up to a fifth of its words replaced or left out.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh, keyed_text, small_batches
+from .common import MIX, blocks, fresh, keyed_text, mix64, small_batches
 
 #: words of half a passage; passages are pairs of neighbouring halves, so each is met in whole or nearly so
 HALF = 32
-RANK = 256
-#: most numbers in the table of word vectors (64 MB), which bounds the broadcast; a larger benchmark gets a lower rank
+#: passages of a block; its space has a direction for each of them
+BLOCK = 256
+#: numbers in the tables of word vectors that are sent at a time (64 MB); the items of a larger benchmark go in parts, each with
+#: its own scan of the documents
 MOST_WEIGHTS = 16_000_000
 #: words in fewer than this share of documents weigh the same; those in over half weigh nothing
 RARE, COMMON = 0.005, 0.5
@@ -32,6 +36,8 @@ COSINE = 0.2
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.8
 #: items shorter than this count only as a whole, word for word
 SHORT = 8
+#: words of a run by which texts and items meet exactly; shorter items meet as a whole
+RUN = 3
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -105,53 +111,132 @@ def _passages(words: list[str]) -> list[list[str]]:
 
 
 @dataclass
-class Space:
-    """Vocabulary of the benchmark, weights, word vectors in the latent space, and the benchmark's passages there."""
+class Block:
+    """A latent space and the benchmark's passages in it."""
 
-    place: dict[str, int]
-    idf: np.ndarray  # one more than the words: the last is for words that the benchmark lacks
+    local: np.ndarray  # place of each benchmark word among the words of the block, or -1; one more for all other words
     vectors: np.ndarray  # words x rank, each row times its weight
-    items: list[Item]
     owners: np.ndarray  # item of each passage
     latent: np.ndarray  # rank x passages, over the passages' lengths
 
 
-def _vector(words: list[str], place: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at, counts = np.unique(np.asarray([place[w] for w in words], np.int64), return_counts=True)
-    return at, counts * idf[at]
+@dataclass
+class Runs:
+    """Runs of ``size`` words of the items: sorted keys, and for each key the items that hold it."""
 
+    size: int
+    keys: np.ndarray
+    starts: np.ndarray  # one more than the keys
+    items: np.ndarray
 
-def _partial_sums(batches: Iterator[pa.RecordBatch], place: dict[str, int], idf: np.ndarray, right: np.ndarray, inner: bool) -> Iterator[pa.RecordBatch]:
-    """Over the passages x of the batch: the sum of x (x right), or of (x right)' (x right)."""
-    total = np.zeros((right.shape[1] if inner else right.shape[0], right.shape[1]))
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for p in _passages(tokens(text or "")):
-                at, value = _vector(p, place, idf)
-                y = value @ right[at]
-                if inner:
-                    total += np.outer(y, y)
-                else:
-                    total[at] += np.outer(value, y)
-    yield pa.RecordBatch.from_pydict({"sums": pa.array([total.astype("<f8").tobytes()], pa.binary())})
 
+@dataclass
+class Space:
+    """Vocabulary of the benchmark, weights, and some of its items with their latent spaces and runs."""
 
-def latent_basis(benchmark: DataFrame, place: dict[str, int], idf: np.ndarray, rank: int) -> np.ndarray:
-    """Right singular vectors of the benchmark's passages by a randomised range and a small eigenproblem, two passes over them."""
-    texts = benchmark.select("text").coalesce(8)
+    place: dict[str, int]
+    idf: np.ndarray  # one more than the words: the last is for words that the benchmark lacks
+    items: list[Item]
+    needed: np.ndarray  # runs that an item must share with a text
+    blocks: list[Block]
+    runs: list[Runs]
+
+
+def _run_keys(ids: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``size`` word numbers."""
+    n = max(0, len(ids) - size + 1)
+    h = np.full(n, size, np.uint64)
+    for k in range(size):
+        h = mix64(h * MIX + ids[k:k + n].astype(np.uint64))
+    return h
+
+
+def _needed(n: int) -> int:
+    """Runs of an item of n words that are left if it counts as copied and each missing word breaks as many as it can."""
+    size = min(RUN, n)
+    return max(1, n - size + 1 - (size * int((1 - COPIED) * n + 1e-9) if n >= SHORT else 0))
+
+
+def _runs(items: list[Item], place: dict[str, int]) -> list[Runs]:
+    out = []
+    for size in range(1, RUN + 1):
+        keys, owners = [], []
+        for k, item in enumerate(items):
+            if min(RUN, len(item.words)) == size:
+                got = np.unique(_run_keys(np.asarray([place[w] for w in item.words], np.int64), size))
+                keys.append(got)
+                owners.append(np.full(len(got), k, np.int64))
+        if keys:
+            keys, owners = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(keys, kind="stable")
+            distinct, starts = np.unique(keys[order], return_index=True)
+            out.append(Runs(size, distinct, np.append(starts, len(keys)), owners[order]))
+    return out
+
+
+def _vector(words: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, counts = np.unique(np.asarray(words, np.int64), return_counts=True)
+    return at, counts * idf[at]
 
-    def summed(right: np.ndarray, inner: bool) -> np.ndarray:
-        got = texts.mapInArrow(partial(_partial_sums, place=place, idf=idf, right=right, inner=inner), "sums binary").collect()
-        return sum(np.frombuffer(r[0], "<f8") for r in got).reshape(-1, right.shape[1])
 
-    start = np.random.default_rng(5).standard_normal((len(place), min(rank + 10, len(place))))
-    q, _ = np.linalg.qr(summed(start, False))
-    values, inside = np.linalg.eigh(summed(q, True))
-    return q @ inside[:, np.argsort(-values)[:rank]]
+def _basis(vectors: list[tuple[np.ndarray, np.ndarray]], words: int) -> np.ndarray:
+    """Right singular vectors of the passages by a randomised range and a small eigenproblem."""
+    x = np.zeros((len(vectors), words))
+    for i, (at, value) in enumerate(vectors):
+        x[i, at] = value
+    q, _ = np.linalg.qr(x.T @ (x @ np.random.default_rng(5).standard_normal((words, min(len(x) + 10, words)))))
+    y = x @ q
+    values, inside = np.linalg.eigh(y.T @ y)
+    return q @ inside[:, np.argsort(-values)[:len(x)]]
 
 
-def space(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_key: str = "item_id", rank: int = RANK) -> Space | None:
-    """Fit the latent space; None if the benchmark has no word.
+def _spaces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block of passages its word vectors and its passages in the latent space, as bytes."""
+    for batch in batches:
+        for number, passages, idf in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            idf = np.asarray(idf)
+            vectors = [_vector(p, idf) for p in passages]
+            basis = _basis(vectors, len(idf))
+            latent = [value @ basis[at] / max(np.sqrt((value ** 2).sum()), 1e-12) for at, value in vectors]
+            yield pa.RecordBatch.from_pydict({"number": [number], "rank": [basis.shape[1]], "vectors": [(basis * idf[:, None]).astype("<f4").tobytes()],
+                                              "latent": [np.ascontiguousarray(np.asarray(latent).T, "<f4").tobytes()]})
+
+
+def _fitted(docs: DataFrame, items: list[Item], place: dict[str, int], idf: np.ndarray) -> Iterator[Space]:
+    """Spaces for runs of whole items; each holds blocks with at most about MOST_WEIGHTS numbers."""
+    spark = docs.sparkSession
+    parts, some, held = [], [], 0
+    for item in items:
+        weighs = len(item.distinct) * BLOCK  # words that passages of a block share are counted more than once
+        if some and held + weighs > MOST_WEIGHTS:
+            parts.append(some)
+            some, held = [], 0
+        some.append(item)
+        held += weighs
+    parts.append(some)
+    for part in parts:
+        passages = [(k, [place[w] for w in p]) for k, item in enumerate(part) for p in _passages(item.words)]
+        passages = [(k, p) for k, p in passages if idf[p].any()]
+        rows, known = [], []
+        for i in range(0, len(passages), BLOCK):
+            block = passages[i:i + BLOCK]
+            words = np.unique(np.concatenate([p for _, p in block]))
+            local = np.full(len(idf), -1, np.int64)
+            local[words] = np.arange(len(words))
+            rows.append((len(rows), [local[p].tolist() for _, p in block], idf[words].tolist()))
+            known.append((local, np.asarray([k for k, _ in block], np.int64)))
+        blocks_ = []
+        if rows:
+            sent = spark.createDataFrame(rows, "number int, passages array<array<int>>, idf array<double>").repartition(min(len(rows), 64), "number")
+            got = {r["number"]: r for r in sent.mapInArrow(_spaces, "number bigint, rank bigint, vectors binary, latent binary").collect()}
+            for i, (local, owners) in enumerate(known):
+                rank = got[i]["rank"]
+                blocks_.append(Block(local, np.frombuffer(got[i]["vectors"], "<f4").reshape(-1, rank), owners, np.frombuffer(got[i]["latent"], "<f4").reshape(rank, -1)))
+        yield Space(place, idf, part, np.asarray([_needed(len(i.words)) for i in part], np.int64), blocks_, _runs(part, place))
+
+
+def spaces(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_key: str = "item_id") -> Iterator[Space]:
+    """Fit the latent spaces, a few at a time; none if the benchmark has no word.
 
     The benchmark is the given query set and goes to the driver; documents are only counted, one number for each word of the
     benchmark. Null and wordless items are left out; items with the same key stay apart."""
@@ -164,7 +249,7 @@ def space(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_tex
             items.append(Item(r["key"], words, _answer(r["text"], words)))
     place = {w: i for i, w in enumerate(sorted({w for i in items for w in i.words}))}
     if not place:
-        return None
+        return
     texts = docs.select(F.lit(0).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     n = max(1, texts.count())
     df = np.full(len(place), 1.0)
@@ -175,18 +260,7 @@ def space(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_tex
     idf = np.where(df > COMMON * n, 0.0, np.maximum(idf, 0.0))
     if not idf.any() or n < 1.0 / RARE:
         idf = np.where(idf > 0, idf, 0.1) if n < 1.0 / RARE else np.full(len(place), most)
-    rank = max(1, min(rank, sum(len(_passages(i.words)) for i in items), MOST_WEIGHTS // len(place)))
-    basis = latent_basis(rows, place, idf, rank)
-    owners, latent = [], []
-    for k, item in enumerate(items):
-        for p in _passages(item.words):
-            at, value = _vector(p, place, idf)
-            size = np.sqrt((value ** 2).sum())
-            if size > 0:
-                owners.append(k)
-                latent.append(value @ basis[at] / size)
-    return Space(place, np.append(idf, most if n >= 1.0 / RARE else np.log(max(n, 2))), (basis * idf[:, None]).astype(np.float32), items,
-                 np.asarray(owners, np.int64), np.asarray(latent, np.float32).reshape(-1, basis.shape[1]).T)
+    yield from _fitted(docs, items, place, np.append(idf, most if n >= 1.0 / RARE else np.log(max(n, 2))))
 
 
 def _leaks(texts: list[str], s: Space) -> Iterator[tuple[int, int, float]]:
@@ -203,42 +277,80 @@ def _leaks(texts: list[str], s: Space) -> Iterator[tuple[int, int, float]]:
     inside = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
     half = np.repeat(first_half[:-1], counts) + inside // HALF
     owner = np.repeat(np.arange(len(words)), halves)
+    met: dict[tuple[int, int], set[int]] = {}
     weight = s.idf[ids]
     norm = np.bincount(half, weights=weight ** 2, minlength=first_half[-1])
-    hit = np.flatnonzero((ids >= 0) & (weight > 0))
+    same = np.append(owner[1:] == owner[:-1], False)
+    size = np.sqrt(np.maximum(norm + np.where(same, np.append(norm[1:], 0.0), 0.0), 1e-12))
+    for block in s.blocks:
+        _near(block, ids, weight, half, same, size, owner, first_half, met)
+    for runs in s.runs:
+        _shared(runs, s, ids, half, owner, first_half, met)
+    for (t, k), at in sorted(met.items()):
+        reach = max(HALF, len(s.items[k].words) - HALF)
+        best = 0.0
+        for h in sorted(at):
+            best = max(best, judged(s.items[k], words[t][max(0, h * HALF - reach):(h + 2) * HALF + reach]))
+            if best == 1.0:
+                break
+        if best:
+            yield t, k, best
+
+
+def _near(block: Block, ids: np.ndarray, weight: np.ndarray, half: np.ndarray, same: np.ndarray, size: np.ndarray, owner: np.ndarray,
+          first_half: np.ndarray, met: dict[tuple[int, int], set[int]]) -> None:
+    """Add the halves at which a passage of a text is close in cosine to one of the block, by text and item."""
+    place = block.local[ids]
+    hit = np.flatnonzero((place >= 0) & (weight > 0))
     if not len(hit):
         return
     where = half[hit]
     starts = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
-    z = np.zeros((first_half[-1] + 1, s.vectors.shape[1]), np.float32)
+    z = np.zeros((first_half[-1] + 1, block.vectors.shape[1]), np.float32)
     for i in range(0, len(starts), 4096):  # bounds the gathered rows
         a = starts[i]
         b = starts[i + 4096] if i + 4096 < len(starts) else len(hit)
-        z[where[starts[i:i + 4096]]] = np.add.reduceat(s.vectors[ids[hit[a:b]]], starts[i:i + 4096] - a, axis=0)
-    same = np.append(owner[1:] == owner[:-1], False)
+        z[where[starts[i:i + 4096]]] = np.add.reduceat(block.vectors[place[hit[a:b]]], starts[i:i + 4096] - a, axis=0)
     window = z[:-1] + np.where(same[:, None], z[1:], 0.0)
-    size = np.sqrt(np.maximum(norm + np.where(same, np.append(norm[1:], 0.0), 0.0), 1e-12))
     # no cosine exceeds the share of the passage that lies in the latent space
     near = np.flatnonzero(np.sqrt((window ** 2).sum(axis=1)) >= COSINE * size)
     for i in range(0, len(near), 4096):
         some = near[i:i + 4096]
-        cosine = (window[some] @ s.latent) / size[some, None]
-        met: dict[tuple[int, int], list[int]] = {}
+        cosine = (window[some] @ block.latent) / size[some, None]
         for row, passage in zip(*np.nonzero(cosine >= COSINE)):
             h = int(some[row])
-            met.setdefault((int(owner[h]), int(s.owners[passage])), []).append(h - int(first_half[owner[h]]))
-        for (t, k), at in met.items():
-            reach = max(HALF, len(s.items[k].words) - HALF)
-            best, done = 0.0, -1
-            for h in sorted(at):
-                if h == done:
-                    continue
-                done = h
-                best = max(best, judged(s.items[k], words[t][max(0, h * HALF - reach):(h + 2) * HALF + reach]))
-                if best == 1.0:
-                    break
-            if best:
-                yield t, k, best
+            met.setdefault((int(owner[h]), int(block.owners[passage])), set()).add(h - int(first_half[owner[h]]))
+
+
+def _shared(runs: Runs, s: Space, ids: np.ndarray, half: np.ndarray, owner: np.ndarray, first_half: np.ndarray, met: dict[tuple[int, int], set[int]]) -> None:
+    """Add the halves where a text shares runs with an item, if it shares as many as the item needs."""
+    n = len(ids) - runs.size + 1
+    if n <= 0:
+        return
+    text = owner[half]
+    inside = text[:n] == text[runs.size - 1:]
+    for k in range(runs.size):
+        inside &= ids[k:k + n] >= 0
+    at = np.flatnonzero(inside)
+    keys = _run_keys(ids, runs.size)[at]
+    found = np.minimum(np.searchsorted(runs.keys, keys), len(runs.keys) - 1)
+    hit = runs.keys[found] == keys
+    at, found = at[hit], found[hit]
+    if not len(at):
+        return
+    many = runs.starts[found + 1] - runs.starts[found]
+    ends = np.cumsum(many)
+    item = runs.items[np.repeat(runs.starts[found], many) + np.arange(ends[-1]) - np.repeat(ends - many, many)]
+    at = np.repeat(half[at], many)
+    pair = owner[at] * len(s.items) + item
+    _, which, count = np.unique(pair, return_inverse=True, return_counts=True)
+    enough = count[which] >= s.needed[item]
+    places = np.unique(np.stack([at[enough], item[enough]], axis=1), axis=0)
+    for h, k in places.tolist():
+        t = int(owner[h])
+        h -= int(first_half[t])
+        # of a long item the region around one half may miss an end; the one before then has it
+        met.setdefault((t, k), set()).update((h, max(0, h - 1)) if len(s.items[k].words) > HALF else (h,))
 
 
 def _found(batches: Iterator[pa.RecordBatch], s, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -256,20 +368,23 @@ def _found(batches: Iterator[pa.RecordBatch], s, schema: pa.Schema) -> Iterator[
 def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark item found in it: key, item and share, the part of the item found in order.
 
-    Whole texts are searched in overlapping passages. Null and empty texts have no leak; without benchmark words the result
+    Whole texts are searched in overlapping passages, for all items however many; a large benchmark takes more than one scan. Null and empty texts have no leak; without benchmark words the result
     is empty. Repeated documents are reported each; null keys are carried; other columns are not read. Nothing is shuffled
     but word counts."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    fitted = space(docs, benchmark, text=text, item_text=item_text, item_key=item_key)
     rows = keyed_text(docs, key, text)
     kinds = [rows.schema["key"].dataType, benchmark.schema[item_key].dataType]
     ddl = f"key {kinds[0].simpleString()}, item {kinds[1].simpleString()}, share double"
-    if fitted is None:
-        return docs.sparkSession.createDataFrame([], ddl).withColumnsRenamed({"key": key, "item": item_key})
     arrow = [to_arrow_schema(rows.schema).field(0).type, to_arrow_schema(benchmark.select(F.col(f"`{item_key}`")).schema).field(0).type]
     schema = pa.schema([("key", arrow[0]), ("item", arrow[1]), ("share", pa.float64())])
-    sent = docs.sparkSession.sparkContext.broadcast(fitted)
-    return rows.mapInArrow(partial(_found, s=sent, schema=schema), ddl).withColumnsRenamed({"key": key, "item": item_key})
+    out = None
+    for fitted in spaces(docs, benchmark, text=text, item_text=item_text, item_key=item_key):
+        sent = docs.sparkSession.sparkContext.broadcast(fitted)
+        some = rows.mapInArrow(partial(_found, s=sent, schema=schema), ddl)
+        out = some if out is None else out.unionAll(some)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], ddl)
+    return out.withColumnsRenamed({"key": key, "item": item_key})
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

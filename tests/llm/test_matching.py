@@ -146,3 +146,29 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert all(rows[i].text == clean[i][1] for i in range(40))
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(rows)
+
+
+def test_leaks_do_not_depend_on_the_size_of_the_benchmark(spark):
+    """1,200 items over one small vocabulary, each verbatim in a longer document, and some with every eighth word replaced."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3_000)]
+    share = [1.0 / (i + 20) for i in range(len(words))]
+    docs = [r.choices(words, share, k=150) for _ in range(1_200)]
+    items = [(i, " ".join(d[i % 80:i % 80 + 8 + i % 50])) for i, d in enumerate(docs)]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    rows += [(5_000 + i, " ".join(r.choices(words, share, k=60) + [w if j % 8 else "other" for j, w in enumerate(items[i][1].split())] + r.choices(words, share, k=60)))
+             for i in range(300) if i % 50 >= 8]
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(df, bench).collect()}
+    assert all(got.get((i, i)) == 1.0 for i, _ in items)
+    assert all((d, d - 5_000) in got for d, _ in rows if d >= 5_000)
+    of = dict(rows)
+    assert all(decontaminate.common_subsequence(items[k][1].split(), of[d].split()) >= 0.6 * len(items[k][1].split()) for d, k in got)
+
+
+def test_items_of_one_and_two_words_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_WEIGHTS", 1)
+    bench = spark.createDataFrame([(1, "zebra"), (2, "two words"), (3, prose(77, 100)), (4, prose(78, 9))], "item_id bigint, text string")
+    rows = [(1, "a zebra here"), (2, "words two"), (3, "in two words"), (4, prose(1, 90) + " " + prose(77, 100)), (5, prose(78, 9))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3), (5, 4)}
