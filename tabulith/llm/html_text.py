@@ -69,13 +69,13 @@ def _element(name: str, attributes: str) -> tuple[str, bool]:
 
 
 def parse(page: str) -> list[tuple]:
-    """Tokens in page order: ("text", string, element, skipped) and ("tag", name, is block, skipped)."""
+    """Tokens in page order: ("text", string, element, skipped) and ("tag", name, is block, skipped), each with 1, -1 or 0 for a tag that opens, closes or neither."""
     out, stack, at = [], [], 0  # stack: (tag, element, skipped)
 
     def text(upto: int) -> None:
         if upto > at:
             top = stack[-1] if stack else ("", "", False)
-            out.append(("text", page[at:upto], top[1], top[2]))
+            out.append(("text", page[at:upto], top[1], top[2], 0))
 
     end, size = 0, len(page)
     while at < size:
@@ -116,7 +116,7 @@ def parse(page: str) -> list[tuple]:
                 if not m[3].rstrip(">").endswith("/"):
                     stack.append((name, above[1] if plain and above[1] else element, off or above[2]))
         top = stack[-1] if stack else ("", "", False)
-        out.append(("tag", name, name not in _INLINE, top[2]))
+        out.append(("tag", name, name not in _INLINE, top[2], -1 if closing else 0 if m[3].rstrip(">").endswith("/") else 1))
     return out
 
 
@@ -154,7 +154,7 @@ def extract(page: str, weights: Weights) -> tuple[str, float]:
     """The text of the best run and its score."""
     tokens = parse(page)
     scores, dropped, was = [], [], False
-    for kind, value, extra, skipped in tokens:
+    for kind, value, extra, skipped, _ in tokens:
         off = skipped or (kind == "text" and extra in weights.outside)
         dropped.append(off)
         if off:
@@ -166,7 +166,7 @@ def extract(page: str, weights: Weights) -> tuple[str, float]:
         was = off if kind == "text" or off else was
     first, last, score = best_run(scores)
     blocks, parts = [], []
-    for (kind, value, extra, _), off in zip(tokens[first:last + 1], dropped[first:last + 1]):
+    for (kind, value, extra, *_), off in zip(tokens[first:last + 1], dropped[first:last + 1]):
         if kind == "text" and not off:
             parts.append(html.unescape(value))
         elif off or extra is True:
@@ -183,13 +183,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lowered = page.lower()
             if "<article" not in lowered and "<main" not in lowered:
                 continue
-            depth = 0
-            for kind, value, extra, _ in parse(page):
+            opened = []
+            for kind, value, extra, _, turn in parse(page):
                 if kind == "tag" and value in _MARKED:
-                    depth = 1 - depth
+                    if turn > 0:
+                        opened.append(value)
+                    elif turn < 0 and value in opened:
+                        while opened.pop() != value:  # one inside it was never closed
+                            pass
                     continue
                 feature, n = ("w:" + extra, len(value.split())) if kind == "text" else ("t:" + value, 1)
-                found.setdefault(feature, [0, 0])[0 if depth else 1] += n
+                found.setdefault(feature, [0, 0])[0 if opened else 1] += n
     rows = sorted(found.items())
     yield pa.RecordBatch.from_pydict({"feature": pa.array([f for f, _ in rows], pa.string()), "inside": pa.array([c[0] for _, c in rows], pa.int64()),
                                       "outside": pa.array([c[1] for _, c in rows], pa.int64())})

@@ -214,3 +214,16 @@ def test_native_queries_run_no_python(spark, edge):
 def test_tokenizer_folder_is_a_setting(monkeypatch):
     monkeypatch.setenv("TOKENIZER_DIR", "/some/folder")
     assert queries.vocabulary() == os.path.join("/some/folder", "byte_bpe_50k.json")
+
+
+def test_weights_of_articles_inside_main_and_articles(spark):
+    """The usual layout, article in main, articles in articles, and one that is never closed: their words are content, those around are not."""
+    body = lambda i: f'<div class="story">{prose(40 + i, 60)}</div>'
+    around = '<div class="teaser">Read more of our other stories in the paper today and tomorrow.</div>'
+    layouts = ["<main><h1>Title</h1><article>{0}</article></main>", "<article>{0}<article>{0}</article>{0}</article>", "<main><article>{0}</main>", "<main><article>{0}</article>{0}</main>"]
+    pages = [(i, "u", f"<html><body>{around}{layouts[i % 4].format(body(i))}{around}</body></html>") for i in range(24)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    weights = html_text.fit(df)
+    assert weights.outside == {"div.teaser"} and weights.word("div.story") > 0.9
+    for r in html_text.main_text(df, weights).collect():
+        assert " ".join(prose(40 + r.page_id, 60).split()) in r.text and "other stories" not in r.text
