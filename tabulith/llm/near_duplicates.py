@@ -152,7 +152,7 @@ def _verified(batches: Iterator[pa.RecordBatch], idf, threshold: float) -> Itera
 
 
 def idf_table(texts: DataFrame) -> np.ndarray:
-    """Weights of the shingle counters from all texts: 1 up to a tenth of the texts, then falling with the logarithm.
+    """Weights of the shingle counters from distinct texts: 1 up to a tenth of the texts, then falling with the logarithm.
 
     The driver gets one number for each of the 2^18 counters."""
     n = texts.count()
@@ -196,16 +196,16 @@ def find(texts: DataFrame, *, threshold: float = THRESHOLD, most_rounds: int | N
     a bucket are never all formed."""
     spark = texts.sparkSession
     small_batches(spark)
+    texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "distinct")
     idf = spark.sparkContext.broadcast(idf_table(texts))
     sketched = texts.select("node", "text").mapInArrow(partial(_sketches, idf=idf), "node binary, bands array<bigint>")
-    sketched = stored(sketched, "sketches").dropDuplicates(["node"])
     rows = stored(sketched.select("node", F.explode("bands").alias("bucket")), "bands")
     picks = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "bucket")).alias("x")).where("n > 1").select("bucket", "x")
     shared = stored(rows.join(picks, "bucket"), "shared")
     pairs = stored(_ordered_pairs(shared.select("x", F.col("node").alias("y"))), "pairs")
     shared = shared.select("bucket", "node")
     wanted = stored(shared.select("node").distinct(), "wanted")
-    held = stored(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    held = stored(texts.join(wanted, "node", "left_semi"), "texts")
     links = stored(_check(pairs, held, idf, threshold), "verified")
     roots = _moved(wanted.select("node", F.col("node").alias("root")), components(links))
     for turn in count() if most_rounds is None else range(most_rounds):

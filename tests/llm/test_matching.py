@@ -172,3 +172,23 @@ def test_items_of_one_and_two_words_and_parts(spark, monkeypatch):
     rows = [(1, "a zebra here"), (2, "words two"), (3, "in two words"), (4, prose(1, 90) + " " + prose(77, 100)), (5, prose(78, 9))]
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
     assert got == {(1, 1), (3, 2), (4, 3), (5, 4)}
+
+
+def test_copies_do_not_change_which_near_copies_are_linked(spark):
+    """Near copies at 0.82 to 0.88 of a text that a third of the rows hold."""
+    base = prose(9_900, 300).split()
+    near = []
+    for i, n in enumerate((15, 18, 21, 24)):
+        own = list(base)
+        own[100:100 + n] = prose(9_910 + i, n).split()
+        near.append(" ".join(own))
+    others = [prose(9_950 + i, 80) for i in range(120)]
+    sets = near_duplicates.shingles([" ".join(base), *near])
+    ones = np.ones(1 << near_duplicates.DF_BITS)
+    assert all(0.81 <= near_duplicates.similarity(sets[0], x, ones) <= 0.89 for x in sets[1:])
+    answers = []
+    for copies in (1, 65):
+        rows = [(i, " ".join(base)) for i in range(copies)] + [(1_000 + i, x) for i, x in enumerate(near)] + [(2_000 + i, x) for i, x in enumerate(others)]
+        got = {r.doc_id: r.class_id for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        answers.append([got[1_000 + i] for i in range(len(near))])
+    assert answers == [[0] * len(near)] * 2
