@@ -174,6 +174,26 @@ def test_items_of_one_and_two_words_and_parts(spark, monkeypatch):
     assert got == {(1, 1), (3, 2), (4, 3), (5, 4)}
 
 
+def test_pairs_inside_a_hot_template_equal_brute_force(spark):
+    """300 documents share a long passage and are too unlike for a link; 60 of them have a near copy."""
+    template = prose(9_000, 260)
+    texts = [template + " " + prose(9_100 + i, 45) for i in range(300)]
+    for i in range(60):
+        own = texts[i].split()
+        texts.append(" ".join(own[:-27] + prose(9_500 + i, 27).split()))
+    texts += [prose(20_000 + i, 12) for i in range(3_400)]  # the template stays in under a tenth of the texts
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    found = near_duplicates.classes(df).collect()
+    sets = near_duplicates.shingles(texts)
+    idf = near_duplicates.idf_table(df.selectExpr("unhex(md5(text)) AS node", "text"))
+    t = near_duplicates.THRESHOLD
+    links = [(i, j) for i in range(360) for j in range(i) if near_duplicates.similarity(sets[i], sets[j], idf) >= t]
+    want = groups(360, links)
+    got = {r.doc_id: r.class_id for r in found}
+    assert 40 <= len(links) and len(set(want)) >= 200
+    assert [got[i] for i in range(360)] == want
+
+
 def test_copies_do_not_change_which_near_copies_are_linked(spark):
     """Near copies at 0.82 to 0.88 of a text that a third of the rows hold."""
     base = prose(9_900, 300).split()
