@@ -66,8 +66,12 @@ def order_stats(df: DataFrame, cols, ranks_of, *, exact_rows: int | None = None)
 
 
 def _picked(array: str, ranks: list[int]) -> Column:
-    """Elements of a sorted array at 0-based ranks, in an expression of bounded depth."""
-    return F.transform(F.array(*[F.lit(r + 1) for r in ranks]), lambda r: F.element_at(array, r))
+    """Elements of a sorted array at 0-based ranks, in an expression of bounded depth.
+
+    The array is bound to a variable of its own: the optimizer moves a column's expression to each place that names the
+    column, and inside the inner function it would be sorted anew for every rank."""
+    wanted = F.array(*[F.lit(r + 1) for r in ranks])
+    return F.transform(F.array(array), lambda a: F.transform(wanted, lambda r: F.element_at(a, r)))[0]
 
 
 def _sorted_picks(df: DataFrame, exprs: dict[str, Column], sizes: dict[str, int], want: dict[str, set[int]]) -> dict:

@@ -185,10 +185,10 @@ def structure(df: DataFrame, key_share: float = KEY_SHARE, max_keys: int | None
         with_null = uniq[c] + (1 if got[c] else 0)
         key = (c in texts or c in ints) and non_null > 0 and uniq[c] / non_null >= key_share
         keys += key
+        looked_at = key and (max_keys is None or keys <= max_keys)
         out.append((c, non_null, uniq[c], non_null == 0, with_null <= 1,
                     c in texts and uniq[c] > key_share * rows_n, bool(key),
-                    non_null - uniq[c] if key and (max_keys is None or keys <= max_keys) else None,
-                    (non_null - uniq[c]) / non_null if key and keys <= max_keys else None))
+                    non_null - uniq[c] if looked_at else None, (non_null - uniq[c]) / non_null if looked_at else None))
     return rows_frame(df.sparkSession, out, "column string, non_null bigint, distinct bigint, all_null boolean, constant boolean, "
              "high_cardinality boolean, candidate_key boolean, collisions bigint, collision_rate double")
 
