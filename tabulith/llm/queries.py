@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, html_text, language, line_rules, near_duplicates, packing, prefix_counts, quality, secret_scan, token_files
+from . import decontaminate, hard_negatives, html_text, language, line_rules, near_duplicates, packing, prefix_counts, quality, secret_scan, spelling, token_files
 from .common import documents, stored
 
 QUERIES: dict = {}
@@ -102,3 +102,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a scorer that weak labels trained."""
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.fit(docs))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, against all vectors."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0, label=hard_negatives.shifted_label())
+
+
+ORACLES["op11_hard_negatives"] = hard_negatives.ORACLE
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.group(spelling.word_counts(documents(spark, sf_dir)))
