@@ -30,6 +30,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: a counted table of at most so many ids (some 20 MB) is sent to all tasks
+SENT_ROWS = 400_000
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, sent to all tasks if a count says that it is small; else left to a shuffle join."""
+    return F.broadcast(ids) if ids.count() <= SENT_ROWS else ids
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, hard_negatives, html_text, language, line_rules, near_duplicates, packing, prefix_counts, quality, secret_scan, spelling, token_files
+from . import decontaminate, hard_negatives, html_text, language, line_rules, near_duplicates, ngram_join, packing, prefix_counts, quality, secret_scan, spelling, token_files
 from .common import documents, stored
 
 QUERIES: dict = {}
@@ -118,3 +118,12 @@ ORACLES["op11_hard_negatives"] = hard_negatives.ORACLE
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the words of all documents."""
     return spelling.group(spelling.word_counts(documents(spark, sf_dir)))
+
+
+@query
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of shingle similarity."""
+    return ngram_join.classes(documents(spark, sf_dir))
+
+
+ORACLES["op13_ngram_join"] = ngram_join.ORACLE
