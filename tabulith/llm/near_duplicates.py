@@ -10,23 +10,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blocks, fresh, mix64, small_batches, stored, strings
-from .components import components
+from . import tiles
+from .common import WordHashes, blocks, bounded, fresh, mix64, small_batches, stored, strings
 
 SHINGLE = 5
 #: 16 bands of 4 samples: a pair at similarity 0.8 is missed with probability 0.0002
 BANDS, ROWS = 16, 4
 #: shingles share 2^18 counters; with 600 shingles a text the counts are too high by 0.25 % of the texts, at any size
 DF_BITS = 18
-#: counters that order shingles by how many of the texts still in question hold them; they bound work only, not results
-ORDER_BITS = 20
 #: shingles in over a tenth of the texts lose weight; all others weigh one, so copies are not told apart by being copied
 RARE = 0.1
 LEAST_IDF = 0.05
@@ -138,48 +135,14 @@ def _sketches(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch
             full = [i for i, s in enumerate(sets) if len(s[0])]
             if full:
                 got = bands([sets[i] for i in full], idf.value)
-                yield pa.RecordBatch.from_pydict({"node": pa.array([nodes[i] for i in full], pa.binary()),
-                                                  "bands": pa.array(list(got), pa.list_(pa.int64()))})
-
-
-def _held_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many texts hold a shingle of each counter."""
-    total = np.zeros(1 << ORDER_BITS, np.int64)
-    for batch in batches:
-        for _, texts in blocks(batch):
-            found = [s[0] for s in shingles(texts)]
-            if found:
-                total += np.bincount((np.concatenate(found) & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64), minlength=1 << ORDER_BITS)
-    at = np.flatnonzero(total)
-    for i in range(0, len(at), 50_000):
-        yield pa.RecordBatch.from_pydict({"slot": at[i:i + 50_000], "n": total[at[i:i + 50_000]]})
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], idf, held, threshold: float) -> Iterator[pa.RecordBatch]:
-    """The rarest shingles of each text: as many as must meet one of any larger text (short) or of any smaller one (all rows).
-
-    Two sets are alike only if their overlap is at least t / (1 + t) of the sum of their weights. What follows a text's
-    short prefix weighs less than 2 t / (1 + t) of it, what follows the long one less than t. Shingles that no other text
-    holds are left out."""
-    schema = pa.schema([("shingle", pa.int64()), ("node", pa.binary()), ("w", pa.float64()), ("total", pa.float64()), ("rest", pa.float64()), ("short", pa.bool_())])
-    for batch in batches:
-        for nodes, texts in blocks(batch):
-            for node, (hashes, counts) in zip(nodes, shingles(texts)):
-                if not len(hashes):
-                    continue
-                w = weights(hashes, counts, idf.value)
-                many = held.value[(hashes & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)]
-                order = np.lexsort((hashes, many))
-                w, many, hashes = w[order], many[order], hashes[order]
-                left = np.cumsum(w[::-1])[::-1]  # weight from each place on
-                total = left[0]
-                long = left >= threshold * total * (1 - 1e-9)
-                short = left >= 2 * threshold / (1 + threshold) * total * (1 - 1e-9)
-                rest = total - w[long].sum(), total - w[short].sum()
-                sent = np.flatnonzero(long & (many > 1))
-                if len(sent):
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[sent].view(np.int64)), pa.array([node] * len(sent), pa.binary()), pa.array(w[sent]), pa.array(np.full(len(sent), total)),
-                                                      pa.array(np.where(short[sent], rest[1], rest[0])), pa.array(short[sent])], schema=schema)
+                size, bits = [], []
+                for hashes, counts in (sets[i] for i in full):
+                    size.append(float(weights(hashes, counts, idf.value).sum()))
+                    # a shingle of full weight that one of two texts lacks parts them by at least one
+                    heavy = hashes[idf.value[(hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)] >= 1.0]
+                    bits.append(tiles.bitmap(heavy, len(heavy)))
+                yield pa.RecordBatch.from_pydict({"id": pa.array([nodes[i] for i in full], pa.binary()), "bands": pa.array(list(got), pa.list_(pa.int64())),
+                                                  "size": pa.array(size, pa.float64()), "bits": pa.array(bits, pa.binary())})
 
 
 def _verified(batches: Iterator[pa.RecordBatch], idf, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -212,10 +175,6 @@ class Found:
     roots: DataFrame
 
 
-def _ordered_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def _check(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """Verified pairs. The text of ``a`` comes first, then rows are dealt by ``b``, of which a busy ``a`` has many."""
     side = texts.select(F.col("node"), F.col("text"))
@@ -224,86 +183,25 @@ def _check(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     return joined.mapInArrow(partial(_verified, idf=idf, threshold=threshold), "a binary, b binary, similarity double")
 
 
-def _remaining(texts: DataFrame, roots: DataFrame, idf, threshold: float) -> DataFrame:
-    """All pairs of ``texts`` from different components that may be alike, by their rarest shingles; no other pair is.
-
-    Shingles that one component alone holds are left out before texts meet. Pairs whose overlap cannot reach the threshold
-    by what they share of their prefixes are excluded before their texts are fetched."""
-    spark = texts.sparkSession
-    got = texts.select("node", "text").mapInArrow(_held_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    held = np.zeros(1 << ORDER_BITS, np.int32)
-    held[got["slot"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), (1 << 31) - 1)
-    rows = texts.select("node", "text").mapInArrow(partial(_prefixes, idf=idf, held=spark.sparkContext.broadcast(held), threshold=threshold),
-                                                   "shingle bigint, node binary, w double, total double, rest double, short boolean")
-    rows = stored(rows.join(roots, "node"), "prefixes")
-    open_ = rows.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max("short").alias("any")).where("r != s AND any").select("shingle")
-    rows = stored(rows.join(open_, "shingle"), "prefixes")
-    x = rows.where("short").select("shingle", F.col("node").alias("x"), F.col("w").alias("wx"), F.col("total").alias("tx"), F.col("rest").alias("sx"), F.col("root").alias("rx"))
-    y = rows.select("shingle", F.col("node").alias("y"), F.col("w").alias("wy"), F.col("total").alias("ty"), F.col("root").alias("ry"))
-    met = x.join(y, "shingle").where(F.col("rx") != F.col("ry")).where((F.col("tx") < F.col("ty")) | ((F.col("tx") == F.col("ty")) & (F.col("x") < F.col("y"))))
-    met = met.where(F.col("tx") >= threshold * (1 - 1e-9) * F.col("ty")).groupBy("x", "y").agg(
-        F.sum(F.least("wx", "wy")).alias("shared"), F.first("tx").alias("tx"), F.first("ty").alias("ty"), F.first("sx").alias("sx"))
-    # of the last shingles of both prefixes one comes first in the order; what follows it weighs at most as much as the rest of that text
-    most = F.col("shared") + F.greatest(F.col("sx"), threshold * F.col("ty"))
-    return _ordered_pairs(met.where(most >= threshold / (1 + threshold) * (1 - 1e-9) * (F.col("tx") + F.col("ty"))).select("x", "y"))
-
-
-def _moved(roots: DataFrame, to: DataFrame) -> DataFrame:
-    """Roots (node, root) with each root replaced by the root it has in ``to``."""
-    new = to.select(F.col("node").alias("root"), F.col("root").alias("new"))
-    return stored(roots.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
-
-
-def find(texts: DataFrame, *, threshold: float = THRESHOLD, most_rounds: int | None = None) -> Found:
+def find(texts: DataFrame, *, threshold: float = THRESHOLD) -> Found:
     """Links between the distinct texts of ``texts`` (columns node, a digest of the text, and text; repeats are harmless).
 
-    In each bucket of a band every text is compared with one text that a hash picks, another one in each band. Then, as long
-    as a round finds links, the components that still meet in a bucket compare one text each with another pick. That joins
-    most components cheaply. All texts of the buckets that still hold more than one component then go through an exact join
-    on their rarest shingles, so every pair of a bucket is in one component, compared, or excluded by a bound. Pairs of one
-    component are never all formed."""
+    In each bucket of a band every text is compared with the bucket's least one. Buckets that then still hold more than one
+    component are compared in tiles: bitmaps of the shingles of full weight bound the weighted similarity from above, and pairs
+    that they do not rule out are verified on whole texts. So every pair of a bucket is in one component, verified, or ruled out
+    by a bound. Pairs of one component are never all formed."""
     spark = texts.sparkSession
     small_batches(spark)
     texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "distinct")
     idf = spark.sparkContext.broadcast(idf_table(texts))
-    sketched = texts.select("node", "text").mapInArrow(partial(_sketches, idf=idf), "node binary, bands array<bigint>")
-    rows = stored(sketched.select("node", F.explode("bands").alias("bucket")), "bands")
-    picks = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "bucket")).alias("x")).where("n > 1").select("bucket", "x")
-    shared = stored(rows.join(picks, "bucket"), "shared")
-    pairs = stored(_ordered_pairs(shared.select("x", F.col("node").alias("y"))), "pairs")
-    shared = shared.select("bucket", "node")
-    wanted = stored(shared.select("node").distinct(), "wanted")
-    held = stored(texts.join(wanted, "node", "left_semi"), "texts")
-    links = stored(_check(pairs, held, idf, threshold), "verified")
-    roots = _moved(wanted.select("node", F.col("node").alias("root")), components(links))
-    for turn in count() if most_rounds is None else range(most_rounds):
-        order = F.xxhash64("node", "bucket", F.lit(turn))
-
-        def ones(rows):
-            return rows.join(roots, "node").groupBy("bucket", "root").agg(F.min_by("node", order).alias("node"))
-
-        picks = ones(shared).groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", order).alias("x")).where("n > 1").select("bucket", "x")
-        picks = stored(picks, "picks")
-        # a bucket whose texts are all in one component is done for good
-        shared = stored(shared.join(picks, "bucket", "left_semi"), "shared")
-        fresh = stored(_ordered_pairs(ones(shared).join(picks, "bucket").select("x", F.col("node").alias("y"))).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = stored(_check(fresh, held, idf, threshold), "verified")
-        if not more.head(1):
-            break
-        pairs, links = pairs.unionByName(fresh), links.unionByName(more)
-        # only the components that are now joined are looked at again
-        of = roots.withColumnsRenamed({"node": "n", "root": "r"})
-        joined = more.join(of.withColumnsRenamed({"n": "a", "r": "ra"}), "a").join(of.withColumnsRenamed({"n": "b", "r": "rb"}), "b")
-        roots = _moved(roots, components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-    open_ = shared.select("node").distinct()
-    if open_.head(1):
-        rest = stored(_remaining(stored(held.join(open_, "node", "left_semi"), "open"), roots, idf, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = stored(_check(rest, held, idf, threshold), "verified")
-        links = links.unionByName(more)
-        of = roots.withColumnsRenamed({"node": "n", "root": "r"})
-        joined = more.join(of.withColumnsRenamed({"n": "a", "r": "ra"}), "a").join(of.withColumnsRenamed({"n": "b", "r": "rb"}), "b")
-        roots = _moved(roots, components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-    return Found(links, roots)
+    sketches = stored(texts.mapInArrow(partial(_sketches, idf=idf), "id binary, bands array<bigint>, size double, bits binary"), "sketches")
+    rows = sketches.select("id", F.explode("bands").alias("bucket"))
+    least = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most").select("bucket", "least")
+    shared = stored(rows.join(least, "bucket").withColumn("short", F.lit(True)), "shared")
+    wanted = shared.select(F.col("id").alias("node")).distinct()
+    held = stored(texts.join(bounded(stored(wanted, "wanted")), "node", "left_semi"), "texts")
+    links, roots = tiles.linked(shared, sketches.select("id", "size", "bits"), lambda pairs: _check(pairs, held, idf, threshold), threshold)
+    return Found(links, roots.withColumnRenamed("id", "node"))
 
 
 def classes(df: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
