@@ -40,6 +40,27 @@ MORE = (
 RULES = BASE + MORE
 
 
+#: elements that a running fold handles at a time; the work for n of them grows as n * SLICE + (n / SLICE)^2 / 2 copies of references
+SLICE = 64
+
+
+def running(n: Column, first: Column, step, out: str) -> Column:
+    """array<``out``> of ``n`` elements: ``step(state, i)`` gives the next state and the element of place i.
+
+    An array that a fold appends to is copied each time, so places are folded in slices and the slices' arrays are put together."""
+    none, nones = F.array().cast(f"array<{out}>"), F.array().cast(f"array<array<{out}>>")
+
+    def inner(acc: Column, i: Column) -> Column:
+        return F.transform(F.array(step(acc["state"], i)), lambda got: F.struct(got["state"].alias("state"), F.concat(acc["out"], F.array(got["out"])).alias("out")))[0]
+
+    def outer(acc: Column, k: Column) -> Column:
+        part = F.aggregate(F.sequence(k * SLICE, F.least(k * SLICE + SLICE, n) - 1), F.struct(acc["state"].alias("state"), none.alias("out")), inner)
+        return F.transform(F.array(part), lambda got: F.struct(got["state"].alias("state"), F.concat(acc["out"], F.array(got["out"])).alias("out")))[0]
+
+    whole = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / SLICE).cast("int")), F.struct(first.alias("state"), nones.alias("out")), outer, lambda a: F.flatten(a["out"]))
+    return F.when(n <= 0, none).otherwise(whole)
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, ord, kind, stop>> of the rule's matches in code points, the end exclusive.
 
@@ -49,16 +70,13 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
                    F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"))
 
     def of(r: Column) -> Column:
-        empty = F.array().cast("array<struct<start:bigint,ord:int,kind:string,stop:bigint>>")
-
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(r["between"][i])
+        def step(at: Column, i: Column) -> Column:
+            start = at + F.length(r["between"][i])
             stop = start + F.length(r["whole"][i])
-            found = F.array(F.struct(start.cast("bigint").alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), stop.cast("bigint").alias("stop")))
-            return F.struct(stop.cast("bigint").alias("at"), F.when(F.length(r["part"][i]) >= rule.least, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+            found = F.struct(start.cast("bigint").alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), stop.cast("bigint").alias("stop"))
+            return F.struct(stop.cast("bigint").alias("state"), F.when(F.length(r["part"][i]) >= rule.least, found).alias("out"))
 
-        return F.when(F.size(r["whole"]) == 0, empty).otherwise(F.aggregate(
-            F.sequence(F.lit(0), F.size(r["whole"]) - 1), F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step, lambda a: a["out"]))
+        return F.filter(running(F.size(r["whole"]), F.lit(0).cast("bigint"), step, "struct<start:bigint,ord:int,kind:string,stop:bigint>"), lambda x: x.isNotNull())
 
     # one evaluation of the three lists, handed on as the single element of an array
     return F.flatten(F.transform(F.array(row), of))
@@ -103,12 +121,13 @@ def candidates(postings: DataFrame, rules=RULES) -> DataFrame:
     return got.select("content", *[c.alias(f"is_{k}") for k, c in flags.items()]).where(reduce(Column.__or__, [F.col(f"is_{k}") for k in flags]))
 
 
-#: a counted table of at most so many rows is sent to the executors instead of dealing texts out by content
-FEW_ROWS = 200_000
+#: a counted table of at most so many rows and matches is sent to the executors instead of dealing texts out by content
+FEW_ROWS, FEW_SPANS = 200_000, 500_000
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+def _small(df: DataFrame, spans: str | None = None) -> DataFrame:
+    got = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(spans)), F.lit(0)).alias("spans") if spans else F.lit(0).alias("spans")).first()
+    return F.broadcast(df) if got["rows"] <= FEW_ROWS and got["spans"] <= FEW_SPANS else df
 
 
 def scan(df: DataFrame, *, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
@@ -126,7 +145,7 @@ def scan(df: DataFrame, *, key: str = "doc_id", text: str = "text", rules=RULES)
                 .groupBy("content").agg(F.first("verified").alias("verified")).where(F.size("verified") > 0))
     every = [F.when(F.col("text").rlike(r.pattern), spans(F.col("text"), r, i)).otherwise(none) for i, r in open_rules]
     rows = texts.select("key", "content", (F.concat(*every) if every else none).alias("opened"))
-    return rows.join(_small(stored(verified, "verified")), "content", "left").select(
+    return rows.join(_small(stored(verified, "verified"), "verified"), "content", "left").select(
         F.col("key").alias(key), "content", F.array_sort(F.concat("opened", F.coalesce("verified", none))).alias("found"))
 
 
@@ -151,16 +170,39 @@ def redact(df: DataFrame, *, key: str = "doc_id", text: str = "text", rules=RULE
     t = F.col(f"`{text}`").cast("string")
     names = fresh(df, "content", "found")
     marked = df.withColumn(names[0], F.unhex(F.md5(F.coalesce(t, F.lit(""))))).join(
-        _small(stored(found.toDF(*names), "found")), names[0], "left")
+        _small(stored(found.toDF(*names), "found"), names[1]), names[0], "left")
+    return marked.withColumn(text, F.when(F.col(names[1]).isNull(), t).otherwise(_without(t, F.col(names[1])))).drop(*names)
+
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["upto"]
-        put = F.concat(acc["out"], F.substring(t, (acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int")), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["upto"], s["stop"]).alias("upto"), F.when(fresh, put).otherwise(acc["out"]).alias("out"))
+#: code points of a piece of text in which places are looked up
+PIECE = 1_000
 
-    new = F.aggregate(F.col(names[1]), F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit("").alias("out")), step,
-                      lambda a: F.concat(a["out"], F.substring(t, (a["upto"] + 1).cast("int"), F.length(t))))
-    return marked.withColumn(text, F.when(F.col(names[1]).isNull(), t).otherwise(new)).drop(*names)
+
+def _without(text: Column, found: Column) -> Column:
+    """``text`` with the matches (sorted by start) replaced; the work grows with the text and the matches, not with their product.
+
+    Places in a text are found by counting code points from its start, so the text is first cut into pieces of one length."""
+    def of(r: Column) -> Column:
+        def step(upto: Column, i: Column) -> Column:
+            s = r["found"][i]
+            gap = F.struct(upto.alias("start"), s["start"].alias("stop"), s["kind"].alias("kind"))
+            return F.struct(F.greatest(upto, s["stop"]).alias("state"), F.when(s["start"] >= upto, gap).alias("out"))
+
+        gaps = F.filter(running(F.size(r["found"]), F.lit(0).cast("bigint"), step, "struct<start:bigint,stop:bigint,kind:string>"), lambda x: x.isNotNull())
+        last = F.array_max(F.transform(r["found"], lambda s: s["stop"]))
+
+        def cut(start: Column, stop: Column) -> Column:
+            a, b = F.floor(start / PIECE).cast("int"), F.floor(stop / PIECE).cast("int")
+            i, j = (start - a * PIECE).cast("int"), (stop - b * PIECE).cast("int")
+            piece = lambda k: F.coalesce(F.get(r["pieces"], k), F.lit(""))
+            middle = F.when(b - a > 1, F.array_join(F.slice(r["pieces"], a + 2, b - a - 1), "")).otherwise("")
+            return F.when(a == b, piece(a).substr(i + 1, j - i)).otherwise(F.concat(piece(a).substr(i + 1, F.lit(PIECE)), middle, piece(b).substr(F.lit(1), j)))
+
+        parts = F.transform(gaps, lambda g: F.concat(cut(g["start"], g["stop"]), F.lit("["), g["kind"], F.lit("]")))
+        return F.concat(F.array_join(parts, ""), cut(last, r["size"]))
+
+    row = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), found.alias("found"), F.length(text).cast("bigint").alias("size"))
+    return F.transform(F.array(row), of)[0]
 
 
 def _duck(rules=RULES) -> str:
