@@ -124,12 +124,14 @@ def write(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id", text
     A null text counts as empty and becomes the end id alone. Keys are integers; rows without a key come first and are not
     indexed. Repeated keys stand side by side, ordered by a hash of the text, each a document of its own, and the index
     points at the first and counts them. An empty table gives an empty manifest. Other columns are not read. A key with
-    very many rows is cut by that hash over several shards unless its texts are all the same."""
+    very many rows is cut by that hash over several shards unless its texts are all the same. There is a shard for each
+    part that Spark reads of the input, so shards do not grow with it."""
     spark = df.sparkSession
     small_batches(spark)
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     order = [F.asc_nulls_first("key"), F.xxhash64("text").asc()]
-    written = (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    shards = max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    written = (rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
                .mapInArrow(partial(_write_shard, path=path, tokenizer=tokenizer, end_id=end_id), "shard bigint, docs bigint, ids bigint, nulls bigint"))
     written.write.parquet(f"{path}/manifest")
     total = max(1, spark.read.parquet(f"{path}/manifest").agg(F.sum("docs")).first()[0] or 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -27,6 +28,15 @@ def cut(text: str) -> list[str]:
     return [p[1:] if i and p[0] == " " else p for i, p in enumerate(_CUT.split(text))]
 
 
+def check_kind(library) -> None:
+    """ValueError unless texts can be cut at blanks: byte-level BPE whose own pattern splits the whole text, nothing before it."""
+    kind = json.loads(library.to_str())
+    split, model = kind["pre_tokenizer"] or {}, kind["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and kind["normalizer"] is None
+    if not plain or model["type"] != "BPE" or model.get("dropout") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+        raise ValueError("only byte-level BPE files with the usual split are read")
+
+
 class PieceTokenizer:
     """``packed([text])`` holds ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
@@ -38,6 +48,7 @@ class PieceTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
+        check_kind(self.library)
         self.whole = (_SEPARATOR, *(t.content for t in self.library.get_added_tokens_decoder().values()))
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.limit = limit
