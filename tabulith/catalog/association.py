@@ -160,7 +160,15 @@ def _(spark, d):
     return _out(A.mutual_information(frame(spark, d), _NAMES))
 
 
-@query("r12_mutual_information_knn")
+#: digamma of whole numbers, as a table
+PSI = "psi AS (SELECT i, -0.57721566490153286 + coalesce(sum(CASE WHEN i > 1 THEN 1.0::DOUBLE / (i - 1) END) OVER (ORDER BY i), 0) AS p FROM range(1, (SELECT count(*) + 2 FROM f)) t(i))"
+
+
+@query("r12_mutual_information_knn", f"""WITH f AS MATERIALIZED (SELECT p_partkey AS i, y / (SELECT stddev_pop(y) FROM {_PSQL}) AS u, z / (SELECT stddev_pop(z) FROM {_PSQL}) AS v FROM {_PSQL}),
+e AS (SELECT a.i, greatest(abs(a.u - b.u), abs(a.v - b.v)) AS eps FROM f a JOIN f b ON a.i <> b.i QUALIFY row_number() OVER (PARTITION BY a.i ORDER BY eps) = 3),
+c AS (SELECT a.i, sum((abs(a.u - b.u) <= eps * (1 - 1e-9))::INT) AS cu, sum((abs(a.v - b.v) <= eps * (1 - 1e-9))::INT) AS cv FROM f a JOIN e ON a.i = e.i, f b GROUP BY a.i), {PSI},
+r AS (SELECT (SELECT p FROM psi WHERE i = (SELECT count(*) FROM f)) + (SELECT p FROM psi WHERE i = 3) - avg(pu.p) - avg(pv.p) AS v FROM c JOIN psi pu ON pu.i = cu JOIN psi pv ON pv.i = cv)
+SELECT 'y' AS col_a, 'z' AS col_b, {R('greatest(v, 0)', 4)} AS value FROM r""")
 def _(spark, d):
     return _out(A.mutual_information(small(spark, d), ["y", "z"], estimator="knn", k=3), 4)
 

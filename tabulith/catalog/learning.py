@@ -12,7 +12,7 @@ from ..operators import models as M
 from ..operators import profile as P
 from ..operators import ranking as K
 from ..operators import summaries as S
-from .association import _kendall_sql, _ranks, codes_sql, mi_sql
+from .association import PSI, _kendall_sql, _ranks, codes_sql, mi_sql
 from .base import R, query, rd, rounded, table, union_sql
 from .tables import line
 
@@ -62,9 +62,9 @@ def _least_squares_sql(alpha, digits):
 for _key, _fn in {
     "f01_tree": K.tree, "f02_forest": K.forest, "f03_boosting": K.boosting,
     "f04_xgboost": K.xgboost, "f08_lasso": K.lasso, "f10_elastic_net": K.elastic_net,
-    "f11_sparse_pca": K.sparse_pca, "f13_boruta": lambda t: K.boruta(t, 3, 5, 5), "f20_information_bottleneck": K.information_bottleneck,
+    "f11_sparse_pca": K.sparse_pca, "f13_boruta": K.boruta, "f20_information_bottleneck": K.information_bottleneck,
     "f21_mrmr": K.mrmr, "f22_permutation": K.permutation_importance, "f24_lime": K.lime,
-    "f25_interactions": lambda t: K.interactions(t, 5, 5), "f26_rrelieff": K.relieff, "f27_feature_clustering": K.feature_clustering,
+    "f25_interactions": K.interactions, "f27_feature_clustering": K.feature_clustering,
     "f28_bayesian": K.bayesian_importance,
 }.items():
     @query(_key)
@@ -72,8 +72,8 @@ for _key, _fn in {
         return _s(fn(ranked(spark, d)), 4)
 
 for _key, _fn, _target in (("f03_boosting_classes", K.boosting, "cls2"), ("f05_logistic", K.linear, "cls2"), ("f06_svm", K.svm, "cls3"),
-                           ("f08_lasso_classes", K.lasso, "cls2"), ("f26_relieff", K.relieff, "cls2"),
-                           ("f28_bootstrap_classes", lambda t: K.bayesian_importance(t, 3), "cls2")):
+                           ("f08_lasso_classes", K.lasso, "cls2"),
+                           ("f28_bootstrap_classes", K.bayesian_importance, "cls2")):
     @query(_key)
     def _(spark, d, fn=_fn, target=_target):
         return _s(fn(ranked(spark, d, target)), 3)
@@ -176,6 +176,50 @@ def _(spark, d):
     return _s(K.mutual_information(ranked(spark, d, "cls3")), 6)
 
 
+_UNIT = "f AS MATERIALIZED (SELECT p_partkey AS i, cls2 AS c, (rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 - 1) / (count(*) OVER () - 1) AS r, " + ", ".join(
+    f"({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) AS {x}" for x in FEATURES) + f" FROM {_SQL})"
+_FAR = " + ".join(f"(x.{f} - y.{f}) ** 2" for f in FEATURES)
+_GAPS = ", ".join(f"abs(x.{f} - y.{f}) AS {f}" for f in FEATURES)
+
+
+@query("f26_relieff", f"""WITH {_UNIT},
+d AS (SELECT x.i, x.c, y.c AS t, {_GAPS} FROM f x JOIN f y ON x.i <> y.i QUALIFY row_number() OVER (PARTITION BY x.i, y.c ORDER BY {_FAR}, y.i) <= 10),
+m AS (SELECT i, c, t, {', '.join(f'avg({f}) AS {f}' for f in FEATURES)} FROM d GROUP BY ALL),
+s AS (SELECT c, count(*)::DOUBLE / (SELECT count(*) FROM f) AS s FROM f GROUP BY c),
+w AS (SELECT m.*, CASE WHEN m.c = m.t THEN -1 ELSE st.s / (1 - sc.s + 1e-10) END / (SELECT count(*) FROM f) AS w FROM m JOIN s st ON st.c = m.t JOIN s sc ON sc.c = m.c)
+""" + union_sql([f"SELECT '{f}' AS feature, {R(f'sum(w * {f})', 3)} AS score FROM w" for f in FEATURES]))
+def _(spark, d):
+    return _s(K.relieff(ranked(spark, d, "cls2")), 3)
+
+
+@query("f26_rrelieff", f"""WITH {_UNIT},
+d AS (SELECT abs(x.r - y.r) / 10 AS c, {_GAPS.replace(' AS', ' / 10 AS')} FROM f x JOIN f y ON x.i <> y.i QUALIFY row_number() OVER (PARTITION BY x.i ORDER BY {_FAR}, y.i) <= 10),
+n AS (SELECT count(*) AS n FROM f)
+""" + union_sql([f"SELECT '{f}' AS feature, {R(f'sum(10 * c * {f}) / (sum(c) + 1e-12) - (sum({f}) - sum(10 * c * {f})) / (any_value(n) - sum(c) + 1e-12)', 3)} AS score FROM d, n" for f in FEATURES]))
+def _(spark, d):
+    return _s(K.relieff(ranked(spark, d)), 3)
+
+
+def _class_information_sql(x):
+    """Nearest-neighbour information between a feature and the classes, from all pairs of rows."""
+    return f"""(WITH f AS MATERIALIZED (SELECT p_partkey AS i, {x} AS x, cls3 AS c, count(*) OVER (PARTITION BY cls3) AS n FROM {_SQL} QUALIFY n > 1),
+e AS (SELECT a.i, least(3, a.n - 1) AS k, abs(a.x - b.x) AS eps FROM f a JOIN f b ON a.i <> b.i AND a.c = b.c QUALIFY row_number() OVER (PARTITION BY a.i ORDER BY eps) = least(3, a.n - 1)),
+m AS (SELECT a.i, any_value(a.n) AS n, any_value(k) AS k, sum((abs(a.x - b.x) <= eps * (1 - 1e-9))::INT) AS m FROM f a JOIN e ON a.i = e.i, f b GROUP BY a.i), {PSI}
+SELECT '{x}' AS feature, greatest(0, (SELECT p FROM psi WHERE i = (SELECT count(*) FROM f)) + avg(pk.p) - avg(pn.p) - avg(pm.p)) AS v
+FROM m JOIN psi pk ON pk.i = k JOIN psi pn ON pn.i = n JOIN psi pm ON pm.i = m)"""
+
+
+@query("f19_mutual_information_knn", union_sql([f"SELECT feature, {R('v', 4)} AS score FROM {_class_information_sql(x)}" for x in FEATURES]))
+def _(spark, d):
+    return _s(K.mutual_information(ranked(spark, d, "cls3"), estimator="knn"), 4)
+
+
+for _key, _fn in {"f20_information_bottleneck_knn": K.information_bottleneck, "f21_mrmr_knn": K.mrmr, "f27_feature_clustering_knn": K.feature_clustering}.items():
+    @query(_key)
+    def _(spark, d, fn=_fn):
+        return _s(fn(ranked(spark, d), estimator="knn"), 4)
+
+
 def _suppliers(spark, d):
     df = table(spark, d, "supplier").selectExpr("s_suppkey", "s_acctbal AS a", "double(s_nationkey) AS b", "double(s_suppkey % 7) AS c", "s_acctbal / 100 + s_nationkey * 3 AS y")
     return K.task(df, "y", ["s_suppkey"])
@@ -183,12 +227,12 @@ def _suppliers(spark, d):
 
 @query("f23_kernel_shap")
 def _(spark, d):
-    return _s(K.shap_scores(K.shap(_suppliers(spark, d), 5, 5, 20)), 4)
+    return _s(K.shap_scores(K.shap(_suppliers(spark, d))), 4)
 
 
 @query("v17_shap_points")
 def _(spark, d):
-    out = S.shap_points(K.shap(_suppliers(spark, d), 5, 5, 20))
+    out = S.shap_points(K.shap(_suppliers(spark, d)))
     return out.select("k0", "feature", rd("phi", 4).alias("phi"), rd("phi_scaled", 4).alias("phi_scaled"))
 
 
@@ -234,6 +278,11 @@ def _(spark, d):
     return rounded(K.presentation(s, 2), ["relative"], 5)
 
 
+@query("f33_presentation_errors")
+def _(spark, d):
+    return rounded(K.presentation(K.permutation_importance(ranked(spark, d, "cls2"))), ["relative", "error"], 4)
+
+
 @query("f34_elimination_summary", f"""WITH c AS (SELECT l_linenumber AS n_features, (l_orderkey % 5)::INT AS fold, avg(l_quantity) AS score FROM lineitem GROUP BY 1, 2),
 p AS (SELECT n_features, avg(score) AS mean, stddev_pop(score) AS std FROM c GROUP BY 1) SELECT n_features, {R('mean', 5)} AS mean, {R('std', 5)} AS std, mean = (SELECT max(mean) FROM p) AS is_best FROM p""")
 def _(spark, d):
@@ -252,7 +301,7 @@ for _key, _method, _target, _kw in (
         ("l08_linear", "linear", "y", {}), ("l09_logistic", "logistic", "cls2", {}), ("l10_ridge", "ridge", "y", {}),
         ("l10_ridge_classes", "ridge", "cls3", {}), ("l11_lasso", "lasso", "y", {}), ("l12_decision_tree", "decision_tree", "y", {}),
         ("l13_random_forest", "random_forest", "cls3", {}), ("l14_gradient_boosting", "gradient_boosting", "y", {}),
-        ("l15_adaboost", "adaboost", "cls2", {"n_rounds": 4}), ("l15_adaboost_regression", "adaboost", "y", {"n_rounds": 3}),
+        ("l15_adaboost", "adaboost", "cls2", {}), ("l15_adaboost_regression", "adaboost", "y", {}),
         ("l16_svm", "svm", "cls2", {}), ("l17_knn", "knn", "cls3", {}), ("l17_knn_regression", "knn", "y", {"weights": "distance"}),
         ("l18_mlp", "mlp", "cls2", {}), ("l19_naive_bayes", "naive_bayes", "cls3", {}),
         ("l20_bayesian_ridge", "bayesian_ridge", "y", {}), ("l21_xgboost", "xgboost", "y", {}), ("l21_lightgbm", "lightgbm", "y", {})):

@@ -27,9 +27,9 @@ def scores(spark, d):
         F.col("l_linenumber").alias("variant_id"), F.concat("l_returnflag", "l_linestatus").alias("feature")).agg((F.avg("l_discount") - 0.05).alias("score"))
 
 
-def family(spark, d, target="y"):
+def family(spark, d, target="y", **kw):
     """Conditioned variants of the part table."""
-    return E.condition(parts(spark, d, target), ["a", "b"], [E.Bound("a", 2.0, 49.0)], n_variants=2)
+    return E.condition(parts(spark, d, target), ["a", "b"], [E.Bound("a", 2.0, 49.0)], **kw)
 
 
 @query("e15_across_variants")
@@ -115,7 +115,7 @@ def _(spark, d):
 @query("e25_default_ensemble")
 def _(spark, d):
     members = St.default_members("y", ["p_partkey"], FEATURES, n_trees=3, max_depth=4)
-    return rounded(St.variance_split(St.ensemble_scores(family(spark, d), members)), ["within", "between", "total", "mean_phi"])
+    return rounded(St.variance_split(St.ensemble_scores(family(spark, d, n_variants=2), members)), ["within", "between", "total", "mean_phi"])
 
 
 @query("e26_substitute_proxy", f"SELECT l_orderkey, l_linenumber, {R('(l_tax - (SELECT avg(l_tax) FROM lineitem)) / (SELECT stddev_samp(l_tax) FROM lineitem) * (SELECT stddev_samp(l_discount) FROM lineitem) + (SELECT avg(l_discount) FROM lineitem)')} AS l_discount FROM lineitem")
@@ -134,8 +134,8 @@ def _(spark, d):
 @query("e28_shap_stability")
 def _(spark, d):
     df = table(spark, d, "supplier").selectExpr("s_suppkey", "s_acctbal / 1000 AS a", "double(s_nationkey) AS b", "s_acctbal / 100 + s_nationkey * 3 AS y")
-    cond = E.condition(df, ["a"], [E.Bound("a", -0.9, 9.9)], n_variants=2)
-    return rounded(St.shap_stability(cond, "y", ["s_suppkey"], ["a", "b"], n_trees=3, max_depth=4, n_bg=10), ["variance", "mean", "mean_abs"], 4)
+    cond = E.condition(df, ["a"], [E.Bound("a", -0.9, 9.9)])
+    return rounded(St.shap_stability(cond, "y", ["s_suppkey"], ["a", "b"]), ["variance", "mean", "mean_abs"], 4)
 
 
 def _oof(features_sql, y):

@@ -55,6 +55,21 @@ for _name, _sql in (("mean", "avg(value)"), ("median", "quantile_cont(value, 0.5
         return rounded(out, ["estimate", "sd", "se", "low", "high"], 4)
 
 
+@query("g1_bootstrap_median", f"""WITH c AS (SELECT event_type AS g, value AS v, count(*) AS c FROM events WHERE value IS NOT NULL GROUP BY ALL),
+r AS (SELECT g, v, sum(c) OVER (PARTITION BY g ORDER BY v) AS upto, sum(c) OVER (PARTITION BY g) AS n FROM c),
+z AS (SELECT *, (upto - n / 2) / sqrt(greatest(upto * (1 - upto / n), 1e-12)) AS z FROM r),
+e AS (SELECT g, any_value(n)::BIGINT AS n, min(v) FILTER (z >= -1.959963984540054) AS low, min(v) FILTER (z >= 1.959963984540054) AS high FROM z GROUP BY g)
+SELECT event_type, any_value(n) AS n, {R('quantile_cont(value, 0.5)', 4)} AS estimate, {R('any_value(low)', 4)} AS low, {R('any_value(high)', 4)} AS high
+FROM events JOIN e ON g = event_type GROUP BY event_type""")
+def _(spark, d):
+    return rounded(Rel.bootstrap(table(spark, d, "events"), "event_type", "value", ["event_id"], "median"), ["estimate", "low", "high"], 4)
+
+
+@query("g1_bootstrap_mean")
+def _(spark, d):
+    return rounded(Rel.bootstrap(table(spark, d, "events"), "event_type", "value", ["event_id"]), ["estimate", "low", "high"], 4)
+
+
 @query("g2_value_counts", "SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1")
 def _(spark, d):
     return Rel.value_counts(table(spark, d, "part"), "p_brand")

@@ -1,85 +1,121 @@
-"""Exact k nearest neighbours as Spark joins on space cells.
+"""Exact k nearest neighbours as Spark joins on the cells of a tree.
 
 Rows collapse to distinct points with a multiplicity, so copies cannot fill a
-cell.  A tree of cuts (built from a bounded sample) assigns points to cells of
-bounded size.  Each query first searches its own cell, which bounds its k-th
-distance, and is then sent only to cells whose box lies within that bound.
-Cells that attract many queries are salted."""
+cell.  Cells with too many points are cut on their two widest axes, level by
+level, until all are small; cuts, boxes and points stay in tables.  A query
+first searches its own cell, which bounds its k-th distance, then walks the
+tree from the root to the cells whose box lies within that bound.  Cells that
+attract many queries are salted.  The driver gets counts and the root's boxes."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import partial
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .columns import drop_missing, q
-from .folds import unit_hash
 
 CELL_POINTS = 2000
-SAMPLE_POINTS = 50_000
+#: parts of each of the two axes on which a cell is cut
+PARTS = 8
 QUERIES_PER_TASK = 20_000
+#: a counted table of at most so many rows (cuts of open cells, or hot cells) is sent to all tasks
+SENT_ROWS = 10_000
+ROOT = 0
 
 
-def _tree(sample: np.ndarray, leaves: int) -> list:
-    """Nested cuts (axis, value, left, right); a leaf is an int."""
-    counter = [0]
-
-    def grow(x, want):
-        spread = x.max(0) - x.min(0) if len(x) else np.zeros(x.shape[1])
-        axis = int(np.argmax(spread)) if len(x) else 0
-        if want <= 1 or len(x) < 2 or spread[axis] <= 0:
-            counter[0] += 1
-            return counter[0] - 1
-        cut = float(np.median(x[:, axis]))
-        left = x[:, axis] <= cut
-        if left.all():
-            cut = float(np.max(x[x[:, axis] < cut, axis]))
-            left = x[:, axis] <= cut
-        return (axis, cut, grow(x[left], want // 2), grow(x[~left], want - want // 2))
-
-    return grow(sample, leaves)
-
-
-def _assign(x: np.ndarray, node, out: np.ndarray, rows: np.ndarray) -> None:
-    if isinstance(node, int):
-        out[rows] = node
-        return
-    axis, cut, lo, hi = node
-    left = x[rows, axis] <= cut
-    _assign(x, lo, out, rows[left])
-    _assign(x, hi, out, rows[~left])
-
-
-def _with_cell(df: DataFrame, p: int, tree) -> DataFrame:
-    xs = [f"x{i}" for i in range(p)]
-
-    @F.pandas_udf("int")
-    def cell(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(float) for c in cols])
-        out = np.zeros(len(x), dtype=np.int32)
-        _assign(x, tree, out, np.arange(len(x)))
-        return pd.Series(out)
-
-    return df.withColumn("cell", cell(*xs))
+def point_id(xs: Sequence[str]) -> Column:
+    """Two 64-bit hashes of the coordinates, as 16 bytes."""
+    cols = [F.col(x).cast("double") for x in xs]
+    return F.unhex(F.concat(F.lpad(F.hex(F.xxhash64(*cols)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), *cols)), 16, "0")))
 
 
-def _search(qx, px, pid, pm, k, own=None, metric="euclid"):
+def distinct_points(df: DataFrame, cols) -> DataFrame:
+    """``pid, x0.., m``: distinct complete points, their hash id and copies."""
+    # adding zero makes one point of the two signs of zero
+    clean = drop_missing(df.select(*[(q(c).cast("double") + 0.0).alias(f"x{i}") for i, c in enumerate(cols)]))
+    xs = [f"x{i}" for i in range(len(cols))]
+    return clean.groupBy(*xs).agg(F.count("*").alias("m")).withColumn("pid", point_id(xs))
+
+
+def _sent(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.count() <= SENT_ROWS else small
+
+
+# ---- the tree ------------------------------------------------------------------------
+
+def _cuts(placed: DataFrame, xs: list[str]) -> DataFrame:
+    """``cell, axis, cuts, axis2, cuts2`` of the cells with more than CELL_POINTS points.
+
+    The middle of the widest side is always among the cuts, so a cell falls apart whatever its points are like."""
+    shares = [i / PARTS for i in range(1, PARTS)]
+    got = placed.groupBy("cell").agg(
+        F.count("*").alias("n"), F.array(*[F.min(x) for x in xs]).alias("lo"), F.array(*[F.max(x) for x in xs]).alias("hi"),
+        F.array(*[F.percentile_approx(x, shares, 1000) for x in xs]).alias("at")).where(F.col("n") > CELL_POINTS)
+    sides = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(len(xs) - 1)), lambda i: F.struct((F.col("lo")[i] - F.col("hi")[i]).alias("less"), i.alias("axis"))))
+    got = got.withColumn("axis", sides[0]["axis"]).withColumn("axis2", F.coalesce(F.get(sides, F.lit(1))["axis"], sides[0]["axis"]))
+    middle = F.col("lo")[F.col("axis")] / 2 + F.col("hi")[F.col("axis")] / 2
+    return got.select("cell", "axis", F.array_union(F.col("at")[F.col("axis")], F.array(middle)).alias("cuts"),
+                      "axis2", F.when(F.col("axis") == F.col("axis2"), F.array().cast("array<double>")).otherwise(F.col("at")[F.col("axis2")]).alias("cuts2"))
+
+
+def _moved(rows: DataFrame, cuts: DataFrame, xs: list[str]) -> DataFrame:
+    """Rows of cells that are cut go to the part where they lie, ``to``, named by a hash of the cell and the part."""
+    x = F.array(*xs)
+    part = [F.size(F.filter(F.col("cuts"), lambda v: v < x[F.col("axis")])), F.size(F.filter(F.col("cuts2"), lambda v: v < x[F.col("axis2")]))]
+    to = F.when(F.col("axis").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", *part))
+    return rows.join(cuts, "cell", "left").withColumn("to", to).drop("cell", "axis", "cuts", "axis2", "cuts2")
+
+
+def _tree(points: DataFrame, xs: list[str]) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Points with their cell, the cuts of each level, and the boxes of each level (node, parent, lo, hi; leaves have no child)."""
+    placed, cuts, steps = points.withColumn("cell", F.lit(ROOT).cast("bigint")).withColumn("new", F.lit(True)), [], []
+    while True:
+        level = cut_lineage(_cuts(placed.where("new"), xs))
+        if not level.head(1):
+            break
+        cuts.append(_sent(level))
+        moved = cut_lineage(_moved(placed.drop("new").withColumn("parent", F.col("cell")), cuts[-1], xs))
+        steps.append(moved.where("parent != to").select(F.col("to").alias("node"), "parent").distinct())
+        placed = moved.withColumn("new", F.col("parent") != F.col("to")).drop("parent").withColumnRenamed("to", "cell")
+    placed = placed.drop("new")
+    lo, hi = ([f(x).alias(f"{s}{i}") for i, x in enumerate(xs)] for s, f in (("lo", F.min), ("hi", F.max)))
+    found = placed.groupBy(F.col("cell").alias("node")).agg(F.count("*").alias("n"), *lo, *hi).withColumn("leaf", F.lit(True))
+    merge = [F.sum("n").alias("n"), *[F.min(f"lo{i}").alias(f"lo{i}") for i in range(len(xs))], *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(len(xs))]]
+    boxes: list[DataFrame] = []
+    for step in reversed(steps):  # from the leaves up: a node's box spans its children
+        level = cut_lineage(found.join(step, "node"))
+        boxes.insert(0, level)
+        found = found.join(step.select("node"), "node", "left_anti").unionByName(level.groupBy(F.col("parent").alias("node")).agg(*merge).withColumn("leaf", F.lit(False)))
+    return placed, cuts, boxes
+
+
+# ---- the search ------------------------------------------------------------------------
+
+def _search(qx, px, pid, pm, k, own, metric):
     """Per query the nearest points until the multiplicities reach k.
 
-    ``own`` holds each query's own point id: that point counts one copy less."""
+    ``own`` holds the id of a point that counts one copy less for the query, or None."""
     ids, dist, mult = [], [], []
     for at in range(0, len(qx), 256):
         block = qx[at:at + 256]
         gap = block[:, None, :] - px[None, :, :]
         d = np.abs(gap).max(-1) if metric == "max" else np.sqrt((gap ** 2).sum(-1))
-        take = np.argsort(d, axis=1, kind="stable")[:, :k + 1]
+        if d.shape[1] > 4 * (k + 1):  # all that tie with the last are ordered too
+            edge = np.partition(d, k, axis=1)[:, k]
+        else:
+            edge = np.full(len(block), np.inf)
         for r in range(len(block)):
-            i = take[r]
+            i = np.flatnonzero(d[r] <= edge[r])
+            i = i[np.argsort(d[r, i], kind="stable")]
             m = pm[i].copy()
-            if own is not None:
-                m[pid[i] == own[at + r]] -= 1
+            if own[at + r] is not None:
+                m[[x == own[at + r] for x in pid[i]]] -= 1
             keep = m > 0
             i, m = i[keep], m[keep]
             before = np.cumsum(m) - m
@@ -90,84 +126,108 @@ def _search(qx, px, pid, pm, k, own=None, metric="euclid"):
     return ids, dist, mult
 
 
-_NN = "array<struct<d:double,pid:bigint,m:bigint>>"
+_NN = "array<struct<d:double,pid:binary,m:bigint>>"
 
 
 def _pack(ids, dist, mult):
     return [[{"d": d, "pid": i, "m": m} for i, d, m in zip(a, b, c)] for a, b, c in zip(ids, dist, mult)]
 
 
-def distinct_points(df: DataFrame, cols) -> DataFrame:
-    """``pid, x0.., m``: distinct complete points, their hash id and copies."""
-    clean = drop_missing(df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]))
-    xs = [f"x{i}" for i in range(len(cols))]
-    return clean.groupBy(*xs).agg(F.count("*").alias("m")).withColumn("pid", F.xxhash64(*xs))
+def _salted(left: DataFrame, right: DataFrame, key: str):
+    """Cogroups of both sides by ``key``; where the left side has very many rows of a key they are split and the right side's are copied."""
+    hot = left.groupBy(key).count().where(F.col("count") > QUERIES_PER_TASK).select(key, F.ceil(F.col("count") / QUERIES_PER_TASK).alias("salts"))
+    if hot.head(1):
+        hot = _sent(cut_lineage(hot))
+        left, right = left.join(hot, key, "left"), right.join(hot, key, "left")
+    else:
+        left, right = left.withColumn("salts", F.lit(None).cast("bigint")), right.withColumn("salts", F.lit(None).cast("bigint"))
+    salts = F.coalesce("salts", F.lit(1))
+    left = left.withColumn("salt", F.pmod(F.xxhash64("pid"), salts)).drop("salts")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("salts")
+    return left.groupBy(key, "salt").cogroup(right.groupBy(key, "salt"))
+
+
+def _reach(x: np.ndarray, limit: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, k: int, metric: str) -> np.ndarray:
+    """queries x boxes: which boxes may hold one of a query's k nearest points, within its bound and within the reach of boxes that hold k."""
+    b = x[:, None, :]
+    near, far = np.maximum(np.maximum(lo[None] - b, b - hi[None]), 0), np.maximum(np.abs(lo[None] - b), np.abs(hi[None] - b))
+    if metric == "max":
+        near, far = near.max(-1), far.max(-1)
+    else:
+        near, far = np.sqrt((near ** 2).sum(-1)), np.sqrt((far ** 2).sum(-1))
+    order = np.argsort(far, axis=1)
+    enough = np.cumsum(n[order], axis=1) > k  # one of the points may be the query's own
+    edge = np.where(enough.any(1), np.take_along_axis(far, order, 1)[np.arange(len(x)), enough.argmax(1)], np.inf)
+    return near <= np.minimum(limit, edge * (1 + 1e-12))[:, None]
+
+
+def _walk(pdf: pd.DataFrame, boxes: pd.DataFrame, xs: list[str], k: int, metric: str) -> pd.DataFrame:
+    lo, hi = (boxes[[f"{s}{i}" for i in range(len(xs))]].to_numpy(float) for s in ("lo", "hi"))
+    nodes, leaf, n = boxes["node"].to_numpy(), boxes["leaf"].to_numpy(), boxes["n"].to_numpy()
+    parts = []
+    for at in range(0, len(pdf), 2048):
+        part = pdf.iloc[at:at + 2048]
+        r, c = np.nonzero(_reach(part[xs].to_numpy(float), part["limit"].to_numpy(float), lo, hi, n, k, metric))
+        parts.append(part.iloc[r].assign(node=nodes[c], leaf=leaf[c]))
+    cols = ["pid", "own", "home", "limit", *xs, "node", "leaf"]
+    return pd.concat(parts)[cols] if parts else pd.DataFrame({c: [] for c in cols})
 
 
 def knn(points: DataFrame, p: int, k: int, queries: DataFrame | None = None,
-        metric: str = "euclid") -> DataFrame:
+        metric: str = "euclid", within: float | None = None) -> DataFrame:
     """``pid, nn`` with ``nn`` an array of (d, pid, m) rising by distance.
 
     ``points`` comes from :func:`distinct_points`; ``queries`` has the same
-    columns and defaults to the points themselves (a point is then not its own
-    neighbour, its other copies are)."""
+    coordinates and a ``pid`` of its own, unique among queries, and may have
+    ``own``, the id of a point that counts one copy less.  Without queries the
+    points themselves ask (a point is then not its own neighbour, its other
+    copies are).  ``within`` leaves out what is farther away."""
     xs = [f"x{i}" for i in range(p)]
-    points = cut_lineage(points)
-    total = points.count()
-    share = min(1.0, SAMPLE_POINTS / max(total, 1))
-    sample = points.filter(unit_hash(["pid"], 7) < share).select(*xs).limit(2 * SAMPLE_POINTS)
-    tree = _tree(sample.toPandas().to_numpy(float), max(1, total // CELL_POINTS))
-    placed = _with_cell(points, p, tree)
-    self_join = queries is None
-    qs = placed if self_join else _with_cell(queries, p, tree)
-    boxes = placed.groupBy("cell").agg(
-        F.count("*").alias("n"), *[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
-        *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]).toPandas()  # one row per cell
-    cells = boxes["cell"].to_numpy()
-    lo, hi = boxes[[f"lo{i}" for i in range(p)]].to_numpy(float), boxes[[f"hi{i}" for i in range(p)]].to_numpy(float)
+    placed, cuts, boxes = _tree(cut_lineage(points.select("pid", "m", *xs)), xs)
+    if queries is None:
+        qs = placed.select("pid", F.col("pid").alias("own"), "cell", *xs)
+    else:
+        own = F.col("own") if "own" in queries.columns else F.lit(None).cast("binary")
+        qs = cut_lineage(queries.select("pid", own.alias("own"), *xs)).withColumn("cell", F.lit(ROOT).cast("bigint"))
+        for level in cuts:
+            qs = _moved(qs, level, xs).withColumnRenamed("to", "cell")
+        qs = cut_lineage(qs)
 
     def visit(sent: DataFrame) -> DataFrame:
-        """Search each (query, cell) pair; hot cells split their queries."""
-        load = {r["cell"]: r["count"] for r in sent.groupBy("cell").count().collect()}
-        hot = {c: -(-n // QUERIES_PER_TASK) for c, n in load.items() if n > QUERIES_PER_TASK}
-        salts = F.lit(1)
-        for c, s in hot.items():
-            salts = F.when(F.col("cell") == c, s).otherwise(salts)
-        left = sent.withColumn("salt", F.pmod(F.xxhash64("pid"), salts).cast("int"))
-        right = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))))
-
+        """Search each (query, cell) pair."""
         def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
-                return pd.DataFrame({"pid": pd.Series([], dtype="int64"), "nn": pd.Series([], dtype=object)})
-            got = _search(a[xs].to_numpy(float), b[xs].to_numpy(float), b["pid"].to_numpy(),
-                          b["m"].to_numpy(), k, a["pid"].to_numpy() if self_join else None, metric)
+                return pd.DataFrame({"pid": pd.Series([], dtype=object), "nn": pd.Series([], dtype=object)})
+            got = _search(a[xs].to_numpy(float), b[xs].to_numpy(float), b["pid"].to_numpy(), b["m"].to_numpy(), k, a["own"].to_numpy(), metric)
             return pd.DataFrame({"pid": a["pid"].to_numpy(), "nn": _pack(*got)})
-
-        return left.groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")) \
-            .applyInPandas(run, f"pid bigint, nn {_NN}")
-
-    first = cut_lineage(qs.select("pid", "cell", *xs).join(visit(qs.select("pid", "cell", *xs)), "pid", "left"))
-    enough = F.aggregate("nn", F.lit(0).cast("long"), lambda a, t: a + t["m"]) >= k
-    bound = F.when(enough, F.element_at("nn", -1)["d"]).otherwise(F.lit(float("inf")))
-
-    @F.pandas_udf("array<int>")
-    def reach(limit: pd.Series, home: pd.Series, *cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(float) for c in cols])
-        out = []
-        for at in range(0, len(x), 512):
-            b = x[at:at + 512, None, :]
-            gap = np.maximum(np.maximum(lo[None] - b, b - hi[None]), 0)
-            d = gap.max(-1) if metric == "max" else np.sqrt((gap ** 2).sum(-1))
-            ok = d <= limit.to_numpy()[at:at + 512, None]
-            ok &= cells[None, :] != home.to_numpy()[at:at + 512, None]
-            out.extend(cells[r].tolist() for r in ok)
-        return pd.Series(out)
-
-    limit = F.coalesce(bound, F.lit(float("inf")))
-    sent = first.select("pid", *xs, F.explode(reach(limit, "cell", *xs)).alias("cell"))
-    rest = visit(cut_lineage(sent))
-    both = first.select("pid", "nn").unionByName(rest)
-    merged = both.groupBy("pid").agg(F.array_sort(F.flatten(F.collect_list("nn"))).alias("nn"))
+        return _salted(sent, placed, "cell").applyInPandas(run, f"pid binary, nn {_NN}")
+
+    near = visit(qs)
+    if boxes:
+        first = cut_lineage(qs.join(near, "pid", "left"))
+        enough = F.aggregate("nn", F.lit(0).cast("long"), lambda a, t: a + t["m"]) >= k
+        most = F.lit(float("inf") if within is None else float(within))
+        limit = F.least(F.coalesce(F.when(enough, F.element_at("nn", -1)["d"]), F.lit(float("inf"))), most)
+        walking = first.select("pid", "own", F.col("cell").alias("home"), limit.alias("limit"), *xs)
+        schema = f"pid binary, own binary, home bigint, limit double, {', '.join(x + ' double' for x in xs)}, node bigint, leaf boolean"
+        top = boxes[0].toPandas()  # the parts of the root, (PARTS + 1) * PARTS at most
+        frontier = walking.mapInPandas(lambda it: (_walk(pdf, top, xs, k, metric) for pdf in it), schema)
+        ended = []
+        for level in boxes[1:]:
+            frontier = cut_lineage(frontier)
+            ended.append(frontier.where("leaf"))
+            below = level.withColumnsRenamed({"node": "child", "parent": "node"})
+            step = partial(_walk, xs=xs, k=k, metric=metric)
+            frontier = _salted(frontier.where("not leaf").drop("leaf"), below, "node").applyInPandas(
+                lambda a, b: step(a.drop(columns="node"), b.drop(columns="node").rename(columns={"child": "node"})), schema)
+        sent = frontier
+        for more in ended:
+            sent = sent.unionByName(more)
+        sent = cut_lineage(sent.where("node != home").select("pid", "own", F.col("node").alias("cell"), *xs))
+        near = first.where("nn IS NOT NULL").select("pid", "nn").unionByName(visit(sent))
+    merged = near.groupBy("pid").agg(F.array_sort(F.flatten(F.collect_list("nn"))).alias("nn"))
+    if within is not None:
+        merged = merged.withColumn("nn", F.filter("nn", lambda t: t["d"] <= within))
     return merged.select("pid", _first_k("nn", k).alias("nn"))
 
 

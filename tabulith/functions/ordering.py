@@ -22,7 +22,7 @@ from .columns import agg_dict, q, value
 ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 10_000
 #: Ranges at or below this many rows may be broadcast (one summary row each).
-_B, _B2 = "__bucket", "__bucket2"
+BLOCK, _B2 = "__bucket", "__bucket2"
 
 
 def bucket_count(rows: int) -> int:
@@ -55,7 +55,7 @@ def order_number(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
-def order_bucket(df: DataFrame, keys: Sequence[str], out: str = _B,
+def order_bucket(df: DataFrame, keys: Sequence[str], out: str = BLOCK,
                  buckets: int | None = None) -> DataFrame:
     """Add ``out``: a range number that never falls as the keys rise, compared one after another.
 
@@ -117,18 +117,18 @@ def running(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column],
     if not bucketed:
         df = order_bucket(df, keys)
     df = df.withColumns({f"__in_{n}": e for n, e in sums.items()})
-    totals = df.groupBy(*part, _B).agg(*[F.sum(f"__in_{n}").alias(f"__t_{n}") for n in sums])
-    before = Window.partitionBy(*part).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, _B, *[
+    totals = df.groupBy(*part, BLOCK).agg(*[F.sum(f"__in_{n}").alias(f"__t_{n}") for n in sums])
+    before = Window.partitionBy(*part).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*part, BLOCK, *[
         F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
     if not part:  # at most one row per range
         offsets = F.broadcast(offsets)
-    joined = df.join(offsets, [*part, _B])
-    w = Window.partitionBy(*part, _B).orderBy(*[q(k) for k in keys]) \
+    joined = df.join(offsets, [*part, BLOCK])
+    w = Window.partitionBy(*part, BLOCK).orderBy(*[q(k) for k in keys]) \
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = joined.withColumns({
         n: F.col(f"__o_{n}") + F.coalesce(F.sum(f"__in_{n}").over(w), F.lit(0)) for n in sums})
-    return out.drop(_B, *[f"__in_{n}" for n in sums], *[f"__o_{n}" for n in sums])
+    return out.drop(BLOCK, *[f"__in_{n}" for n in sums], *[f"__o_{n}" for n in sums])
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], out: str = "idx",
@@ -151,12 +151,12 @@ def halo(df: DataFrame, index: str, before: int, after: int = 0,
     if after:
         copies.append(F.when((pos < after) & (block > 0), F.struct((block - 1).alias("b"), F.lit(False).alias("home"))))
     out = df.withColumn("__c", F.explode(F.array_compact(F.array(*copies))))
-    out = out.withColumns({_B: F.col("__c.b"), "__home": F.col("__c.home")}).drop("__c")
-    return out, Window.partitionBy(*partition, _B).orderBy(q(index))
+    out = out.withColumns({BLOCK: F.col("__c.b"), "__home": F.col("__c.home")}).drop("__c")
+    return out, Window.partitionBy(*partition, BLOCK).orderBy(q(index))
 
 
 def home_rows(df: DataFrame) -> DataFrame:
-    return df.filter("__home").drop("__home", _B)
+    return df.filter("__home").drop("__home", BLOCK)
 
 
 def with_lags(df: DataFrame, index: str, lags: Mapping[str, tuple[str, int]],
@@ -176,7 +176,7 @@ def rank_table(df: DataFrame, col: str, partition: Sequence[str] = (),
     counts = (df.select(*part, value(df, col).cast("double").alias("v")).filter("v is not null")
               .withColumn("v", F.coalesce("v", F.lit(0.0))).groupBy(*part, "v").agg(F.count("*").alias("cnt")))
     if points is not None:
-        counts = _bucketize(counts, "v", _B, _splits(points)[0]).withColumn(_B, F.coalesce(F.col(_B).cast("long"), F.lit(0)))
+        counts = _bucketize(counts, "v", BLOCK, _splits(points)[0]).withColumn(BLOCK, F.coalesce(F.col(BLOCK).cast("long"), F.lit(0)))
     got = running(counts, ["v"], {"below": F.col("cnt")}, part, bucketed=points is not None)
     return got.withColumn("rank", F.col("below") + (F.col("cnt") + 1) / 2.0)
 
@@ -217,22 +217,22 @@ def fill_edges(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column], f
     Adds ``name`` for each entry; the row's own value counts.  ``dense`` says
     the key is a row position, which needs no sketch to cut into ranges."""
     part = list(partition)
-    df = df.withColumn(_B, F.floor(q(keys[0]) / ROWS_PER_BUCKET)) if dense else order_bucket(df, keys)
+    df = df.withColumn(BLOCK, F.floor(q(keys[0]) / ROWS_PER_BUCKET)) if dense else order_bucket(df, keys)
     df = df.withColumns({f"__in_{n}": e for n, e in cols.items()})
     order = F.struct(*[q(k) for k in keys])
     pick = F.max_by if forward else F.min_by
-    ends = df.groupBy(*part, _B).agg(*[
+    ends = df.groupBy(*part, BLOCK).agg(*[
         pick(F.col(f"__in_{n}"), F.when(F.col(f"__in_{n}").isNotNull(), order)).alias(f"__e_{n}") for n in cols])
     # backward fills run over the reversed order: a frame that grows from its start is
     # one pass, one that shrinks towards the end is recomputed for every row
     def way(name):
         return q(name).asc() if forward else q(name).desc()
 
-    outer = Window.partitionBy(*part).orderBy(way(_B)).rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(*part, _B, *[F.last(F.col(f"__e_{n}"), ignorenulls=True).over(outer).alias(f"__c_{n}") for n in cols])
+    outer = Window.partitionBy(*part).orderBy(way(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*part, BLOCK, *[F.last(F.col(f"__e_{n}"), ignorenulls=True).over(outer).alias(f"__c_{n}") for n in cols])
     if not part:
         carry = F.broadcast(carry)
-    w = Window.partitionBy(*part, _B).orderBy(*[way(k) for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(carry, [*part, _B]).withColumns({
+    w = Window.partitionBy(*part, BLOCK).orderBy(*[way(k) for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(carry, [*part, BLOCK]).withColumns({
         n: F.coalesce(F.last(F.col(f"__in_{n}"), ignorenulls=True).over(w), F.col(f"__c_{n}")) for n in cols})
-    return out.drop(_B, *[f"__{p}_{n}" for n in cols for p in ("in", "c")])
+    return out.drop(BLOCK, *[f"__{p}_{n}" for n in cols for p in ("in", "c")])

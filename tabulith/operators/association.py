@@ -24,6 +24,7 @@ from ..functions.gram import gram, total
 from ..functions.neighbors import distinct_points, knn
 from ..functions.ordering import dense_index, halo, home_rows, order_bucket, running, with_lags, with_ranks
 from ..functions.quantiles import quantiles
+from ..session import cut_lineage
 
 PAIR = "col_a string, col_b string, value double"
 
@@ -302,13 +303,13 @@ def binned_mutual_information(df: DataFrame, columns=None, bins: int = 10) -> Da
 
 
 def range_counts(values: DataFrame, probes: DataFrame) -> DataFrame:
-    """``id, below``: rows of ``values(v, m)`` under each probe ``(id, v, tag)``.
+    """``id, tag, below``: rows of ``values(part, v, m)`` under each probe ``(id, part, v, tag)``, all earlier parts included.
 
     Tag 0 counts strictly below, tag 2 counts up to and including."""
-    both = values.select(F.lit(None).cast("string").alias("id"), "v", F.lit(1).alias("tag"), F.col("m").cast("double").alias("m")) \
-        .unionByName(probes.select("id", "v", "tag", F.lit(0.0).alias("m")))
-    both = both.groupBy("id", "v", "tag").agg(F.sum("m").alias("m"))
-    return running(both, ["v", "tag"], {"below": F.col("m")}).filter("tag <> 1").select("id", "tag", "below")
+    both = values.select(F.lit(None).cast("string").alias("id"), "part", "v", F.lit(1).alias("tag"), F.col("m").cast("double").alias("m")) \
+        .unionByName(probes.select("id", "part", "v", "tag", F.lit(0.0).alias("m")))
+    both = both.groupBy("id", "part", "v", "tag").agg(F.sum("m").alias("m"))
+    return running(both, ["part", "v", "tag"], {"below": F.col("m")}).filter("tag <> 1").select("id", "tag", "below")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -323,30 +324,71 @@ def _digamma(s: pd.Series) -> pd.Series:
     return pd.Series(out + np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i / 240))))
 
 
-def knn_mutual_information_pair(df: DataFrame, a: str, b: str, k: int = 3) -> float:
-    """Nearest-neighbour estimate: cell search for the radius, ordered counts for the margins."""
-    rows = _complete(df, [a, b])
-    sd = agg_dict(rows, {a: F.stddev_pop(q(a)), b: F.stddev_pop(q(b)), "n": F.count("*")})
-    rows = rows.select((q(a) / (sd[a] or 1.0)).alias("u"), (q(b) / (sd[b] or 1.0)).alias("v"))
-    n = sd["n"]
+def _within(points: DataFrame, x: str, out: str) -> DataFrame:
+    """``points`` (part, pid, m, eps and x) with the rows of the same part nearer than eps in ``x`` alone, the point's own included.
+
+    The neighbour that sets eps often lies on the edge, so the radius is a little less than eps, by more than sums are rounded;
+    a zero radius counts the copies."""
+    values = points.groupBy("part", F.col(x).alias("v")).agg(F.sum("m").alias("m"))
+    less, name = F.greatest(F.col("eps") * 1e-9, (F.abs(x) + F.col("eps")) * 1e-15), F.hex("pid")
+    radius = F.greatest(F.col("eps") - less, F.lit(0.0))
+    ends = F.explode(F.array(F.struct(F.lit("lo").alias("s"), (F.col(x) - radius).alias("v"), F.lit(0).alias("tag")),
+                             F.struct(F.lit("hi").alias("s"), (F.col(x) + radius).alias("v"), F.lit(2).alias("tag"))))
+    probes = points.select(name.alias("id"), "part", ends.alias("e")).select(F.concat_ws(":", "id", "e.s").alias("id"), "part", "e.v", "e.tag")
+    below = range_counts(values, probes).select(F.substring_index("id", ":", 1).alias("id"), F.substring_index("id", ":", -1).alias("s"), "below")
+    count = below.groupBy("id").agg(F.sum(F.when(F.col("s") == "hi", F.col("below")).otherwise(-F.col("below"))).alias(out))
+    return points.join(count.withColumn("pid", F.unhex("id")).drop("id"), "pid")
+
+
+def knn_information(df: DataFrame, pairs: Sequence[tuple[str, str]], k: int = 3) -> dict[tuple[str, str], float]:
+    """Nearest-neighbour estimate of the information (nats) between the numeric columns of each pair.
+
+    All pairs share one search: a third coordinate keeps them farther apart than any two points of a pair."""
+    pairs = list(pairs)
+    cols = sorted({c for p in pairs for c in p})
+    rows = _complete(df, cols)
+    got = agg_dict(rows, {"n": F.count("*"), **{(c, s): f(q(c)) for c in cols for s, f in (("s", F.stddev_pop), ("a", F.min), ("b", F.max))}})
+    n = got["n"]
+    if n < 2 or not pairs:
+        return {p: 0.0 for p in pairs}
     k = int(max(1, min(k, n - 1)))
-    pts = distinct_points(rows, ["u", "v"])
-    eps = knn(pts, 2, k, metric="max").select("pid", F.element_at("nn", -1)["d"].alias("eps"))
-    got = pts.join(eps, "pid").withColumn("id", F.col("pid").cast("string"))
-    out = got
+    unit = {c: q(c) / (got[(c, "s")] or 1.0) for c in cols}
+    span = max((got[(c, "b")] - got[(c, "a")]) / (got[(c, "s")] or 1.0) for c in cols)
+    far = 2.0 * span + 1.0
+    stacked = rows.select(F.explode(F.array(*[F.struct(unit[a].alias("u"), unit[b].alias("v"), F.lit(i * far).alias("w")) for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
+    pts = distinct_points(stacked, ["u", "v", "w"])
+    eps = knn(pts, 3, k, metric="max", within=1.5 * span + 0.5).select("pid", F.element_at("nn", -1)["d"].alias("eps"))
+    pts = cut_lineage(pts.join(eps, "pid").withColumn("part", F.round(F.col("x2") / far).cast("int")))
     for x in ("x0", "x1"):
-        values = pts.groupBy(F.col(x).alias("v")).agg(F.sum("m").alias("m"))
-        # open interval around the point; a zero radius counts the copies
-        closed = F.col("eps") == 0
-        lo = got.select("id", (F.col(x) - F.col("eps")).alias("v"), F.when(closed, 0).otherwise(2).alias("tag"), F.lit("lo").alias("s"))
-        hi = got.select("id", (F.col(x) + F.col("eps")).alias("v"), F.when(closed, 2).otherwise(0).alias("tag"), F.lit("hi").alias("s"))
-        probes = lo.unionByName(hi).withColumn("id", F.concat_ws(":", "id", "s")).drop("s")
-        cnt = range_counts(values, probes).select(F.substring_index("id", ":", 1).alias("id"), F.substring_index("id", ":", -1).alias("s"), "below")
-        cnt = cnt.groupBy("id").agg(F.sum(F.when(F.col("s") == "hi", F.col("below")).otherwise(-F.col("below"))).alias(f"n_{x}"))
-        out = out.join(cnt, "id")
-    dig = out.select("m", _digamma(F.greatest("n_x0", F.lit(1.0))).alias("p"), _digamma(F.greatest("n_x1", F.lit(1.0))).alias("r"))
-    s = agg_dict(dig, {"p": F.sum(F.col("m") * F.col("p")), "r": F.sum(F.col("m") * F.col("r"))})
-    return max(0.0, special.digamma(n) + special.digamma(k) - s["p"] / n - s["r"] / n)
+        pts = _within(pts, x, f"n_{x}")
+    out = pts.groupBy("part").agg(*[F.sum(F.col("m") * _digamma(F.greatest(f"n_{x}", F.lit(1.0)))).alias(x) for x in ("x0", "x1")]).collect()
+    found = {r["part"]: special.digamma(n) + special.digamma(k) - (r["x0"] + r["x1"]) / n for r in out}
+    return {p: max(0.0, found.get(i, 0.0)) for i, p in enumerate(pairs)}
+
+
+def knn_class_information(df: DataFrame, columns: Sequence[str], label: str, k: int = 3) -> dict[str, float]:
+    """Nearest-neighbour estimate of the information (nats) between each numeric column and the classes of ``label`` (0, 1, ...).
+
+    The distance to the k-th nearest value of the same class (fewer in small classes) bounds a count over all classes. Rows
+    that are alone in their class are left out. All columns and classes share one search, on coordinates of their own."""
+    cols = list(columns)
+    rows = _complete(df, [*cols, label])
+    sizes = {int(r[0]): r[1] for r in rows.groupBy(q(label).cast("int")).count().collect() if r[1] > 1}
+    n = sum(sizes.values())
+    if not n:
+        return {c: 0.0 for c in cols}
+    rows = rows.where(q(label).isin([float(c) for c in sizes]))
+    ends = agg_dict(rows, {(c, s): f(q(c)) for c in cols for s, f in (("a", F.min), ("b", F.max))})
+    unit = {c: (q(c) - ends[(c, "a")]) / ((ends[(c, "b")] - ends[(c, "a")]) or 1.0) for c in cols}
+    width = max(sizes) + 1
+    stacked = rows.select(F.explode(F.array(*[F.struct(unit[c].alias("u"), (4.0 * (i * width + q(label))).alias("w")) for i, c in enumerate(cols)])).alias("r")).select("r.*")
+    pts = distinct_points(stacked, ["u", "w"])
+    near = knn(pts, 2, k, within=2.0).select("pid", F.element_at("nn", -1)["d"].alias("eps"), F.aggregate("nn", F.lit(0).cast("long"), lambda a, t: a + t["m"]).alias("k"))
+    pts = cut_lineage(pts.join(near, "pid").withColumn("part", F.floor(F.round(F.col("x1") / 4.0) / width).cast("int")))
+    out = _within(pts, "x0", "near").groupBy("part").agg(F.sum(F.col("m") * (_digamma(F.col("k").cast("double")) - _digamma(F.greatest("near", F.lit(1.0))))).alias("s")).collect()
+    base = special.digamma(n) - sum(c * special.digamma(c) for c in sizes.values()) / n
+    found = {r["part"]: base + r["s"] / n for r in out}
+    return {c: max(0.0, found.get(i, 0.0)) for i, c in enumerate(cols)}
 
 
 def mutual_information(df: DataFrame, columns=None, estimator: str = "binned", bins: int = 10, k: int = 3) -> DataFrame:
@@ -354,8 +396,8 @@ def mutual_information(df: DataFrame, columns=None, estimator: str = "binned", b
     if estimator == "binned":
         return binned_mutual_information(df, cols, bins).withColumn("estimator", F.lit("binned"))
     rows = _complete(df, cols)
-    return rows_frame(df.sparkSession, [(a, b, knn_mutual_information_pair(rows, a, b, k), "knn") for a, b in combinations(cols, 2)],
-                      PAIR + ", estimator string")
+    got = knn_information(rows, list(combinations(cols, 2)), k)
+    return rows_frame(df.sparkSession, [(a, b, v, "knn") for (a, b), v in got.items()], PAIR + ", estimator string")
 
 
 def polychoric(df: DataFrame, columns=None, bins: int = 5) -> DataFrame:

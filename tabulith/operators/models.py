@@ -27,8 +27,9 @@ from ..functions import solvers
 from ..functions.columns import agg_dict, drop_missing, fin, q, rows_frame, value
 from ..functions.folds import fold, unit_hash
 from ..functions.gram import gram
-from ..functions.neighbors import distinct_points, knn
+from ..functions.neighbors import distinct_points, knn, point_id
 from ..functions.ordering import running
+from ..session import cut_lineage
 
 MIN_ROWS, CLASS_LEVELS, MAX_DEPTH, MAX_CLASSES = 10, 20, 30, 1000
 
@@ -103,6 +104,7 @@ class Fitted:
     predict: Callable[[DataFrame], DataFrame]
     importance: list[float] | None
     state: str
+    model: object = None  # the Spark ML model behind it, if there is one
 
     @property
     def state_hash(self) -> str:
@@ -124,7 +126,7 @@ def _spark_fitted(method: str, p: Prepared, model) -> Fitted:
         elif binary and "rawPrediction" in out.columns:
             out = out.withColumn("score", vector_to_array("rawPrediction")[1])
         return out
-    return Fitted(method, p.features, p.classes, predict, _importance(model), _state(model))
+    return Fitted(method, p.features, p.classes, predict, _importance(model), _state(model), model)
 
 
 def _importance(model) -> list[float] | None:
@@ -402,24 +404,22 @@ def _adaboost_regression(p: Prepared, n_rounds: int, learning_rate: float, seed:
             df = m.setPredictionCol(f"p{i}").transform(df)
         return df
 
+    # the weight is a stored column, so a round reads one table and applies one tree
+    data = cut_lineage(p.train.withColumn("w", F.lit(1.0)))
     for r in range(n_rounds):
-        data, w = errors(p.train), F.lit(1.0)
-        for i, (b, peak) in enumerate(betas):
-            loss = F.abs(F.col(f"p{i}") - F.col("label")) / peak
-            w = w * F.pow(F.lit(b), (1 - loss) * learning_rate)
-        model = mr.DecisionTreeRegressor(maxDepth=3, weightCol="w", seed=seed + r).fit(data.withColumn("w", w))
-        models.append(model)
-        scored = model.setPredictionCol(f"p{r}").transform(data.withColumn("w", w))
-        err = F.abs(F.col(f"p{r}") - F.col("label"))
-        peak = scored.agg(F.max(err)).first()[0] or 1.0
-        got = agg_dict(scored, {"l": F.sum(F.col("w") * err / peak), "t": F.sum("w")})
-        avg = got["l"] / got["t"]
-        if avg >= 0.5 and len(models) > 1:
-            models.pop()
+        model = mr.DecisionTreeRegressor(maxDepth=3, weightCol="w", seed=seed + r).fit(data)
+        scored = model.setPredictionCol("__p").transform(data).withColumn("__e", F.abs(F.col("__p") - F.col("label")))
+        got = agg_dict(scored, {"peak": F.max("__e"), "l": F.sum(F.col("w") * F.col("__e")), "t": F.sum("w")})
+        peak = got["peak"] or 1.0
+        avg = got["l"] / peak / got["t"]
+        if avg >= 0.5 and models:
             break
-        betas.append((max(avg / (1 - avg), 1e-10) if avg < 0.5 else 0.999, peak))
-        if avg <= 0:
+        models.append(model)
+        beta = max(avg / (1 - avg), 1e-10) if avg < 0.5 else 0.999
+        betas.append((beta, peak))
+        if avg <= 0 or r == n_rounds - 1:
             break
+        data = cut_lineage(scored.withColumn("w", F.col("w") * F.pow(F.lit(beta), (1 - F.col("__e") / peak) * learning_rate)).drop("__p", "__e"))
     alphas = [learning_rate * math.log(1 / b) for b, _ in betas]
 
     def predict(df):
@@ -440,7 +440,7 @@ def nearest(p: Prepared, k: int = 5, weights: str = "uniform", **_) -> Fitted:
 
     def predict(df):
         pts = distinct_points(p.train, p.xs)
-        labels = p.train.groupBy(F.xxhash64(*p.xs).alias("to"), "label").agg(F.count("*").cast("double").alias("c"))
+        labels = p.train.groupBy(point_id(p.xs).alias("to"), "label").agg(F.count("*").cast("double").alias("c"))
         share = labels.withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy("to")))
         asked = distinct_points(df, p.xs).drop("m")
         nn = knn(pts, n, k, asked).select("pid", F.inline("nn").alias("d", "to", "m"))
@@ -453,7 +453,7 @@ def nearest(p: Prepared, k: int = 5, weights: str = "uniform", **_) -> Fitted:
                                            (F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("score"))
         else:
             got = votes.groupBy("pid").agg((F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("prediction"))
-        return df.withColumn("pid", F.xxhash64(*[F.col(x).cast("double") for x in p.xs])).join(got, "pid", "left").drop("pid")
+        return df.withColumn("pid", point_id(p.xs)).join(got, "pid", "left").drop("pid")
     return Fitted("knn", p.features, p.classes, predict, None, f"knn:{k}:{weights}")
 
 

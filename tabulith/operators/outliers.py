@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import rows_frame, agg_dict, fin, numeric_columns, q, value
 from ..functions.folds import unit_hash
 from ..functions.gram import gram
-from ..functions.neighbors import distinct_points, knn
+from ..functions.neighbors import distinct_points, knn, point_id
 from ..functions.ordering import dense_index
 from ..functions.quantiles import moments, quantiles
 from ..functions.special import chi2_tail
@@ -177,10 +177,10 @@ def dbscan_noise(df: DataFrame, columns: Sequence[str], eps: float = 3.0, min_sa
     if core.limit(1).count() == 0:
         noise = rest.select("pid")
     else:
-        near_core = knn(core, len(cols), 1, rest)
-        noise = rest.join(near_core.filter(F.element_at("nn", 1)["d"] <= eps), "pid", "left_anti").select("pid")
+        near_core = knn(core, len(cols), 1, rest, within=eps)
+        noise = rest.join(near_core.filter(F.size("nn") > 0), "pid", "left_anti").select("pid")
     noise = noise.withColumn("is_outlier", F.lit(True))
-    out = rows.withColumn("pid", F.xxhash64(*cols)).join(noise, "pid", "left")
+    out = rows.withColumn("pid", point_id(cols)).join(noise, "pid", "left")
     return out.withColumn("is_outlier", F.coalesce("is_outlier", F.lit(False))).drop("pid", *cols)
 
 
@@ -298,7 +298,7 @@ def lof_flags(df: DataFrame, columns: Sequence[str], k: int = 20, contamination:
     ratio = (edges.join(reach.select(F.col("pid").alias("to"), F.col("lrd").alias("lrd_to")), "to")
              .join(reach, "pid").groupBy("pid")
              .agg((F.sum(F.col("m") * F.col("lrd_to")) / F.sum("m") / F.max("lrd")).alias("score")))
-    out = rows.withColumn("pid", F.xxhash64(*xs)).join(ratio, "pid", "left").drop("pid", *xs)
+    out = rows.withColumn("pid", point_id(xs)).join(ratio, "pid", "left").drop("pid", *xs)
     cut = quantiles(out, ["score"], [1 - contamination])["score"][0]
     return out.withColumn("is_outlier", F.coalesce(F.col("score") > cut, F.lit(False)))
 

@@ -9,8 +9,8 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark.ml import classification as mc
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +19,12 @@ from ..functions import solvers, special
 from ..functions.columns import agg_dict, drop_missing, fin, numeric_columns, q, rows_frame
 from ..functions.folds import unit_hash
 from ..functions.gram import gram
-from ..functions.ordering import dense_index, halo, home_rows, with_ranks
+from ..functions.neighbors import distinct_points, knn, point_id
+from ..functions.ordering import BLOCK, dense_index, halo, home_rows, with_ranks
 from ..functions.quantiles import quantiles
+from ..functions.trees import Forest
+from ..functions.trees import forest as arrays
+from ..session import cut_lineage
 from . import association as A
 from . import models as M
 
@@ -239,13 +243,18 @@ def _codes(t: Task, bins: int) -> dict[str, Column]:
     return codes
 
 
-def _target_mi(t: Task, bins: int) -> dict[str, float]:
+def _target_mi(t: Task, bins: int, estimator: str = "binned", k: int = 3) -> dict[str, float]:
+    if estimator == "knn":
+        if t.classes is not None:
+            return A.knn_class_information(t.rows, t.xs, "label", k)
+        return {a: v for (a, _), v in A.knn_information(t.rows, [(x, "label") for x in t.xs], k).items()}
     counts = ct.pair_counts(t.rows, _codes(t, bins), [(x, "label") for x in t.xs])
     return {r["col_a"]: r["mi"] for r in ct.mutual_information(counts).collect()}
 
 
-def mutual_information(t: Task, bins: int = 10) -> DataFrame:
-    mi = _target_mi(t, bins)
+def mutual_information(t: Task, bins: int = 10, estimator: str = "binned", k: int = 3) -> DataFrame:
+    """Information about the target: of equal-frequency bins, or (``knn``) by distances to the k-th nearest neighbour."""
+    mi = _target_mi(t, bins, estimator, k)
     return t.out((f, mi.get(x, 0.0)) for f, x in zip(t.features, t.xs))
 
 
@@ -264,16 +273,19 @@ def spacing_entropy(t: Task) -> dict[str, float]:
     return out
 
 
-def information_bottleneck(t: Task, bins: int = 10) -> DataFrame:
+def information_bottleneck(t: Task, bins: int = 10, estimator: str = "binned", k: int = 3) -> DataFrame:
     """Information about the target per unit of the feature's own entropy."""
-    mi, h = _target_mi(t, bins), spacing_entropy(t)
+    mi, h = _target_mi(t, bins, estimator, k), spacing_entropy(t)
     return t.out((f, mi.get(x, 0.0) / max(h[x], ENTROPY_FLOOR)) for f, x in zip(t.features, t.xs))
 
 
-def mrmr(t: Task, n_features: int = 10, bins: int = 10) -> DataFrame:
-    """Greedy relevance minus mean redundancy; all pair tables come from one scan."""
+def mrmr(t: Task, n_features: int = 10, bins: int = 10, estimator: str = "binned", neighbors: int = 3) -> DataFrame:
+    """Greedy relevance minus mean redundancy; all pair tables come from one scan (``knn``: from one search)."""
     pairs = [(a, b) for i, a in enumerate(t.xs) for b in t.xs[i + 1:]] + [(x, "label") for x in t.xs]
-    mi = {(r["col_a"], r["col_b"]): r["mi"] for r in ct.mutual_information(ct.pair_counts(t.rows, _codes(t, bins), pairs)).collect()}
+    if estimator == "knn":
+        mi = A.knn_information(t.rows, pairs[:-len(t.xs)], neighbors) | {(x, "label"): v for x, v in _target_mi(t, bins, "knn", neighbors).items()}
+    else:
+        mi = {(r["col_a"], r["col_b"]): r["mi"] for r in ct.mutual_information(ct.pair_counts(t.rows, _codes(t, bins), pairs)).collect()}
 
     def info(a, b):
         return mi.get((a, b), mi.get((b, a), 0.0))
@@ -287,10 +299,10 @@ def mrmr(t: Task, n_features: int = 10, bins: int = 10) -> DataFrame:
     return t.out(zip(t.features, score.values()))
 
 
-def feature_clustering(t: Task, n_clusters: int | None = None, bins: int = 10) -> DataFrame:
+def feature_clustering(t: Task, n_clusters: int | None = None, bins: int = 10, estimator: str = "binned", k: int = 3) -> DataFrame:
     """Average linkage on 1-|r| over the p x p matrix; information divided by rank inside a cluster."""
     corr = gram(t.rows, {x: F.col(x) for x in t.xs})[None].corr()
-    dist, mi = 1 - np.abs(np.clip(corr, -1, 1)), _target_mi(t, bins)
+    dist, mi = 1 - np.abs(np.clip(corr, -1, 1)), _target_mi(t, bins, estimator, k)
     groups = [[i] for i in range(len(t.xs))]
     while len(groups) > (n_clusters or max(1, len(t.xs) // 3)):
         a, b = min(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))),
@@ -410,52 +422,76 @@ def bayesian_importance(t: Task, n_boot: int = 50, seed: int = 42) -> DataFrame:
 
 # ---- permutation methods --------------------------------------------------------------------
 
-def with_shuffled(t: Task, copies: int, seed: int = 42) -> DataFrame:
-    """Rows with ``s<c>_<i>``: each feature taken from another row.
-
-    Rows are laid out once in hash order, which is a random order; a value from
-    a fixed distance back in that order is a draw from a random other row.
-    Different features and copies use different distances, so the shuffles are
-    independent, and only block edges are copied between tasks."""
-    laid = dense_index(t.rows.withColumn("__h", unit_hash(t.key, seed)), ["__h", *t.key], "__i").drop("__h")
-    steps = {(c, i): c * len(t.xs) + i + 1 for c in range(copies) for i in range(len(t.xs))}
-    reach = max(steps.values())
-    blocks, w = halo(laid, "__i", reach, reach)
-    cols = {f"s{c}_{i}": F.coalesce(F.lag(f"x{i}", k).over(w), F.lead(f"x{i}", k).over(w), F.col(f"x{i}")) for (c, i), k in steps.items()}
+def _laid_out(t: Task, seed: int) -> DataFrame:
+    """Rows in the order of a key hash, which is a random order, with their place ``__i``; stored once.
+
+    The value a fixed distance back in that order is a draw from a random other row. Different features and copies use
+    different distances, so their shuffles are independent, and only block edges are copied between tasks."""
+    return cut_lineage(dense_index(t.rows.withColumn("__h", unit_hash(t.key, seed)), ["__h", *t.key], "__i").drop("__h"))
+
+
+def _step(t: Task, copy: int, i: int) -> int:
+    return copy * len(t.xs) + i + 1
+
+
+def with_shuffled(t: Task, laid: DataFrame, copy: int) -> DataFrame:
+    """Rows with ``s0..``: each feature taken from another row, other rows for each copy."""
+    steps = [_step(t, copy, i) for i in range(len(t.xs))]
+    blocks, w = halo(laid, "__i", steps[-1], steps[-1])
+    cols = {f"s{i}": F.coalesce(F.lag(f"x{i}", k).over(w), F.lead(f"x{i}", k).over(w), F.col(f"x{i}")) for i, k in enumerate(steps)}
     return home_rows(blocks.withColumns(cols)).drop("__i")
 
 
 def boruta(t: Task, n_trials: int = 20, n_trees: int = 50, max_depth: int = 8, seed: int = 42) -> DataFrame:
-    """Share of trials in which a feature beats the best shuffled copy."""
-    rows = with_shuffled(t, n_trials, seed).persist()
-    wins = np.zeros(len(t.xs))
+    """Share of trials in which a feature beats the best shuffled copy; a trial holds one copy of each feature."""
+    laid, wins = _laid_out(t, seed), np.zeros(len(t.xs))
+    names = [*t.xs, *[f"s{i}" for i in range(len(t.xs))]]
     for c in range(n_trials):
-        names = [*t.xs, *[f"s{c}_{i}" for i in range(len(t.xs))]]
+        rows = with_shuffled(t, laid, c).persist()
         p = _prepared(replace(t, features=[*t.features, *names[len(t.xs):]]), rows, names)
         imp = np.array(_forest(p, n_trees, max_depth, seed + c).importance)
         wins += imp[:len(t.xs)] > imp[len(t.xs):].max()
-    rows.unpersist()
+        rows.unpersist()
     return t.out(zip(t.features, wins / n_trials))
 
 
-def permutation_importance(t: Task, n_repeats: int = 10, n_trees: int = 50, max_depth: int = 8, seed: int = 42) -> DataFrame:
-    """Mean loss of accuracy (or R2) when one feature is shuffled."""
-    model = _forest(_prepared(t), n_trees, max_depth, seed)
-    rows = with_shuffled(t, n_repeats, seed).persist()
+def _trees(t: Task, n_trees: int, max_depth: int, seed: int) -> Forest:
+    model = _forest(_prepared(t), n_trees, max_depth, seed).model
+    return arrays(t.rows.sparkSession, model, len(t.classes) if t.classes else 0)
 
-    def score(vec: Column) -> float:
-        pred = model.predict(rows.select("label", vec.alias("features")))
-        if t.classes:
-            return pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
-        return M.regression_metrics(pred).first()["r2"]
 
-    base = score(array_to_vector(F.array(*t.xs)))
-    out = []
-    for i, f in enumerate(t.features):
-        loss = [base - score(array_to_vector(F.array(*[f"s{c}_{i}" if j == i else x for j, x in enumerate(t.xs)]))) for c in range(n_repeats)]
-        out.append((f, float(np.mean(loss))))
-    rows.unpersist()
-    return t.out(out)
+def permutation_importance(t: Task, n_repeats: int = 10, n_trees: int = 50, max_depth: int = 8, seed: int = 42) -> DataFrame:
+    """``feature, score, std``: mean and deviation over the repeats of the loss of accuracy (or R2) when one feature is shuffled.
+
+    One job: a task shuffles one column of its block at a time, predicts with the trees as arrays, and returns sums."""
+    trees, xs, by_class = _trees(t, n_trees, max_depth, seed), t.xs, t.classes is not None
+    steps = [(c, i, _step(t, c, i)) for c in range(n_repeats) for i in range(len(xs))]
+    reach = steps[-1][2]
+    blocks, _ = halo(_laid_out(t, seed), "__i", reach, reach)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__i")
+        home = np.flatnonzero(pdf["__home"].to_numpy())
+        x, y = pdf[xs].to_numpy(float), pdf["label"].to_numpy(float)[home]
+
+        def fit(rows):
+            got = trees.predict(rows)
+            return float((got.argmax(1) == y).sum()) if by_class else float(((got[:, 0] - y) ** 2).sum())
+
+        out = [(-1, -1, fit(x[home]))]
+        for c, i, k in steps:
+            back, on = home - k, home + k
+            rows = x[home].copy()
+            rows[:, i] = x[np.where(back >= 0, back, np.where(on < len(x), on, home)), i]
+            out.append((c, i, fit(rows)))
+        return pd.DataFrame(out, columns=["c", "i", "s"])
+
+    got = blocks.groupBy(BLOCK).applyInPandas(sums, "c int, i int, s double").groupBy("c", "i").agg(F.sum("s").alias("s")).collect()
+    spread = 1.0 if by_class else (agg_dict(t.rows, {"v": F.var_pop("label")})["v"] or 0.0)
+    score = {(r["c"], r["i"]): r["s"] / t.n if by_class else 1 - (r["s"] / t.n / spread if spread else 0.0) for r in got}
+    loss = np.array([[score[-1, -1] - score[c, i] for c in range(n_repeats)] for i in range(len(xs))])
+    rows = sorted(zip(t.features, loss.mean(1), loss.std(1)), key=lambda r: (-r[1], r[0]))
+    return rows_frame(t.rows.sparkSession, [(f, fin(m), fin(s)) for f, m, s in rows], SCORE + ", std double")
 
 
 def rfe_curve(t: Task, n_trees: int = 50, max_depth: int = 8, folds: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -492,11 +528,6 @@ def elimination_summary(curve: DataFrame) -> DataFrame:
 
 # ---- local explanations ------------------------------------------------------------------------
 
-def _score_column(model: M.Fitted) -> Column:
-    return F.col("score") if model.classes and len(model.classes) == 2 else (
-        vector_to_array("probability")[1] if model.classes else F.col("prediction"))
-
-
 def _background(t: Task, n: int, seed: int) -> list[list[float]]:
     """A bounded hash sample of feature rows."""
     share = min(1.0, 3 * n / max(t.n, 1))
@@ -516,29 +547,35 @@ def coalitions(p: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return z, w
 
 
+#: masked rows that a task holds at a time
+MASKED_ROWS = 200_000
+
+
 def shap(t: Task, n_trees: int = 50, max_depth: int = 8, n_bg: int = 50, n_coal: int = 150, seed: int = 42) -> DataFrame:
     """``key.., feature, phi, base`` for every row by kernel regression.
 
-    All rows share the coalitions, so the weighted regression is one fixed
-    linear map: attributions are sums of coalition means times its entries."""
-    model = _forest(_prepared(t), n_trees, max_depth, seed)
-    bg, p = _background(t, n_bg, seed), len(t.xs)
+    All rows share the coalitions, so the weighted regression is one fixed linear map from the means over the background to
+    the attributions. A task masks its rows and predicts in memory; nothing is shuffled."""
+    trees, bg, p = _trees(t, n_trees, max_depth, seed), np.array(_background(t, n_bg, seed)), len(t.xs)
     z, w = coalitions(p, n_coal, seed)
     design = np.column_stack([np.ones(len(z)), z])
     solve = np.linalg.pinv(design * np.sqrt(w)[:, None]) * np.sqrt(w)[None, :]
-    masks = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(bool(b)) for b in row]).alias("on")) for k, row in enumerate(z)])
-    grounds = F.array(*[F.array(*[F.lit(v) for v in b]) for b in bg])
-    rows = t.rows.select(*t.key, F.array(*t.xs).alias("x"))
-    wide = rows.select("*", F.explode(masks).alias("z")).select(*t.key, "x", F.col("z.k").alias("k"), F.col("z.on").alias("on")) \
-        .select("*", F.explode(grounds).alias("g"))
-    mixed = wide.withColumn("features", array_to_vector(F.transform("x", lambda v, i: F.when(F.element_at("on", i + 1), v).otherwise(F.element_at("g", i + 1)))))
-    pred = model.predict(mixed).select(*t.key, "k", _score_column(model).alias("f"))
-    mean = pred.groupBy(*t.key, "k").agg(F.avg("f").alias("f"))
-    maps = F.array(*[F.array(*[F.lit(float(v)) for v in solve[j]]) for j in range(p + 1)])
-    phi = mean.withColumn("m", maps).groupBy(*t.key).agg(
-        *[F.sum(F.col("f") * F.element_at(F.col("m")[j], F.col("k") + 1)).alias(f"p{j}") for j in range(p + 1)])
-    items = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"p{j + 1}").alias("phi")) for j, f in enumerate(t.features)])
-    return phi.select(*t.key, F.col("p0").alias("base"), F.inline(items))
+    on, step, keys, xs, features = z.astype(bool), max(1, MASKED_ROWS // (len(z) * len(bg))), t.key, t.xs, t.features
+
+    def explain(batches):
+        for pdf in batches:
+            x = pdf[xs].to_numpy(float)
+            phi = np.empty((len(x), p + 1))
+            for at in range(0, len(x), step):
+                part = x[at:at + step]
+                masked = np.where(on[None, :, None, :], part[:, None, None, :], bg[None, None, :, :])
+                f = trees.score(masked.reshape(-1, p)).reshape(len(part), len(z), len(bg)).mean(axis=2)
+                phi[at:at + step] = f @ solve.T
+            out = pdf[keys].loc[pdf.index.repeat(p)].reset_index(drop=True)
+            yield out.assign(base=np.repeat(phi[:, 0], p), feature=features * len(x), phi=phi[:, 1:].ravel())
+
+    kinds = ", ".join(f"{k} {t.rows.schema[k].dataType.simpleString()}" for k in keys)
+    return t.rows.select(*keys, *xs).mapInPandas(explain, f"{kinds}, base double, feature string, phi double")
 
 
 def shap_scores(phi: DataFrame) -> DataFrame:
@@ -547,115 +584,136 @@ def shap_scores(phi: DataFrame) -> DataFrame:
 
 def lime(t: Task, n_trees: int = 50, max_depth: int = 8, n_samples: int = 500, sigma: float = 1.0, n_queries: int = 20,
          seed: int = 42) -> DataFrame:
-    """Mean absolute coefficient of weighted local lines around a few rows."""
-    model = _forest(_prepared(t), n_trees, max_depth, seed)
-    spark, rng, p = t.rows.sparkSession, np.random.default_rng(seed), len(t.xs)
-    asked = np.array(_background(t, n_queries, seed))
-    pert = asked[:, None, :] + rng.normal(0, sigma, (len(asked), n_samples, p))
-    flat = [(int(i), float(np.exp(-((pert[i, s] - asked[i]) ** 2).sum() / (2 * sigma ** 2))), [float(v) for v in pert[i, s]])
-            for i in range(len(asked)) for s in range(n_samples)]
-    rows = rows_frame(spark, flat, "i int, w double, x array<double>").repartition(8, "i").withColumn("features", array_to_vector("x"))
-    pred = model.predict(rows).select("i", "w", "x", _score_column(model).alias("f"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, w = np.array(pdf["x"].tolist()), pdf["w"].to_numpy()
-        c = np.linalg.lstsq((x * w[:, None]).T @ x, (x * w[:, None]).T @ pdf["f"].to_numpy(), rcond=None)[0]
-        return pd.DataFrame({"j": np.arange(p), "c": np.abs(c)})
-
-    got = pred.groupBy("i").applyInPandas(fit, "j int, c double").groupBy("j").agg(F.avg("c").alias("c")).collect()
+    """Mean absolute coefficient of weighted local lines around a few rows; each is disturbed and fitted where it lies."""
+    trees, p = _trees(t, n_trees, max_depth, seed), len(t.xs)
+    asked = [(i, x) for i, x in enumerate(_background(t, n_queries, seed))]
+
+    def fit(batches):
+        for pdf in batches:
+            for i, centre in zip(pdf["i"], pdf["x"]):
+                x = np.asarray(centre)[None, :] + np.random.default_rng([seed, int(i)]).normal(0, sigma, (n_samples, p))
+                w = np.exp(-((x - centre) ** 2).sum(axis=1) / (2 * sigma ** 2))
+                c = np.linalg.lstsq((x * w[:, None]).T @ x, (x * w[:, None]).T @ trees.score(x), rcond=None)[0]
+                yield pd.DataFrame({"j": np.arange(p), "c": np.abs(c)})
+
+    rows = rows_frame(t.rows.sparkSession, asked, "i int, x array<double>").repartition(8, "i")
+    got = rows.mapInPandas(fit, "j int, c double").groupBy("j").agg(F.avg("c").alias("c")).collect()
     return t.out((t.features[r["j"]], r["c"]) for r in got)
 
 
 def interactions(t: Task, n_trees: int = 50, max_depth: int = 8, seed: int = 42) -> DataFrame:
-    """Summed pair interaction: variance not explained by replacing each feature alone by its mean."""
-    model = _forest(_prepared(t), n_trees, max_depth, seed)
-    mean = agg_dict(t.rows, {x: F.avg(x) for x in t.xs})
-    p = len(t.xs)
+    """Summed pair interaction: variance not explained by replacing each feature alone by its mean.
+
+    One scan: a task predicts all replacements of its rows and returns their sums and products."""
+    trees, xs, p = _trees(t, n_trees, max_depth, seed), t.xs, len(t.xs)
+    got = agg_dict(t.rows, {x: F.avg(x) for x in xs})
+    mean = np.array([got[x] for x in xs])
     swaps = [()] + [(i,) for i in range(p)] + [(i, j) for i in range(p) for j in range(i + 1, p)]
-    out = t.rows
-    for s in swaps:
-        vec = array_to_vector(F.array(*[F.lit(mean[x]) if i in s else F.col(x) for i, x in enumerate(t.xs)]))
-        drop = ["features", "rawPrediction", "probability", "prediction", "score"]
-        out = model.predict(out.withColumn("features", vec)).withColumn("_".join(["m", *map(str, s)]), _score_column(model)).drop(*drop)
-    names = {s: "_".join(["m", *map(str, s)]) for s in swaps}
-    g = gram(out, {n: F.col(n) for n in names.values()})[None]
-    cov, at = g.cov(0), {n: i for i, n in enumerate(g.names)}
-    score = [0.0] * p
+    m = len(swaps)
+
+    def sums(batches):
+        total = np.zeros((m + 1, m + 1))
+        for pdf in batches:
+            x = pdf[xs].to_numpy(float)
+            f = np.ones((len(x), m + 1))
+            for k, s in enumerate(swaps):
+                swapped = x.copy()
+                swapped[:, list(s)] = mean[list(s)]
+                f[:, k] = trees.score(swapped)
+            total += f.T @ f
+        yield pd.DataFrame({"k": np.arange(total.size), "s": total.ravel()})
+
+    cells = t.rows.select(*xs).mapInPandas(sums, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()  # one row for two replacements
+    total = np.zeros((m + 1) ** 2)
+    total[[r["k"] for r in cells]] = [r["s"] for r in cells]
+    total = total.reshape(m + 1, m + 1) / t.n
+    cov = total[:m, :m] - np.outer(total[:m, m], total[m, :m])
+    at, score = {s: k for k, s in enumerate(swaps)}, [0.0] * p
     for i in range(p):
         for j in range(i + 1, p):
-            v = np.zeros(len(at))
-            v[at[names[()]]], v[at[names[(i, j)]]] = 1, -1
+            v = np.zeros(m)
+            v[at[()]], v[at[(i, j)]] = 1, -1
             den = float(v @ cov @ v)
-            v[at[names[(i,)]]], v[at[names[(j,)]]] = -1, -1
+            v[at[(i,)]], v[at[(j,)]] = -1, -1
             h = float(v @ cov @ v) / (den + 1e-12)
             score[i] += h
             score[j] += h
     return t.out(zip(t.features, score))
 
 
-def relieff(t: Task, k: int = 10, n_iter: int = 500, seed: int = 42) -> DataFrame:
-    """Nearest hits and misses of a bounded sample of anchors against the whole table.
-
-    Each task keeps its k best rows per anchor and class; the merge keeps k
-    again in two rounds, so no group grows with the table."""
+def _unit(t: Task) -> DataFrame:
+    """Rows with every feature from 0 to 1 and a number of their own, ``row``."""
     ends = agg_dict(t.rows, {(x, s): f(x) for x in t.xs for s, f in (("a", F.min), ("b", F.max))})
-    unit = {x: (F.col(x) - ends[(x, "a")]) / ((ends[(x, "b")] - ends[(x, "a")]) or 1.0) for x in t.xs}
-    rows = t.rows.withColumns(unit)
-    if t.classes is None:
-        rows = with_ranks(rows, ["label"]).withColumn("label", (F.col("label_rank") - 1) / max(1, t.n - 1)).drop("label_rank")
-        group = F.lit(0)
-    else:
-        group = F.col("label").cast("int")
-    rows = rows.select(F.xxhash64(*t.key).alias("id"), group.alias("c"), "label", *t.xs)
-    share = min(1.0, 2 * n_iter / max(t.n, 1))
-    anchors = rows.filter(unit_hash(["id"], seed) < share).orderBy(unit_hash(["id"], seed)).limit(n_iter).toPandas()
-    ax, aid = anchors[t.xs].to_numpy(float), anchors["id"].to_numpy()
-    euclid, xs = t.classes is None, t.xs
-
-    def nearest(batches):
-        best: dict = {}
-        for pdf in batches:
-            for c, part in pdf.groupby("c"):
-                x, ids, y = part[xs].to_numpy(float), part["id"].to_numpy(), part["label"].to_numpy(float)
-                for i in range(len(ax)):
-                    d = ((x - ax[i]) ** 2).sum(1)
-                    d = np.sqrt(d) if euclid else d
-                    d = np.where(ids == aid[i], np.inf, d)
-                    o = np.argsort(d, kind="stable")[:k]
-                    o = o[np.isfinite(d[o])]
-                    new = [(float(d[j]), int(ids[j]), float(y[j]), np.abs(x[j] - ax[i]).tolist()) for j in o]
-                    best[(i, c)] = sorted(best.get((i, c), []) + new)[:k]
-        out = [(i, int(c), *row, int(row[1]) % 64) for (i, c), rs in best.items() for row in rs]
-        yield pd.DataFrame(out, columns=["i", "c", "d", "id", "y", "diff", "salt"])
-
-    near = rows.mapInPandas(nearest, "i int, c int, d double, id bigint, y double, diff array<double>, salt int")
-    pack = F.struct("d", "id", "y", "diff")
-    for keys in (["i", "c", "salt"], ["i", "c"]):
-        near = near.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(pack)), 1, k).alias("nn")) \
-            .select(*keys, F.inline("nn"))
-    got = near.groupBy("i", "c").agg(F.avg("y").alias("y"), *[F.avg(F.element_at("diff", j + 1)).alias(f"d{j}") for j in range(len(t.xs))],
-                                     F.collect_list(F.struct("y", "diff")).alias("all")).collect()  # one row per anchor and class
-    p = len(t.xs)
+    unit = [((F.col(x) - ends[(x, "a")]) / ((ends[(x, "b")] - ends[(x, "a")]) or 1.0)).alias(x) for x in t.xs]
+    return t.rows.select(*t.key, "label", *unit)
+
+
+def _asking(rows: DataFrame, key: Sequence[str], n: int, n_iter: int | None, seed: int) -> DataFrame:
+    """All rows, or the first ``n_iter`` in the order of a key hash."""
+    if n_iter is None or n_iter >= n:
+        return rows
+    return rows.filter(unit_hash(key, seed) < min(1.0, 2 * n_iter / n)).orderBy(unit_hash(key, seed), *key).limit(n_iter)
+
+
+def relieff(t: Task, k: int = 10, n_iter: int | None = None, seed: int = 42) -> DataFrame:
+    """Distances to the nearest hits and misses of every row (or of ``n_iter`` rows that a hash of the key chooses).
+
+    Copies of a point are neighbours of each other. For classes each row looks for its k nearest rows in every class: the
+    class is a coordinate that keeps classes farther apart than any two rows of one. For numbers each row has k neighbours;
+    of copies of one point the first by key come first, and differences of the target are those of its ranks."""
+    rows, n = _unit(t), t.n
     if t.classes is not None:
-        prior = {r["c"]: r["n"] / t.n for r in rows.groupBy("c").agg(F.count("*").alias("n")).collect()}
-        own, w = dict(zip(range(len(anchors)), anchors["c"])), np.zeros(p)
-        for r in got:
-            d = np.array([r[f"d{j}"] for j in range(p)])
-            mine = own[r["i"]]
-            w += -d / len(anchors) if r["c"] == mine else prior[r["c"]] / (1 - prior[mine] + 1e-10) * d / len(anchors)
-        return t.out(zip(t.features, w))
-    n_dc, n_da, n_both = 0.0, np.zeros(p), np.zeros(p)
-    ya = anchors["label"].to_numpy(float)
-    for r in got:
-        for e in r["all"]:
-            dc, da = abs(ya[r["i"]] - e["y"]), np.array(e["diff"])
-            n_dc += dc / k
-            n_da += da / k
-            n_both += da * dc / k
-    w = n_both / (n_dc + 1e-12) - (n_da - n_both) / (len(anchors) - n_dc + 1e-12)
+        return t.out(zip(t.features, _class_relief(t, rows, _asking(rows, t.key, n, n_iter, seed), k)))
+    rows = with_ranks(rows, ["label"]).withColumn("label", (F.col("label_rank") - 1) / max(1, n - 1)).drop("label_rank")
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("pid", point_id(t.xs)))
+    asking = _asking(rows, t.key, n, n_iter, seed)
+    near = knn(distinct_points(rows, t.xs), len(t.xs), k).select("pid", F.inline("nn").alias("d", "to", "m")).drop("d")
+    # the first k + 1 copies of each point, in two steps, so that no task gets all copies of a hot point
+    first = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(64)))
+    for part in (["pid", "salt"], ["pid"]):
+        first = first.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy(*t.key, "row"))).where(F.col("place") <= k + 1)
+    first = cut_lineage(first.select(F.col("pid").alias("to"), "place", F.col("row").alias("other"), F.col("label").alias("y"), *[F.col(x).alias(f"o{i}") for i, x in enumerate(t.xs)]))
+    own = first.select(F.col("other").alias("row"), F.col("place").alias("own"))
+    pairs = asking.join(own, "row", "left").join(near, "pid").join(first, "to")
+    # a row is not its own neighbour: where it is among the first copies, one more of them comes in
+    among = F.coalesce((F.col("to") == F.col("pid")) & (F.col("own") <= F.col("m")), F.lit(False))
+    pairs = pairs.where((F.col("place") <= F.col("m") + among.cast("int")) & (F.col("other") != F.col("row")))
+    dc = F.abs(F.col("label") - F.col("y"))
+    da = [F.abs(F.col(x) - F.col(f"o{i}")) for i, x in enumerate(t.xs)]
+    got = agg_dict(pairs, {"c": F.sum(dc), **{("a", i): F.sum(d) for i, d in enumerate(da)}, **{("b", i): F.sum(d * dc) for i, d in enumerate(da)}})
+    m, c = min(n, n_iter or n), (got["c"] or 0.0) / k
+    w = [(got[("b", i)] or 0.0) / k / (c + 1e-12) - ((got[("a", i)] or 0.0) - (got[("b", i)] or 0.0)) / k / (m - c + 1e-12) for i in range(len(t.xs))]
     return t.out(zip(t.features, w))
 
 
+def _class_relief(t: Task, rows: DataFrame, asking: DataFrame, k: int) -> list[float]:
+    p = len(t.xs)
+    far = 4.0 * (p + 1)  # no two points of the unit cube are so far apart
+    xs, where = [*t.xs, "w"], (F.col("label") * far).alias("w")
+    points = cut_lineage(distinct_points(rows.select(*t.xs, where), xs))
+    names = [f"x{i}" for i in range(p + 1)]
+    sizes = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
+    n, m = sum(sizes.values()), asking.count()
+    # rows that are alone in their class have no hit and are passed over
+    alone = [c * far for c, size in sizes.items() if size < 2]
+    asked = distinct_points(asking.select(*t.xs, where), xs).where(~F.col(f"x{p}").isin(alone)) if alone else distinct_points(asking.select(*t.xs, where), xs)
+    asked = asked.withColumnsRenamed({"pid": "own", f"x{p}": "home", "m": "weight"})
+    asked = asked.withColumn(f"x{p}", F.explode(F.array(*[F.lit(c * far) for c in sorted(sizes)])))
+    asked = cut_lineage(asked.withColumn("pid", point_id([*names, "home"])))
+    near = knn(points, p + 1, k, asked.withColumn("own", F.when(F.col("home") == F.col(f"x{p}"), F.col("own"))), within=far / 2)
+    pairs = near.select("pid", F.inline("nn").alias("d", "to", "m")).join(asked, "pid").join(
+        points.select(F.col("pid").alias("to"), *[F.col(x).alias(f"o{i}") for i, x in enumerate(names[:p])]), "to")
+    mean = [(F.sum(F.col("m") * F.abs(F.col(x) - F.col(f"o{i}"))) / F.sum("m")).alias(f"d{i}") for i, x in enumerate(names[:p])]
+    per = pairs.groupBy("pid", "home", F.col(f"x{p}").alias("c"), "weight").agg(*mean)
+    sums = per.groupBy("home", "c").agg(*[F.sum(F.col("weight") * F.col(f"d{i}")).alias(f"d{i}") for i in range(p)]).collect()  # one row for two classes
+    w = np.zeros(p)
+    for r in sums:
+        mine, other = round(r["home"] / far), round(r["c"] / far)
+        share = -1.0 if mine == other else sizes[other] / n / (1 - sizes[mine] / n + 1e-10)
+        w += share * np.array([r[f"d{i}"] for i in range(p)]) / m
+    return w.tolist()
+
+
 # ---- presentation ---------------------------------------------------------------------------------
 
 def bind(scores: DataFrame, method: str, variant_id: int, fingerprint: str, contracts: str = "") -> DataFrame:
@@ -665,10 +723,11 @@ def bind(scores: DataFrame, method: str, variant_id: int, fingerprint: str, cont
 
 
 def presentation(scores: DataFrame, top: int = 20) -> DataFrame:
-    """Sizes relative to the largest, best first."""
+    """Sizes relative to the largest, best first; scores with a ``std`` keep it on the same scale, as ``error``."""
     peak = scores.agg(F.max(F.abs("score")).alias("peak"))
+    error = [F.coalesce(F.try_divide("std", "peak"), F.lit(0.0)).alias("error")] if "std" in scores.columns else []
     return (scores.crossJoin(F.broadcast(peak))  # one row
-            .select("feature", F.coalesce(F.try_divide(F.abs("score"), F.col("peak")), F.lit(0.0)).alias("relative"))
+            .select("feature", F.coalesce(F.try_divide(F.abs("score"), F.col("peak")), F.lit(0.0)).alias("relative"), *error)
             .orderBy(F.desc("relative"), "feature").limit(top))
 
 

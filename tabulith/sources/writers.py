@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,21 +20,10 @@ def finite_or_null(df: DataFrame) -> DataFrame:
                            for c in df.columns if is_float(df, c)})
 
 
-def json_safe(obj):
-    """The same rule for small driver-side dictionaries."""
-    if isinstance(obj, dict):
-        return {str(k): json_safe(v) for k, v in obj.items()}
-    if isinstance(obj, (list, tuple, set)):
-        return [json_safe(v) for v in obj]
-    if isinstance(obj, float) and not math.isfinite(obj):
-        return None
-    if isinstance(obj, (str, int, float, bool)) or obj is None:
-        return obj
-    return str(obj)
-
-
 def dumps(obj) -> str:
-    return json.dumps(json_safe(obj), sort_keys=True)
+    """The same rule for small driver-side values; what JSON lacks becomes text, sets become lists."""
+    text = json.dumps(obj, default=lambda v: list(v) if isinstance(v, (set, frozenset)) else str(v))
+    return json.dumps(json.loads(text, parse_constant=lambda _: None), sort_keys=True)
 
 
 def write_report(df: DataFrame, path: str) -> None:
