@@ -1,10 +1,11 @@
 """Benchmark passages in documents: latent semantic retrieval, then longest common subsequence and answer checks.
 
-The benchmark's passages become TF-IDF vectors, with frequencies from all documents, and distributed randomised SVDs give
-latent spaces, one for each block of passages and as wide as the block, so that no part of a passage is lost whatever the size
-of the benchmark. Passages of documents are folded into them; those close in cosine to a benchmark passage are compared word
-by word. So are, as the exact way, the places where a text shares runs of three words with an item, as many as an item must
-leave that is there word for word or with up to a fifth of its words replaced or left out.
+Texts become numbers of the benchmark's words once and are stored. Their passages are rows of a TF-IDF matrix, with frequencies
+from all documents, whose leading right singular vectors a distributed randomised SVD finds: executors add up products of their
+passages with a random test matrix, the driver solves the small problem that is left. Passages of documents and of the benchmark
+are projected into that latent space; those close in cosine are compared word by word. So are, as the exact way, the places where
+a text shares runs of three words with an item, as many as an item must leave that is there word for word or with up to a fifth
+of its words replaced or left out.
 """
 
 from __future__ import annotations
@@ -13,25 +14,26 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, blocks, fresh, keyed_text, mix64, small_batches
+from .common import MIX, blocks, fresh, keyed_text, mix64, small_batches, stored
 
 #: words of half a passage; passages are pairs of neighbouring halves, so each is met in whole or nearly so
 HALF = 32
-#: passages of a block; its space has a direction for each of them
-BLOCK = 256
-#: numbers in the tables of word vectors that are sent at a time (64 MB); the items of a larger benchmark go in parts, each with
-#: its own scan of the documents
+#: directions of the latent space; fewer where words or passages of the benchmark times directions would pass MOST_WEIGHTS (64 MB)
+RANK = 256
 MOST_WEIGHTS = 16_000_000
+#: more columns of the test matrix than directions
+SPARE = 16
 #: words in fewer than this share of documents weigh the same; those in over half weigh nothing
 RARE, COMMON = 0.005, 0.5
-COSINE = 0.2
+#: least cosine of two passages in the latent space
+COSINE = 0.35
 #: share of a benchmark item that is found in order: alone, and when its answer is found too
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.8
 #: items shorter than this count only as a whole, word for word
@@ -61,15 +63,17 @@ def common_subsequence(a: list, b: list) -> int:
 
 @dataclass
 class Item:
+    """An item's words and answer, as numbers of the benchmark's words."""
+
     key: object
-    words: list[str]
-    answer: list[str]
+    words: list[int]
+    answer: list[int]
 
     def __post_init__(self):
         self.distinct = frozenset(self.words)
 
 
-def judged(item: Item, region: list[str]) -> float:
+def judged(item: Item, region: list[int]) -> float:
     """The share of the item found in the region if that makes it a leak, else 0.
 
     A short item must be there word for word. A longer one leaks if four fifths of it are there in order, or three fifths
@@ -94,30 +98,136 @@ def _answer(text: str, words: list[str]) -> list[str]:
     return last if 3 <= len(last) < len(words) else words[-max(1, len(words) // 4):]
 
 
-def _document_frequency(batches: Iterator[pa.RecordBatch], place: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(len(place), np.int64)
+def _encoded(batches: Iterator[pa.RecordBatch], place, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """key and ids: the numbers of a text's words as 32-bit integers, -1 for words that the benchmark lacks. Texts without any of its words are left out."""
+    get = place.value.get
+    for batch in batches:
+        for keys, texts in blocks(batch):
+            kept, out = [], []
+            for k, t in zip(keys, texts):
+                words = tokens(t)
+                ids = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+                if len(ids) and ids.max() >= 0:
+                    kept.append(k)
+                    out.append(ids.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(kept, kind), pa.array(out, pa.binary())], names=["key", "ids"])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after another, and how many each text has."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), np.int32).astype(np.int64), np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Keys, ids and counts of some texts at a time, about ``most`` words; a longer text stands alone."""
     for batch in batches:
-        for _, texts in blocks(batch):
-            for t in texts:
-                found = np.fromiter(map(place.get, set(tokens(t)), repeat(-1)), np.int64)
-                total[found[found >= 0]] += 1
+        sizes = [len(p) // 4 for p in batch.column("ids").to_pylist()]
+        start = held = 0
+        for i, n in enumerate([*sizes, None]):
+            if i > start and (n is None or held + n > most):
+                yield batch.column("key").slice(start, i - start), *_flat(batch.column("ids").slice(start, i - start))
+                start, held = i, 0
+            held += n or 0
+
+
+def _document_frequency(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(words, np.int64)
+    for _, ids, counts in _slices(batches):
+        owner = np.repeat(np.arange(len(counts)), counts)
+        hit = ids >= 0
+        total += np.bincount(np.unique(owner[hit] * words + ids[hit]) % words, minlength=words)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"word": at, "n": total[at]})
 
 
-def _passages(words: list[str]) -> list[list[str]]:
+def _passages(words: list[int]) -> list[list[int]]:
     """Windows of two halves, one half apart; a shorter text is one."""
     return [words[i:i + 2 * HALF] for i in range(0, max(1, len(words) - HALF), HALF)]
 
 
-@dataclass
-class Block:
-    """A latent space and the benchmark's passages in it."""
+def _halves(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the half passage of each word, and the first half of each text (one more at the end)."""
+    first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-counts // HALF)))])
+    inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(first[:-1], counts) + inside // HALF, first
 
-    local: np.ndarray  # place of each benchmark word among the words of the block, or -1; one more for all other words
-    vectors: np.ndarray  # words x rank, each row times its weight
-    owners: np.ndarray  # item of each passage
-    latent: np.ndarray  # rank x passages, over the passages' lengths
+
+def _summed(table: np.ndarray, ids: np.ndarray, weight: np.ndarray, half: np.ndarray, halves: int) -> np.ndarray:
+    """For each half passage the sum of the rows of ``table`` of its words, times their weights; ids and halves rise together."""
+    out = np.zeros((halves, table.shape[1]), np.float32)
+    starts = np.flatnonzero(np.diff(half, prepend=-1))
+    for i in range(0, len(starts), 2048):  # bounds the gathered rows
+        a, b = starts[i], starts[i + 2048] if i + 2048 < len(starts) else len(ids)
+        out[half[starts[i:i + 2048]]] = np.add.reduceat(table[ids[a:b]] * weight[a:b, None], starts[i:i + 2048] - a, axis=0)
+    return out
+
+
+def _test_matrix(words: int, columns: int) -> np.ndarray:
+    """The same in every task."""
+    return np.random.default_rng(5).standard_normal((words, columns), dtype=np.float32)
+
+
+def _products(batches: Iterator[pa.RecordBatch], idf, columns: int) -> Iterator[pa.RecordBatch]:
+    """A task's part of A^T A times the test matrix: a row for each word, summed over half passages of unit length."""
+    weights = idf.value.astype(np.float32)
+    test, total = _test_matrix(len(weights) - 1, columns), None
+    for _, ids, counts in _slices(batches):
+        half, first = _halves(counts)
+        hit = np.flatnonzero(ids >= 0)
+        hit = hit[weights[ids[hit]] > 0]
+        if not len(hit):
+            continue
+        ids, half = ids[hit], half[hit]
+        w = weights[ids]
+        w = w / np.sqrt(np.bincount(half, weights=w.astype(np.float64) ** 2, minlength=first[-1]))[half].astype(np.float32)
+        b = _summed(test, ids, w, half, int(first[-1]))
+        order = np.argsort(ids, kind="stable")
+        ids, half, w = ids[order], half[order], w[order]
+        total = np.zeros(test.shape, np.float32) if total is None else total
+        starts = np.flatnonzero(np.diff(ids, prepend=-1))
+        for i in range(0, len(starts), 1024):
+            lo, hi = starts[i], starts[i + 1024] if i + 1024 < len(starts) else len(ids)
+            total[ids[starts[i:i + 1024]]] += np.add.reduceat(b[half[lo:hi]] * w[lo:hi, None], starts[i:i + 1024] - lo, axis=0)
+    if total is not None:
+        at = np.flatnonzero(total.any(axis=1))
+        for i in range(0, len(at), 2_000):
+            part = at[i:i + 2_000]
+            yield pa.RecordBatch.from_pydict({"word": part, "sums": pa.array([r.tobytes() for r in total[part]], pa.binary())})
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each word's rows; rows come sorted by word."""
+    word, total = None, None
+    words, sums = [], []
+    for batch in batches:
+        for w, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            row = np.frombuffer(s, np.float32)
+            if w != word:
+                if word is not None:
+                    words.append(word)
+                    sums.append(total.astype(np.float32).tobytes())
+                word, total = w, np.zeros(len(row))
+            total = total + row
+    if word is not None:
+        words.append(word)
+        sums.append(total.astype(np.float32).tobytes())
+    yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.int64()), "sums": pa.array(sums, pa.binary())})
+
+
+def singular_vectors(y: np.ndarray, test: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors of A and its singular values, from the test matrix and y = A^T A times it.
+
+    The symmetric matrix A^T A is approximated by y (test^T y)^-1 y^T; a small shift keeps the inverse stable."""
+    shift = 1e-6 * np.linalg.norm(y) + 1e-12
+    y = y + shift * test
+    core = test.T @ y
+    values, inside = np.linalg.eigh((core + core.T) / 2)
+    good = values > 1e-9 * max(values.max(initial=0.0), 1e-300)
+    b = y @ (inside[:, good] / np.sqrt(values[good]))
+    u, s, _ = np.linalg.svd(b, full_matrices=False)
+    keep = np.flatnonzero(s ** 2 > 2 * shift)[:rank]
+    return u[:, keep], np.sqrt(s[keep] ** 2 - shift)
 
 
 @dataclass
@@ -132,13 +242,14 @@ class Runs:
 
 @dataclass
 class Space:
-    """Vocabulary of the benchmark, weights, and some of its items with their latent spaces and runs."""
+    """Weights of the benchmark's words, its items with their runs, and the latent space with its passages."""
 
-    place: dict[str, int]
     idf: np.ndarray  # one more than the words: the last is for words that the benchmark lacks
     items: list[Item]
     needed: np.ndarray  # runs that an item must share with a text
-    blocks: list[Block]
+    vectors: np.ndarray  # words x directions, each row times its weight
+    owners: np.ndarray  # item of each passage
+    latent: np.ndarray  # directions x passages, of unit length
     runs: list[Runs]
 
 
@@ -157,13 +268,13 @@ def _needed(n: int) -> int:
     return max(1, n - size + 1 - (size * int((1 - COPIED) * n + 1e-9) if n >= SHORT else 0))
 
 
-def _runs(items: list[Item], place: dict[str, int]) -> list[Runs]:
+def _runs(items: list[Item]) -> list[Runs]:
     out = []
     for size in range(1, RUN + 1):
         keys, owners = [], []
         for k, item in enumerate(items):
             if min(RUN, len(item.words)) == size:
-                got = np.unique(_run_keys(np.asarray([place[w] for w in item.words], np.int64), size))
+                got = np.unique(_run_keys(np.asarray(item.words, np.int64), size))
                 keys.append(got)
                 owners.append(np.full(len(got), k, np.int64))
         if keys:
@@ -174,152 +285,90 @@ def _runs(items: list[Item], place: dict[str, int]) -> list[Runs]:
     return out
 
 
-def _vector(words: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at, counts = np.unique(np.asarray(words, np.int64), return_counts=True)
-    return at, counts * idf[at]
-
-
-def _basis(vectors: list[tuple[np.ndarray, np.ndarray]], words: int) -> np.ndarray:
-    """Right singular vectors of the passages by a randomised range and a small eigenproblem."""
-    x = np.zeros((len(vectors), words))
-    for i, (at, value) in enumerate(vectors):
-        x[i, at] = value
-    q, _ = np.linalg.qr(x.T @ (x @ np.random.default_rng(5).standard_normal((words, min(len(x) + 10, words)))))
-    y = x @ q
-    values, inside = np.linalg.eigh(y.T @ y)
-    return q @ inside[:, np.argsort(-values)[:len(x)]]
-
-
-def _spaces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block of passages its word vectors and its passages in the latent space, as bytes."""
-    for batch in batches:
-        for number, passages, idf in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            idf = np.asarray(idf)
-            vectors = [_vector(p, idf) for p in passages]
-            basis = _basis(vectors, len(idf))
-            latent = [value @ basis[at] / max(np.sqrt((value ** 2).sum()), 1e-12) for at, value in vectors]
-            yield pa.RecordBatch.from_pydict({"number": [number], "rank": [basis.shape[1]], "vectors": [(basis * idf[:, None]).astype("<f4").tobytes()],
-                                              "latent": [np.ascontiguousarray(np.asarray(latent).T, "<f4").tobytes()]})
+def _benchmark(benchmark: DataFrame, item_key: str, item_text: str) -> tuple[list[Item], dict[str, int]]:
+    """The items and the numbers of their words. The benchmark is the given query set and goes to the driver; null and wordless items are left out, items with the same key stay apart."""
+    rows = benchmark.select(F.col(f"`{item_key}`").alias("key"), F.col(f"`{item_text}`").cast("string").alias("text"))
+    read = [(r["key"], r["text"] or "", tokens(r["text"] or "")) for r in sorted(rows.collect(), key=lambda r: (str(r["key"]), r["text"] or ""))]
+    read = [(k, t, w) for k, t, w in read if w]
+    place = {w: i for i, w in enumerate(sorted({w for _, _, words in read for w in words}))}
+    return [Item(k, [place[w] for w in words], [place[w] for w in _answer(t, words)]) for k, t, words in read], place
 
 
-def _fitted(docs: DataFrame, items: list[Item], place: dict[str, int], idf: np.ndarray) -> Iterator[Space]:
-    """Spaces for runs of whole items; each holds blocks with at most about MOST_WEIGHTS numbers."""
-    spark = docs.sparkSession
-    parts, some, held = [], [], 0
-    for item in items:
-        weighs = len(item.distinct) * BLOCK  # words that passages of a block share are counted more than once
-        if some and held + weighs > MOST_WEIGHTS:
-            parts.append(some)
-            some, held = [], 0
-        some.append(item)
-        held += weighs
-    parts.append(some)
-    for part in parts:
-        passages = [(k, [place[w] for w in p]) for k, item in enumerate(part) for p in _passages(item.words)]
-        passages = [(k, p) for k, p in passages if idf[p].any()]
-        rows, known = [], []
-        for i in range(0, len(passages), BLOCK):
-            block = passages[i:i + BLOCK]
-            words = np.unique(np.concatenate([p for _, p in block]))
-            local = np.full(len(idf), -1, np.int64)
-            local[words] = np.arange(len(words))
-            rows.append((len(rows), [local[p].tolist() for _, p in block], idf[words].tolist()))
-            known.append((local, np.asarray([k for k, _ in block], np.int64)))
-        blocks_ = []
-        if rows:
-            sent = spark.createDataFrame(rows, "number int, passages array<array<int>>, idf array<double>").repartition(min(len(rows), 64), "number")
-            got = {r["number"]: r for r in sent.mapInArrow(_spaces, "number bigint, rank bigint, vectors binary, latent binary").collect()}
-            for i, (local, owners) in enumerate(known):
-                rank = got[i]["rank"]
-                blocks_.append(Block(local, np.frombuffer(got[i]["vectors"], "<f4").reshape(-1, rank), owners, np.frombuffer(got[i]["latent"], "<f4").reshape(rank, -1)))
-        yield Space(place, idf, part, np.asarray([_needed(len(i.words)) for i in part], np.int64), blocks_, _runs(part, place))
-
-
-def spaces(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_key: str = "item_id") -> Iterator[Space]:
-    """Fit the latent spaces, a few at a time; none if the benchmark has no word.
-
-    The benchmark is the given query set and goes to the driver; documents are only counted, one number for each word of the
-    benchmark. Null and wordless items are left out; items with the same key stay apart."""
-    small_batches(docs.sparkSession)
-    rows = benchmark.select(F.col(f"`{item_key}`").alias("key"), F.col(f"`{item_text}`").cast("string").alias("text"))
-    items = []
-    for r in sorted(rows.collect(), key=lambda r: (str(r["key"]), r["text"] or "")):
-        words = tokens(r["text"] or "")
-        if words:
-            items.append(Item(r["key"], words, _answer(r["text"], words)))
-    place = {w: i for i, w in enumerate(sorted({w for i in items for w in i.words}))}
-    if not place:
-        return
-    texts = docs.select(F.lit(0).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    n = max(1, texts.count())
-    df = np.full(len(place), 1.0)
-    for word, count in texts.mapInArrow(partial(_document_frequency, place=place), "word bigint, n bigint").groupBy("word").agg(F.sum("n")).collect():
+def _weights(encoded: DataFrame, n: int, words: int) -> np.ndarray:
+    """Inverse document frequencies of the benchmark's words and, last, of all others; the driver gets one number for each."""
+    df = np.full(words, 1.0)
+    for word, count in encoded.mapInArrow(partial(_document_frequency, words=words), "word bigint, n bigint").groupBy("word").agg(F.sum("n")).collect():
         df[word] = count
     most = np.log(1.0 / RARE)
     idf = np.clip(np.log(n / np.maximum(df, 1.0)), 0.0, most)
     idf = np.where(df > COMMON * n, 0.0, np.maximum(idf, 0.0))
     if not idf.any() or n < 1.0 / RARE:
-        idf = np.where(idf > 0, idf, 0.1) if n < 1.0 / RARE else np.full(len(place), most)
-    yield from _fitted(docs, items, place, np.append(idf, most if n >= 1.0 / RARE else np.log(max(n, 2))))
-
-
-def _leaks(texts: list[str], s: Space) -> Iterator[tuple[int, int, float]]:
+        idf = np.where(idf > 0, idf, 0.1) if n < 1.0 / RARE else np.full(words, most)
+    return np.append(idf, most if n >= 1.0 / RARE else np.log(max(n, 2)))
+
+
+def fit(encoded: DataFrame, items: list[Item], n: int, words: int) -> Space:
+    """The latent space of all passages of ``encoded`` (key, ids), and the benchmark's passages in it.
+
+    The driver gets one row of RANK numbers for each word of the benchmark."""
+    spark = encoded.sparkSession
+    idf = _weights(encoded, n, words)
+    passages = [(k, p) for k, item in enumerate(items) for p in _passages(item.words) if idf[p].any()]
+    rank = max(8, min(RANK, MOST_WEIGHTS // max(words, len(passages), 1)))
+    columns = min(rank + SPARE, words)
+    sent = spark.sparkContext.broadcast(idf)
+    sums = encoded.mapInArrow(partial(_products, idf=sent, columns=columns), "word bigint, sums binary")
+    sums = sums.repartition("word").sortWithinPartitions("word").mapInArrow(_added, "word bigint, sums binary")
+    y = np.zeros((words, columns))
+    for r in sums.toLocalIterator():
+        y[r["word"]] = np.frombuffer(r["sums"], np.float32)
+    basis, _ = singular_vectors(y, _test_matrix(words, columns).astype(np.float64), rank)
+    if not basis.shape[1]:
+        basis = np.zeros((words, 1))
+    vectors = (basis * idf[:-1, None]).astype(np.float32)
+    latent = np.asarray([vectors[p].sum(axis=0) for _, p in passages], np.float32).reshape(len(passages), -1)
+    latent /= np.maximum(np.sqrt((latent ** 2).sum(axis=1, keepdims=True)), 1e-12)
+    return Space(idf, items, np.asarray([_needed(len(i.words)) for i in items], np.int64), vectors, np.asarray([k for k, _ in passages], np.int64), np.ascontiguousarray(latent.T), _runs(items))
+
+
+def _leaks(ids: np.ndarray, counts: np.ndarray, s: Space) -> Iterator[tuple[int, int, float]]:
     """Text, item and share for every leak in a block of texts."""
-    words = [tokens(t) for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    get = s.place.get
-    ids = np.fromiter(chain.from_iterable(map(get, w, repeat(-1)) for w in words), np.int64, int(counts.sum()))
-    if not len(ids):
-        return
-    # halves: consecutive runs of words of one text
-    halves = np.maximum(1, -(-counts // HALF))
-    first_half = np.concatenate([[0], np.cumsum(halves)])
-    inside = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
-    half = np.repeat(first_half[:-1], counts) + inside // HALF
-    owner = np.repeat(np.arange(len(words)), halves)
+    half, first_half = _halves(counts)
+    owner = np.repeat(np.arange(len(counts)), np.diff(first_half))
     met: dict[tuple[int, int], set[int]] = {}
-    weight = s.idf[ids]
-    norm = np.bincount(half, weights=weight ** 2, minlength=first_half[-1])
-    same = np.append(owner[1:] == owner[:-1], False)
-    size = np.sqrt(np.maximum(norm + np.where(same, np.append(norm[1:], 0.0), 0.0), 1e-12))
-    for block in s.blocks:
-        _near(block, ids, weight, half, same, size, owner, first_half, met)
+    _near(s, ids, half, owner, first_half, met)
     for runs in s.runs:
         _shared(runs, s, ids, half, owner, first_half, met)
+    starts = np.cumsum(counts) - counts
     for (t, k), at in sorted(met.items()):
-        reach = max(HALF, len(s.items[k].words) - HALF)
+        reach, text = max(HALF, len(s.items[k].words) - HALF), ids[starts[t]:starts[t] + counts[t]]
         best = 0.0
         for h in sorted(at):
-            best = max(best, judged(s.items[k], words[t][max(0, h * HALF - reach):(h + 2) * HALF + reach]))
+            best = max(best, judged(s.items[k], text[max(0, h * HALF - reach):(h + 2) * HALF + reach].tolist()))
             if best == 1.0:
                 break
         if best:
             yield t, k, best
 
 
-def _near(block: Block, ids: np.ndarray, weight: np.ndarray, half: np.ndarray, same: np.ndarray, size: np.ndarray, owner: np.ndarray,
-          first_half: np.ndarray, met: dict[tuple[int, int], set[int]]) -> None:
-    """Add the halves at which a passage of a text is close in cosine to one of the block, by text and item."""
-    place = block.local[ids]
-    hit = np.flatnonzero((place >= 0) & (weight > 0))
-    if not len(hit):
+def _near(s: Space, ids: np.ndarray, half: np.ndarray, owner: np.ndarray, first_half: np.ndarray, met: dict[tuple[int, int], set[int]]) -> None:
+    """Add the halves at which a passage of a text is close in the latent space to one of the benchmark, by text and item."""
+    hit = np.flatnonzero(ids >= 0)
+    hit = hit[s.idf[ids[hit]] > 0]
+    if not len(hit) or not len(s.owners):
         return
-    where = half[hit]
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
-    z = np.zeros((first_half[-1] + 1, block.vectors.shape[1]), np.float32)
-    for i in range(0, len(starts), 4096):  # bounds the gathered rows
-        a = starts[i]
-        b = starts[i + 4096] if i + 4096 < len(starts) else len(hit)
-        z[where[starts[i:i + 4096]]] = np.add.reduceat(block.vectors[place[hit[a:b]]], starts[i:i + 4096] - a, axis=0)
-    window = z[:-1] + np.where(same[:, None], z[1:], 0.0)
-    # no cosine exceeds the share of the passage that lies in the latent space
-    near = np.flatnonzero(np.sqrt((window ** 2).sum(axis=1)) >= COSINE * size)
-    for i in range(0, len(near), 4096):
-        some = near[i:i + 4096]
-        cosine = (window[some] @ block.latent) / size[some, None]
+    n = int(first_half[-1])
+    z = np.vstack([_summed(s.vectors, ids[hit], np.ones(len(hit), np.float32), half[hit], n), np.zeros((1, s.vectors.shape[1]), np.float32)])
+    same = np.append(owner[1:] == owner[:-1], False)
+    window = z[:-1] + np.where(same[:, None], z[1:], np.float32(0))
+    size = np.sqrt((window ** 2).sum(axis=1))
+    full = np.flatnonzero(size > 1e-9)
+    for i in range(0, len(full), 4096):
+        some = full[i:i + 4096]
+        cosine = (window[some] @ s.latent) / size[some, None]
         for row, passage in zip(*np.nonzero(cosine >= COSINE)):
             h = int(some[row])
-            met.setdefault((int(owner[h]), int(block.owners[passage])), set()).add(h - int(first_half[owner[h]]))
+            met.setdefault((int(owner[h]), int(s.owners[passage])), set()).add(h - int(first_half[owner[h]]))
 
 
 def _shared(runs: Runs, s: Space, ids: np.ndarray, half: np.ndarray, owner: np.ndarray, first_half: np.ndarray, met: dict[tuple[int, int], set[int]]) -> None:
@@ -354,37 +403,35 @@ def _shared(runs: Runs, s: Space, ids: np.ndarray, half: np.ndarray, owner: np.n
 
 
 def _found(batches: Iterator[pa.RecordBatch], s, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for keys, texts in blocks(batch, 1_000_000):
-            got: dict[tuple[int, int], float] = {}
-            for t, k, share in _leaks(texts, s.value):
-                got[t, k] = max(share, got.get((t, k), 0.0))
-            rows = sorted(got.items())
-            items = s.value.items
-            yield pa.RecordBatch.from_arrays([pa.array([keys[t] for (t, _), _ in rows], schema.field(0).type), pa.array([items[k].key for (_, k), _ in rows], schema.field(1).type),
-                                              pa.array([share for _, share in rows], pa.float64())], schema=schema)
+    for keys, ids, counts in _slices(batches):
+        rows = list(_leaks(ids, counts, s.value))
+        items = s.value.items
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array([t for t, _, _ in rows], pa.int64())), pa.array([items[k].key for _, k, _ in rows], schema.field(1).type),
+                                          pa.array([share for _, _, share in rows], pa.float64())], schema=schema)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark item found in it: key, item and share, the part of the item found in order.
 
-    Whole texts are searched in overlapping passages, for all items however many; a large benchmark takes more than one scan. Null and empty texts have no leak; without benchmark words the result
-    is empty. Repeated documents are reported each; null keys are carried; other columns are not read. Nothing is shuffled
-    but word counts."""
+    Whole texts are read once, whatever the size of the benchmark, and stored as word numbers, which three scans then read: for
+    frequencies, for the latent space, and for the search in overlapping passages. Null and empty texts have no leak; without
+    benchmark words the result is empty. Repeated documents are reported each; null keys are carried; other columns are not
+    read. Only sums for the benchmark's words are shuffled."""
     from pyspark.sql.pandas.types import to_arrow_schema
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = keyed_text(docs, key, text)
     kinds = [rows.schema["key"].dataType, benchmark.schema[item_key].dataType]
     ddl = f"key {kinds[0].simpleString()}, item {kinds[1].simpleString()}, share double"
     arrow = [to_arrow_schema(rows.schema).field(0).type, to_arrow_schema(benchmark.select(F.col(f"`{item_key}`")).schema).field(0).type]
     schema = pa.schema([("key", arrow[0]), ("item", arrow[1]), ("share", pa.float64())])
-    out = None
-    for fitted in spaces(docs, benchmark, text=text, item_text=item_text, item_key=item_key):
-        sent = docs.sparkSession.sparkContext.broadcast(fitted)
-        some = rows.mapInArrow(partial(_found, s=sent, schema=schema), ddl)
-        out = some if out is None else out.unionAll(some)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], ddl)
-    return out.withColumnsRenamed({"key": key, "item": item_key})
+    items, place = _benchmark(benchmark, item_key, item_text)
+    if not items:
+        return spark.createDataFrame([], ddl).withColumnsRenamed({"key": key, "item": item_key})
+    encoded = rows.mapInArrow(partial(_encoded, place=spark.sparkContext.broadcast(place), kind=arrow[0]), f"key {kinds[0].simpleString()}, ids binary")
+    encoded = stored(encoded, "words")
+    space = spark.sparkContext.broadcast(fit(encoded, items, max(1, docs.count()), len(place)))
+    return encoded.mapInArrow(partial(_found, s=space, schema=schema), ddl).withColumnsRenamed({"key": key, "item": item_key})
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -174,6 +174,47 @@ def test_items_of_one_and_two_words_and_parts(spark, monkeypatch):
     assert got == {(1, 1), (3, 2), (4, 3), (5, 4)}
 
 
+def test_singular_vectors_of_a_low_rank_matrix():
+    r = np.random.default_rng(3)
+    a = r.normal(size=(400, 6)) @ (r.normal(size=(6, 90)) * np.array([9, 7, 5, 3, 2, 1])[:, None]) + r.normal(size=(400, 90)) * 1e-3
+    test = r.normal(size=(90, 20))
+    v, s = decontaminate.singular_vectors(a.T @ (a @ test), test, 6)
+    _, want, vt = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(s, want[:6], rtol=1e-3)
+    assert np.allclose(np.abs(np.sum(v * vt[:6].T, axis=0)), 1, atol=1e-3)
+
+
+def test_recall_of_paraphrases(spark):
+    """Items with up to two fifths of their words replaced by others: at least nine tenths of those that the checks call leaks are found."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(4_000)]
+    share = [1.0 / (i + 30) for i in range(len(words))]
+    items = [(i, " ".join(r.choices(words, share, k=20 + i % 60))) for i in range(300)]
+    rows, planted = [], []
+    for i, text in items:
+        own = text.split()
+        kept = len(own) - max(3, len(own) // 4)  # the answer stays
+        for j in range(kept):
+            if r.random() < 0.1 + 0.4 * (i % 10) / 10:
+                own[j] = r.choices(words, share)[0]
+        rows.append((i, " ".join(r.choices(words, share, k=r.randint(0, 90)) + own + r.choices(words, share, k=r.randint(0, 200)))))
+    rows += [(1_000 + i, " ".join(r.choices(words, share, k=r.randint(60, 300)))) for i in range(900)]
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(df, bench).collect()}
+    read, place = decontaminate._benchmark(bench, "item_id", "text")
+    of = {i.key: i for i in read}
+    ids = {d: [place.get(w, -1) for w in decontaminate.tokens(t)] for d, t in rows}
+    for i, _ in items:
+        n, all_ids = len(of[i].words), ids[i]
+        if any(decontaminate.judged(of[i], all_ids[at:at + 2 * n + 64]) for at in range(0, len(all_ids), 32)):
+            planted.append(i)
+    exact = {p for p in planted if decontaminate.judged(of[p], ids[p]) >= 0.999}
+    assert len(planted) >= 200 and len(planted) - len(exact) >= 150
+    found = sum((i, i) in got for i in planted)
+    assert found >= 0.9 * len(planted), (found, len(planted))
+    assert sum(d >= 1_000 for d, _ in got) == 0
+
+
 def test_pairs_inside_a_hot_template_equal_brute_force(spark):
     """300 documents share a long passage and are too unlike for a link; 60 of them have a near copy."""
     template = prose(9_000, 260)
