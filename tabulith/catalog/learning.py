@@ -176,26 +176,26 @@ def _(spark, d):
     return _s(K.mutual_information(ranked(spark, d, "cls3")), 6)
 
 
-_UNIT = "f AS MATERIALIZED (SELECT p_partkey AS i, cls2 AS c, (rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 - 1) / (count(*) OVER () - 1) AS r, " + ", ".join(
+_UNIT = "f AS MATERIALIZED (SELECT p_partkey AS i, cls2 AS cls, (rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 - 1) / (count(*) OVER () - 1) AS r, " + ", ".join(
     f"({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) AS {x}" for x in FEATURES) + f" FROM {_SQL})"
 _FAR = " + ".join(f"(x.{f} - y.{f}) ** 2" for f in FEATURES)
 _GAPS = ", ".join(f"abs(x.{f} - y.{f}) AS {f}" for f in FEATURES)
 
 
 @query("f26_relieff", f"""WITH {_UNIT},
-d AS (SELECT x.i, x.c, y.c AS t, {_GAPS} FROM f x JOIN f y ON x.i <> y.i QUALIFY row_number() OVER (PARTITION BY x.i, y.c ORDER BY {_FAR}, y.i) <= 10),
-m AS (SELECT i, c, t, {', '.join(f'avg({f}) AS {f}' for f in FEATURES)} FROM d GROUP BY ALL),
-s AS (SELECT c, count(*)::DOUBLE / (SELECT count(*) FROM f) AS s FROM f GROUP BY c),
-w AS (SELECT m.*, CASE WHEN m.c = m.t THEN -1 ELSE st.s / (1 - sc.s + 1e-10) END / (SELECT count(*) FROM f) AS w FROM m JOIN s st ON st.c = m.t JOIN s sc ON sc.c = m.c)
+d AS (SELECT x.i, x.cls, y.cls AS t, {_GAPS} FROM f x JOIN f y ON x.i <> y.i QUALIFY row_number() OVER (PARTITION BY x.i, y.cls ORDER BY {_FAR}, y.i) <= 10),
+m AS (SELECT i, cls, t, {', '.join(f'avg({f}) AS {f}' for f in FEATURES)} FROM d GROUP BY i, cls, t),
+s AS (SELECT cls, count(*)::DOUBLE / (SELECT count(*) FROM f) AS s FROM f GROUP BY cls),
+w AS (SELECT m.*, CASE WHEN m.cls = m.t THEN -1 ELSE st.s / (1 - sc.s + 1e-10) END / (SELECT count(*) FROM f) AS w FROM m JOIN s st ON st.cls = m.t JOIN s sc ON sc.cls = m.cls)
 """ + union_sql([f"SELECT '{f}' AS feature, {R(f'sum(w * {f})', 3)} AS score FROM w" for f in FEATURES]))
 def _(spark, d):
     return _s(K.relieff(ranked(spark, d, "cls2")), 3)
 
 
 @query("f26_rrelieff", f"""WITH {_UNIT},
-d AS (SELECT abs(x.r - y.r) / 10 AS c, {_GAPS.replace(' AS', ' / 10 AS')} FROM f x JOIN f y ON x.i <> y.i QUALIFY row_number() OVER (PARTITION BY x.i ORDER BY {_FAR}, y.i) <= 10),
+d AS (SELECT abs(x.r - y.r) / 10 AS dc, {_GAPS.replace(' AS', ' / 10 AS')} FROM f x JOIN f y ON x.i <> y.i QUALIFY row_number() OVER (PARTITION BY x.i ORDER BY {_FAR}, y.i) <= 10),
 n AS (SELECT count(*) AS n FROM f)
-""" + union_sql([f"SELECT '{f}' AS feature, {R(f'sum(10 * c * {f}) / (sum(c) + 1e-12) - (sum({f}) - sum(10 * c * {f})) / (any_value(n) - sum(c) + 1e-12)', 3)} AS score FROM d, n" for f in FEATURES]))
+""" + union_sql([f"SELECT '{f}' AS feature, {R(f'sum(10 * dc * {f}) / (sum(dc) + 1e-12) - (sum({f}) - sum(10 * dc * {f})) / (any_value(n) - sum(dc) + 1e-12)', 3)} AS score FROM d, n" for f in FEATURES]))
 def _(spark, d):
     return _s(K.relieff(ranked(spark, d)), 3)
 
