@@ -25,7 +25,8 @@ RAW = ("script", "style", "noscript", "template", "textarea", "select", "option"
 NOT_CONTENT = ("nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "header")
 MARKED = ("article", "main")
 INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s",
-          "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input", "meta", "link", "nobr")
+          "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input", "meta", "link", "nobr",
+          "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msup", "msub", "msubsup", "msqrt", "mroot", "mstyle", "mover", "munder", "munderover", "mspace", "semantics")
 CONTAINERS = ("article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "ul", "ol", "dl", "table", "body",
               "blockquote", "figure", "details", "button", "span", "p", "center", "address")
 # words of page furniture: of any part of a name; of names that consist of them and of words of layout; the last also stand on prose

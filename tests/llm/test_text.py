@@ -227,3 +227,43 @@ def test_weights_of_articles_inside_main_and_articles(spark):
     assert weights.outside == {"div.teaser"} and weights.word("div.story") > 0.9
     for r in html_text.main_text(df, weights).collect():
         assert " ".join(prose(40 + r.page_id, 60).split()) in r.text and "other stories" not in r.text
+
+
+def test_names_of_classes_do_not_overrule_prose():
+    """Names that hold a word of page furniture keep their prose; furniture itself goes, and so does what labelled pages have outside."""
+    weights = html_text.Weights({})
+    body = " ".join(["plain words of an article that goes on"] * 6)
+    for name in ("legal-analysis", "search-engines", "social-sciences", "tags", "related-work", "foot-health", "sponsored-study", "share-price", "post reply-to", "x"):
+        assert html_text.extract(f'<article><h1>T</h1><div class="{name}"><p>{body}</p></div></article>', weights)[0] == f"T {body}", name
+    for name in ("comments", "comment-list", "cookie-notice", "ad", "sidebar", "nav-links", "newsletter-signup", "menu", "notice", "adSlot"):
+        assert html_text.extract(f'<article><h1>T</h1><p>{body}</p><div class="{name}"><p>{body}</p></div></article>', weights)[0] == f"T {body}", name
+    links = "".join(f"<a href=x>tag {i}</a> " for i in range(40))
+    assert html_text.extract(f'<article><p>{body}</p><div class="tags">{links}</div></article>', weights)[0] == body
+    learned = html_text.Weights({"c:boxout": (0, 60), "c:sidebar": (400, 3)})
+    assert html_text.extract(f'<article><p>{body}</p><div class="boxout">{body}</div></article>', learned)[0] == body
+    assert html_text.extract(f'<article><p>{body}</p><div class="sidebar"><p>{body}</p></div></article>', learned)[0] == f"{body} {body}"
+
+
+def test_formulas_stay_and_unclosed_elements_take_linear_time():
+    import time
+    weights = html_text.Weights({})
+    assert html_text.extract("<article><p>so <math><mi>x</mi>=<mn>2</mn></math> holds</p></article>", weights)[0] == "so x=2 holds"
+    start = time.perf_counter()
+    assert html_text.extract("<svg>" * 60_000 + "<p>words here</p>", weights)[0] == "words here"
+    assert time.perf_counter() - start < 5
+
+
+def test_very_many_secrets_in_one_text(spark):
+    """60,000 matches in one text, found and replaced, beside a text with letters outside of the first plane."""
+    import time
+    one, many = "token=abcdef1 ", 60_000
+    far = "\U0001d504 " * 1_500 + "password=hunter2x " + "é" * 2_100 + " AKIA" + "A" * 16 + " token=xoxb-0123456789-token=abcdefg end"
+    df = spark.createDataFrame([(1, one * many), (2, far), (3, None), (4, "")], "doc_id bigint, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r.found for r in secret_scan.scan(df).collect()}
+    assert [(s.start, s.stop) for s in got[1]] == [(14 * i, 14 * i + 13) for i in range(many)]
+    assert [(s.start, s.stop, s.kind) for s in got[2]][:2] == [(3_000, 3_017, "assign"), (5_119, 5_139, "access")]
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert time.perf_counter() - start < 120
+    assert clean[1] == "[assign] " * many and clean[3] is None and clean[4] == ""
+    assert clean[2] == "\U0001d504 " * 1_500 + "[assign] " + "é" * 2_100 + " [access] [assign] end"
