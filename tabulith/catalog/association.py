@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations, permutations
 
+from ..functions.columns import rows_frame
 from ..functions.ordering import dense_index, with_lags
 from ..operators import association as A
 from .base import R, query, rd, rounded, table, union_sql
@@ -154,6 +155,13 @@ def _(spark, d):
     return _out(A.hsic_rbf(frame(spark, d), ["a", "b", "d"], ["l_orderkey", "l_linenumber"]), 4)
 
 
+@query("r11_median_distance", union_sql([
+    f"SELECT '{x}' AS feature, {R('median((p.v - r.v) ** 2)', 6)} AS value FROM (SELECT {x} AS v FROM {_PSQL}) p JOIN (SELECT {x} AS v FROM {_PSQL}) r ON p.v < r.v" for x in "xyz"]))
+def _(spark, d):
+    got = A.median_distances(small(spark, d), list("xyz"))
+    return rounded(rows_frame(spark, list(got.items()), "feature string, value double"), ["value"])
+
+
 @query("r12_mutual_information", "WITH k AS MATERIALIZED (SELECT * FROM " + codes_sql(_NAMES, _XSQL, 10) + ") " + union_sql([
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, {R(mi_sql(a, b, 'k'))} AS value" for a, b in combinations(_NAMES, 2)]))
 def _(spark, d):

@@ -436,24 +436,83 @@ def hsic_linear(df: DataFrame, columns=None) -> DataFrame:
     return pearson(_complete(df, cols), cols).withColumn("value", F.col("value") * F.col("value"))
 
 
+#: thresholds that one pass counts pairs for, and pairs of different values that are listed at the end
+PROBES, LISTED = 15, 200_000
+
+
+def median_distances(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """The median squared difference between two rows, of all pairs that differ, for each column (1 if none do).
+
+    Pairs are never formed to be counted: with the values in order, the pairs at most t apart are sums of running counts at
+    v + t. Each pass counts for several t and keeps the bracket that holds the median, for all columns at once; the few pairs
+    of values left in it are listed. The driver gets counts, and at the end one row for each difference in the bracket."""
+    cols = list(columns)
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("part"), q(c).cast("double").alias("v")) for i, c in enumerate(cols)])).alias("r")).select("r.*")
+    values = rows.where("v IS NOT NULL").groupBy("part", "v").agg(F.count("*").alias("m"))
+    values = cut_lineage(running(values, ["part", "v"], {"upto": F.col("m"), "kinds": F.lit(1)}, inclusive=True))
+    sums = {r["part"]: r for r in values.groupBy("part").agg(F.sum("m").alias("n"), F.sum(F.col("m").cast("decimal(38,0)") * F.col("m")).alias("s"),
+                                                             F.count("*").alias("k"), F.min("v").alias("a"), F.max("v").alias("b")).collect()}
+    out = {c: 1.0 for c in cols}
+    at, want = {}, {}
+    for i, r in sums.items():
+        pairs = (int(r["n"]) ** 2 - int(r["s"])) // 2
+        if pairs:
+            at[i], want[i] = (0.0, (r["b"] - r["a"]) * (1 + 1e-12), 0, r["k"] * (r["k"] - 1) // 2), ((pairs - 1) // 2, pairs // 2)
+
+    def probed(thresholds: dict[int, list[float]]) -> DataFrame:
+        """Rows (part, v, m, i, below, seen) for each value and threshold: rows, and different values, up to v + threshold."""
+        ts = F.lit(None).cast("array<double>")
+        for i, t in thresholds.items():
+            ts = F.when(F.col("part") == i, F.array(*[F.lit(float(x)) for x in t])).otherwise(ts)
+        probes = values.where(F.col("part").isin(list(thresholds))).select("part", "v", "m", "upto", "kinds", F.posexplode(ts).alias("i", "t"))
+        both = values.select("part", F.col("v").alias("x"), F.lit(1).alias("tag"), F.col("m").alias("w"), F.lit(1).alias("one"), *[F.lit(None).cast(t).alias(c) for c, t in (("v", "double"), ("m", "bigint"), ("upto", "bigint"), ("kinds", "bigint"), ("i", "int"))])
+        both = both.unionByName(probes.select("part", (F.col("v") + F.col("t")).alias("x"), F.lit(2).alias("tag"), F.lit(0).cast("bigint").alias("w"), F.lit(0).alias("one"), "v", "m", "upto", "kinds", "i"))
+        return running(both, ["part", "x", "tag"], {"below": F.col("w"), "seen": F.col("one")}).where("tag = 2")
+
+    todo = {i for i in at if at[i][3] > LISTED}
+    while todo:
+        grid = {i: np.linspace(at[i][0], at[i][1], PROBES + 2)[1:-1].tolist() for i in todo}
+        got = probed(grid).groupBy("part", "i").agg(F.sum(F.col("m").cast("decimal(38,0)") * (F.col("below") - F.col("upto"))).alias("c"), F.sum(F.col("seen") - F.col("kinds")).alias("k")).collect()
+        counts = {(r["part"], r["i"]): (int(r["c"]), int(r["k"])) for r in got}
+        for i in list(todo):
+            lo, hi, below, inside = at[i]
+            points = [(lo, below, None), *[(t, *counts[i, j]) for j, t in enumerate(grid[i])], (hi, None, None)]
+            first = max(j for j, p in enumerate(points[:-1]) if p[1] <= want[i][0])
+            last = min((j for j, p in enumerate(points) if j > first and p[1] is not None and p[1] > want[i][1]), default=len(points) - 1)
+            kinds_lo, kinds_hi = points[first][2], points[last][2]
+            known = kinds_lo is not None and kinds_hi is not None
+            left = kinds_hi - kinds_lo if known else inside
+            narrower = points[last][0] - points[first][0] < 0.9 * (hi - lo) and points[last][0] > points[first][0]
+            at[i] = points[first][0], points[last][0], points[first][1], left
+            if left <= LISTED and known or not narrower or (hi - lo) <= 4e-16 * max(abs(sums[i]["a"]), abs(sums[i]["b"])):
+                todo.discard(i)
+    if at:
+        ends = probed({i: [at[i][0], at[i][1]] for i in at}).groupBy("part", "v", "m").pivot("i", [0, 1]).agg(F.first("seen")).withColumnsRenamed({"0": "a", "1": "b"})
+        other = values.select((F.col("kinds") - 1).alias("j"), F.col("v").alias("u"), F.col("m").alias("c"))
+        near = ends.where("b > a").select("part", "v", "m", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("j")).join(other, "j")
+        gap = F.col("u") - F.col("v")
+        listed: dict[int, list] = {i: [] for i in at}
+        for r in near.where(gap > 0).groupBy("part", (gap * gap).alias("d")).agg(F.sum(F.col("m").cast("decimal(38,0)") * F.col("c")).alias("c")).orderBy("part", "d").collect():
+            listed[r["part"]].append((r["d"], int(r["c"])))
+        for i, found in listed.items():
+            picks, seen = [], at[i][2]
+            for d, c in found:
+                picks += [d for w in want[i] if seen <= w < seen + c]
+                seen += c
+            out[cols[i]] = float(np.mean(picks)) if picks else 1.0
+    return out
+
+
 def hsic_rbf(df: DataFrame, columns, key: Sequence[str], nodes: int = 32, bandwidth: Mapping[str, float] | None = None) -> DataFrame:
     """Gaussian-kernel criterion from cosine features, one Gram job.
 
     The kernel is an average of cosines over normal frequencies; symmetric
     quadrature nodes replace random ones, so the result is deterministic.  The
-    default bandwidth is the median squared distance in a bounded hash sample,
+    default bandwidth is the median squared distance of all pairs that differ,
     used as the scale itself."""
     cols = _cols(df, columns)
     rows = _complete(df, cols, key)
-    if bandwidth is None:
-        n = rows.count()
-        s = rows.filter(unit_hash(list(key)) < min(1.0, 1000 / max(n, 1))).select(*[q(c) for c in cols]).limit(2000).toPandas()
-        bandwidth = {}
-        for c in cols:
-            v = s[c].to_numpy(float)
-            d = ((v[:, None] - v[None]) ** 2)[np.triu_indices(len(v), 1)]
-            d = d[d > 0]
-            bandwidth[c] = float(np.median(d)) if len(d) else 1.0
+    bandwidth = bandwidth or median_distances(rows, cols)
     pts, wts = np.polynomial.hermite_e.hermegauss(2 * nodes)
     pts, wts = pts[nodes:], 2 * wts[nodes:] / wts.sum()
     feats, owner = {}, []

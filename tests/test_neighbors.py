@@ -211,3 +211,16 @@ def test_bootstrap_intervals(spark):
     assert abs(median.low - draws[20]) < 0.03 and abs(median.high - draws[779]) < 0.03
     assert {r.g for r in Rel.bootstrap(df, "g", "v", ["id"], "sum", reps=50).collect()} == {"a", "b", None}
     assert Rel.bootstrap(df.limit(0), "g", "v", ["id"], reps=10).collect() == []
+
+
+@pytest.mark.parametrize("listed", [A.LISTED, 60])
+def test_median_distances_equal_all_pairs(spark, monkeypatch, listed):
+    monkeypatch.setattr(A, "LISTED", listed)
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"a": rng.normal(size=701), "b": rng.integers(0, 9, 701) * 1.0, "c": np.exp(rng.normal(size=701) * 3) + 1e6, "d": np.ones(701)})
+    pdf.loc[:200, "a"] = 0.25
+    got = A.median_distances(spark.createDataFrame(pdf), list("abcd"))
+    for c in "abc":
+        d = (pdf[c].to_numpy()[:, None] - pdf[c].to_numpy()[None]) ** 2
+        assert np.isclose(got[c], np.median(d[d > 0]), rtol=1e-12), c
+    assert got["d"] == 1.0
