@@ -237,14 +237,14 @@ def _(spark, d):
 
 
 # no two distances from a part tie, so the neighbours are the same in any engine
-@query("o10_local_outlier_factor_untied", f"""WITH f AS MATERIALIZED (SELECT p_partkey AS i, p_size::DOUBLE AS a, p_retailprice + p_partkey * sqrt(2e0) / 977 AS b FROM part),
+@query("o10_local_outlier_factor_untied", f"""WITH f AS MATERIALIZED (SELECT p_partkey AS i, p_size::DOUBLE AS a, p_retailprice + p_partkey * p_partkey / 65536e0 AS b FROM part),
 n AS MATERIALIZED (SELECT x.i, y.i AS j, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) AS d FROM f x JOIN f y ON x.i <> y.i QUALIFY row_number() OVER (PARTITION BY x.i ORDER BY d, j) <= 20),
 k AS (SELECT i, max(d) AS kd FROM n GROUP BY i),
 l AS (SELECT n.i, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM n JOIN k ON k.i = n.j GROUP BY n.i),
 s AS (SELECT n.i, avg(lj.lrd) / any_value(li.lrd) AS score FROM n JOIN l lj ON lj.i = n.j JOIN l li ON li.i = n.i GROUP BY n.i)
 SELECT i AS p_partkey, {R('score', 5)} AS score, score > (SELECT quantile_cont(score, 0.95) FROM s) AS is_outlier FROM s""")
 def _(spark, d):
-    df = table(spark, d, "part").selectExpr("p_partkey", "CAST(p_size AS DOUBLE) AS a", "p_retailprice + p_partkey * sqrt(2D) / 977 AS b")
+    df = table(spark, d, "part").selectExpr("p_partkey", "CAST(p_size AS DOUBLE) AS a", "p_retailprice + p_partkey * p_partkey / 65536D AS b")
     return outliers.lof_flags(df, ["a", "b"]).select("p_partkey", rd("score", 5).alias("score"), "is_outlier")
 
 
