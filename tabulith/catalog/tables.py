@@ -465,9 +465,20 @@ def _(spark, d):
              ("handle_missing_values", {"method": "linear"}),
              ("create_derived_column", {"expression": "price / l_quantity", "source_columns": ["price", "l_quantity"]}),
              ("manage_columns", {"columns_final": ["price"]})]
-    out = [(op, str(p), *(lambda v: (v.status, len(v.violations), len(v.warnings)))(C.assess(df, op, p, CONTRACTS)))
-           for op, p in cases]
-    return rows_frame(spark, out, "operation string, params string, status string, n_violations int, n_warnings int")
+    out = []
+    for op, p in cases:
+        said = C.assess(df, op, p, CONTRACTS)
+        met = C.reach(df, p.get("columns") or [], p.get("transform_type", p.get("method", "")), CONTRACTS).agg(
+            *[F.coalesce(F.sum(c), F.lit(0)) for c in ("missing", "undefined", "outside")]).first()
+        out.append((op, str(p), said.status, len(said.violations), len(said.warnings), *met))
+    return rows_frame(spark, out, "operation string, params string, status string, n_violations int, n_warnings int, missing bigint, undefined bigint, outside bigint")
+
+
+@query("q20_reach", f"""SELECT 'price' AS "column", count(*) AS rows, count_if(price IS NULL) AS missing, count_if(price <= 0) AS undefined, count_if(price > 105000) AS outside FROM {_CONTRACTED}
+UNION ALL SELECT 'tax', count(*), count_if(tax IS NULL), count_if(tax <= 0), count_if(tax < 0 OR tax > 0.05) FROM {_CONTRACTED}
+UNION ALL SELECT 'flag', count(*), count_if(flag IS NULL), 0, 0 FROM {_CONTRACTED}""")
+def _(spark, d):
+    return C.reach(_contracted(spark, d), ["price", "tax", "flag"], "log", CONTRACTS)
 
 
 @query("q21_proxy_groups", """SELECT CASE WHEN length(p_type) <= 6 THEN 'short' ELSE 'long' END AS proxy_group,
