@@ -21,7 +21,7 @@ WORDS = 5
 #: least similarity in hundredths
 PERCENT = 80
 #: counters of how many texts hold an element; they bound work only, not results
-COUNTERS = 1 << 20
+COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: elements whose counter is above this are summed up in parts before they meet, so that no task gets a hot element's rows
 HOT = 1_000_000
 _STEPS = np.random.default_rng(13).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,19 +79,37 @@ def _counted(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
             sets = shingles(texts, words)
             if sets:
                 total += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-    at = np.flatnonzero(total)
-    for i in range(0, len(at), 50_000):
-        yield pa.RecordBatch.from_pydict({"slot": at[i:i + 50_000], "n": total[at[i:i + 50_000]]})
+    for i in range(0, COUNTERS, CHUNK):
+        if total[i:i + CHUNK].any():
+            yield pa.RecordBatch.from_pydict({"chunk": [i // CHUNK], "counts": [total[i:i + CHUNK].astype("<i4").tobytes()]})
+
+
+def _standing_out(batches: Iterator[pa.RecordBatch], above: float | None) -> Iterator[pa.RecordBatch]:
+    """Of the parts of one chunk after another: the sum of all counters (slot -1), or the counters above a bound."""
+    chunk, total = None, np.zeros(CHUNK, np.int64)
+
+    def out():
+        if chunk is not None:
+            at = np.flatnonzero(total > above) if above is not None else None
+            yield pa.RecordBatch.from_pydict({"slot": pa.array([-1] if at is None else at + chunk * CHUNK, pa.int64()), "n": pa.array([total.sum()] if at is None else total[at], pa.int64())})
+
+    for batch in batches:
+        for c, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if c != chunk:
+                yield from out()
+                chunk, total = c, np.zeros(CHUNK, np.int64)
+            total += np.frombuffer(counts, "<i4")
+    yield from out()
 
 
 def ranks(texts: DataFrame, words: int = WORDS) -> np.ndarray:
     """For each counter 0, or by how many steps of a quarter power of two it stands above twice the mean; 255 for hot ones.
 
-    The driver gets one row for each counter that stands out, a million at most."""
-    got = stored(texts.mapInArrow(partial(_counted, words=words), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")), "counters")
-    mean = (got.agg(F.sum("n")).first()[0] or 0) / COUNTERS
+    Tasks hand on their counters in chunks. The driver gets one row for each counter that stands out, a million at most."""
+    parts = stored(texts.mapInArrow(partial(_counted, words=words), "chunk bigint, counts binary"), "counters").repartition("chunk").sortWithinPartitions("chunk")
+    mean = (parts.mapInArrow(partial(_standing_out, above=None), "slot bigint, n bigint").agg(F.sum("n")).first()[0] or 0) / COUNTERS
     out = np.zeros(COUNTERS, np.uint8)
-    high = got.where((F.col("n") > 2 * mean + 1) | (F.col("n") > HOT)).toPandas()
+    high = parts.mapInArrow(partial(_standing_out, above=float(min(2 * mean + 1, HOT))), "slot bigint, n bigint").toPandas()
     n = high["n"].to_numpy(np.float64)
     step = np.clip(1 + 4 * np.log2(np.maximum(n / max(2 * mean + 1, 1), 1)), 1, 254)
     out[high["slot"].to_numpy(np.int64)] = np.where(n > HOT, 255, step).astype(np.uint8)
@@ -189,14 +207,19 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int =
     sketches = stored(_with_key(numbered, partial(_sketched, ranked=ranked, words=words, percent=percent), kind), "sketches")
     full = sketches.where("n > 0")
     # the least row stands for all rows with the same set
-    nodes = full.groupBy("node").agg(F.min("row").alias("id"), F.first("first").alias("first"), F.first("short").alias("short"), F.first("cold").alias("cold"))
+    reps = stored(full.groupBy("node").agg(F.min("row").alias("id")), "nodes")
+    copies = stored(full.select("row", "node").join(reps, "node").where("row != id").select("row"), "copies")
+    nodes = full.join(bounded(copies), "row", "left_anti").withColumnRenamed("row", "id")
     shared = stored(_shared(nodes), "shared")
     wanted = shared.select("id").distinct()
-    need = stored(sketches.select(F.col("row").alias("id"), "digest").join(wanted, "id", "left_semi"), "wanted")
-    held = texts.select(digest(F.col("text")).alias("digest"), "text").join(bounded(need), "digest").select("id", "text").dropDuplicates(["id"])
-    held = stored(held.mapInArrow(partial(_signed, words=words), "id bigint, size double, bits binary, text string"), "held")
+    need = stored(sketches.select(F.col("row").alias("id"), F.col("digest").alias("d"), F.col("key").alias("k")).join(wanted, "id", "left_semi"), "wanted")
+    held = texts.withColumn("d2", digest(F.col("text"))).join(bounded(need), (F.col("d2") == F.col("d")) & F.col("key").eqNullSafe(F.col("k"))).select("id", "text")
+    signed = partial(_signed, words=words)
+    held = stored(held.mapInArrow(signed, "id bigint, size double, bits binary, text string"), "held")
+    if held.count() > need.count():  # rows that stand in the table more than once, key and text
+        held = stored(held.dropDuplicates(["id"]), "held")
     links, roots = tiles.linked(shared, held.select("id", "size", "bits"), lambda pairs: check(pairs, held.select("id", "text"), words, percent), percent / 100)
-    ids = full.groupBy("node").agg(F.min("row").alias("id")).join(roots, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root"))
+    ids = reps.join(roots, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root"))
     return Joined(links, ids, sketches.select("row", "key", "node", "n"))
 
 
