@@ -253,3 +253,23 @@ def test_copies_do_not_change_which_near_copies_are_linked(spark):
         got = {r.doc_id: r.class_id for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
         answers.append([got[1_000 + i] for i in range(len(near))])
     assert answers == [[0] * len(near)] * 2
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null ids, repeated rows, a column more and one less; and an empty table."""
+    item = prose(3_100, 30)
+    rows = [(i, prose(3_200 + i, 90), "en", "x") for i in range(12)]
+    rows += [rows[3], rows[3], (None, prose(3_300, 80), None, None), (None, None, "en", "x"), (50, "", "en", "x"), (51, prose(3_301, 50) + " " + item, "en", "x"), (52, rows[4][1], "en", "x")]
+    spark.createDataFrame([(1, item), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, node string").write.parquet(f"{tmp_path}/a/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, df, f"{tmp_path}/a")
+        assert out.dtypes == df.dtypes, name
+        out.write.parquet(f"{tmp_path}/a/{k}")
+        df = spark.read.parquet(f"{tmp_path}/a/{k}")
+    assert sorted(str(r.doc_id) for r in df.collect()) == sorted([*map(str, range(12)), "None"])
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/a").collect()} == {*range(12), None}
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, n_chars bigint").write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
