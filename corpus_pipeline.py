@@ -27,8 +27,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by the kind of secret, and n_chars counted anew."""
+    """All documents, their secrets replaced by the kind of secret, and n_chars, if there, counted anew."""
     clean = secret_scan.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     counted = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text"))
     return clean.withColumn("n_chars", counted.cast(docs.schema["n_chars"].dataType))
 
