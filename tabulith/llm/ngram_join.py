@@ -252,8 +252,8 @@ sets AS (
                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
 same AS (SELECT min(r) AS id, any_value(s) AS s, list_sort(s) AS k FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
 parts AS (SELECT id, len(s) AS n, unnest(s) AS x FROM same),
-met AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS total, count(*) AS both FROM parts a JOIN parts b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
-links AS (SELECT a, b FROM met WHERE 100 * both >= 80 * (total - both)),
+met AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS total, count(*) AS common FROM parts a JOIN parts b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM met WHERE 100 * common >= 80 * (total - common)),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links UNION ALL SELECT id, id FROM same),
 reach AS (SELECT id AS a, id AS b FROM same UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b),
 roots AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
