@@ -23,7 +23,7 @@ from .components import components
 BLOCK = 2_048
 #: a task compares so many rows, or so many bytes of bitmaps, at a time, and one tile at least
 ROWS_HELD, BYTES_HELD = 16_384, 32_000_000
-#: partners that a set names in the first round; the second round names all
+#: partners in one component that a set names in the first round; the second round names all
 FEW = 3
 WIDEST = 1 << 17
 ROUNDING = 1e-9
@@ -117,20 +117,23 @@ def _pairs(t: pa.Table, threshold: float, most: int) -> pa.RecordBatch:
     if waiting:
         settle(waiting)
     i, j, far = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    if most:
+    more = np.zeros(0, np.int64)
+    if most:  # of each set the nearest few in each other component; where there are more, the bucket comes back
         a, b, f = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([far, far])
-        order = np.lexsort((b, f, a))
+        order = np.lexsort((b, f, root[b], a))
         a, b = a[order], b[order]
         first = np.ones(len(a), bool)
-        first[1:] = a[1:] != a[:-1]
+        first[1:] = (a[1:] != a[:-1]) | (root[b[1:]] != root[b[:-1]])
         since = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0)) if len(a) else np.zeros(0, np.int64)
+        more = np.unique(keys[0][a[since >= most]])
         i, j = a[since < most], b[since < most]
-    ids = t["id"].combine_chunks()
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j))], names=["x", "y"])
+    ids, nothing = t["id"].combine_chunks(), pa.nulls(len(more), t.schema.field("id").type)
+    columns = [pa.concat_arrays([ids.take(pa.array(k)), nothing]) for k in (i, j)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([None] * len(i) + more.tolist(), pa.int64())], names=["x", "y", "more"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float, most: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of each tile that their bitmaps do not rule out; rows come sorted by tile."""
+    """Pairs of each tile that their bitmaps do not rule out, and the buckets that have more of them; rows come sorted by tile."""
     held: list[pa.RecordBatch] = []
     rows = size = 0
     for batch in batches:
@@ -153,7 +156,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float, most: int) ->
 
 
 def _tiled(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows (bucket, id, root, short, size, bits) with the tiles they go to: band, x, y, block, own.
+    """Rows (bucket, id, root, short, size) with the tiles they go to: band, x, y, block, own.
 
     A row stands in the band of its size (own) and in the next one, where smaller sets than its own band's meet it. In a bucket
     and band with more than BLOCK rows, rows of the component with most rows are one kind and the others another: the
@@ -171,7 +174,7 @@ def _tiled(rows: DataFrame, threshold: float) -> DataFrame:
     rows = rows.withColumn("block", block.cast("bigint"))
     last = F.when(small, F.lit(0)).when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
-    return rows.select("bucket", "band", F.least("with", "block").alias("x"), F.greatest("with", "block").alias("y"), "id", "root", "short", "size", "bits", "block", "own")
+    return rows.select("bucket", "band", F.least("with", "block").alias("x"), F.greatest("with", "block").alias("y"), "id", "root", "short", "size", "block", "own")
 
 
 def _unseen(pairs: DataFrame, seen: list[DataFrame]) -> DataFrame:
@@ -193,6 +196,13 @@ def _bounded(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
 
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps folded once: they go to every tile of a set, and half is enough to tell most sets apart."""
+    for batch in batches:
+        wide = (np.frombuffer(b, np.uint64) for b in batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_folded(b[None], max(1, len(b) // 2)).tobytes() for b in wide], pa.binary())], names=["id", "bits"])
+
+
 def moved(roots: DataFrame, links: DataFrame) -> DataFrame:
     """Roots (id, root) after ``links`` (a, b) between ids are added."""
     of = {c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"}
@@ -208,29 +218,37 @@ def linked(shared: DataFrame, signatures: DataFrame, check: Callable[[DataFrame]
     smaller of both is short. signatures: id, size, bits, where bitmaps differ in no more bits than sets differ in weight.
 
     First every id is compared with the least id of each of its buckets, which joins most copies. Then the buckets that still
-    hold more than one component are compared in tiles, twice: in the first round each set names the few others that may be
-    most like it, in the second all that may reach the threshold. So each pair that meets in a bucket is in one component,
-    verified, or ruled out by its bound; the number of rounds is fixed."""
+    hold more than one component are compared in tiles: each set names the few sets of every other component that may be most
+    like it. Buckets where that left sets out are compared once more, and all sets that may reach the threshold are named. So
+    each pair that meets in a bucket is in one component, verified, or ruled out by its bound; the number of rounds is fixed."""
     kind = shared.schema["id"].dataType.simpleString()
     ids = shared.select("id").distinct()
     side = {c: signatures.select(F.col("id").alias(c), F.col("size").alias(f"s{c}"), F.col("bits").alias(f"b{c}")) for c in "ab"}
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        likely = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "sa", "ba", "sb", "bb")
+        return stored(check(likely.mapInArrow(partial(_bounded, threshold=threshold), f"a {kind}, b {kind}")), "links")
+
     pairs = stored(_unseen(shared.select(F.col("least").alias("x"), F.col("id").alias("y")), []), "pairs")
-    likely = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "sa", "ba", "sb", "bb")
-    likely = likely.mapInArrow(partial(_bounded, threshold=threshold), f"a {kind}, b {kind}")
-    links = stored(check(likely), "links")
+    links = verified(pairs)
     roots = moved(stored(ids.select("id", F.col("id").alias("root")), "ids"), links)
-    seen, all_links = [pairs], [links]
+    halved = stored(signatures.select("id", "bits").mapInArrow(_halved, f"id {kind}, bits binary"), "halved")
+    seen, all_links, buckets = [pairs], [links], None
     for most in (FEW, 0):
-        rows = shared.drop("least").join(roots, "id")
+        rows = (shared if buckets is None else shared.join(buckets, "bucket", "left_semi")).drop("least").join(roots, "id")
         open_ = rows.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max("short").alias("any")).where("r != s AND any").select("bucket")
-        rows = rows.join(open_, "bucket").join(signatures, "id")
-        tiles = _tiled(stored(rows, "open"), threshold).repartition("bucket", "band", "x", "y").sortWithinPartitions("bucket", "band", "x", "y", "id")
-        near = tiles.mapInArrow(partial(_compare, threshold=threshold, most=most), f"x {kind}, y {kind}")
-        pairs = stored(_unseen(near, seen), "pairs")
-        links = stored(check(pairs), "links")
+        rows = stored(rows.join(open_, "bucket").join(signatures.select("id", "size"), "id"), "open")
+        # bitmaps come in last, so that only one exchange moves them with each row
+        tiles = _tiled(rows, threshold).join(halved, "id").repartition("bucket", "band", "x", "y").sortWithinPartitions("bucket", "band", "x", "y", "id")
+        near = stored(tiles.mapInArrow(partial(_compare, threshold=threshold, most=most), f"x {kind}, y {kind}, more bigint"), "near")
+        pairs = stored(_unseen(near.where("x IS NOT NULL"), seen), "pairs")
+        links = verified(pairs)
         seen.append(pairs)
         all_links.append(links)
         roots = moved(roots, links)
+        buckets = near.where("more IS NOT NULL").select(F.col("more").alias("bucket")).distinct()
+        if not buckets.head(1):
+            break
     out = all_links[0]
     for more in all_links[1:]:
         out = out.unionByName(more)
