@@ -247,6 +247,9 @@ class Space:
     idf: np.ndarray  # one more than the words: the last is for words that the benchmark lacks
     items: list[Item]
     needed: np.ndarray  # runs that an item must share with a text
+    words: list[np.ndarray]  # of each item
+    reach: np.ndarray  # words to either side of a passage that are compared with the item
+    least: np.ndarray  # words of the item that must be there for a leak
     vectors: np.ndarray  # words x directions, each row times its weight
     owners: np.ndarray  # item of each passage
     latent: np.ndarray  # directions x passages, of unit length
@@ -328,7 +331,12 @@ def fit(encoded: DataFrame, items: list[Item], n: int, words: int) -> Space:
     vectors = (basis * idf[:-1, None]).astype(np.float32)
     latent = np.asarray([vectors[p].sum(axis=0) for _, p in passages], np.float32).reshape(len(passages), -1)
     latent /= np.maximum(np.sqrt((latent ** 2).sum(axis=1, keepdims=True)), 1e-12)
-    return Space(idf, items, np.asarray([_needed(len(i.words)) for i in items], np.int64), vectors, np.asarray([k for k, _ in passages], np.int64), np.ascontiguousarray(latent.T), _runs(items))
+    return Space(idf, items, np.asarray([_needed(len(i.words)) for i in items], np.int64), [np.asarray(i.words, np.int64) for i in items],
+                 np.asarray([_reach(len(i.words)) for i in items], np.int64), np.asarray([len(i.words) if len(i.words) < SHORT else PARAPHRASED * len(i.words) - 1e-9 for i in items]), vectors, np.asarray([k for k, _ in passages], np.int64), np.ascontiguousarray(latent.T), _runs(items))
+
+
+def _reach(n: int) -> int:
+    return max(HALF, n - HALF)
 
 
 def _leaks(ids: np.ndarray, counts: np.ndarray, s: Space) -> Iterator[tuple[int, int, float]]:
@@ -336,12 +344,12 @@ def _leaks(ids: np.ndarray, counts: np.ndarray, s: Space) -> Iterator[tuple[int,
     half, first_half = _halves(counts)
     owner = np.repeat(np.arange(len(counts)), np.diff(first_half))
     met: dict[tuple[int, int], set[int]] = {}
-    _near(s, ids, half, owner, first_half, met)
+    _near(s, ids, counts, half, owner, first_half, met)
     for runs in s.runs:
         _shared(runs, s, ids, half, owner, first_half, met)
     starts = np.cumsum(counts) - counts
     for (t, k), at in sorted(met.items()):
-        reach, text = max(HALF, len(s.items[k].words) - HALF), ids[starts[t]:starts[t] + counts[t]]
+        reach, text = s.reach[k], ids[starts[t]:starts[t] + counts[t]]
         best = 0.0
         for h in sorted(at):
             best = max(best, judged(s.items[k], text[max(0, h * HALF - reach):(h + 2) * HALF + reach].tolist()))
@@ -351,8 +359,10 @@ def _leaks(ids: np.ndarray, counts: np.ndarray, s: Space) -> Iterator[tuple[int,
             yield t, k, best
 
 
-def _near(s: Space, ids: np.ndarray, half: np.ndarray, owner: np.ndarray, first_half: np.ndarray, met: dict[tuple[int, int], set[int]]) -> None:
-    """Add the halves at which a passage of a text is close in the latent space to one of the benchmark, by text and item."""
+def _near(s: Space, ids: np.ndarray, counts: np.ndarray, half: np.ndarray, owner: np.ndarray, first_half: np.ndarray, met: dict[tuple[int, int], set[int]]) -> None:
+    """Add the halves at which a passage of a text is close in the latent space to one of the benchmark, by text and item.
+
+    Items of which too few words are anywhere around the passage are left out: no subsequence could make them leaks."""
     hit = np.flatnonzero(ids >= 0)
     hit = hit[s.idf[ids[hit]] > 0]
     if not len(hit) or not len(s.owners):
@@ -363,12 +373,26 @@ def _near(s: Space, ids: np.ndarray, half: np.ndarray, owner: np.ndarray, first_
     window = z[:-1] + np.where(same[:, None], z[1:], np.float32(0))
     size = np.sqrt((window ** 2).sum(axis=1))
     full = np.flatnonzero(size > 1e-9)
+    starts, present = np.cumsum(counts) - counts, np.zeros(len(s.idf), bool)
     for i in range(0, len(full), 4096):
         some = full[i:i + 4096]
         cosine = (window[some] @ s.latent) / size[some, None]
-        for row, passage in zip(*np.nonzero(cosine >= COSINE)):
-            h = int(some[row])
-            met.setdefault((int(owner[h]), int(s.owners[passage])), set()).add(h - int(first_half[owner[h]]))
+        rows, passages = np.nonzero(cosine >= COSINE)
+        cuts = np.flatnonzero(np.diff(rows, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)]):
+            h = int(some[rows[a]])
+            t = int(owner[h])
+            at = h - int(first_half[t])
+            items = np.unique(s.owners[passages[a:b]])
+            reach = int(s.reach[items].max())
+            region = ids[starts[t] + max(0, at * HALF - reach):starts[t] + min(int(counts[t]), (at + 2) * HALF + reach)]
+            region = region[region >= 0]
+            present[region] = True
+            words = [s.words[k] for k in items]
+            there = np.add.reduceat(present[np.concatenate(words)], np.cumsum([0, *map(len, words[:-1])]), dtype=np.int64)
+            present[region] = False
+            for k in items[there >= s.least[items]].tolist():
+                met.setdefault((t, k), set()).add(at)
 
 
 def _shared(runs: Runs, s: Space, ids: np.ndarray, half: np.ndarray, owner: np.ndarray, first_half: np.ndarray, met: dict[tuple[int, int], set[int]]) -> None:
