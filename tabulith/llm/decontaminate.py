@@ -26,7 +26,7 @@ from .common import MIX, blocks, fresh, keyed_text, mix64, small_batches, stored
 #: words of half a passage; passages are pairs of neighbouring halves, so each is met in whole or nearly so
 HALF = 32
 #: directions of the latent space; fewer where words or passages of the benchmark times directions would pass MOST_WEIGHTS (64 MB)
-RANK = 256
+RANK = 128
 MOST_WEIGHTS = 16_000_000
 #: more columns of the test matrix than directions
 SPARE = 16
