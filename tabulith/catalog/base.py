@@ -40,7 +40,9 @@ def R(expr: str, digits: int = 6) -> str:  # noqa: N802 - mirrors ``rd`` in SQL
 
 
 def rounded(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    return df.withColumns({c: rd(c, digits) for c in cols})
+    """``rd`` of each column; a projection of its own rounds each value once."""
+    df = df.withColumns({c: F.round(q(c), digits) for c in cols})
+    return df.withColumns({c: F.when(q(c) == 0, F.lit(0.0)).otherwise(q(c)) for c in cols})
 
 
 def union_sql(parts: Sequence[str]) -> str:

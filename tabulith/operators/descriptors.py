@@ -13,6 +13,8 @@ from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,23 +60,58 @@ class Space:
     features: dict[str, Column]
     capped: bool = False
     short: dict[str, str] = field(default_factory=dict)
+    #: operation and operands, by name, of the features that are made from others
+    made: dict[str, tuple] = field(default_factory=dict)
+    #: the columns that every chain of operations begins with
+    sources: dict[str, Column] = field(default_factory=dict)
+
+    def pick(self, names) -> Space:
+        """Some of the features; ``made`` keeps what they are made from."""
+        return Space({n: self.features[n] for n in names}, made=self.made, sources=self.sources)
 
 
 def generate(df: DataFrame, base: Sequence[str], unary: Sequence[str] = (), binary: Sequence[str] = (),
              binary_cap: int = BINARY_CAP, total_cap: int = TOTAL_CAP) -> Space:
     """Base columns, then unary results, then binary ones over the first columns."""
     cols = {c: value(df, c).cast("double") for c in base}
+    sources, made = dict(cols), {}
     for op in unary:
         cols.update({f"{op}({c})": finite(UNARY[op](value(df, c).cast("double"))) for c in base})
+        made.update({f"{op}({c})": (UNARY[op], c) for c in base})
     seeds = list(cols.items())
     capped = len(seeds) > binary_cap and bool(binary)
     seeds = seeds[:binary_cap]
     for op in binary:
-        pairs = combinations(seeds, 2) if op in SYMMETRIC else permutations(seeds, 2)
+        pairs = list(combinations(seeds, 2) if op in SYMMETRIC else permutations(seeds, 2))
         cols.update({f"{a} {op} {b}": finite(BINARY[op](x, y)) for (a, x), (b, y) in pairs})
+        made.update({f"{a} {op} {b}": (BINARY[op], a, b) for (a, _), (b, _) in pairs})
     if len(cols) > total_cap:
         cols, capped = dict(list(cols.items())[:total_cap]), True
-    return Space(cols, capped, {n: n[:NAME_CAP] for n in cols})
+    return Space(cols, capped, {n: n[:NAME_CAP] for n in cols}, made, sources)
+
+
+def placed(df: DataFrame, space: Space, names: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with every result that the named features need as a column, and the features over those columns.
+
+    Written out, a product of two guarded squares repeats its operands dozens of times. Here an operation reads its
+    operands from columns of an earlier projection, so each is computed once a row."""
+    level: dict[str, int] = {}
+
+    def visit(n):
+        if n not in level:
+            operands = space.made.get(n, (None,))[1:]
+            for o in operands:
+                visit(o)
+            level[n] = 1 + max(level[o] for o in operands) if operands else 0
+    for n in names:
+        visit(n)
+    at = {n: f"__p{i}" for i, n in enumerate(level)}
+    df = df.withColumns({at[n]: space.sources.get(n, space.features.get(n)) for n in level if level[n] == 0})
+    for k in range(1, 1 + max(level.values(), default=0)):
+        now = [n for n in level if level[n] == k]
+        df = df.withColumns({at[n]: space.made[n][0](*[F.col(at[o]) for o in space.made[n][1:]]) for n in now})
+        df = df.withColumns({at[n]: finite(F.col(at[n])) for n in now})
+    return df, {n: F.col(at[n]) for n in names}
 
 
 def evaluate(df: DataFrame, space: Space, keep: Sequence[str] = (), drop_useless: bool = True, chunk: int = 200) -> DataFrame:
@@ -85,9 +122,9 @@ def evaluate(df: DataFrame, space: Space, keep: Sequence[str] = (), drop_useless
     if drop_useless:
         bad = useless(df, space)
         names = [n for n in names if n not in bad]
-    out = df
+    out, made = placed(df, space, names)
     for at in range(0, len(names), chunk):
-        out = out.withColumns({f"__g{i}": space.features[n] for i, n in enumerate(names[at:at + chunk], at)})
+        out = out.withColumns({f"__g{i}": made[n] for i, n in enumerate(names[at:at + chunk], at)})
     return out.select(*[q(k) for k in keep], *[F.col(f"__g{i}").alias(n) for i, n in enumerate(names)])
 
 
@@ -108,6 +145,7 @@ def pair_sums(df: DataFrame, target: Column, features: Mapping[str, Column], by:
     names = list(features)
     block = df.select((by if by is not None else F.lit(0)).cast("int").alias("g"), target.cast("double").alias("y"),
                       F.array(*[c.cast("double") for c in features.values()]).alias("x"))
+    p = len(names)
     head = block.limit(1000).toPandas()
     hx = np.array(head["x"].tolist(), float) if len(head) else np.zeros((1, len(names)))
     with np.errstate(all="ignore"):
@@ -116,30 +154,32 @@ def pair_sums(df: DataFrame, target: Column, features: Mapping[str, Column], by:
 
     def part(batches):
         acc: dict = {}
-        for pdf in batches:
-            pdf = pdf[pdf["y"].notna()]
-            if not len(pdf):
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch["y"]))
+            if not batch.num_rows:
                 continue
-            raw = np.array(pdf["x"].tolist(), float)
-            for g in pdf["g"].unique():
-                m = (pdf["g"] == g).to_numpy()
-                r, y = raw[m], pdf["y"].to_numpy(float)[m, None] - cy
+            codes = batch["g"].to_numpy(zero_copy_only=False)
+            raw, ys = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, p), batch["y"].to_numpy() - cy
+            for g in np.unique(codes):
+                m = codes == g
+                r, y = raw[m], ys[m, None]
                 ok = ~np.isnan(r)
                 x, y = np.where(ok, r - cx, 0.0), np.where(ok, y, 0.0)
                 s = np.stack([ok.sum(0), (ok & (np.nan_to_num(r) != 0)).sum(0), x.sum(0), y.sum(0), (x * y).sum(0),
                               (x * x).sum(0), (y * y).sum(0)])
                 acc[g] = acc.get(g, 0) + s
         for g, s in acc.items():
-            yield pd.DataFrame({"g": int(g), "j": np.arange(s.shape[1]), **{k: s[i].astype(float) for i, k in enumerate(_SUMS)}})
+            yield pa.RecordBatch.from_pydict({"g": np.full(p, g, np.int32), "j": np.arange(p, dtype=np.int32), **{k: s[i].astype(float) for i, k in enumerate(_SUMS)}})
 
     schema = "g int, j int, " + ", ".join(f"{k} double" for k in _SUMS)
-    out = block.mapInPandas(part, schema).groupBy("g", "j").agg(*[F.sum(k).alias(k) for k in _SUMS]).toPandas()
+    out = block.mapInArrow(part, schema).groupBy("g", "j").agg(*[F.sum(k).alias(k) for k in _SUMS]).toPandas()
     out["feature"] = [names[j] for j in out["j"]]
     return out.sort_values(["j", "g"])
 
 
 def useless(df: DataFrame, space: Space) -> set[str]:
-    s = pair_sums(df, F.lit(0.0), space.features)
+    df, made = placed(df, space, list(space.features))
+    s = pair_sums(df, F.lit(0.0), made)
     seen = s.groupby("feature")["nz"].sum()
     return {n for n in space.features if seen.get(n, 0) == 0}
 
@@ -153,7 +193,8 @@ def _r2(t: pd.DataFrame) -> pd.Series:
 
 def preselect(df: DataFrame, target: str, space: Space, k: int = 100) -> DataFrame:
     """The k features with the largest squared correlation to the target."""
-    s = pair_sums(df, value(df, target), space.features)
+    rows, made = placed(df, space, list(space.features))
+    s = pair_sums(rows, value(df, target), made)
     s["r2"] = _r2(s)
     top = s.sort_values(["r2", "feature"], ascending=[False, True]).head(k)
     return rows_frame(df.sparkSession, list(zip(top["feature"], top["r2"])), "feature string, r2 double")
@@ -163,7 +204,8 @@ def screen(df: DataFrame, target: str, space: Space, key: Sequence[str] | None =
            folds: int = FOLDS, threshold: float = 0.0) -> DataFrame:
     """Mean held-out R2 of a one-feature line for every feature, from fold sums."""
     by = by if by is not None else fold(list(key), folds)
-    s = pair_sums(df, value(df, target), {n: c for n, c in space.features.items() if n != target}, by)
+    wide, made = placed(df, space, [n for n in space.features if n != target])
+    s = pair_sums(wide, value(df, target), made, by)
     rows = []
     for name, t in s.groupby("feature"):
         whole, scores = t[list(_SUMS)].sum(), []
@@ -189,8 +231,8 @@ def fold_grams(df: DataFrame, target: str, space: Space, key: Sequence[str] | No
                folds: int = FOLDS) -> tuple[dict, list[str]]:
     """Standardised-feature Grams per fold over complete rows, constant features left out."""
     names = [n for n in space.features if n != target]
-    exprs = {n: space.features[n] for n in names} | {target: value(df, target).cast("double")}
-    raw = gram(df, exprs, by if by is not None else fold(list(key), folds))
+    rows, made = placed(df, space, names)
+    raw = gram(rows, made | {target: value(df, target).cast("double")}, by if by is not None else fold(list(key), folds), costly=True)
     whole = total(raw)
     sd = whole.sd(0)
     names = [n for n, s in zip(names, sd) if s > 1e-12]
@@ -313,7 +355,7 @@ def search(df: DataFrame, target: str, space: Space, direction: str = "forward",
     k = preselect_k or (100 if direction == "forward" else 30)
     df = drop_missing(df, [target])
     top = [r["feature"] for r in preselect(df, target, space, k).collect()]
-    small = Space({n: space.features[n] for n in space.features if n in set(top)})
+    small = space.pick([n for n in space.features if n in set(top)])
     folds, names = fold_grams(df, target, small, key, by)
     run = greedy_forward if direction == "forward" else greedy_backward
     chosen, history = run(folds, target, names, **kw)
@@ -322,7 +364,7 @@ def search(df: DataFrame, target: str, space: Space, direction: str = "forward",
 
 def predictions(df: DataFrame, space: Space, fit: Fit, folds: Mapping, names: list[str]) -> DataFrame:
     """Row predictions of a fitted rule as one expression."""
-    whole = gram(df, {n: space.features[n] for n in names})[None]
+    whole = gram(*placed(df, space, names), costly=True)[None]
     y = F.lit(fit.intercept)
     for n, c, m, s in zip(names, fit.coef, whole.mean, whole.sd(0)):
         y = y + float(c) * (space.features[n] - float(m)) / float(s or 1.0)

@@ -186,3 +186,15 @@ def test_order_holds_for_keys_that_share_their_start(spark, monkeypatch, kind):
     for x in want:
         last = x.v if x.v is not None else last
         assert filled[x.id] == last
+
+
+def test_costly_gram_equals_plain_sums(spark):
+    rows = [("x", 1.0, 2.0), ("x", 2.0, None), ("y", 3.0, 5.0), (None, 4.0, 1.0), ("x", 5.0, float("nan")), ("x", 7.0, -2.0)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    cols = {"a": F.col("a"), "b": F.col("b")}
+    plain, costly = gram.gram(df, cols, F.col("g")), gram.gram(df, cols, F.col("g"), costly=True)
+    assert {str(k) for k in costly} >= {"x", "y"} and len(costly) == len(plain) == 3
+    for k in ("x", "y"):
+        assert plain[k].n == costly[k].n
+        np.testing.assert_allclose(plain[k].mean, costly[k].mean)
+        np.testing.assert_allclose(plain[k].centred(), costly[k].centred(), atol=1e-12)
