@@ -21,6 +21,7 @@ from ..functions.ordering import dense_index
 from ..functions.quantiles import moments, quantiles
 from ..functions.special import chi2_tail
 from ..plans.ledger import operation
+from ..session import cut_lineage
 
 # fixed values: default thresholds
 Z_LIMIT, MZ_LIMIT, IQR_K, EUCLID_LIMIT, MAHAL_LIMIT = 2.60, 19.35, 1.5, 3.0, 5.5
@@ -209,7 +210,8 @@ def isolation_flags(df: DataFrame, columns: Sequence[str], key: Sequence[str], t
         return pd.Series(np.exp2(-depth / len(forest) / norm))
 
     out = rows.withColumn("score", score(*[f"x{i}" for i in range(len(cols))]))
-    cut = quantiles(out, ["score"], [1 - contamination])["score"][0]
+    # the quantile reads the scores several times: they are stored, so that rows go through the trees once for it
+    cut = quantiles(cut_lineage(out.select("score")), ["score"], [1 - contamination])["score"][0]
     return out.withColumn("is_outlier", F.col("score") > cut).drop(*[f"x{i}" for i in range(len(cols))])
 
 
@@ -290,7 +292,8 @@ def lof_flags(df: DataFrame, columns: Sequence[str], k: int = 20, contamination:
     xs = [f"x{i}" for i in range(len(cols))]
     rows = df.withColumns(dict(zip(xs, e.values())))
     pts = distinct_points(rows, xs)
-    nn = knn(pts, len(xs), k)
+    # stored, as both neighbours and scores are read several times
+    nn = cut_lineage(knn(pts, len(xs), k))
     edges = nn.select("pid", F.element_at("nn", -1)["d"].alias("kd"), F.inline("nn").alias("d", "to", "m"))
     kd = nn.select(F.col("pid").alias("to"), F.element_at("nn", -1)["d"].alias("kd_to"))
     reach = edges.join(kd, "to").groupBy("pid").agg(
@@ -298,6 +301,7 @@ def lof_flags(df: DataFrame, columns: Sequence[str], k: int = 20, contamination:
     ratio = (edges.join(reach.select(F.col("pid").alias("to"), F.col("lrd").alias("lrd_to")), "to")
              .join(reach, "pid").groupBy("pid")
              .agg((F.sum(F.col("m") * F.col("lrd_to")) / F.sum("m") / F.max("lrd")).alias("score")))
+    ratio = cut_lineage(ratio)
     out = rows.withColumn("pid", point_id(xs)).join(ratio, "pid", "left").drop("pid", *xs)
     cut = quantiles(out, ["score"], [1 - contamination])["score"][0]
     return out.withColumn("is_outlier", F.coalesce(F.col("score") > cut, F.lit(False)))
@@ -375,21 +379,24 @@ def fluctuation_flags(df: DataFrame, columns: Sequence[str], key: Sequence[str],
 
     Only row totals enter, so the random graphs are equi-joins on a dense index."""
     e = filled(df, medians(df, columns))
-    rows = dense_index(df.withColumn("__s", sum(e.values(), F.lit(0.0))), list(key), "__i")
-    n = df.count()
+    rows = cut_lineage(dense_index(df.withColumn("__s", sum(e.values(), F.lit(0.0))), list(key), "__i"))
+    n = rows.count()
     k = min(k, n - 1)
     draws = [F.pmod(F.xxhash64(F.col("__i"), F.col("g"), F.lit(j), F.lit(seed)), F.lit(max(n - 1, 1))) for j in range(3 * k)]
     # offset 1..n-1 from the row itself, so a row never draws itself
     shift = F.slice(F.array_distinct(F.array(*[d + 1 for d in draws])), 1, k)
-    ego = rows.select("__i", "__s", F.explode(F.array(*[F.lit(g) for g in range(graphs)])).alias("g"))
-    edges = ego.select("__i", "__s", "g", F.explode(shift).alias("o")) \
-        .withColumn("__j", F.pmod(F.col("__i") + F.col("o"), F.lit(n)))
-    totals = rows.select(F.col("__i").alias("__j"), F.col("__s").alias("sj"))
-    coef = edges.join(totals, "__j").groupBy("__i", "g").agg((F.max("__s") / (F.max("__s") + F.sum("sj") + 1e-10)).alias("c")) \
-        .groupBy("__i").agg(F.sum("c").alias("c"))
-    last = edges.filter(F.col("g") == graphs - 1).select("__i", "__j")
-    score = (last.join(coef, "__i").join(coef.select(F.col("__i").alias("__j"), F.col("c").alias("cj")), "__j")
-             .groupBy("__i").agg(F.sum(F.abs(F.col("c") - F.col("cj"))).alias("score")))
+    target = F.pmod(F.col("__i") + F.col("o"), F.lit(n)).alias("__j")
+    ego = rows.select("__i", F.explode(F.array(*[F.lit(g) for g in range(graphs)])).alias("g"))
+    # an edge is two numbers, its end and that of the row and graph it belongs to; all else joins row by row
+    edges = ego.select("__i", "g", F.explode(shift).alias("o")).select((F.col("__i") * graphs + F.col("g")).alias("__e"), target)
+    totals = edges.join(rows.select(F.col("__i").alias("__j"), F.col("__s").alias("sj")), "__j").groupBy("__e").agg(F.sum("sj").alias("t"))
+    share = F.col("__s") / (F.col("__s") + F.col("t") + 1e-10)
+    coef = totals.select(F.expr(f"__e div {graphs}").alias("__i"), "t").join(rows.select("__i", "__s"), "__i").groupBy("__i").agg(F.sum(share).alias("c"))
+    coef = cut_lineage(coef)
+    # the edges of the last graph are drawn again from the row's number
+    last = coef.withColumn("g", F.lit(graphs - 1)).select("__i", "c", F.explode(shift).alias("o")).select("__i", "c", target)
+    score = cut_lineage(last.join(coef.select(F.col("__i").alias("__j"), F.col("c").alias("cj")), "__j")
+                        .groupBy("__i").agg(F.sum(F.abs(F.col("c") - F.col("cj"))).alias("score")))
     top = score.orderBy(F.desc("score"), "__i").limit(drop).select("__i", F.lit(True).alias("is_outlier"))
     out = rows.join(score, "__i", "left").join(F.broadcast(top), "__i", "left")
     return out.withColumn("is_outlier", F.coalesce("is_outlier", F.lit(False))).drop("__i", "__s")
