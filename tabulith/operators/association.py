@@ -4,9 +4,9 @@ per unordered pair (column order) or per ordered pair for directed measures."""
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
-from itertools import combinations, permutations
+from itertools import accumulate, combinations, permutations
 
 import numpy as np
 import pandas as pd
@@ -437,69 +437,183 @@ def hsic_linear(df: DataFrame, columns=None) -> DataFrame:
 
 
 #: thresholds that one pass counts pairs for, and pairs of different values that are listed at the end
-PROBES, LISTED = 15, 200_000
+PROBES, LISTED = 62, 200_000
+#: sorted values of a run, runs of a column at most, and runs that one task compares with another run
+RUN, RUNS, BESIDE = 4_096, 2_000, 16
+
+
+def _runs(values: DataFrame, kinds: Mapping[int, int]) -> DataFrame:
+    """Runs of neighbouring values: ``part, run, lo, hi, n`` (rows), ``k`` (values) and the values with their rows, ``v, m``, as bytes."""
+    count = {i: max(1, min(RUNS, -(-k // RUN))) for i, k in kinds.items()}
+    most = max(count.values())
+    cuts = {r["part"]: np.unique(r["at"]) for r in values.groupBy("part").agg(
+        F.percentile_approx("v", [j / most for j in range(1, most)] or [1.0], max(10_000, 10 * most)).alias("at")).collect()}
+    cuts = {i: c[::-(-most // count[i])] if count[i] > 1 else c[:0] for i, c in cuts.items()}
+
+    @F.pandas_udf("int")
+    def run_of(part: pd.Series, v: pd.Series) -> pd.Series:
+        out = np.zeros(len(v), np.int32)
+        for i, c in cuts.items():
+            mine = (part == i).to_numpy()
+            out[mine] = np.searchsorted(c, v.to_numpy()[mine])
+        return pd.Series(out)
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v")
+        v, m = pdf["v"].to_numpy(float), pdf["m"].to_numpy(np.int64)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1].to_numpy(), "run": pdf["run"].iloc[:1].to_numpy(), "lo": v[:1], "hi": v[-1:], "n": [m.sum()], "k": [len(v)],
+                             "v": [v.tobytes()], "m": [m.tobytes()]})
+
+    return cut_lineage(values.withColumn("run", run_of("part", "v")).groupBy("part", "run").applyInPandas(
+        packed, "part int, run int, lo double, hi double, n bigint, k bigint, v binary, m binary"))
+
+
+def _gap_bounds(ends: pd.DataFrame, ranks: Sequence[int]) -> tuple[float, float]:
+    """Between which differences the pairs of these ranks lie, from the ends and rows of the runs alone."""
+    lo, hi, n = ends["lo"].to_numpy(), ends["hi"].to_numpy(), ends["n"].to_numpy(float)
+    i, j = np.triu_indices(len(n))
+    pairs = np.where(i == j, 0.0, n[i] * n[j])
+    # pairs of one run may all be alike, or all as far apart as its ends; sums of floats are off by far less than the slack
+    inner = float((n * (n - 1) / 2).sum())
+    slack = 1e-9 * (float(pairs.sum()) + inner)
+
+    def reached(gap: np.ndarray, weight: np.ndarray, want: float) -> float:
+        order = np.argsort(gap)
+        at = np.searchsorted(np.cumsum(weight[order]), want)
+        return float(gap[order][at]) if at < len(gap) else math.inf
+
+    least = reached(np.where(i == j, 0.0, lo[j] - hi[i]), np.where(i == j, n[i] * (n[i] - 1) / 2, pairs), min(ranks) - slack)
+    most = reached(hi[j] - lo[i], pairs, max(ranks) + 1 + slack)
+    off = 1e-14 * float(np.abs([lo[0], hi[-1]]).max())
+    return max(0.0, least - off), most + off
+
+
+def _beside(ends: pd.DataFrame, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each run the first and last run in which its values, moved by ``low`` to ``high``, come to lie; runs before are passed whole."""
+    lo, hi = ends["lo"].to_numpy(), ends["hi"].to_numpy()
+    return np.searchsorted(hi, lo + low, "right"), np.searchsorted(lo, hi + high, "right") - 1
+
+
+def _compared(runs: DataFrame, asked: Sequence[tuple[int, np.ndarray, np.ndarray]], fn: Callable, schema: str) -> DataFrame:
+    """``fn(g, v, m, v of the runs beside, m of the runs beside)`` for each run of the table of (part, first, last), in blocks of runs beside.
+
+    A task holds one run and at most BESIDE others."""
+    spark = runs.sparkSession
+    rows = [(g, part, run, int(a), int(b)) for g, (part, first, last) in enumerate(asked) for run, (a, b) in enumerate(zip(first, last)) if a <= b]
+    plan = rows_frame(spark, rows, "g int, part int, run int, a int, b int").withColumn("beside", F.explode(F.sequence("a", "b"))).withColumn("block", F.floor((F.col("beside") - F.col("a")) / BESIDE).cast("int"))
+    tasks = max(1, min(spark.sparkContext.defaultParallelism * 4, len(rows)))
+    own = plan.select("g", "part", "run", "block").distinct().join(runs.select("part", "run", "v", "m"), ["part", "run"]).repartition(tasks, "g", "run", "block")
+    others = plan.select(F.col("g").alias("g2"), F.col("part").alias("part2"), F.col("run").alias("run2"), F.col("block").alias("block2"), "beside").join(
+        runs.select(F.col("part").alias("part2"), F.col("run").alias("beside"), F.col("v").alias("u"), F.col("m").alias("c")), ["part2", "beside"]).repartition(tasks, "g2", "run2", "block2")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("beside")
+        v, m, u, c = (np.frombuffer(b"".join(f[x]), t) for f, x, t in ((a, "v", np.float64), (a, "m", np.int64), (b, "u", np.float64), (b, "c", np.int64)))
+        return fn(int(a["g"].iloc[0]), v, m, u, c)
+
+    return own.groupBy("g", "run", "block").cogroup(others.groupBy("g2", "run2", "block2")).applyInPandas(run, schema)
 
 
 def median_distances(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """The median squared difference between two rows, of all pairs that differ, for each column (1 if none do).
 
-    Pairs are never formed to be counted: with the values in order, the pairs at most t apart are sums of running counts at
-    v + t. Each pass counts for several t and keeps the bracket that holds the median, for all columns at once; the few pairs
-    of values left in it are listed. The driver gets counts, and at the end one row for each difference in the bracket."""
+    Pairs are never formed to be counted: values are sorted in runs, and the pairs at most t apart are found by a binary search
+    for v + t. The ends of the runs tell which runs v + t may lie in, and bound the median from both sides; each pass counts for
+    several t and keeps the bracket that holds the median, for all columns at once; the few pairs of values left in it are
+    listed. The driver gets the ends of runs, counts, and at the end one row for each difference in the bracket."""
     cols = list(columns)
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("part"), q(c).cast("double").alias("v")) for i, c in enumerate(cols)])).alias("r")).select("r.*")
-    values = rows.where("v IS NOT NULL").groupBy("part", "v").agg(F.count("*").alias("m"))
-    values = cut_lineage(running(values, ["part", "v"], {"upto": F.col("m"), "kinds": F.lit(1)}, inclusive=True))
+    values = cut_lineage(rows.where("v IS NOT NULL").groupBy("part", "v").agg(F.count("*").alias("m")))
     sums = {r["part"]: r for r in values.groupBy("part").agg(F.sum("m").alias("n"), F.sum(F.col("m").cast("decimal(38,0)") * F.col("m")).alias("s"),
                                                              F.count("*").alias("k"), F.min("v").alias("a"), F.max("v").alias("b")).collect()}
-    out = {c: 1.0 for c in cols}
-    at, want = {}, {}
+    out, want = {c: 1.0 for c in cols}, {}
     for i, r in sums.items():
         pairs = (int(r["n"]) ** 2 - int(r["s"])) // 2
         if pairs:
-            at[i], want[i] = (0.0, (r["b"] - r["a"]) * (1 + 1e-12), 0, r["k"] * (r["k"] - 1) // 2), ((pairs - 1) // 2, pairs // 2)
-
-    def probed(thresholds: dict[int, list[float]]) -> DataFrame:
-        """Rows (part, v, m, i, below, seen) for each value and threshold: rows, and different values, up to v + threshold."""
-        ts = F.lit(None).cast("array<double>")
-        for i, t in thresholds.items():
-            ts = F.when(F.col("part") == i, F.array(*[F.lit(float(x)) for x in t])).otherwise(ts)
-        probes = values.where(F.col("part").isin(list(thresholds))).select("part", "v", "m", "upto", "kinds", F.posexplode(ts).alias("i", "t"))
-        both = values.select("part", F.col("v").alias("x"), F.lit(1).alias("tag"), F.col("m").alias("w"), F.lit(1).alias("one"), *[F.lit(None).cast(t).alias(c) for c, t in (("v", "double"), ("m", "bigint"), ("upto", "bigint"), ("kinds", "bigint"), ("i", "int"))])
-        both = both.unionByName(probes.select("part", (F.col("v") + F.col("t")).alias("x"), F.lit(2).alias("tag"), F.lit(0).cast("bigint").alias("w"), F.lit(0).alias("one"), "v", "m", "upto", "kinds", "i"))
-        return running(both, ["part", "x", "tag"], {"below": F.col("w"), "seen": F.col("one")}).where("tag = 2")
-
-    todo = {i for i in at if at[i][3] > LISTED}
-    while todo:
-        grid = {i: np.linspace(at[i][0], at[i][1], PROBES + 2)[1:-1].tolist() for i in todo}
-        got = probed(grid).groupBy("part", "i").agg(F.sum(F.col("m").cast("decimal(38,0)") * (F.col("below") - F.col("upto"))).alias("c"), F.sum(F.col("seen") - F.col("kinds")).alias("k")).collect()
-        counts = {(r["part"], r["i"]): (int(r["c"]), int(r["k"])) for r in got}
-        for i in list(todo):
-            lo, hi, below, inside = at[i]
-            points = [(lo, below, None), *[(t, *counts[i, j]) for j, t in enumerate(grid[i])], (hi, None, None)]
-            first = max(j for j, p in enumerate(points[:-1]) if p[1] <= want[i][0])
-            last = min((j for j, p in enumerate(points) if j > first and p[1] is not None and p[1] > want[i][1]), default=len(points) - 1)
-            kinds_lo, kinds_hi = points[first][2], points[last][2]
-            known = kinds_lo is not None and kinds_hi is not None
-            left = kinds_hi - kinds_lo if known else inside
-            narrower = points[last][0] - points[first][0] < 0.9 * (hi - lo) and points[last][0] > points[first][0]
-            at[i] = points[first][0], points[last][0], points[first][1], left
-            if left <= LISTED and known or not narrower or (hi - lo) <= 4e-16 * max(abs(sums[i]["a"]), abs(sums[i]["b"])):
-                todo.discard(i)
-    if at:
-        ends = probed({i: [at[i][0], at[i][1]] for i in at}).groupBy("part", "v", "m").pivot("i", [0, 1]).agg(F.first("seen")).withColumnsRenamed({"0": "a", "1": "b"})
-        other = values.select((F.col("kinds") - 1).alias("j"), F.col("v").alias("u"), F.col("m").alias("c"))
-        near = ends.where("b > a").select("part", "v", "m", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("j")).join(other, "j")
-        gap = F.col("u") - F.col("v")
-        listed: dict[int, list] = {i: [] for i in at}
-        for r in near.where(gap > 0).groupBy("part", (gap * gap).alias("d")).agg(F.sum(F.col("m").cast("decimal(38,0)") * F.col("c")).alias("c")).orderBy("part", "d").collect():
-            listed[r["part"]].append((r["d"], int(r["c"])))
-        for i, found in listed.items():
-            picks, seen = [], at[i][2]
-            for d, c in found:
-                picks += [d for w in want[i] if seen <= w < seen + c]
-                seen += c
-            out[cols[i]] = float(np.mean(picks)) if picks else 1.0
+            want[i] = sorted({(pairs - 1) // 2, pairs // 2})
+    if not want:
+        return out
+    runs = _runs(values.where(F.col("part").isin(list(want))), {i: sums[i]["k"] for i in want})
+    found = runs.select("part", "run", "lo", "hi", "n", "k").toPandas().sort_values(["part", "run"])
+    ends = {i: f.reset_index(drop=True) for i, f in found.groupby("part")}
+    # runs are numbered anew, as a cut may have no values
+    runs = runs.join(F.broadcast(rows_frame(df.sparkSession, [(i, int(r), at) for i, f in ends.items() for at, r in enumerate(f["run"])], "part int, run int, at int")), ["part", "run"]).drop("run").withColumnRenamed("at", "run")
+    # by column: threshold -> pairs of rows, and of values, at most so far apart
+    known = {i: {0.0: (0, 0), (sums[i]["b"] - sums[i]["a"]) * (1 + 1e-12): ((int(sums[i]["n"]) ** 2 - int(sums[i]["s"])) // 2, sums[i]["k"] * (sums[i]["k"] - 1) // 2)} for i in want}
+
+    def bracket(i: int, rank: int) -> tuple[float, float]:
+        return max(t for t, c in known[i].items() if c[0] <= rank), min(t for t, c in known[i].items() if c[0] > rank)
+
+    def count(asked: list[tuple[int, list[float]]]) -> None:
+        """Adds to ``known`` the counts for thresholds of columns."""
+        beside = [(i, *_beside(ends[i], ts[0], ts[-1])) for i, ts in asked]
+
+        def counted(g, v, m, u, c):
+            upto = np.concatenate([[0], np.cumsum(c)])
+            at = [np.searchsorted(u, v + t, "right") for t in asked[g][1]]
+            # high and low halves, so that no product is too large
+            pairs = [upto[a] for a in at]
+            return pd.DataFrame({"g": g, "j": range(len(at)), "high": [int(m @ (p >> 31)) for p in pairs], "low": [int(m @ (p & 0x7FFFFFFF)) for p in pairs], "k": [int(a.sum()) for a in at]})
+
+        total = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("high", "low", "k")]
+        got = {(r["g"], r["j"]): ((int(r["high"]) << 31) + int(r["low"]), int(r["k"])) for r in _compared(runs, beside, counted, "g int, j int, high bigint, low bigint, k bigint").groupBy("g", "j").agg(*total).collect()}
+        for g, (i, ts) in enumerate(asked):
+            n, k = ([int(x) for x in ends[i][c]] for c in "nk")
+            below = [(0, 0), *accumulate(zip(n, k), lambda s, x: (s[0] + x[0], s[1] + x[1]))]
+            whole = [sum(own[r] * below[a][part] for r, a in enumerate(beside[g][1])) for part, own in enumerate((n, k))]
+            # every value with those up to itself, which are no pairs
+            self_n, self_k = (int(sums[i]["n"]) ** 2 + int(sums[i]["s"])) // 2, sums[i]["k"] * (sums[i]["k"] + 1) // 2
+            for j, t in enumerate(ts):
+                more = got.get((g, j), (0, 0))
+                known[i][t] = (whole[0] + more[0] - self_n, whole[1] + more[1] - self_k)
+
+    first = True
+    while True:
+        asked = []
+        for i, ranks in want.items():
+            for low, high in dict.fromkeys(bracket(i, r) for r in ranks):
+                fine = (high - low) > 4e-16 * max(abs(sums[i]["a"]), abs(sums[i]["b"]))
+                if known[i][high][1] - known[i][low][1] <= LISTED or not fine:
+                    continue
+                if first:
+                    a, b = _gap_bounds(ends[i], ranks)
+                    ts = np.linspace(max(a, low), min(b, high), PROBES + 2)
+                else:
+                    ts = np.linspace(low, high, PROBES + 2)
+                ts = [t for t in np.unique(ts).tolist() if low < t < high]
+                a, b = _beside(ends[i], ts[0], ts[-1]) if ts else (np.zeros(0), np.zeros(0))
+                if (b - a + 1).clip(0).sum() <= 8 * len(a):
+                    asked += [(i, ts)] if ts else []
+                else:  # values come to lie in many runs: few thresholds, each with the two runs or so where it leads
+                    asked += [(i, [t]) for t in ts[::max(1, len(ts) // 7)]]
+        first = False
+        if not asked:
+            break
+        count(asked)
+
+    last = [(i, *b) for i, ranks in want.items() for b in dict.fromkeys(bracket(i, r) for r in ranks)]
+
+    def listed(g, v, m, u, c):
+        _, low, high = last[g]
+        a, b = np.searchsorted(u, v + low, "right"), np.searchsorted(u, v + high, "right")
+        size = b - a
+        j = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - a, size)
+        gap = u[j] - np.repeat(v, size)
+        ok = gap > 0
+        return pd.DataFrame({"g": g, "d": (gap * gap)[ok], "m": np.repeat(m, size)[ok], "c": c[j][ok]})
+
+    near = _compared(runs, [(i, *_beside(ends[i], low, high)) for i, low, high in last], listed, "g int, d double, m bigint, c bigint")
+    at: dict[int, list] = {g: [] for g in range(len(last))}
+    for r in near.groupBy("g", "d").agg(F.sum(F.col("m").cast("decimal(38,0)") * F.col("c")).alias("c")).orderBy("g", "d").collect():
+        at[r["g"]].append((r["d"], int(r["c"])))
+    picks: dict[int, dict[int, float]] = {i: {} for i in want}
+    for g, (i, low, high) in enumerate(last):
+        seen = known[i][low][0]
+        for d, c in at[g]:
+            picks[i].update({r: d for r in want[i] if seen <= r < seen + c})
+            seen += c
+    for i, got in picks.items():
+        out[cols[i]] = float(np.mean(list(got.values()))) if got else 1.0
     return out
 
 

@@ -224,3 +224,24 @@ def test_median_distances_equal_all_pairs(spark, monkeypatch, listed):
         d = (pdf[c].to_numpy()[:, None] - pdf[c].to_numpy()[None]) ** 2
         assert np.isclose(got[c], np.median(d[d > 0]), rtol=1e-12), c
     assert got["d"] == 1.0
+
+
+def test_median_distances_by_runs(spark, monkeypatch):
+    """Many small runs, a crowd of values far from the others, and middle pairs of two differences; a pass meets few runs."""
+    for name, n in (("LISTED", 60), ("RUN", 16), ("BESIDE", 2), ("PROBES", 10)):
+        monkeypatch.setattr(A, name, n)
+    met, plain = [], A._compared
+
+    def watched(runs, asked, *rest):
+        met.append((sum(int((b - a + 1).clip(0).sum()) for _, a, b in asked), sum(len(a) for _, a, _ in asked)))
+        return plain(runs, asked, *rest)
+
+    monkeypatch.setattr(A, "_compared", watched)
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.normal(size=900), "b": np.concatenate([rng.normal(size=450) * 1e-9, rng.exponential(size=450) * 1e3]),
+                        "c": rng.integers(0, 300, 900) / 7.0, "e": np.repeat([0.0, 1.0, 11.0], [896, 2, 2])})
+    got = A.median_distances(spark.createDataFrame(pdf), list("abce"))
+    for c in "abce":
+        d = (pdf[c].to_numpy()[:, None] - pdf[c].to_numpy()[None]) ** 2
+        assert np.isclose(got[c], np.median(d[d > 0]), rtol=1e-12), c
+    assert all(pairs <= 8 * runs for pairs, runs in met[:-1])
