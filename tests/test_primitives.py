@@ -198,3 +198,20 @@ def test_costly_gram_equals_plain_sums(spark):
         assert plain[k].n == costly[k].n
         np.testing.assert_allclose(plain[k].mean, costly[k].mean)
         np.testing.assert_allclose(plain[k].centred(), costly[k].centred(), atol=1e-12)
+
+
+def test_many_ranks_take_few_scans(spark, monkeypatch):
+    """Hundreds of ranks, hot values, both infinities and NaN: each scan counts for all of them, not one expression for each."""
+    wide, plain = [], quantiles.agg_dict
+    monkeypatch.setattr(quantiles, "agg_dict", lambda df, exprs: wide.append(len(exprs)) or plain(df, exprs))
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=3000), np.full(700, 0.5), np.repeat([np.inf, -np.inf, -0.0], [120, 90, 80])])
+    df = spark.createDataFrame(pd.DataFrame({"v": v, "w": rng.exponential(size=len(v)) ** 9, "s": np.r_[np.arange(30.0), np.full(len(v) - 30, np.nan)]}))
+    cols = {"v": F.col("v"), "w": F.col("w"), "s": F.when(~F.isnan("s"), F.col("s")), "n": F.when(F.col("s") < 0, 0.0).otherwise(F.when(F.col("v") > 0, F.lit(float("nan"))).otherwise(F.col("v")))}
+    sizes, got = quantiles.order_stats(df, cols, lambda n: set(range(0, n, 7)) | {n - 1}, exact_rows=10)
+    pdf = df.toPandas()
+    want = {"v": pdf.v, "w": pdf.w, "s": pdf.s.dropna(), "n": pdf.v.where(~(pdf.v > 0))}
+    for c, x in want.items():
+        x = np.sort(x.to_numpy())
+        assert sizes[c] == len(x) and np.array_equal([got[c][r] for r in sorted(got[c])], x[sorted(got[c])], equal_nan=True), c
+    assert max(wide) <= len(cols)
