@@ -245,3 +245,11 @@ def test_median_distances_by_runs(spark, monkeypatch):
         d = (pdf[c].to_numpy()[:, None] - pdf[c].to_numpy()[None]) ** 2
         assert np.isclose(got[c], np.median(d[d > 0]), rtol=1e-12), c
     assert all(pairs <= 8 * runs for pairs, runs in met[:-1])
+
+
+def test_a_cell_returns_only_what_lies_within_the_limit():
+    """A query that knows k points from its own cell takes nearer ones, and those as near, from other cells, and no others."""
+    px = np.arange(20.0)[:, None]
+    ids = np.array([bytes([i]) for i in range(20)], object)
+    got = neighbors._search(np.array([[0.0], [-3.0], [5.0]]), px, ids, np.ones(20, np.int64), 4, [None, None, ids[5]], "euclid", np.array([2.0, 1.0, np.inf]))
+    assert got[0] == [[ids[0], ids[1], ids[2]], [], [ids[4], ids[6], ids[3], ids[7]]]
