@@ -116,6 +116,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / (wa.sum() + wb.sum() - low))
 
 
+def _weighted(found: tuple[np.ndarray, np.ndarray], idf) -> tuple[np.ndarray, np.ndarray]:
+    return found[0], weights(*found, idf.value)
+
+
+def _alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf, threshold: float) -> float | None:
+    found = similarity(a, b, idf.value)
+    return found if found >= threshold else None
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << DF_BITS, np.int64)
     for batch in batches:
@@ -188,7 +197,8 @@ def find(texts: DataFrame, *, threshold: float = THRESHOLD) -> Found:
 
     In each bucket of a band every text is compared with the bucket's least one. Buckets that then still hold more than one
     component are compared in tiles: bitmaps of the shingles of full weight bound the weighted similarity from above, and pairs
-    that they do not rule out are verified on whole texts. So every pair of a bucket is in one component, verified, or ruled out
+    that they do not rule out are verified on whole texts: each text names a few, and where that leaves some out, whole texts
+    go to the tiles, which give back the links that join two components. So every pair of a bucket is in one component, verified, or ruled out
     by a bound. Pairs of one component are never all formed."""
     spark = texts.sparkSession
     small_batches(spark)
@@ -200,7 +210,8 @@ def find(texts: DataFrame, *, threshold: float = THRESHOLD) -> Found:
     shared = stored(rows.join(least, "bucket").withColumn("short", F.lit(True)), "shared")
     wanted = shared.select(F.col("id").alias("node")).distinct()
     held = stored(texts.join(bounded(stored(wanted, "wanted")), "node", "left_semi"), "texts")
-    links, roots = tiles.linked(shared, sketches.select("id", "size", "bits"), lambda pairs: _check(pairs, held, idf, threshold), threshold)
+    sets = tiles.Sets(shingles, partial(_weighted, idf=idf), partial(_alike, idf=idf, threshold=threshold))
+    links, roots = tiles.linked(shared, sketches.select("id", "size", "bits"), held.select(F.col("node").alias("id"), "text"), sets, lambda pairs: _check(pairs, held, idf, threshold), threshold)
     return Found(links, roots.withColumnRenamed("id", "node"))
 
 
@@ -208,7 +219,7 @@ def classes(df: DataFrame, *, key: str = "doc_id", text: str = "text", threshold
     """One row for each row of ``df``: key, class_id (the least key of its class), class_size (rows), n_links and kept.
 
     Equal texts are one node, so exact copies share a class whatever their number; n_links counts the verified links of the
-    text to other texts. ``kept`` marks the rows with the least key and, of those, the least text digest. Texts without a
+    text to other texts, of which a large class has only as many as join it. ``kept`` marks the rows with the least key and, of those, the least text digest. Texts without a
     word, and nulls, are alike to nothing: each row is its own class and is kept. Null keys sort after all others. Repeated
     rows get the same answer each; other columns are not read."""
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn(

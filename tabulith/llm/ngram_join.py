@@ -150,6 +150,16 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             at += len(keys)
 
 
+def _unweighted(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return found, np.ones(len(found))
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> float | None:
+    both = overlap(a, b)
+    union = len(a) + len(b) - both
+    return both / union if 100 * both >= percent * union else None
+
+
 def _settled(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, ta, tb = (batch.column(k).to_pylist() for k in range(4))
@@ -218,7 +228,8 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int =
     held = stored(held.mapInArrow(signed, "id bigint, size double, bits binary, text string"), "held")
     if held.count() > need.count():  # rows that stand in the table more than once, key and text
         held = stored(held.dropDuplicates(["id"]), "held")
-    links, roots = tiles.linked(shared, held.select("id", "size", "bits"), lambda pairs: check(pairs, held.select("id", "text"), words, percent), percent / 100)
+    sets = tiles.Sets(partial(shingles, words=words), _unweighted, partial(_alike, percent=percent))
+    links, roots = tiles.linked(shared, held.select("id", "size", "bits"), held.select("id", "text"), sets, lambda pairs: check(pairs, held.select("id", "text"), words, percent), percent / 100)
     ids = reps.join(roots, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root"))
     return Joined(links, ids, sketches.select("row", "key", "node", "n"))
 

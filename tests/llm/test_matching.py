@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 
 import corpus_pipeline
-from tabulith.llm import decontaminate, near_duplicates
+from tabulith.llm import decontaminate, near_duplicates, tiles
 from tabulith.llm.components import components
 from tests.llm.conftest import EDGE, prose
 
@@ -273,3 +273,29 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, n_chars bigint").write.parquet(f"{tmp_path}/b/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
+
+
+def test_rows_made_by_tiles_grow_with_texts_not_with_pairs(spark, monkeypatch):
+    """240 texts share a passage: too unlike for a link, and 40 of them have a near copy; bitmaps rule few pairs out."""
+    texts = [" ".join((prose(9_000, 260) + " " + prose(8_100 + i, 30 if i % 2 else 42)).split()) for i in range(240)]
+    texts += [" ".join(t.split()[:-20] + prose(8_500 + i, 20).split()) for i, t in enumerate(texts[:40])]
+    texts += [prose(30_000 + i, 12) for i in range(2_700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    made, old = {}, tiles.stored
+
+    def counted(rows, label):
+        out = old(rows, label)
+        made[label] = max(out.count(), made.get(label, 0))
+        return out
+    monkeypatch.setattr(tiles, "stored", counted)
+    for few, block, weight in ((tiles.FEW, tiles.BLOCK, tiles.WEIGHT), (0, 64, 20_000)):  # the second leaves all to the tiles with whole sets
+        monkeypatch.setattr(tiles, "FEW", few)
+        monkeypatch.setattr(tiles, "BLOCK", block)
+        monkeypatch.setattr(tiles, "WEIGHT", weight)
+        made.clear()
+        got = {r.doc_id: r.class_id for r in near_duplicates.classes(df).collect()}
+        assert made["near"] <= (2 * few + 1) * made["open"] and made["joining"] <= made["ids"]
+        sets = near_duplicates.shingles(texts[:280])
+        idf = near_duplicates.idf_table(df.selectExpr("unhex(md5(text)) AS node", "text"))
+        links = [(i, j) for i in range(280) for j in range(i) if near_duplicates.similarity(sets[i], sets[j], idf) >= near_duplicates.THRESHOLD]
+        assert len(links) > 100 and [got[i] for i in range(280)] == groups(280, links)
