@@ -41,11 +41,16 @@ SHORT = 8
 #: words of a run by which texts and items meet exactly; shorter items meet as a whole
 RUN = 3
 
+#: rows of numbers that are gathered at a time: what fits a processor's cache
+GATHERED = 2_048
+
 _TOKEN = re.compile(r"[^\W_]+")
+_PARTS = {c: " " for c in range(128) if not chr(c).isalnum()}
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    text = text.lower()
+    return text.translate(_PARTS).split() if text.isascii() else _TOKEN.findall(text)
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -153,13 +158,28 @@ def _halves(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first[:-1], counts) + inside // HALF, first
 
 
-def _summed(table: np.ndarray, ids: np.ndarray, weight: np.ndarray, half: np.ndarray, halves: int) -> np.ndarray:
-    """For each half passage the sum of the rows of ``table`` of its words, times their weights; ids and halves rise together."""
+def _sums(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of the ``rows`` of ``table`` of each group, some whole groups at a time; groups begin at ``starts``."""
+    out = np.empty((len(starts), table.shape[1]), table.dtype)
+    ends = np.append(starts[1:], len(rows))
+    g = 0
+    while g < len(starts):
+        h = max(g + 1, int(np.searchsorted(ends, starts[g] + GATHERED, "right")))
+        for i in range(starts[g], ends[h - 1], 32 * GATHERED):  # a group may be large
+            part = table.take(rows[i:min(i + 32 * GATHERED, ends[h - 1])], axis=0)
+            if i == starts[g]:
+                np.add.reduceat(part, starts[g:h] - i, axis=0, out=out[g:h]) if h > g + 1 else part.sum(axis=0, out=out[g])
+            else:
+                out[g] += part.sum(axis=0)
+        g = h
+    return out
+
+
+def _summed(table: np.ndarray, ids: np.ndarray, half: np.ndarray, halves: int) -> np.ndarray:
+    """For each half passage the sum of the rows of ``table`` of its words; halves rise."""
     out = np.zeros((halves, table.shape[1]), np.float32)
     starts = np.flatnonzero(np.diff(half, prepend=-1))
-    for i in range(0, len(starts), 2048):  # bounds the gathered rows
-        a, b = starts[i], starts[i + 2048] if i + 2048 < len(starts) else len(ids)
-        out[half[starts[i:i + 2048]]] = np.add.reduceat(table[ids[a:b]] * weight[a:b, None], starts[i:i + 2048] - a, axis=0)
+    out[half[starts]] = _sums(table, ids, starts)
     return out
 
 
@@ -172,6 +192,7 @@ def _products(batches: Iterator[pa.RecordBatch], idf, columns: int) -> Iterator[
     """A task's part of A^T A times the test matrix: a row for each word, summed over half passages of unit length."""
     weights = idf.value.astype(np.float32)
     test, total = _test_matrix(len(weights) - 1, columns), None
+    weighted = test * weights[:-1, None]
     for _, ids, counts in _slices(batches):
         half, first = _halves(counts)
         hit = np.flatnonzero(ids >= 0)
@@ -179,16 +200,14 @@ def _products(batches: Iterator[pa.RecordBatch], idf, columns: int) -> Iterator[
         if not len(hit):
             continue
         ids, half = ids[hit], half[hit]
-        w = weights[ids]
-        w = w / np.sqrt(np.bincount(half, weights=w.astype(np.float64) ** 2, minlength=first[-1]))[half].astype(np.float32)
-        b = _summed(test, ids, w, half, int(first[-1]))
+        square = np.bincount(half, weights=weights[ids].astype(np.float64) ** 2, minlength=first[-1])
+        # both factors of A^T A are of unit length
+        b = _summed(weighted, ids, half, int(first[-1])) / np.maximum(square, 1e-30)[:, None].astype(np.float32)
         order = np.argsort(ids, kind="stable")
-        ids, half, w = ids[order], half[order], w[order]
+        ids, half = ids[order], half[order]
         total = np.zeros(test.shape, np.float32) if total is None else total
         starts = np.flatnonzero(np.diff(ids, prepend=-1))
-        for i in range(0, len(starts), 1024):
-            lo, hi = starts[i], starts[i + 1024] if i + 1024 < len(starts) else len(ids)
-            total[ids[starts[i:i + 1024]]] += np.add.reduceat(b[half[lo:hi]] * w[lo:hi, None], starts[i:i + 1024] - lo, axis=0)
+        total[ids[starts]] += _sums(b, half, starts) * weights[ids[starts], None]
     if total is not None:
         at = np.flatnonzero(total.any(axis=1))
         for i in range(0, len(at), 2_000):
@@ -368,31 +387,46 @@ def _near(s: Space, ids: np.ndarray, counts: np.ndarray, half: np.ndarray, owner
     if not len(hit) or not len(s.owners):
         return
     n = int(first_half[-1])
-    z = np.vstack([_summed(s.vectors, ids[hit], np.ones(len(hit), np.float32), half[hit], n), np.zeros((1, s.vectors.shape[1]), np.float32)])
+    z = np.vstack([_summed(s.vectors, ids[hit], half[hit], n), np.zeros((1, s.vectors.shape[1]), np.float32)])
     same = np.append(owner[1:] == owner[:-1], False)
     window = z[:-1] + np.where(same[:, None], z[1:], np.float32(0))
     size = np.sqrt((window ** 2).sum(axis=1))
     full = np.flatnonzero(size > 1e-9)
-    starts, present = np.cumsum(counts) - counts, np.zeros(len(s.idf), bool)
+    starts, length = np.cumsum(counts) - counts, np.fromiter(map(len, s.words), np.int64, len(s.words))
+    begin, all_words = np.cumsum(length) - length, np.concatenate(s.words)
+    step = max(1, min(1024, MOST_WEIGHTS // len(s.idf), 1_000_000 // int(s.reach.max() + HALF)))
+    few = max(1, 1_000_000 // int(length.max()))
     for i in range(0, len(full), 4096):
         some = full[i:i + 4096]
         cosine = (window[some] @ s.latent) / size[some, None]
         rows, passages = np.nonzero(cosine >= COSINE)
+        pairs = np.unique(rows * len(s.items) + s.owners[passages])
+        rows, items = pairs // len(s.items), pairs % len(s.items)
         cuts = np.flatnonzero(np.diff(rows, prepend=-1))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)]):
-            h = int(some[rows[a]])
-            t = int(owner[h])
-            at = h - int(first_half[t])
-            items = np.unique(s.owners[passages[a:b]])
-            reach = int(s.reach[items].max())
-            region = ids[starts[t] + max(0, at * HALF - reach):starts[t] + min(int(counts[t]), (at + 2) * HALF + reach)]
-            region = region[region >= 0]
-            present[region] = True
-            words = [s.words[k] for k in items]
-            there = np.add.reduceat(present[np.concatenate(words)], np.cumsum([0, *map(len, words[:-1])]), dtype=np.int64)
-            present[region] = False
-            for k in items[there >= s.least[items]].tolist():
-                met.setdefault((t, k), set()).add(at)
+        for c in range(0, len(cuts), step):  # windows at a time; of each, the words that are around it
+            cut = cuts[c:c + step]
+            last = cuts[c + step] if c + step < len(cuts) else len(rows)
+            h, item = some[rows[cut]], items[cut[0]:last]
+            t = owner[h]
+            at = h - first_half[t]
+            reach = np.maximum.reduceat(s.reach[item], cut - cut[0])
+            low = starts[t] + np.maximum(0, at * HALF - reach)
+            around, window_of = _ranges(low, starts[t] + np.minimum(counts[t], (at + 2) * HALF + reach) - low)
+            present = np.zeros((len(cut), len(s.idf)), bool)
+            present[window_of, ids[around]] = True  # words that the benchmark lacks are the last column
+            of = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, last)))
+            for k in range(0, len(item), few):
+                some_items = item[k:k + few]
+                word, pair = _ranges(begin[some_items], length[some_items])
+                there = np.bincount(pair[present[of[k:k + few][pair], all_words[word]]], minlength=len(some_items))
+                for p in (k + np.flatnonzero(there >= s.least[some_items])).tolist():
+                    met.setdefault((int(t[of[p]]), int(item[p])), set()).add(int(at[of[p]]))
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from each start on, as many as its count, one range after another; and the range of each."""
+    of = np.repeat(np.arange(len(starts)), counts)
+    return np.arange(len(of)) + np.repeat(starts - (np.cumsum(counts) - counts), counts), of
 
 
 def _shared(runs: Runs, s: Space, ids: np.ndarray, half: np.ndarray, owner: np.ndarray, first_half: np.ndarray, met: dict[tuple[int, int], set[int]]) -> None:

@@ -299,3 +299,46 @@ def test_rows_made_by_tiles_grow_with_texts_not_with_pairs(spark, monkeypatch):
         idf = near_duplicates.idf_table(df.selectExpr("unhex(md5(text)) AS node", "text"))
         links = [(i, j) for i in range(280) for j in range(i) if near_duplicates.similarity(sets[i], sets[j], idf) >= near_duplicates.THRESHOLD]
         assert len(links) > 100 and [got[i] for i in range(280)] == groups(280, links)
+
+
+def test_search_of_passages_takes_them_together(monkeypatch):
+    """Steps of the search grow with blocks of passages, not with passages; sums of groups and words equal the plain way."""
+    r = np.random.default_rng(6)
+    table, rows = r.integers(-9, 9, (50, 7)).astype(np.float32), r.integers(0, 50, 9_000)
+    for most in (3, 700, 2_048):
+        monkeypatch.setattr(decontaminate, "GATHERED", most)
+        for starts in (np.array([0]), np.unique(np.append(0, r.integers(0, 9_000, 40))), np.arange(9_000)):
+            want = [table[rows[a:b]].sum(axis=0) for a, b in zip(starts, [*starts[1:], 9_000])]
+            assert (decontaminate._sums(table, rows, starts) == want).all()
+    for text in ("It's a_b 9x-Z\x1c\x00y\n(ok).", "Élan a_b İx ß2", "", "___"):
+        assert decontaminate.tokens(text) == decontaminate._TOKEN.findall(text.lower())
+    words = [list(map(int, r.integers(0, 40, 30))) for _ in range(20)]
+    items = [decontaminate.Item(i, w, w[-8:]) for i, w in enumerate(words)]
+    vectors = r.normal(size=(40, 4)).astype(np.float32)
+    latent = np.asarray([vectors[w].sum(axis=0) for w in words])
+    latent /= np.sqrt((latent ** 2).sum(axis=1, keepdims=True))
+    space = decontaminate.Space(np.ones(41), items, np.ones(20, np.int64), [np.asarray(w) for w in words], np.full(20, 32), np.full(20, 18 - 1e-9),
+                                vectors, np.arange(20), np.ascontiguousarray(latent.T.astype(np.float32)), [])
+    counts = np.asarray([0, 10, 40, 3_000, 64, 5_000])
+    ids = r.integers(-30, 40, counts.sum()).clip(-1)
+    half, first = decontaminate._halves(counts)
+    owner, calls, plain = np.repeat(np.arange(len(counts)), np.diff(first)), [], np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    met = {}
+    decontaminate._near(space, ids, counts, half, owner, first, met)
+    monkeypatch.undo()
+    want = {}
+    starts = np.cumsum(counts) - counts
+    for t, n in enumerate(counts):
+        own = ids[starts[t]:starts[t] + n]
+        for at in range(int(first[t + 1] - first[t])):
+            window = own[at * 32:at * 32 + 64]
+            v = vectors[window[window >= 0]].sum(axis=0) if (window >= 0).any() else np.zeros(4)
+            if not v.any():
+                continue
+            near = np.flatnonzero(latent @ v / np.sqrt((v ** 2).sum()) >= decontaminate.COSINE)
+            region = set(own[max(0, at * 32 - 32):at * 32 + 96].tolist()) - {-1}
+            for k in near.tolist():
+                if sum(w in region for w in words[k]) >= 18:
+                    want.setdefault((t, k), set()).add(at)
+    assert met == want and len(met) > 20 and len(calls) <= 5
