@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,51 @@ def bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SENT_ROWS else ids
 
 
+#: places of a sieve of values (8 MB), and those that travel together
+SIEVE, SIEVE_PART = 1 << 26, 1 << 20
+
+
+def _sieve_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(SIEVE // 8, np.uint8)
+    for batch in batches:
+        at = batch.column(0).to_numpy() & (SIEVE - 1)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    for i, part in enumerate(bits.reshape(-1, SIEVE_PART // 8)):
+        if part.any():
+            yield pa.RecordBatch.from_pydict({"part": [i], "bits": [part.tobytes()]})
+
+
+def _sieve_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            whole[i] = whole.get(i, np.uint8(0)) | np.frombuffer(bits, np.uint8)
+    yield pa.RecordBatch.from_pydict({"part": pa.array(list(whole), pa.int64()), "bits": pa.array([w.tobytes() for w in whole.values()], pa.binary())})
+
+
+def among(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is among ``values`` (one stored column), and perhaps a few others.
+
+    Few values are sent to all tasks; of many only a bit each, by hash, so that rows need not be shuffled to be left out."""
+    name = values.columns[0]
+    if values.count() <= SENT_ROWS:
+        (value,) = fresh(rows, "value")
+        one = values.distinct().withColumnRenamed(name, value)
+        return rows.join(F.broadcast(one), F.col(column) == F.col(value), "left_semi")
+    parts = values.select(F.xxhash64(name).alias("h")).mapInArrow(_sieve_parts, "part bigint, bits binary")
+    bits = np.zeros(SIEVE // 8, np.uint8)
+    for r in parts.repartition("part").mapInArrow(_sieve_joined, "part bigint, bits binary").collect():
+        bits[r["part"] * SIEVE_PART // 8:(r["part"] + 1) * SIEVE_PART // 8] = np.frombuffer(r["bits"], np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def there(h: pd.Series) -> pd.Series:
+        at = h.to_numpy() & (SIEVE - 1)
+        return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return rows.where(there(F.xxhash64(column)))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

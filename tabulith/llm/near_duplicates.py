@@ -186,9 +186,8 @@ class Found:
 
 def _check(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """Verified pairs. The text of ``a`` comes first, then rows are dealt by ``b``, of which a busy ``a`` has many."""
-    side = texts.select(F.col("node"), F.col("text"))
-    joined = (pairs.join(side.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-              .join(side.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b"))
+    joined = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+              .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b"))
     return joined.mapInArrow(partial(_verified, idf=idf, threshold=threshold), "a binary, b binary, similarity double")
 
 
@@ -211,7 +210,7 @@ def find(texts: DataFrame, *, threshold: float = THRESHOLD) -> Found:
     wanted = shared.select(F.col("id").alias("node")).distinct()
     held = stored(texts.join(bounded(stored(wanted, "wanted")), "node", "left_semi"), "texts")
     sets = tiles.Sets(shingles, partial(_weighted, idf=idf), partial(_alike, idf=idf, threshold=threshold))
-    links, roots = tiles.linked(shared, sketches.select("id", "size", "bits"), held.select(F.col("node").alias("id"), "text"), sets, lambda pairs: _check(pairs, held, idf, threshold), threshold)
+    links, roots = tiles.linked(shared, sketches.select("id", "size", "bits"), held.select(F.col("node").alias("id"), "text"), sets, partial(_check, idf=idf, threshold=threshold), threshold)
     return Found(links, roots.withColumnRenamed("id", "node"))
 
 

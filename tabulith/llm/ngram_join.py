@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tiles
-from .common import WordHashes, blocks, bounded, mix64, small_batches, stored
+from .common import MIX, among, blocks, bounded, mix64, small_batches, stored
 
 WORDS = 5
 #: least similarity in hundredths
@@ -27,35 +27,54 @@ HOT = 1_000_000
 _STEPS = np.random.default_rng(13).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Hashes(WordHashes):
-    """bytes -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
+_SPACES = np.zeros(256, bool)
+_SPACES[[32, *range(9, 14)]] = True
+#: the low bytes of a 64-bit word, by how many
+_LOW = np.asarray([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words one after another, eight bytes at a time, and the number of words of each text.
+
+    A-Z are lower-cased; words are parted by blanks and control characters 9 to 13."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = b" ".join(parts).lower() + b" "  # of bytes: ASCII only
+    chunks = np.frombuffer(data + bytes(16 - len(data) % 8), "<u8")
+    blank = np.flatnonzero(_SPACES[np.frombuffer(data, np.uint8)])
+    starts = np.concatenate([[0], blank[:-1] + 1])
+    left = blank - starts
+    starts, left = starts[left > 0], left[left > 0]
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    h, who = left.astype(np.uint64) * MIX, slice(None)
+    while len(starts):
+        at, shift = starts >> 3, ((starts & 7) << 3).astype(np.uint64)
+        chunk = (chunks[at] >> shift | chunks[at + 1] << np.uint64(1) << np.uint64(63) - shift) & _LOW[np.minimum(left, 8)]
+        h[who] = mix64(h[who] * MIX + chunk)
+        more = np.flatnonzero(left > 8)
+        who = more if isinstance(who, slice) else who[more]
+        starts, left = starts[more] + 8, left[more] - 8
+    return h, counts
 
 
 def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """The rising different hashes of the ``words``-word shingles of each text.
 
-    A-Z are lower-cased; words are parted by blanks and control characters 9 to 13. A text with fewer words is one shingle, one
-    without words none. Shingles are told apart by 64 bits."""
-    flat, counts = _HASHES.flat([t.encode("utf-8", "surrogatepass").lower().split() for t in texts])  # of bytes: ASCII only
-    m = max(0, len(flat) - words + 1)
-    h, mixed = np.zeros(m, np.uint64), mix64(flat)
+    A text with fewer words is one shingle, one without words none. Shingles are told apart by 64 bits."""
+    if not texts:
+        return []
+    mixed, counts = word_hashes(texts)
+    m = max(0, len(mixed) - words + 1)
+    h = np.zeros(m, np.uint64)
     for k in range(words):
         h += mixed[k:k + m] * _STEPS[k]
     h = mix64(h)
     out = []
     for e, n in zip(np.cumsum(counts).tolist(), counts.tolist()):
         if n >= words:
-            out.append(np.unique(h[e - n:e - words + 1]))
+            s = np.sort(h[e - n:e - words + 1])
+            new = s[1:] != s[:-1]
+            out.append(s if new.all() else s[np.append(True, new)])
         elif n:
             out.append(mix64((mixed[e - n:e] * _STEPS[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)))
         else:
@@ -223,13 +242,13 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int =
     shared = stored(_shared(nodes), "shared")
     wanted = shared.select("id").distinct()
     need = stored(sketches.select(F.col("row").alias("id"), F.col("digest").alias("d"), F.col("key").alias("k")).join(wanted, "id", "left_semi"), "wanted")
-    held = texts.withColumn("d2", digest(F.col("text"))).join(bounded(need), (F.col("d2") == F.col("d")) & F.col("key").eqNullSafe(F.col("k"))).select("id", "text")
+    held = among(texts.withColumn("d2", digest(F.col("text"))), "d2", need.select("d")).join(bounded(need), (F.col("d2") == F.col("d")) & F.col("key").eqNullSafe(F.col("k"))).select("id", "text")
     signed = partial(_signed, words=words)
     held = stored(held.mapInArrow(signed, "id bigint, size double, bits binary, text string"), "held")
     if held.count() > need.count():  # rows that stand in the table more than once, key and text
         held = stored(held.dropDuplicates(["id"]), "held")
     sets = tiles.Sets(partial(shingles, words=words), _unweighted, partial(_alike, percent=percent))
-    links, roots = tiles.linked(shared, held.select("id", "size", "bits"), held.select("id", "text"), sets, lambda pairs: check(pairs, held.select("id", "text"), words, percent), percent / 100)
+    links, roots = tiles.linked(shared, held.select("id", "size", "bits"), held.select("id", "text"), sets, partial(check, words=words, percent=percent), percent / 100)
     ids = reps.join(roots, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root"))
     return Joined(links, ids, sketches.select("row", "key", "node", "n"))
 

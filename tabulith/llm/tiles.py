@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import among, stored
 from .components import components
 
 #: a block of a large bucket has so many rows on average
@@ -321,8 +321,8 @@ def moved(roots: DataFrame, links: DataFrame) -> DataFrame:
     return stored(roots.join(new, "root", "left").select("id", F.coalesce("new", "root").alias("root")), "roots")
 
 
-def linked(shared: DataFrame, signatures: DataFrame, texts: DataFrame, sets: Sets, check: Callable[[DataFrame], DataFrame], threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Verified links (what ``check`` returns for pairs a, b) and roots (id, root) of all ids of ``shared``.
+def linked(shared: DataFrame, signatures: DataFrame, texts: DataFrame, sets: Sets, check: Callable[[DataFrame, DataFrame], DataFrame], threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links (what ``check`` returns for pairs a, b and their texts) and roots (id, root) of all ids of ``shared``.
 
     shared: bucket, id, short, least (the bucket's least id); a pair can be alike only if it meets in a bucket where the
     smaller of both is short. signatures: id, size, bits, where bitmaps differ in no more bits than sets differ in weight.
@@ -340,27 +340,32 @@ def linked(shared: DataFrame, signatures: DataFrame, texts: DataFrame, sets: Set
 
     def verified(pairs: DataFrame) -> DataFrame:
         likely = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "sa", "ba", "sb", "bb")
-        return stored(check(likely.mapInArrow(partial(_bounded, threshold=threshold), f"a {kind}, b {kind}")), "links")
+        likely = stored(likely.mapInArrow(partial(_bounded, threshold=threshold), f"a {kind}, b {kind}"), "likely")
+        return stored(check(likely, among(texts, "id", likely.select(F.explode(F.array("a", "b")).alias("id")))), "links")
 
     first = stored(_unseen(shared.select(F.col("least").alias("x"), F.col("id").alias("y")), []), "pairs")
     links = verified(first)
     roots = moved(stored(ids.select("id", F.col("id").alias("root")), "ids"), links)
     halved = stored(signatures.select("id", "bits").mapInArrow(_halved, f"id {kind}, bits binary"), "halved")
 
-    def tiled(of: DataFrame, some: bool, *columns: DataFrame) -> DataFrame:
+    def tiled(of: DataFrame, some: bool) -> DataFrame:
         rows = of.drop("least").join(roots, "id")
-        open_ = rows.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max("short").alias("any")).where("r != s AND any").select("bucket")
-        out = _tiled(stored(rows.join(open_, "bucket").join(signatures.select("id", "size"), "id"), "open"), threshold, some)
-        for more in columns:  # bitmaps and texts come in last, so that only one exchange moves them with each row
-            out = out.join(more, "id")
+        # of buckets that hold the same ids, as those of one shared passage do, one is enough
+        open_ = (rows.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max("short").alias("any"), F.count("*").alias("n"),
+                                            *[F.bit_xor(F.xxhash64(F.lit(k), "id", "short")).alias(f"h{k}") for k in range(2)])
+                 .where("r != s AND any").groupBy("n", "h0", "h1").agg(F.min("bucket").alias("bucket")).select("bucket"))
+        open_rows = stored(rows.join(open_, "bucket").join(signatures.select("id", "size"), "id"), "open")
+        out, open_ids = _tiled(open_rows, threshold, some), stored(open_rows.select("id").distinct(), "ids")
+        for more in (halved,) if some else (halved, texts):  # bitmaps and texts come in last, so that only one exchange moves them with each row
+            out = out.join(among(more, "id", open_ids), "id")
         return out.repartition("bucket", "band", "x", "y").sortWithinPartitions("bucket", "band", "x", "y", "id")
 
-    near = stored(tiled(shared, True, halved).mapInArrow(partial(_compare, tiles=partial(_pairs, threshold=threshold)), f"x {kind}, y {kind}, more bigint"), "near")
+    near = stored(tiled(shared, True).mapInArrow(partial(_compare, tiles=partial(_pairs, threshold=threshold)), f"x {kind}, y {kind}, more bigint"), "near")
     all_links = links.unionByName(more_links := verified(stored(_unseen(near.where("x IS NOT NULL"), [first]), "pairs")))
     roots = moved(roots, more_links)
     buckets = near.where("more IS NOT NULL").select(F.col("more").alias("bucket")).distinct()
     if buckets.head(1):
-        whole = tiled(shared.join(buckets, "bucket", "left_semi"), False, halved, texts)
+        whole = tiled(shared.join(buckets, "bucket", "left_semi"), False)
         found = whole.mapInArrow(partial(_compare, tiles=partial(_joining, threshold=threshold, sets=sets)), f"x {kind}, y {kind}, similarity double")
         last = stored(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").dropDuplicates(["a", "b"]), "joining")
         all_links, roots = all_links.unionByName(last), moved(roots, last)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulith.llm import hard_negatives, ngram_join, spelling, tiles
+from tabulith.llm import common, hard_negatives, ngram_join, spelling, tiles
 from tests.llm.conftest import EDGE, prose
 from tests.llm.test_matching import edited, groups
 
@@ -185,3 +185,41 @@ def test_bitmaps_never_differ_in_more_bits_than_sets_do():
     for a, b, d in zip(i, j, differ):
         assert d <= len(set(sets[a].tolist()) ^ set(sets[b].tolist()))
     assert differ[(i == 10) & (j == 8)][0] > 800  # sets without a common element are told apart
+
+
+def test_word_hashes_tell_words_apart():
+    texts = ["a a\x00 a\x00\x00 abcdefg abcdefgh abcdefghi", "", " \t", "x" * 50 + " " + "x" * 51 + "\vÉ é É\x85y A", "ABCDEFGHI abcdefghabcdefgh"] + [prose(i, 300) for i in range(20)]
+    h, counts = ngram_join.word_hashes(texts)
+    words = [t.encode().lower().split() for t in texts]
+    assert counts.tolist() == [len(w) for w in words]
+    flat = [w for some in words for w in some]
+    assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
+
+
+@pytest.mark.parametrize("sent", [400_000, 0])
+def test_rows_are_sifted_by_values_of_any_number(spark, monkeypatch, sent):
+    monkeypatch.setattr(common, "SENT_ROWS", sent)
+    rows = spark.range(20_000).select(F.col("id").alias("value_"), F.md5(F.col("id").cast("string")).alias("id")).repartition(4)
+    values = common.stored(rows.where("value_ % 50 = 0 OR value_ < 5").select(F.col("id").alias("v")).unionAll(rows.limit(9).select("id")), "values")
+    got = common.among(rows, "id", values)
+    assert got.columns == rows.columns
+    wanted = {r.v for r in values.collect()}
+    found = [r.id for r in got.collect()]
+    assert wanted <= set(found) and len(found) == len(set(found)) <= len(wanted) + 20
+    assert common.among(rows, "id", common.stored(values.where("false"), "none")).collect() == []
+
+
+def test_only_texts_of_likely_pairs_and_one_of_equal_buckets_go_on(spark, monkeypatch):
+    """Texts share a passage that gives them many equal buckets, and few are alike: their texts are not joined, and tiles get a bucket once."""
+    texts = [prose(5, 12) + " " + prose(100 + i, 40 + i % 3) for i in range(90)]
+    texts += [edited(texts[i], 0.01, i) for i in range(4)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    given, opened, check, plain = [], [], ngram_join.check, tiles._tiled
+    monkeypatch.setattr(ngram_join, "check", lambda pairs, texts, *a, **k: given.append((pairs.count(), texts.count())) or check(pairs, texts, *a, **k))
+    monkeypatch.setattr(tiles, "_tiled", lambda rows, *a: opened.append(rows) or plain(rows, *a))
+    got = sorted((tuple(r) for r in ngram_join.classes(df).collect()), key=str)
+    assert got == joined(list(enumerate(texts)))
+    assert given and all(n <= 2 * pairs and n < 45 for pairs, n in given)
+    for rows in opened:
+        held = [tuple(sorted(r.ids)) for r in rows.groupBy("bucket").agg(F.collect_list(F.struct("id", "short")).alias("ids")).collect()]
+        assert len(held) == len(set(held))
