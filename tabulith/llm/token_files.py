@@ -27,6 +27,8 @@ from .tokens import held
 MAGIC = 0x544F4B3149445331
 #: keys in an index file once there are over 64 files; fewer keys are spread over up to 64
 INDEX_KEYS = 200_000
+#: characters that are encoded in one call
+GATHERED = 4_000_000
 #: bytes of payload read at once
 READ_BYTES = 16 << 20
 
@@ -53,18 +55,30 @@ def _shard(path: str, number: int) -> str:
     return f"{path}/shards/{number:06d}.bin"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of some batches at a time, about GATHERED characters: what stands in many of them is looked up once."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        for some, more in blocks(batch):
+            keys, texts, size = keys + some, texts + more, size + sum(map(len, more))
+            if size >= GATHERED:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+    if texts:
+        yield keys, texts
+
+
 def _write_shard(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     tok, number = held(tokenizer), TaskContext.get().partitionId()
     end = tok.pack([end_id])
     keys, sizes = [], []
 
     def write(out) -> None:
-        for batch in batches:
-            for some, texts in blocks(batch):
-                keys.extend(some)
-                packed = tok.packed(texts)
-                sizes.extend(len(p) // tok.width + 1 for p in packed)
-                out.write(b"".join(x for p in packed for x in (p, end)))
+        for some, texts in _gathered(batches):
+            keys.extend(some)
+            packed = tok.packed(texts)
+            sizes.extend(len(p) // tok.width + 1 for p in packed)
+            out.write(b"".join(x for p in packed for x in (p, end)))
         nulls = sum(k is None for k in keys)
         total = sum(sizes)
         out.write(np.asarray([0 if k is None else k for k in keys], "<i8").tobytes())

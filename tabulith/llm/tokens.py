@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -9,6 +10,8 @@ import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: white space other than the blank and the line end
 _OTHER_SPACE = ("\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -28,6 +31,21 @@ def cut(text: str) -> list[str]:
     return [p[1:] if i and p[0] == " " else p for i, p in enumerate(_CUT.split(text))]
 
 
+def _cuts(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, list[str]]:
+    """``cut`` of all texts: the first piece of each, the number of its others, these of all texts as places in a list, and that list."""
+    lists = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+    pieces, starts = lists.values.dictionary_encode(), lists.offsets.to_numpy()
+    distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+    letters = " ".join(distinct)
+    if letters.startswith((" ", "\n ")) or letters.endswith((" ", " \n")) or "  " in letters or " \n " in letters or any(s in letters for s in _OTHER_SPACE):
+        parts = [cut(t) for t in texts]
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        pieces = pa.array([p for some in parts for p in some], pa.large_string()).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+    place = pieces.indices.to_numpy()
+    return [distinct[i] for i in place[starts[:-1]].tolist()], np.diff(starts) - 1, np.delete(place, starts[:-1]), distinct
+
+
 def check_kind(library) -> None:
     """ValueError unless texts can be cut at blanks: byte-level BPE whose own pattern splits the whole text, nothing before it."""
     kind = json.loads(library.to_str())
@@ -42,7 +60,8 @@ class PieceTokenizer:
 
     Byte-level BPE never merges across a single blank between two visible characters, so a text is cut there,
     each distinct piece is encoded once by the library, and its ids are remembered. Texts that hold an added token's
-    string or a zero byte are encoded whole. The memory is emptied at ``limit`` pieces."""
+    string or a zero byte are encoded whole. The memory is emptied at ``limit`` pieces. Of a call's texts each distinct
+    piece is looked up once, and their ids are gathered from there."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,7 +75,8 @@ class PieceTokenizer:
         self.tails: dict[str, bytes] = {}
         self.merges = self.library.model.tokenize
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary
-        self.letters = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        other = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.letters = "".join("\n" if b == 10 else other.get(b, chr(b)) for b in range(256))
         (self.separator,) = self._ids(_SEPARATOR)
         assert self._ids("a.\x00 b").count(self.separator) == 1 and self._ids("\x00" * 9) == [self.separator] * 9
 
@@ -69,10 +89,6 @@ class PieceTokenizer:
             packed.byteswap()
         return packed.tobytes()
 
-    def pieces(self, text: str) -> list[str] | None:
-        """``cut(text)``; None for a text to encode whole."""
-        return None if any(s in text for s in self.whole) else cut(text)
-
     def _encode(self, raw: list[str]) -> dict[str, bytes]:
         """Ids of pieces that neither hold nor end in white space but for the first character, in one call."""
         ids = np.asarray(self._ids(_SEPARATOR.join(raw)), dtype=f"<u{self.width}")
@@ -82,31 +98,33 @@ class PieceTokenizer:
             at = end + 1
         return out
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a blank and letters, which are one pre-token: straight from the library's merges."""
-        letters = "\u0120" + (word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters))
-        return self.pack([t.id for t in self.merges(letters)])
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that follow a blank and are letters, each one pre-token: straight from the library's merges."""
+        ids, ends = [], []
+        for letters in codecs.charmap_decode("\n".join(words).encode("utf-8"), "strict", self.letters)[0].split("\n") if words else []:
+            ids.extend([t.id for t in self.merges("\u0120" + letters)])
+            ends.append(len(ids) * self.width)
+        data = self.pack(ids)
+        return [data[s:e] for s, e in zip([0, *ends], ends)]
 
     def _learn(self, fresh: list[str]) -> None:
         """Closing punctuation after a letter or digit is a token run of its own: the word before it is looked up alone."""
-        known, tails, new, later = self.known, self.tails, set(), []
+        known, tails, words, new, later = self.known, self.tails, {}, set(), []
         for p in fresh:
             base = p.rstrip(CLOSING)
             if base.isalpha():
-                ids = known.get(base)
-                if ids is None:
-                    ids = known[base] = self._word(base)
+                if base not in known:
+                    words[base] = None
                 if len(base) < len(p):
                     tail = p[len(base):]
-                    if tail in tails:
-                        known[p] = ids + tails[tail]
-                    else:
+                    later.append((p, base, tail))
+                    if tail not in tails:
                         new.add(tail)
-                        later.append((p, base, tail))
             elif p[-1:].isspace() or not p:
                 known[p] = self.pack(self._ids(p if p[:1] == "\n" else " " + p))
             else:
                 new.add(p if p[0] == "\n" else " " + p)
+        known.update(zip(words, self._words(list(words))))
         for raw, ids in (self._encode(list(new)) if new else {}).items():
             if raw[0] == " ":
                 known[raw[1:]] = ids
@@ -117,25 +135,41 @@ class PieceTokenizer:
         for p, base, tail in later:
             known[p] = known[base] + tails[tail]
 
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of ``width`` bytes."""
+    def _values(self, distinct: list[str]) -> list[bytes]:
+        """Ids of pieces, from memory or learned."""
         if len(self.known) > self.limit:
             self.known.clear()
             self.tails.clear()
-        get, fresh, cuts, found = self.known.get, {}, [], []
-        for t in texts:
-            parts = self.pieces(t)
-            first, rest = (t, []) if parts is None else (parts[0], parts[1:])
-            values = list(map(get, rest))
-            if None in values:
-                fresh.update(dict.fromkeys(p for p, v in zip(rest, values) if v is None))
-                values = None
-            cuts.append((first, rest))
-            found.append(values)
+        values = list(map(self.known.get, distinct))
+        fresh = [p for p, v in zip(distinct, values) if v is None]
         if fresh:
-            self._learn(list(fresh))
-        heads = self.library.encode_batch_fast([c[0] for c in cuts], add_special_tokens=False)
-        return [self.pack(h.ids) + b"".join(map(get, c[1]) if v is None else v) for h, c, v in zip(heads, cuts, found)]
+            self._learn(fresh)
+            values = [self.known[p] if v is None else v for p, v in zip(distinct, values)]
+        return values
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian integers of ``width`` bytes."""
+        out: list = [None] * len(texts)
+        plain = range(len(texts))
+        if any(s in "\n".join(texts) for s in self.whole):
+            whole = [i for i, t in enumerate(texts) if any(s in t for s in self.whole)]
+            for i, h in zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+                out[i] = self.pack(h.ids)
+            plain = [i for i, v in enumerate(out) if v is None]
+        if not len(plain):
+            return out
+        heads, counts, place, distinct = _cuts([texts[i] for i in plain])
+        heads = [self.pack(h.ids) for h in self.library.encode_batch_fast(heads, add_special_tokens=False)]
+        values = self._values(distinct)
+        ids = np.frombuffer(b"".join(values), dtype=f"<u{self.width}")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.width
+        many, start = size[place], (np.cumsum(size) - size)[place]
+        ends = np.cumsum(many)
+        data = ids[np.arange(int(many.sum())) + np.repeat(start - (ends - many), many)].tobytes()
+        ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        for i, head, s, e in zip(plain, heads, ends[:-1], ends[1:]):
+            out[i] = head + data[s * self.width:e * self.width]
+        return out
 
 
 _HELD: dict[str, PieceTokenizer] = {}

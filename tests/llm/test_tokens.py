@@ -137,3 +137,29 @@ def test_batches_keep_every_token_and_the_budget(spark):
 def test_lengths_of_edge_rows(spark, edge, library):
     got = sorted((str(r.doc_id), r.n_tokens) for r in packing.token_lengths(edge, vocabulary()).collect())
     assert got == sorted((str(i), len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in EDGE)
+
+
+def test_a_piece_is_looked_up_once_for_all_texts_of_a_call(library):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    tok = PieceTokenizer(vocabulary())
+    tok.known = Counted()
+    texts = ["some words, and others. " * k + "é 日本 x" for k in range(1, 60)] + ["", "\n", "a  b", "\x00", "<|endoftext|> it"]
+    for some in (texts, texts[:59]):
+        Counted.asked = 0
+        got = [np.frombuffer(b, "<u2").tolist() for b in tok.packed(some)]
+        assert got == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+        assert Counted.asked < 40
+
+
+def test_batches_are_encoded_together():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"key": [1, None], "text": ["a" * 1_500_000, None]})
+    got = list(token_files._gathered(iter([batch] * 4 + [batch.slice(0, 0)])))
+    assert [k for keys, _ in got for k in keys] == [1, None] * 4
+    assert [len(t) for _, texts in got for t in texts] == [1_500_000, 0] * 4 and len(got) == 2
