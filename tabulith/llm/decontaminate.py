@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial
 from itertools import repeat
 
@@ -41,6 +41,8 @@ SHORT = 8
 #: words of a run by which texts and items meet exactly; shorter items meet as a whole
 RUN = 3
 
+#: bits for the words around a passage where items reach one half to either side, and bytes of all items' bits beyond which they get no more
+MARKS, MOST_MARKED = 512, 16_000_000
 #: rows of numbers that are gathered at a time: what fits a processor's cache
 GATHERED = 2_048
 
@@ -273,6 +275,10 @@ class Space:
     owners: np.ndarray  # item of each passage
     latent: np.ndarray  # directions x passages, of unit length
     runs: list[Runs]
+    marks: np.ndarray = field(init=False)  # of each item, bits of its words
+
+    def __post_init__(self):
+        self.marks = _marks(self.words, int(self.reach.max()))
 
 
 def _run_keys(ids: np.ndarray, size: int) -> np.ndarray:
@@ -394,14 +400,25 @@ def _near(s: Space, ids: np.ndarray, counts: np.ndarray, half: np.ndarray, owner
     full = np.flatnonzero(size > 1e-9)
     starts, length = np.cumsum(counts) - counts, np.fromiter(map(len, s.words), np.int64, len(s.words))
     begin, all_words = np.cumsum(length) - length, np.concatenate(s.words)
+    seen = _around(s, ids, half, owner)
+    most = max(1, 1_000_000 // s.marks.shape[1])
     step = max(1, min(1024, MOST_WEIGHTS // len(s.idf), 1_000_000 // int(s.reach.max() + HALF)))
     few = max(1, 1_000_000 // int(length.max()))
     for i in range(0, len(full), 4096):
         some = full[i:i + 4096]
         cosine = (window[some] @ s.latent) / size[some, None]
         rows, passages = np.nonzero(cosine >= COSINE)
-        pairs = np.unique(rows * len(s.items) + s.owners[passages])
+        pairs = rows * len(s.items) + s.owners[passages]
+        pairs = pairs[np.diff(pairs, prepend=-1) != 0]  # they rise, as passages follow their items
         rows, items = pairs // len(s.items), pairs % len(s.items)
+        likely = [np.zeros(0, np.int64)]
+        for k in range(0, len(rows), most):
+            item = items[k:k + most]
+            # several words share a bit: one that only the item has is a word that is not there, but not the other way
+            absent = np.bitwise_count(s.marks[item] & ~seen[some[rows[k:k + most]]]).sum(axis=1, dtype=np.int64)
+            likely.append(k + np.flatnonzero(length[item] - absent >= s.least[item]))
+        likely = np.concatenate(likely)
+        rows, items = rows[likely], items[likely]
         cuts = np.flatnonzero(np.diff(rows, prepend=-1))
         for c in range(0, len(cuts), step):  # windows at a time; of each, the words that are around it
             cut = cuts[c:c + step]
@@ -423,6 +440,41 @@ def _near(s: Space, ids: np.ndarray, counts: np.ndarray, half: np.ndarray, owner
                     met.setdefault((int(t[of[p]]), int(item[p])), set()).add(int(at[of[p]]))
 
 
+def _bits(rows: np.ndarray, words: np.ndarray, n: int, width: int) -> np.ndarray:
+    """For each row a bit for each of its words, by hash."""
+    out = np.zeros((n, width), bool)
+    out[rows, mix64(words.astype(np.uint64)).astype(np.int64) & (width - 1)] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def _marks(items: list[np.ndarray], reach: int) -> np.ndarray:
+    """Bits of the words of each item, more of them where passages reach further, as long as all have room."""
+    width = MARKS
+    while width < MARKS * -(-reach // HALF) and 2 * width * len(items) <= 8 * MOST_MARKED:
+        width *= 2
+    out = [np.zeros((0, width // 64), np.uint64)]
+    for k in range(0, len(items), GATHERED):
+        some = items[k:k + GATHERED]
+        out.append(_bits(np.repeat(np.arange(len(some)), [len(w) for w in some]), np.concatenate(some), len(some), width))
+    return np.concatenate(out)
+
+
+def _around(s: Space, ids: np.ndarray, half: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Bits of the words around each passage, from all halves of its text that any item reaches."""
+    far, n = -(-int(s.reach.max()) // HALF), len(owner)
+    hit = np.flatnonzero(ids >= 0)
+    own = np.zeros((n, s.marks.shape[1]), np.uint64)
+    for h in range(0, n, GATHERED):
+        some = hit[np.searchsorted(half[hit], h):np.searchsorted(half[hit], h + GATHERED)]
+        own[h:h + GATHERED] = _bits(half[some] - h, ids[some], min(GATHERED, n - h), 64 * own.shape[1])
+    seen = own.copy()
+    for k in range(-min(far, n), min(far + 1, n) + 1):  # a passage is its half and the next one
+        low, high = max(0, -k), n - max(0, k)
+        if k and low < high:
+            seen[low:high] |= np.where((owner[low:high] == owner[low + k:high + k])[:, None], own[low + k:high + k], np.uint64(0))
+    return seen
+
+
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers from each start on, as many as its count, one range after another; and the range of each."""
     of = np.repeat(np.arange(len(starts)), counts)
