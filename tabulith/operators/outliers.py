@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import rows_frame, agg_dict, fin, numeric_columns, q, value
-from ..functions.folds import unit_hash
+from ..functions.folds import hashed, unit_hash
 from ..functions.gram import gram
 from ..functions.neighbors import distinct_points, knn, point_id
 from ..functions.ordering import dense_index
 from ..functions.quantiles import moments, quantiles
 from ..functions.special import chi2_tail
 from ..plans.ledger import operation
-from ..session import cut_lineage
+from ..session import cut_lineage, dealt_keys
 
 # fixed values: default thresholds
 Z_LIMIT, MZ_LIMIT, IQR_K, EUCLID_LIMIT, MAHAL_LIMIT = 2.60, 19.35, 1.5, 3.0, 5.5
@@ -373,32 +373,106 @@ def _raw_gram(rows: DataFrame, xs, maps, mu, lam):
     return v[:-1].reshape(p, p), v[-1]
 
 
+#: values of other rows that a task of the random graphs holds at a time, tasks at least, and rows that draw at a time
+GRAPH_ROWS, GRAPH_TASKS, DRAWING = 8_000_000, 8, 200_000
+
+
+def _drawn(i: np.ndarray, g: int, n: int, k: int, seed: int) -> np.ndarray:
+    """rows x k: the first k different offsets, 1 to n - 1, that each row draws in a graph; 0 where it draws fewer."""
+    start = hashed(g, hashed(i, wide=True))
+
+    def draw(at, j):
+        return np.mod(hashed(seed, hashed(j, at)).view(np.int64), max(n - 1, 1)) + 1
+
+    out = np.column_stack([draw(start, j) for j in range(k)])
+    ordered = np.sort(out, axis=1)
+    again = np.flatnonzero((ordered[:, 1:] == ordered[:, :-1]).any(axis=1))
+    if len(again):
+        for r, draws in zip(again, np.column_stack([draw(start[again], j) for j in range(3 * k)]).tolist()):
+            first = list(dict.fromkeys(draws))[:k]
+            out[r] = first + [0] * (k - len(first))
+    return out
+
+
+def _met(blocks: DataFrame, n: int, size: int, graphs: Sequence[int], k: int, seed: int, term, done, schema: str) -> DataFrame:
+    """Sums of ``term(own, other)`` over the random neighbours of each row, one for each graph, handed to ``done(first row, own, sums)``.
+
+    ``blocks`` (b, v) holds the values of ``size`` rows each. A task has a block of rows, and all blocks pass by it: which rows
+    are neighbours is drawn from their numbers there, so no edge is ever a row."""
+    tasks, group = -(-n // size), max(1, GRAPH_ROWS // size)
+    keys = dealt_keys(blocks.sparkSession, tasks)
+    number = {key: t for t, key in enumerate(keys)}
+
+    def add(sums, own, first, base, values):
+        for at in range(0, len(own), DRAWING):
+            mine = own[at:at + DRAWING]
+            i = np.arange(first + at, first + at + len(mine))
+            for g, graph in enumerate(graphs):
+                off = _drawn(i, graph, n, k, seed)
+                j = i[:, None] + off
+                j = np.where(j >= n, j - n, j) - base
+                here = (off > 0) & (j >= 0) & (j < len(values))
+                sums[g, at:at + len(mine)] += np.where(here, term(mine[:, None], values[np.where(here, j, 0)]), 0.0).sum(axis=1)
+
+    def run(batches):
+        to, own, sums, held, base = None, None, None, [], 0
+        for pdf in batches:
+            for t, b, v in zip(pdf["to"], pdf["b"], pdf["v"]):
+                x, b = np.frombuffer(v, np.float64), int(b)
+                if b < 0 or (held and b % group == 0):
+                    if held:
+                        add(sums, own, to * size, base, np.concatenate(held))
+                        held = []
+                if b < 0:  # a row block of its own comes before all others
+                    if to is not None:
+                        yield from done(to * size, own, sums)
+                    to, own, sums = number[int(t)], x, np.zeros((len(graphs), len(x)))
+                    continue
+                if not held:
+                    base = b * size
+                held.append(x)
+        if held:
+            add(sums, own, to * size, base, np.concatenate(held))
+        if to is not None:
+            yield from done(to * size, own, sums)
+
+    asked = F.array(*[F.lit(key) for key in keys])
+    sent = (blocks.select("v", F.explode(F.concat(F.transform(asked, lambda t: F.struct(t.cast("bigint").alias("to"), F.col("b").cast("bigint").alias("b"))),
+                                                  F.array(F.struct(F.element_at(asked, F.col("b").cast("int") + 1).cast("bigint").alias("to"), F.lit(-1).cast("bigint").alias("b"))))).alias("s"))
+            .select("s.to", "s.b", "v").repartition(tasks, F.col("to")).sortWithinPartitions("to", "b"))
+    return sent.mapInPandas(run, schema)
+
+
 def fluctuation_flags(df: DataFrame, columns: Sequence[str], key: Sequence[str], graphs: int = 2, k: int = 10,
                       drop: int = 20, seed: int = 42) -> DataFrame:
     """Rows whose share of a random neighbourhood's total differs most from their neighbours'.
 
-    Only row totals enter, so the random graphs are equi-joins on a dense index."""
+    Only row totals enter. They go to tasks as packed blocks of eight bytes a row; the random graphs are drawn there."""
     e = filled(df, medians(df, columns))
     rows = cut_lineage(dense_index(df.withColumn("__s", sum(e.values(), F.lit(0.0))), list(key), "__i"))
     n = rows.count()
     k = min(k, n - 1)
-    draws = [F.pmod(F.xxhash64(F.col("__i"), F.col("g"), F.lit(j), F.lit(seed)), F.lit(max(n - 1, 1))) for j in range(3 * k)]
-    # offset 1..n-1 from the row itself, so a row never draws itself
-    shift = F.slice(F.array_distinct(F.array(*[d + 1 for d in draws])), 1, k)
-    target = F.pmod(F.col("__i") + F.col("o"), F.lit(n)).alias("__j")
-    ego = rows.select("__i", F.explode(F.array(*[F.lit(g) for g in range(graphs)])).alias("g"))
-    # an edge is two numbers, its end and that of the row and graph it belongs to; all else joins row by row
-    edges = ego.select("__i", "g", F.explode(shift).alias("o")).select((F.col("__i") * graphs + F.col("g")).alias("__e"), target)
-    totals = edges.join(rows.select(F.col("__i").alias("__j"), F.col("__s").alias("sj")), "__j").groupBy("__e").agg(F.sum("sj").alias("t"))
-    share = F.col("__s") / (F.col("__s") + F.col("t") + 1e-10)
-    coef = totals.select(F.expr(f"__e div {graphs}").alias("__i"), "t").join(rows.select("__i", "__s"), "__i").groupBy("__i").agg(F.sum(share).alias("c"))
-    coef = cut_lineage(coef)
-    # the edges of the last graph are drawn again from the row's number
-    last = coef.withColumn("g", F.lit(graphs - 1)).select("__i", "c", F.explode(shift).alias("o")).select("__i", "c", target)
-    score = cut_lineage(last.join(coef.select(F.col("__i").alias("__j"), F.col("c").alias("cj")), "__j")
-                        .groupBy("__i").agg(F.sum(F.abs(F.col("c") - F.col("cj"))).alias("score")))
+    if k < 1 or graphs < 1:
+        return rows.withColumns({"score": F.lit(None).cast("double"), "is_outlier": F.lit(False)}).drop("__i", "__s")
+    size = min(GRAPH_ROWS, -(-n // GRAPH_TASKS))
+
+    def packed(b: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"b": [b[0]], "v": [pdf.sort_values("__i")["__s"].to_numpy(np.float64).tobytes()]})
+
+    def shares(_first, own, sums):
+        yield pd.DataFrame({"b": [_first // size], "v": [sum(own / (own + t + 1e-10) for t in sums).tobytes()]})
+
+    def scores(first, _own, sums):
+        for at in range(0, sums.shape[1], DRAWING):
+            part = sums[0, at:at + DRAWING]
+            yield pd.DataFrame({"__i": np.arange(first + at, first + at + len(part)), "score": part})
+
+    blocks = rows.select(F.expr(f"__i div {size}").alias("b"), "__i", "__s").groupBy("b").applyInPandas(packed, "b bigint, v binary")
+    coef = cut_lineage(_met(blocks, n, size, range(graphs), k, seed, lambda own, other: other, shares, "b bigint, v binary"))
+    score = cut_lineage(_met(coef, n, size, [graphs - 1], k, seed, lambda own, other: np.abs(own - other), scores, "__i bigint, score double"))
     top = score.orderBy(F.desc("score"), "__i").limit(drop).select("__i", F.lit(True).alias("is_outlier"))
-    out = rows.join(score, "__i", "left").join(F.broadcast(top), "__i", "left")
+    # both sides have all rows: never built in the driver
+    out = rows.hint("merge").join(score.hint("merge"), "__i", "left").join(F.broadcast(top), "__i", "left")
     return out.withColumn("is_outlier", F.coalesce("is_outlier", F.lit(False))).drop("__i", "__s")
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -15,6 +16,8 @@ def configure(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # rows that hold packed blocks are large: a batch of ten thousand would hold a table
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     }.items():
         spark.conf.set(key, value)
     return spark
@@ -70,6 +73,13 @@ def spread(df: DataFrame, rows: int, rows_a_task: int | None = None) -> DataFram
     return df.repartition(want) if want > max(1, df.rdd.getNumPartitions()) else df
 
 
+def dealt_keys(spark: SparkSession, tasks: int) -> list[int]:
+    """Whole numbers that ``repartition(tasks, number)`` sends to a task each, in the order of the tasks."""
+    found = spark.range(40 * tasks).groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("at")).agg(F.min("id").alias("id")).collect()  # one row a task
+    at = {r["at"]: r["id"] for r in found}
+    return [at.get(t, t) for t in range(tasks)]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives lost executors."""
     shared_folder(df.sparkSession)
