@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import rows_frame, agg_dict, fin, numeric_columns, q, value
 from ..functions.folds import hashed, unit_hash
 from ..functions.gram import gram
-from ..functions.neighbors import distinct_points, knn, point_id
+from ..functions.neighbors import distinct_points, knn, nearest, point_id
 from ..functions.ordering import dense_index
 from ..functions.quantiles import moments, quantiles
 from ..functions.special import chi2_tail
@@ -285,23 +285,76 @@ def _chi2_point(p: float, k: int) -> float:
     return lo
 
 
+def _places(got: dict, pids: list) -> np.ndarray:
+    return np.array([got[x] for x in pids], np.float64)
+
+
+def _ids(packed: bytes) -> list:
+    return [packed[at:at + 16] for at in range(0, len(packed), 16)]
+
+
+class _Edges:
+    """The neighbours of the points of a cell, from their packed row."""
+
+    def __init__(self, row: dict):
+        self.own, self.refs = _ids(row["own"]), _ids(row["refs"])
+        counts, self.at, self.m = (np.frombuffer(row[c], np.int32) for c in ("counts", "at", "m"))
+        self.d, self.of = np.frombuffer(row["d"], np.float64), np.repeat(np.arange(len(counts)), counts)
+        self.some, self.last = np.flatnonzero(counts), np.cumsum(counts) - 1
+
+    def total(self, v: np.ndarray) -> np.ndarray:
+        """Sums over the neighbours of each point that has some."""
+        return np.bincount(self.of, weights=v, minlength=len(self.own))[self.some]
+
+
 def lof_flags(df: DataFrame, columns: Sequence[str], k: int = 20, contamination: float = 0.05) -> DataFrame:
-    """Local outlier factor over distinct points with multiplicities."""
+    """Local outlier factor over distinct points with multiplicities.
+
+    The neighbours of a cell's points stay together in one packed row. What a cell must know of points, its own and those
+    of other cells, comes to it as one number for each point, never for each pair of neighbours."""
     cols = list(columns)
     e = filled(df, medians(df, cols))
     xs = [f"x{i}" for i in range(len(cols))]
     rows = df.withColumns(dict(zip(xs, e.values())))
     pts = distinct_points(rows, xs)
-    # stored, as both neighbours and scores are read several times
-    nn = cut_lineage(knn(pts, len(xs), k))
-    edges = nn.select("pid", F.element_at("nn", -1)["d"].alias("kd"), F.inline("nn").alias("d", "to", "m"))
-    kd = nn.select(F.col("pid").alias("to"), F.element_at("nn", -1)["d"].alias("kd_to"))
-    reach = edges.join(kd, "to").groupBy("pid").agg(
-        (F.sum("m") / (F.sum(F.col("m") * F.greatest("d", "kd_to")) + 1e-10 * F.sum("m"))).alias("lrd"))
-    ratio = (edges.join(reach.select(F.col("pid").alias("to"), F.col("lrd").alias("lrd_to")), "to")
-             .join(reach, "pid").groupBy("pid")
-             .agg((F.sum(F.col("m") * F.col("lrd_to")) / F.sum("m") / F.max("lrd")).alias("score")))
-    ratio = cut_lineage(ratio)
+
+    def pack(a, pid, _px, ids, dist, mult):
+        counts = np.array([len(i) for i in ids], np.int32)
+        used, at = np.unique(np.concatenate([np.asarray(i, np.int64) for i in ids]), return_inverse=True)
+        d, m = (np.concatenate([np.asarray(x, t) for x in v]) for v, t in ((dist, np.float64), (mult, np.int32)))
+        return pd.DataFrame({"cell": [a["cell"].iloc[0]], "own": [b"".join(a["pid"])], "refs": [b"".join(pid[used])], "counts": [counts.tobytes()],
+                             "at": [at.astype(np.int32).tobytes()], "d": [d.tobytes()], "m": [m.tobytes()]})
+
+    cells = cut_lineage(nearest(pts, len(xs), k, pack, "cell bigint, own binary, refs binary, counts binary, at binary, d binary, m binary"))
+
+    def farthest(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                t = _Edges(row)
+                yield pd.DataFrame({"pid": [t.own[i] for i in t.some], "v": t.d[t.last[t.some]]})
+
+    def wanted(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                t = _Edges(row)
+                pids = list({*t.refs, *(t.own[i] for i in t.some)})
+                yield pd.DataFrame({"pid": pids, "to": np.full(len(pids), row["cell"], np.int64)})
+
+    def folded(values: DataFrame, fold) -> DataFrame:
+        """``pid, v`` of all points, from a number of each point that a cell knows of."""
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"pid": pd.Series([], dtype=object), "v": pd.Series([], dtype=float)})
+            t, got = _Edges(a.iloc[0].to_dict()), dict(zip(b["pid"], b["v"]))
+            pids = [t.own[i] for i in t.some]
+            return pd.DataFrame({"pid": pids, "v": fold(t, _places(got, t.refs)[t.at], _places(got, pids))})
+
+        known = cells.mapInPandas(wanted, "pid binary, to bigint").hint("merge").join(values.hint("merge"), "pid")
+        return cut_lineage(cells.groupBy("cell").cogroup(known.groupBy("to")).applyInPandas(run, "pid binary, v double"))
+
+    lrd = folded(cells.mapInPandas(farthest, "pid binary, v double"),
+                 lambda t, far, _own: t.total(t.m) / (t.total(t.m * np.maximum(t.d, far)) + 1e-10 * t.total(t.m)))
+    ratio = folded(lrd, lambda t, near, own: t.total(t.m * near) / t.total(t.m) / own).withColumnRenamed("v", "score")
     out = rows.withColumn("pid", point_id(xs)).join(ratio, "pid", "left").drop("pid", *xs)
     cut = quantiles(out, ["score"], [1 - contamination])["score"][0]
     return out.withColumn("is_outlier", F.coalesce(F.col("score") > cut, F.lit(False)))
